@@ -6,8 +6,10 @@ from importlib import import_module
 
 #: Query name to module of this subpackage (the function has the query's name).
 _MODULES = {
+    "op2_warc": "warc",
     "op4_best_fit_packing": "packing",
     "op6_media_columns": "media",
+    "op8_license_scans": "licenses",
     "op10_sharding": "sharding",
 }
 
