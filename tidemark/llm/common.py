@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 LOCAL_SCRATCH = "/tmp/checkpoints"
 
 #: Python stages see at most this many bytes of a task's rows at a time.
-BATCH_BYTES = 16 << 20
+BATCH_BYTES = 4 << 20
 
 
 def scratch_dir(spark: SparkSession) -> str:

@@ -30,7 +30,7 @@ ROW = 64
 #: Rows of blocks in one image at most (a JPEG side has 16 bits).
 MAX_ROWS = 8000
 #: Entropy-coded bytes decoded together at most.
-GROUP_BYTES = 2 << 20
+GROUP_BYTES = 1 << 20
 #: Luminance DC code lengths of the images written: number of codes of 1 to 16 bits, then the categories in order.
 _DC_COUNTS = (0, 1, 3, 2, 1, 1, 1, 1, 0, 0, 0, 0, 0, 0, 0, 0)
 _DC_VALUES = (5, 4, 6, 0, 3, 7, 2, 1, 8, 9)
