@@ -6,9 +6,11 @@ from importlib import import_module
 
 #: Query name to module of this subpackage (the function has the query's name).
 _MODULES = {
+    "op1_exact_topk": "topk",
     "op2_warc": "warc",
     "op3_chat_formatting": "chat",
     "op4_best_fit_packing": "packing",
+    "op5_source_mixing": "mixing",
     "op6_media_columns": "media",
     "op8_license_scans": "licenses",
     "op9_quality_classifier": "quality",
