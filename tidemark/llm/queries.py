@@ -12,6 +12,7 @@ _MODULES = {
     "op4_best_fit_packing": "packing",
     "op5_source_mixing": "mixing",
     "op6_media_columns": "media",
+    "op7_minhash_dedup": "dedup",
     "op8_license_scans": "licenses",
     "op9_quality_classifier": "quality",
     "op10_sharding": "sharding",
