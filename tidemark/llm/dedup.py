@@ -10,9 +10,12 @@ No group is ever paired with itself:
 1. Documents with the same set form a class; one represents it.
 2. In every band bucket all members are paired with the smallest member only. Confirmed pairs are linked, and linked
    classes form components.
-3. Only buckets that still hold several components are looked at again: members outside a bucket's main component are
-   estimated against the members of other components, and those that pass are confirmed. So every candidate pair is
-   either confirmed, rejected or already connected; nothing is capped.
+3. Only buckets that still hold several components are looked at again. How often each shingle of their members occurs
+   among them is counted. Documents of different components that share a rare shingle are paired through it, which is
+   linear. Two that share none have at most their frequent shingles in common; most members outside a bucket's main
+   component have too few of those to be similar to anything, and the rest meet only members that the same bound and
+   the estimate admit. All pairs left are confirmed. So every candidate pair is either confirmed, ruled out by a bound
+   or an estimate, or already connected; nothing is capped.
 
 Defined results: words and shingles as in ``sets_of``; a text without words has an empty set and is linked with
 nothing; a null doc_id takes no part (its component is null and it stays); rows that share a doc_id count as one
@@ -33,8 +36,13 @@ from .common import map_arrow, written
 
 BANDS, ROWS, BITS = 24, 4, 2
 WORDS, PERCENT = 5, 80
-#: Estimated similarity below which a pair is not confirmed on the full sets: six standard deviations under the threshold.
-LEAST_ESTIMATE = 0.5
+#: Estimated similarity below which a pair is not confirmed on the full sets: 4.5 standard deviations under the threshold,
+#: as unlikely for a pair at the threshold as to share no band.
+LEAST_ESTIMATE = 0.58
+#: A shingle that at most so many of the documents looked at have is rare; the rare ones are paired through it.
+RARE = 32
+#: Ids that are broadcast at most; more of them are joined by sorting both sides.
+BROADCAST_ROWS = 1_000_000
 
 _K = BANDS * ROWS
 _random = np.random.default_rng(20240601)
@@ -141,20 +149,37 @@ def shingle_sets(docs: DataFrame, words: int = WORDS) -> DataFrame:
 
 
 def estimate(a: str, b: str) -> Column:
-    """Similarity from the packed bits in columns ``a``0 to 2 and ``b``0 to 2: agreement beyond the 1 in 4 of chance."""
+    """Similarity from the packed bits in columns ``a``0 to 2 and ``b``0 to 2."""
+    return _estimate([(F.col(f"{a}{k}"), F.col(f"{b}{k}")) for k in range(3)])
+
+
+def _estimate(words: list[tuple[Column, Column]]) -> Column:
+    """Agreement beyond the 1 in 4 of chance."""
     apart = F.lit(0)
-    for k in range(3):
-        x = F.col(f"{a}{k}").bitwiseXOR(F.col(f"{b}{k}"))
+    for a, b in words:
+        x = a.bitwiseXOR(b)
         apart = apart + F.bit_count(x.bitwiseOR(F.shiftrightunsigned(x, 1)).bitwiseAND(F.lit(0x5555555555555555)))
     chance = 0.5**BITS
     return ((1 - apart / F.lit(float(_K))) - chance) / (1 - chance)
 
 
-def _confirmed(pairs: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFrame:
+def _texts_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """doc_id and text of the documents in ``ids`` (written down, one column, no repeats)."""
+    ids = ids.toDF("doc_id")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    return rows.join(F.broadcast(ids) if ids.count() <= BROADCAST_ROWS else ids.hint("merge"), "doc_id", "left_semi")
+
+
+def _sets_for(docs: DataFrame, ids: DataFrame, words: int) -> DataFrame:
+    return written(shingle_sets(_texts_of(docs, written(ids.distinct(), "dedup-ids")), words), "dedup-sets")
+
+
+def _ends(pairs: DataFrame) -> DataFrame:
+    return pairs.select("a").union(pairs.select("b"))
+
+
+def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) whose full sets are similar enough."""
-    needed = pairs.select(F.col("a").alias("doc_id")).union(pairs.select(F.col("b").alias("doc_id"))).distinct()
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(needed, "doc_id", "left_semi")
-    sets = written(shingle_sets(texts, words), "dedup-sets")
     left = pairs.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("sa")), "a")
     both = left.join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("sb")), "b")
     shared = F.size(F.array_intersect("sa", "sb")).cast("long")
@@ -162,6 +187,38 @@ def _confirmed(pairs: DataFrame, docs: DataFrame, words: int, percent: int) -> D
     return alike.where(F.col("i") * 100 >= (F.col("sizes") - F.col("i")) * percent).select("a", "b").distinct()
 
 
+def _rest(open_: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Pairs of different components that may still be similar.
+
+    ``open_`` has key, node, component, main and the packed bits: the members of buckets with several components.
+    """
+    nodes = written(open_.select("node", "component", "s0", "s1", "s2").dropDuplicates(["node"]), "dedup-open-nodes")
+    rows = sets.select("node", F.explode("shingles").alias("shingle"))
+    often = rows.groupBy("shingle").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
+    counted = written(rows.join(often, "shingle"), "dedup-shingles")
+    frequent = counted.groupBy("node").agg(F.count_if(F.col("df") > RARE).alias("frequent"))
+
+    # By rare shingles: a list of at most RARE nodes each.
+    own = F.struct("node", "component", "s0", "s1", "s2")
+    lists = counted.where(F.col("df") <= RARE).join(nodes, "node").groupBy("shingle").agg(F.collect_list(own).alias("l"))
+    apart = lambda x: F.filter("l", lambda y: (y["node"] < x["node"]) & (y["component"] != x["component"]))
+    named = lambda x, side: [x["node"].alias(side), *(x[f"s{k}"].alias(f"{side}{k}") for k in range(3))]
+    paired = F.flatten(F.transform("l", lambda x: F.transform(apart(x), lambda y: F.struct(*named(x, "a"), *named(y, "b")))))
+    by_rare = lists.select(F.explode(F.filter(paired, lambda p: _estimate([(p[f"a{k}"], p[f"b{k}"]) for k in range(3)]) >= LEAST_ESTIMATE)).alias("p")).select("p.a", "p.b")
+
+    # By frequent shingles alone: members outside the main component, if they have enough of them at all.
+    sized = sets.select("node", F.size("shingles").alias("n")).join(frequent, "node", "left").select("node", "n", F.coalesce("frequent", F.lit(0)).cast("int").alias("f"))
+    able = written(open_.join(sized.where(F.col("f") * 100 >= F.col("n") * percent), "node"), "dedup-able")
+    side = lambda s: able.select(F.col("key").alias(f"{s}key"), F.col("node").alias(s), F.col("component").alias(f"{s}c"), F.col("main").alias(f"{s}m"), F.col("n").alias(f"{s}n"), F.col("f").alias(f"{s}f"), *(F.col(f"s{k}").alias(f"{s}{k}") for k in range(3)))
+    most = F.least("af", "bf")
+    # Two outsiders meet once, an outsider meets all of the main component.
+    meet = (F.col("akey") == F.col("bkey")) & (F.col("ac") != F.col("bc")) & ((F.col("bc") == F.col("bm")) | (F.col("a") > F.col("b")))
+    meet = meet & (most * 100 >= (F.col("an") + F.col("bn") - most) * percent) & (estimate("a", "b") >= LEAST_ESTIMATE)
+    by_frequent = side("a").where("ac <> am").join(side("b"), meet).select("a", "b")
+    both = by_rare.union(by_frequent)
+    return both.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, component): the smallest node reachable, for all nodes of ``edges`` (a, b).
 
@@ -196,24 +253,18 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT)
     stars = members.where("node <> leader").select(F.col("node").alias("a"), F.col("leader").alias("b")).distinct()
     likely = stars.join(bits("a"), "a").join(bits("b"), "b").where(estimate("a", "b") >= LEAST_ESTIMATE).select("a", "b")
     likely = written(likely, "dedup-pairs")
-    edges = written(_confirmed(likely, docs, words, percent), "dedup-links")
+    edges = written(_confirmed(likely, _sets_for(docs, _ends(likely), words), percent), "dedup-links")
     labels = components(edges)
 
     # Buckets that still hold several components.
     labelled = members.join(labels, "node", "left").select("key", "node", F.coalesce("component", "node").alias("component"))
     counts = labelled.groupBy("key", "component").agg(F.count(F.lit(1)).alias("n"))
     mixed = counts.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.max_by("component", F.struct("n", "component")).alias("main")).where("low < high").select("key", "main")
-    signs = classes.select("node", "s0", "s1", "s2")
-    open_ = written(labelled.join(mixed, "key").join(signs, "node"), "dedup-open")
-    side = lambda s: open_.select("key", F.col("node").alias(s), F.col("component").alias(f"{s}c"), *(F.col(f"s{k}").alias(f"{s}{k}") for k in range(3)), F.col("main").alias(f"{s}m"))
-    outside, inside = side("a").where("ac <> am"), side("b").withColumnRenamed("key", "key_b")
-    # Two outsiders meet once, an outsider meets all of the main component.
-    apart = (F.col("ac") != F.col("bc")) & ((F.col("bc") == F.col("bm")) | (F.col("a") > F.col("b")))
-    crossed = outside.join(inside, (F.col("key") == F.col("key_b")) & apart & (estimate("a", "b") >= LEAST_ESTIMATE))
-    rest = crossed.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct().join(likely, ["a", "b"], "left_anti")
-    rest = written(rest, "dedup-rest")
+    open_ = written(labelled.join(mixed, "key").join(classes.select("node", "s0", "s1", "s2"), "node"), "dedup-open")
+    open_sets = _sets_for(docs, open_.select("node"), words)
+    rest = written(_rest(open_, open_sets, percent).join(likely, ["a", "b"], "left_anti"), "dedup-rest")
     if not rest.isEmpty():
-        labels = components(edges.union(_confirmed(rest, docs, words, percent)))
+        labels = components(edges.union(_confirmed(rest, open_sets, percent)))
 
     found = reps.join(labels.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("k0", "k1", F.coalesce("component", "doc_id").alias("component_id"))
     linked = usable.select("doc_id", "n", "k0", "k1").join(found, ["k0", "k1"]).select("doc_id", "n", "component_id")
