@@ -1 +1 @@
-
+"""Column expressions: text and keys, scores and labels, impact dimensions."""

@@ -1 +1 @@
-
+"""Queries over the driver's tables, and the end-to-end runs."""
