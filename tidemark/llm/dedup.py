@@ -187,7 +187,7 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return alike.where(F.col("i") * 100 >= (F.col("sizes") - F.col("i")) * percent).select("a", "b").distinct()
 
 
-def _rest(open_: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+def _rest(open_: DataFrame, sets: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     """Pairs of different components that may still be similar.
 
     ``open_`` has key, node, component, main and the packed bits: the members of buckets with several components.
@@ -208,12 +208,15 @@ def _rest(open_: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
     # By frequent shingles alone: members outside the main component, if they have enough of them at all.
     sized = sets.select("node", F.size("shingles").alias("n")).join(frequent, "node", "left").select("node", "n", F.coalesce("frequent", F.lit(0)).cast("int").alias("f"))
-    able = written(open_.join(sized.where(F.col("f") * 100 >= F.col("n") * percent), "node"), "dedup-able")
-    side = lambda s: able.select(F.col("key").alias(f"{s}key"), F.col("node").alias(s), F.col("component").alias(f"{s}c"), F.col("main").alias(f"{s}m"), F.col("n").alias(f"{s}n"), F.col("f").alias(f"{s}f"), *(F.col(f"s{k}").alias(f"{s}{k}") for k in range(3)))
+    able = written(open_.join(sized.where(F.col("f") * 100 >= F.col("n") * percent), "node").join(classes.select("node", "bands"), "node"), "dedup-able")
+    side = lambda s: able.select(F.col("key").alias(f"{s}key"), F.col("node").alias(s), F.col("component").alias(f"{s}c"), F.col("main").alias(f"{s}m"), F.col("n").alias(f"{s}n"), F.col("f").alias(f"{s}f"), *(F.col(f"s{k}").alias(f"{s}{k}") for k in range(3)), F.col("bands").alias(f"{s}bands"))
     most = F.least("af", "bf")
     # Two outsiders meet once, an outsider meets all of the main component.
     meet = (F.col("akey") == F.col("bkey")) & (F.col("ac") != F.col("bc")) & ((F.col("bc") == F.col("bm")) | (F.col("a") > F.col("b")))
     meet = meet & (most * 100 >= (F.col("an") + F.col("bn") - most) * percent) & (estimate("a", "b") >= LEAST_ESTIMATE)
+    # Of the buckets that two share, only the first pairs them (any bucket with both has several components).
+    first = F.array_position(F.zip_with("abands", "bbands", lambda x, y: x == y), True).cast("int")
+    meet = meet & (F.element_at("abands", first) == F.col("akey"))
     by_frequent = side("a").where("ac <> am").join(side("b"), meet).select("a", "b")
     both = by_rare.union(by_frequent)
     return both.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
@@ -262,7 +265,7 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT)
     mixed = counts.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.max_by("component", F.struct("n", "component")).alias("main")).where("low < high").select("key", "main")
     open_ = written(labelled.join(mixed, "key").join(classes.select("node", "s0", "s1", "s2"), "node"), "dedup-open")
     open_sets = _sets_for(docs, open_.select("node"), words)
-    rest = written(_rest(open_, open_sets, percent).join(likely, ["a", "b"], "left_anti"), "dedup-rest")
+    rest = written(_rest(open_, open_sets, classes, percent).join(likely, ["a", "b"], "left_anti"), "dedup-rest")
     if not rest.isEmpty():
         labels = components(edges.union(_confirmed(rest, open_sets, percent)))
 
