@@ -163,4 +163,4 @@ def latest_run(spark: SparkSession, root: str, run_id: str | None = None) -> str
 def read_summary(spark: SparkSession, run_dir: str) -> dict:
     if not exists(spark, f"{run_dir}/summary.json"):
         return {}
-    return json.loads(spark.read.option("wholetext", "true").text(f"{run_dir}/summary.json").first()[0])
+    return json.loads(spark.read.text(f"{run_dir}/summary.json", wholetext=True).first()[0])
