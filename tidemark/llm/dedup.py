@@ -163,11 +163,15 @@ def _estimate(words: list[tuple[Column, Column]]) -> Column:
     return ((1 - apart / F.lit(float(_K))) - chance) / (1 - chance)
 
 
+def _sized(ids: DataFrame) -> DataFrame:
+    """Ids that are written down, to be broadcast if there are few enough: then no text is shuffled."""
+    return F.broadcast(ids) if ids.count() <= BROADCAST_ROWS else ids.hint("merge")
+
+
 def _texts_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
     """doc_id and text of the documents in ``ids`` (written down, one column, no repeats)."""
-    ids = ids.toDF("doc_id")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return rows.join(F.broadcast(ids) if ids.count() <= BROADCAST_ROWS else ids.hint("merge"), "doc_id", "left_semi")
+    return rows.join(_sized(ids.toDF("doc_id")), "doc_id", "left_semi")
 
 
 def _sets_for(docs: DataFrame, ids: DataFrame, words: int) -> DataFrame:
@@ -278,10 +282,10 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT)
 def keep_one(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """The documents that stay: of each group the one with the smallest doc_id, with all columns."""
     found = written(near_duplicates(docs, words, percent).select(F.col("doc_id").alias("__dedup_id"), "kept"), "dedup-result")
-    gone = found.where("not kept").select("__dedup_id").distinct()
+    gone = written(found.where("not kept").select("__dedup_id").distinct(), "dedup-gone")
     twice = found.where("kept and __dedup_id is not null").groupBy("__dedup_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("__dedup_id")
     key = docs["doc_id"].cast("long") == F.col("__dedup_id")
-    stay = docs.join(gone, key, "left_anti")
+    stay = docs.join(_sized(gone), key, "left_anti")
     if twice.isEmpty():
         return stay
     repeated = docs.join(twice, key, "left_semi").dropDuplicates(["doc_id"])
