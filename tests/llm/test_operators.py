@@ -365,7 +365,7 @@ def check_shards(rows, n, total):
 def test_op10(spark, sf):
     texts = {r.doc_id: (r.text or "").encode() for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
     rows = sharding.op10_sharding(spark, sf).collect()
-    assert Counter(r.doc_id for r in rows) == Counter(texts)
+    assert Counter(r.doc_id for r in rows) == Counter(list(texts))
     assert all(r.size == len(texts[r.doc_id]) + 1 and r.text_crc32 == zlib.crc32(texts[r.doc_id]) and r.law == "bytes" and r.grown_shard is None for r in rows)
     check_shards(rows, 16, sum(len(t) + 1 for t in texts.values()))
 
@@ -384,7 +384,7 @@ def test_sharding_of_hard_and_hot_texts(spark, monkeypatch):
 
 
 def test_equal_texts_lie_together(spark):
-    texts = [f"text {i // 3}" * 20 for i in range(600)]
+    texts = [f"text {i // 3}" * 20 for i in range(3000)]
     rows = sharding.shard(docs(spark, texts), 4).collect()
     shards = defaultdict(set)
     for r in rows:

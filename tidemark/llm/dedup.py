@@ -18,9 +18,9 @@ No group is ever paired with itself:
    or an estimate, or already connected; nothing is capped.
 
 Defined results: words and shingles as in ``sets_of``; a text without words has an empty set and is linked with
-nothing; a null doc_id takes no part (its component is null and it stays); rows that share a doc_id count as one
-document, and ``keep_one`` leaves one of them; an empty table gives no rows; extra columns are ignored, or pass
-through ``keep_one``. A pair at the threshold shares no band with a chance of 3 in a million.
+nothing; a null doc_id takes no part (its component is null and it stays); of rows that share a doc_id each is judged
+by its own text, and ``keep_one`` leaves one of them if any stays; an empty table gives no rows; extra columns are
+ignored, or pass through ``keep_one``. A pair at the threshold shares no band with a chance of 3 in a million.
 """
 
 from __future__ import annotations
@@ -281,14 +281,15 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT)
 
 def keep_one(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """The documents that stay: of each group the one with the smallest doc_id, with all columns."""
-    found = written(near_duplicates(docs, words, percent).select(F.col("doc_id").alias("__dedup_id"), "kept"), "dedup-result")
-    gone = written(found.where("not kept").select("__dedup_id").distinct(), "dedup-gone")
-    twice = found.where("kept and __dedup_id is not null").groupBy("__dedup_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("__dedup_id")
+    found = near_duplicates(docs, words, percent).select(F.col("doc_id").alias("__dedup_id"), "kept").where("__dedup_id is not null")
+    ids = written(found.groupBy("__dedup_id").agg(F.max("kept").alias("stays"), F.count(F.lit(1)).alias("n")), "dedup-result")
+    gone = written(ids.where("not stays").select("__dedup_id"), "dedup-gone")
+    twice = ids.where("stays and n > 1").select("__dedup_id")
     key = docs["doc_id"].cast("long") == F.col("__dedup_id")
     stay = docs.join(_sized(gone), key, "left_anti")
     if twice.isEmpty():
         return stay
-    repeated = docs.join(twice, key, "left_semi").dropDuplicates(["doc_id"])
+    repeated = docs.join(twice, key, "left_semi").groupBy("doc_id").agg(F.min_by(F.struct(*docs.columns), "text").alias("r")).select("r.*")
     return stay.join(twice, docs["doc_id"].cast("long") == F.col("__dedup_id"), "left_anti").unionByName(repeated)
 
 
