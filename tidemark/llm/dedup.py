@@ -254,7 +254,8 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT)
     bits = lambda side: classes.select(F.col("node").alias(side), *(F.col(f"s{k}").alias(f"{side}{k}") for k in range(3)))
 
     banded = classes.select("node", F.explode("bands").alias("key"))
-    leaders = banded.groupBy("key").agg(F.min("node").alias("leader"), F.max("node").alias("most")).where("leader < most").drop("most")
+    # Small tables by hot keys are written down before they are joined: both sides are then plain shuffles, which Spark can split.
+    leaders = written(banded.groupBy("key").agg(F.min("node").alias("leader"), F.max("node").alias("most")).where("leader < most").drop("most"), "dedup-leaders")
     members = written(banded.join(leaders, "key"), "dedup-members")
 
     stars = members.where("node <> leader").select(F.col("node").alias("a"), F.col("leader").alias("b")).distinct()
@@ -267,6 +268,7 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT)
     labelled = members.join(labels, "node", "left").select("key", "node", F.coalesce("component", "node").alias("component"))
     counts = labelled.groupBy("key", "component").agg(F.count(F.lit(1)).alias("n"))
     mixed = counts.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.max_by("component", F.struct("n", "component")).alias("main")).where("low < high").select("key", "main")
+    mixed = written(mixed, "dedup-mixed")
     open_ = written(labelled.join(mixed, "key").join(classes.select("node", "s0", "s1", "s2"), "node"), "dedup-open")
     open_sets = _sets_for(docs, open_.select("node"), words)
     rest = written(_rest(open_, open_sets, classes, percent).join(likely, ["a", "b"], "left_anti"), "dedup-rest")
@@ -274,6 +276,7 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT)
         labels = components(edges.union(_confirmed(rest, open_sets, percent)))
 
     found = reps.join(labels.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("k0", "k1", F.coalesce("component", "doc_id").alias("component_id"))
+    found = written(found, "dedup-found")
     linked = usable.select("doc_id", "n", "k0", "k1").join(found, ["k0", "k1"]).select("doc_id", "n", "component_id")
     alone = signed.where("n = 0 or doc_id is null").select("doc_id", "n", F.col("doc_id").alias("component_id"))
     return linked.union(alone).select("doc_id", F.col("n").alias("n_shingles"), "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
