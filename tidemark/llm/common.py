@@ -12,6 +12,9 @@ from pyspark.sql import functions as F
 #: Used only where the session names no shared folder (tests on one machine).
 LOCAL_SCRATCH = "/tmp/checkpoints"
 
+#: Rows of a few numbers that are broadcast at most.
+BROADCAST_ROWS = 1_000_000
+
 #: Python stages see at most this many bytes of a task's rows at a time.
 BATCH_BYTES = 4 << 20
 
@@ -21,13 +24,29 @@ def scratch_dir(spark: SparkSession) -> str:
     return (spark.conf.get("spark.checkpoint.dir", None) or LOCAL_SCRATCH).rstrip("/")
 
 
+def own_dir(spark: SparkSession) -> str:
+    """This application's part of the shared folder."""
+    return f"{scratch_dir(spark)}/{spark.sparkContext.applicationId}"
+
+
+def drop_scratch(spark: SparkSession) -> None:
+    """Deletes what this application wrote there. Results that were not yet written elsewhere are gone then."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(own_dir(spark))
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: lineage ends there, and a lost executor loses nothing."""
-    path = f"{scratch_dir(df.sparkSession)}/tables/{name}-{uuid.uuid4().hex}"
+    path = f"{own_dir(df.sparkSession)}/tables/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def sized(ids: DataFrame) -> DataFrame:
+    """A small written table, to be broadcast if it has few enough rows: then the large side is not shuffled. Else both are sorted."""
+    return F.broadcast(ids) if ids.count() <= BROADCAST_ROWS else ids.hint("merge")
+
+
 def map_arrow(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
     """``mapInArrow`` with batches bounded in bytes, so that a run of very long rows does not fill a worker."""
     conf = df.sparkSession.conf

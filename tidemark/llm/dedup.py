@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_arrow, written
+from .common import map_arrow, sized, written
 
 BANDS, ROWS, BITS = 24, 4, 2
 WORDS, PERCENT = 5, 80
@@ -41,8 +41,6 @@ WORDS, PERCENT = 5, 80
 LEAST_ESTIMATE = 0.58
 #: A shingle that at most so many of the documents looked at have is rare; the rare ones are paired through it.
 RARE = 32
-#: Ids that are broadcast at most; more of them are joined by sorting both sides.
-BROADCAST_ROWS = 1_000_000
 
 _K = BANDS * ROWS
 _random = np.random.default_rng(20240601)
@@ -163,15 +161,10 @@ def _estimate(words: list[tuple[Column, Column]]) -> Column:
     return ((1 - apart / F.lit(float(_K))) - chance) / (1 - chance)
 
 
-def _sized(ids: DataFrame) -> DataFrame:
-    """Ids that are written down, to be broadcast if there are few enough: then no text is shuffled."""
-    return F.broadcast(ids) if ids.count() <= BROADCAST_ROWS else ids.hint("merge")
-
-
 def _texts_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
     """doc_id and text of the documents in ``ids`` (written down, one column, no repeats)."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return rows.join(_sized(ids.toDF("doc_id")), "doc_id", "left_semi")
+    return rows.join(sized(ids.toDF("doc_id")), "doc_id", "left_semi")
 
 
 def _sets_for(docs: DataFrame, ids: DataFrame, words: int) -> DataFrame:
@@ -211,8 +204,8 @@ def _rest(open_: DataFrame, sets: DataFrame, classes: DataFrame, percent: int) -
     by_rare = lists.select(F.explode(F.filter(paired, lambda p: _estimate([(p[f"a{k}"], p[f"b{k}"]) for k in range(3)]) >= LEAST_ESTIMATE)).alias("p")).select("p.a", "p.b")
 
     # By frequent shingles alone: members outside the main component, if they have enough of them at all.
-    sized = sets.select("node", F.size("shingles").alias("n")).join(frequent, "node", "left").select("node", "n", F.coalesce("frequent", F.lit(0)).cast("int").alias("f"))
-    able = written(open_.join(sized.where(F.col("f") * 100 >= F.col("n") * percent), "node").join(classes.select("node", "bands"), "node"), "dedup-able")
+    measured = sets.select("node", F.size("shingles").alias("n")).join(frequent, "node", "left").select("node", "n", F.coalesce("frequent", F.lit(0)).cast("int").alias("f"))
+    able = written(open_.join(measured.where(F.col("f") * 100 >= F.col("n") * percent), "node").join(classes.select("node", "bands"), "node"), "dedup-able")
     side = lambda s: able.select(F.col("key").alias(f"{s}key"), F.col("node").alias(s), F.col("component").alias(f"{s}c"), F.col("main").alias(f"{s}m"), F.col("n").alias(f"{s}n"), F.col("f").alias(f"{s}f"), *(F.col(f"s{k}").alias(f"{s}{k}") for k in range(3)), F.col("bands").alias(f"{s}bands"))
     most = F.least("af", "bf")
     # Two outsiders meet once, an outsider meets all of the main component.
@@ -289,7 +282,7 @@ def keep_one(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> Dat
     gone = written(ids.where("not stays").select("__dedup_id"), "dedup-gone")
     twice = ids.where("stays and n > 1").select("__dedup_id")
     key = docs["doc_id"].cast("long") == F.col("__dedup_id")
-    stay = docs.join(_sized(gone), key, "left_anti")
+    stay = docs.join(sized(gone), key, "left_anti")
     if twice.isEmpty():
         return stay
     repeated = docs.join(twice, key, "left_semi").groupBy("doc_id").agg(F.min_by(F.struct(*docs.columns), "text").alias("r")).select("r.*")

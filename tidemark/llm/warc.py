@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import map_arrow, scratch_dir, written
+from .common import map_arrow, own_dir, sized, written
 
 REVISIT_BYTES = 1000
 #: Bytes of a range that one task scans.
@@ -74,10 +74,10 @@ def plan_revisits(pages: DataFrame) -> DataFrame:
     """pages with payload, digest, record_type and refers_to."""
     payload = F.encode(F.coalesce(F.col("html").cast("string"), F.lit("")), "UTF-8")
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), payload.alias("payload")).withColumn("digest", F.sha1("payload"))
-    sized = rows.withColumn("key", F.when(F.length("payload") >= REVISIT_BYTES, F.col("digest")))
+    keyed = rows.withColumn("key", F.when(F.length("payload") >= REVISIT_BYTES, F.col("digest")))
     # Partial aggregation leaves one row per task and payload; only payloads that occur again are joined back.
-    again = sized.where("key is not null").groupBy(F.col("key").alias("again")).agg(F.max("page_id").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
-    joined = sized.join(again, sized["key"] == again["again"], "left")
+    again = keyed.where("key is not null").groupBy(F.col("key").alias("again")).agg(F.max("page_id").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
+    joined = keyed.join(sized(written(again, "warc-again")), F.col("key") == F.col("again"), "left")
     revisit = F.col("first").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first"))
     return joined.select("page_id", "url", "payload", "digest", F.when(revisit, "revisit").otherwise("response").alias("record_type"), F.when(revisit, F.col("first")).alias("refers_to"))
 
@@ -243,7 +243,7 @@ def read_warc(spark: SparkSession, archives: DataFrame, split_bytes: int = SPLIT
 
 def op2_warc(spark, sf_dir: str) -> DataFrame:
     """Every page into WARC archives in the shared folder, and all records read back from them."""
-    folder = f"{scratch_dir(spark)}/warc/{uuid.uuid4().hex}"
+    folder = f"{own_dir(spark)}/warc/{uuid.uuid4().hex}"
     archives = write_warc(plan_revisits(spark.read.parquet(f"{sf_dir}/pages.parquet")), folder)
     return read_warc(spark, archives, payloads=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
