@@ -31,6 +31,7 @@ def test_experiment_then_research(spark, tmp_path):
         "r1", (experiment.Model("a", "pt"), experiment.Model("b", "pt"), experiment.Model("c", "en")), ((dataset("d", "pt"), files.Reader(path)),), output_root=str(tmp_path / "out"),
         settings=experiment.IndexSettings(frequencies=("weekly",)),
     )
+    assert experiment.preflight(spark, plan) == []
     summary = experiment.run(spark, plan)
     assert summary["status"] == "success", summary
     assert summary["counts"]["success"] == 2 and summary["counts"]["skipped"] == 1
@@ -49,6 +50,7 @@ def test_experiment_then_research(spark, tmp_path):
 
 def test_a_failed_combination_is_recorded(spark, tmp_path):
     plan = experiment.Experiment("r", (experiment.Model("a", "pt"),), ((dataset("d", "pt"), files.Reader(str(tmp_path / "none.csv"))),), output_root=str(tmp_path))
+    assert experiment.preflight(spark, plan)[0].startswith("dataset d: FileNotFoundError")
     summary = experiment.run(spark, plan)
     assert summary["status"] == "failed" and "FileNotFound" in summary["combinations"]["a/d"]["error"]
 

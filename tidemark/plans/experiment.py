@@ -67,6 +67,21 @@ class Experiment:
     dry_run: bool = False
 
 
+def preflight(spark: SparkSession, plan: Experiment, registry: predictions.Registry | None = None) -> list[str]:
+    """What would stop a run: nothing to do, unknown scorers, absent or unreadable datasets, columns that are not there."""
+    known = (registry or predictions.Registry()).keys()
+    kept, _ = pairs_of(plan)
+    errors = [] if kept else ["no model fits any dataset"]
+    errors += [f"model {m.key}: no scorer {m.scorer!r}" for m in plan.models if m.scorer not in known]
+    for d, reader in plan.datasets:
+        try:
+            files.validate_file(spark, reader)
+            standardize.check_columns(spark.createDataFrame([], ", ".join(f"`{c}` string" for c in files.inspect_columns(spark, reader))), d)
+        except (ValueError, FileNotFoundError) as e:
+            errors.append(f"dataset {d.key}: {type(e).__name__}: {e}")
+    return errors
+
+
 def run(spark: SparkSession, plan: Experiment, registry: predictions.Registry | None = None) -> dict:
     """Loads, scores, measures, aggregates, indexes and writes each compatible combination; returns the summary."""
     registry = registry or predictions.Registry()

@@ -31,8 +31,23 @@ def query(sql: str | None = None, name: str | None = None):
     return register
 
 
+#: Added to impacts and index values before they are rounded: many are short decimals, and exact halves must go one way in both engines.
+NUDGE, _NUDGED = 1e-11, ("iti_", "impacto_", "risco_")
+
+
+def places_of(column: str, places: int = 9) -> int:
+    """Index values come out of exp and log; means of impacts are short decimals and need more places."""
+    return 7 if column.startswith("iti_") else 10 if column.startswith(("impacto_", "risco_")) else places
+
+
 def rounded(df: DataFrame, places: int = 9) -> DataFrame:
-    return df.select(*(F.round(F.col(f"`{c}`"), places).alias(c) if t == "double" else F.col(f"`{c}`") for c, t in df.dtypes))
+    value = lambda c: F.col(f"`{c}`") + NUDGE if c.startswith(_NUDGED) else F.col(f"`{c}`")
+    return df.select(*(F.round(value(c), places_of(c, places)).alias(c) if t == "double" else F.col(f"`{c}`") for c, t in df.dtypes))
+
+
+def sql_rounded(columns, expression: str = "{}") -> str:
+    nudge = lambda c: f" + {NUDGE}" if c.startswith(_NUDGED) else ""
+    return ", ".join(f"round({expression.format(c)}{nudge(c)}, {places_of(c)}) AS {c}" for c in columns)
 
 
 def _impact(spark, sf_dir, company="C"):
@@ -52,7 +67,7 @@ def impact_news(spark, sf_dir):
     return rounded(df.select("news_id", "date", "company", "sector", "d", "c", "h", F.col("I_n").alias("i_n"), F.col("R_n").alias("r_n"), F.col("w_n")))
 
 
-@query(f"""{V.with_("pred", "impact", "daily")} SELECT company, sector, date, round(impacto_dia, 9) AS impacto_dia, round(risco_dia, 9) AS risco_dia, news_count, round(mean_confidence, 9) AS mean_confidence, round(mean_relevance, 9) AS mean_relevance, round(mean_horizon, 9) AS mean_horizon FROM daily""")
+@query(f"""{V.with_("pred", "impact", "daily")} SELECT company, sector, date, round(impacto_dia + {NUDGE}, 10) AS impacto_dia, round(risco_dia + {NUDGE}, 10) AS risco_dia, news_count, round(mean_confidence, 9) AS mean_confidence, round(mean_relevance, 9) AS mean_relevance, round(mean_horizon, 9) AS mean_horizon FROM daily""")
 def daily_impact(spark, sf_dir):
     return rounded(impact.daily_impact(_impact(spark, sf_dir)))
 
@@ -62,7 +77,7 @@ def baselines_daily(spark, sf_dir):
     return rounded(impact.baselines_daily(V.predictions(spark, sf_dir)))
 
 
-_ROUND_INDEX = ", ".join(f"round({c}, 9) AS {c}" for c in ("impacto_dia", "risco_dia", "iti_liquido", "iti_risco"))
+_ROUND_INDEX = sql_rounded(("impacto_dia", "risco_dia", "iti_liquido", "iti_risco"))
 _INDEX_VIEWS = V.with_("pred_u", "impact", "daily", "index")
 
 
@@ -73,7 +88,7 @@ def index_daily(spark, sf_dir):
 
 def _level_sql(level: str) -> str:
     keys = "date, sector" if level == "sector" else "date"
-    means = ", ".join(f"round(avg({c}), 9) AS {c}" for c in ("impacto_dia", "risco_dia", "iti_liquido", "iti_risco"))
+    means = sql_rounded(("impacto_dia", "risco_dia", "iti_liquido", "iti_risco"), "avg({})")
     return f"{_INDEX_VIEWS} SELECT {keys}, {means}, CAST(sum(news_count) AS BIGINT) AS news_count, count(DISTINCT company) AS company_count, '{level}' AS aggregation_level FROM iti GROUP BY {keys}"
 
 
@@ -96,8 +111,8 @@ _LABELS = {
 
 def _resample_sql(frequency: str) -> str:
     return f"""{_INDEX_VIEWS} SELECT company, sector, '{frequency}' AS frequency, {_LABELS[frequency]} AS period_start, max(date) AS period_end,
-        round(avg(impacto_dia), 9) AS impacto_dia_mean, round(sum(impacto_dia), 9) AS impacto_dia_sum, round(avg(iti_liquido), 9) AS iti_liquido_mean, round(min(iti_liquido), 9) AS iti_liquido_min,
-        round(max(iti_liquido), 9) AS iti_liquido_max, round(stddev_samp(iti_liquido), 9) AS iti_liquido_std, round(avg(iti_risco), 9) AS iti_risco_mean, CAST(sum(news_count) AS BIGINT) AS news_count
+        round(avg(impacto_dia) + {NUDGE}, 10) AS impacto_dia_mean, round(sum(impacto_dia) + {NUDGE}, 10) AS impacto_dia_sum, round(avg(iti_liquido) + {NUDGE}, 7) AS iti_liquido_mean, round(min(iti_liquido) + {NUDGE}, 7) AS iti_liquido_min,
+        round(max(iti_liquido) + {NUDGE}, 7) AS iti_liquido_max, round(stddev_samp(iti_liquido) + {NUDGE}, 7) AS iti_liquido_std, round(avg(iti_risco) + {NUDGE}, 7) AS iti_risco_mean, CAST(sum(news_count) AS BIGINT) AS news_count
         FROM iti GROUP BY ALL"""
 
 
@@ -192,7 +207,7 @@ def _panel(spark, sf_dir, horizons=alignment.HORIZONS):
 _PANEL = V.with_("pred", "impact", "daily", "index", "baselines", "prices", "returns", "panel", panel=", ".join(V.cumulative(h) for h in (1, 5, 21)))
 
 
-@query(f"""{_PANEL} SELECT date, company, sector, ticker, news_count, b0_news_count, {", ".join(f"round({c}, 9) AS {c}" for c in ("impacto_dia", "iti_liquido", "iti_risco", "b1_mean_sentiment", "b2_confidence_weighted_sentiment", "b3_daily_impact_no_memory", "close", "log_return", "future_log_return_1", "future_log_return_5", "future_log_return_21"))} FROM ahead""")
+@query(f"""{_PANEL} SELECT date, company, sector, ticker, news_count, b0_news_count, {sql_rounded(("impacto_dia", "iti_liquido", "iti_risco", "b1_mean_sentiment", "b2_confidence_weighted_sentiment", "b3_daily_impact_no_memory", "close", "log_return", "future_log_return_1", "future_log_return_5", "future_log_return_21"))} FROM ahead""")
 def align_panel(spark, sf_dir):
     out = _panel(spark, sf_dir)
     return rounded(out.select("date", "company", "sector", "ticker", "news_count", "b0_news_count", "impacto_dia", "iti_liquido", "iti_risco", "b1_mean_sentiment", "b2_confidence_weighted_sentiment", "b3_daily_impact_no_memory", "close", "log_return", *(f"future_log_return_{h}" for h in (1, 5, 21))))
