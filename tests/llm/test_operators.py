@@ -395,7 +395,7 @@ def test_equal_texts_lie_together(spark):
 # ---- SQL and the pipeline ----
 
 
-@pytest.mark.parametrize("name", ["op1_exact_topk", "op2_warc", "op3_chat_formatting", "op5_source_mixing"])
+@pytest.mark.parametrize("name", ["op1_exact_topk", "op2_warc", "op3_chat_formatting", "op5_source_mixing", "op7_minhash_dedup"])
 def test_query_equals_its_sql(spark, sf, duck, name):
     from tidemark.llm import queries
 

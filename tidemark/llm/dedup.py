@@ -292,3 +292,22 @@ def keep_one(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> Dat
 def op7_minhash_dedup(spark, sf_dir: str) -> DataFrame:
     """All documents, sets of 4-word shingles, linked from a similarity of 0.8."""
     return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"), words=4)
+
+
+# All pairs that share a shingle: for small tables only.
+ORACLE_SQL = {
+    "op7_minhash_dedup": r"""
+        WITH RECURSIVE t AS (
+            SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+        s AS (
+            SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 4 THEN [array_to_string(w, ' ')]
+                ELSE list_distinct(list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i : i + 3], ' '))) END AS g FROM t),
+        n AS (SELECT doc_id, CAST(len(g) AS BIGINT) AS n FROM s),
+        u AS (SELECT doc_id, unnest(g) AS x FROM s),
+        p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS i FROM u a JOIN u b ON a.x = b.x AND a.doc_id < b.doc_id GROUP BY ALL),
+        links AS (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * i >= 80 * (x.n + y.n - i)),
+        both_ways AS (SELECT a, b FROM links UNION SELECT b, a FROM links),
+        reach(doc_id, r) AS (SELECT doc_id, doc_id FROM n UNION SELECT reach.doc_id, both_ways.b FROM reach JOIN both_ways ON reach.r = both_ways.a)
+        SELECT n.doc_id, any_value(n.n) AS n_shingles, min(r) AS component_id, n.doc_id = min(r) AS kept FROM n JOIN reach ON reach.doc_id = n.doc_id GROUP BY n.doc_id
+    """,
+}

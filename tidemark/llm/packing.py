@@ -36,7 +36,7 @@ CAPACITY = 1024
 SALTS = 64
 
 #: Texts of these characters alone are split alike by both tokenizer libraries, whatever their Unicode version.
-_COMMON = r"[\t\n\r -~ -ɏ‐-‧‰-⁞€]*"
+_COMMON = "[\\t\\n\\r -~\\u00a0-\\u024f\\u2010-\\u2027\\u2030-\\u205e\\u20ac]*"
 
 
 @lru_cache(maxsize=4)
