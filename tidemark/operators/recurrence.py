@@ -60,14 +60,14 @@ def index_daily(daily: DataFrame, alpha: float = 0.85, initial: float = 0.0, mod
     rows = rows.withColumn("L", F.sum("la").over(within))
     for x in ("i", "r"):
         rows = rows.withColumn(f"y{x}", F.exp("L") * F.sum(F.col(f"b{x}") * F.exp(-F.col("L"))).over(within))
-    # A block's last values, chained over the blocks before: a row per 130 days.
-    ends = rows.groupBy(*keys, "g").agg(*(F.max_by(c, "date").alias(f"end_{c}") for c in ("L", "yi", "yr")))
-    before = Window.partitionBy(*keys).orderBy("g").rowsBetween(Window.unboundedPreceding, -1)
-    chain = lambda y: F.aggregate(F.collect_list(F.struct(F.col("end_L").alias("l"), F.col(f"end_{y}").alias("y"))).over(before), F.lit(float(initial)), lambda acc, e: e["y"] + F.exp(e["l"]) * acc)
-    carried = ends.select(*keys, "g", chain("yi").alias("ci"), chain("yr").alias("cr"))
-    renamed = carried.withColumnsRenamed({k: f"__{k}" for k in (*keys, "g")})
-    same = [F.col(k).eqNullSafe(F.col(f"__{k}")) for k in (*keys, "g")]
-    return rows.join(renamed, same).select(
+    # The last values of the blocks before a row's own: one entry per 130 days, so most lists are empty. Every window has
+    # the series as its partition, so the whole recurrence needs one shuffle.
+    order = Window.partitionBy(*keys).orderBy("date")
+    rows = rows.withColumn("ends", F.coalesce(F.lead("g").over(order) != F.col("g"), F.lit(True)))
+    entry = F.when(F.col("ends"), F.struct(F.col("L").alias("l"), "yi", "yr"))
+    rows = rows.withColumn("before", F.collect_list(entry).over(order.rowsBetween(Window.unboundedPreceding, -1)))
+    carry = lambda y: F.aggregate("before", F.lit(float(initial)), lambda acc, e: e[y] + F.exp(e["l"]) * acc)
+    return rows.select(
         *by,
         "date",
         "company",
@@ -75,6 +75,6 @@ def index_daily(daily: DataFrame, alpha: float = 0.85, initial: float = 0.0, mod
         "impacto_dia",
         "risco_dia",
         "news_count",
-        (F.col("yi") + F.exp("L") * F.col("ci")).alias("iti_liquido"),
-        (F.col("yr") + F.exp("L") * F.col("cr")).alias("iti_risco"),
+        (F.col("yi") + F.exp("L") * carry("yi")).alias("iti_liquido"),
+        (F.col("yr") + F.exp("L") * carry("yr")).alias("iti_risco"),
     )
