@@ -231,9 +231,11 @@ def components(edges: DataFrame) -> DataFrame:
             return state.select(F.col("a").alias("node"), F.col("b").alias("component"))
         seen = now
         both = state.union(state.select("b", "a"))
-        lowest = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
+        # Written down, so that the edges of a node with very many can be split in the join.
+        lowest = written(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m")), "dedup-lowest")
         large = both.join(lowest, "a").where(F.col("b") > F.col("a")).select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
-        down = large.groupBy("a").agg(F.min("b").alias("m"))
+        large = written(large, "dedup-large")
+        down = written(large.groupBy("a").agg(F.min("b").alias("m")), "dedup-down")
         small = large.join(down, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").union(down.select("a", "m")).distinct()
         state = written(small, "dedup-stars")
 
