@@ -493,3 +493,95 @@ def collection_budget(spark, sf_dir):
     """Hits that a collector looks at before its budget or its run of misses ends."""
     e = V.table(spark, sf_dir, "events").select(F.col("event_type").alias("site"), F.col("event_id").alias("position"), (F.col("value") > 60).alias("accepted"))
     return corpus.within_budget(e).select("site", "position", "accepted")
+
+
+@query(f"WITH p AS (SELECT page_id, {_URL} AS norm_url FROM pages), seen AS (SELECT norm_url FROM p WHERE page_id % 3 = 0) SELECT page_id, norm_url FROM p WHERE norm_url <> '' AND norm_url NOT IN (SELECT norm_url FROM seen)")
+def unseen_urls(spark, sf_dir):
+    """Anti-join with the URLs seen in earlier runs."""
+    p = V.table(spark, sf_dir, "pages").select("page_id", "url")
+    return corpus.not_seen(p, p.where("page_id % 3 = 0")).select("page_id", "norm_url")
+
+
+@query(f"""SELECT page_id, CASE WHEN page_id % 2 = 0 THEN 'url:' || {_URL} WHEN page_id % 3 = 0 THEN 'id:' || CAST(page_id AS VARCHAR) ELSE 'meta:2024-01-01|site|t ' || CAST(page_id % 5 AS VARCHAR) END AS dedupe_key FROM pages""")
+def dedupe_keys(spark, sf_dir):
+    """Records with a URL, with an id only, and with neither."""
+    p = V.table(spark, sf_dir, "pages")
+    n = F.col("page_id")
+    title = F.concat(F.lit(" T \t"), (n % 5).cast("string"))
+    key = T.dedupe_key(F.when(n % 2 == 0, F.col("url")), F.when(n % 3 == 0, n.cast("string")), F.lit("2024-01-01"), F.lit(" Site "), title)
+    return p.select("page_id", key.alias("dedupe_key"))
+
+
+@query("""SELECT event_id, CASE WHEN event_id % 4 = 3 THEN NULL ELSE CAST(ts AS DATE) END AS day FROM events""")
+def parsed_days(spark, sf_dir):
+    """Days out of three text formats; what is no day is null."""
+    e = V.table(spark, sf_dir, "events")
+    n = F.col("event_id") % 4
+    raw = F.when(n == 0, F.date_format("ts", "yyyy-MM-dd")).when(n == 1, F.date_format("ts", "dd/MM/yyyy")).when(n == 2, F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss")).otherwise("soon")
+    return e.select("event_id", T.parse_day(raw).alias("day"))
+
+
+_STANDARD = """WITH r AS (SELECT *, row_number() OVER (ORDER BY conv_id, turn) AS rn FROM conversations),
+    f AS (SELECT *, DATE '2024-01-01' + CAST(turn AS INTEGER) AS day FROM r),
+    d AS (SELECT *, row_number() OVER (ORDER BY rn) AS row_no FROM f WHERE day BETWEEN DATE '2024-01-02' AND DATE '2024-01-06'),
+    t AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY rn) - 1 AS k FROM d WHERE trim(coalesce(text, '')) <> '')"""
+
+
+@query(f"""{_STANDARD} SELECT CAST(conv_id AS VARCHAR) || CASE WHEN k > 0 THEN '__dup' || CAST(k AS VARCHAR) ELSE '' END AS news_id, trim(text) AS text, CAST(day AS VARCHAR) AS date, role AS company, 'chat' AS source, row_no AS source_row_number,
+    CASE role WHEN 'user' THEN 'POSITIVE' WHEN 'assistant' THEN 'NEUTRAL' ELSE 'NEGATIVE' END AS true_label, CAST(turn AS VARCHAR) AS turn FROM t""")
+def standard_news(spark, sf_dir):
+    """A source table through limit, date filter, mapping, cleaning, id numbering, labels and extra columns."""
+    from ..operators import standardize
+
+    raw = V.table(spark, sf_dir, "conversations").select(*(F.col(c).cast("string").alias(c) for c in ("conv_id", "role", "text", "turn")), F.date_format(F.date_add(F.lit("2024-01-01").cast("date"), F.col("turn").cast("int")), "dd.MM.yyyy").alias("day"), (F.col("conv_id") * 1000 + F.col("turn")).alias("row_id"))
+    d = standardize.Dataset(
+        "d", "D", {"news_id": "conv_id", "text": "text", "date": "day", "company": "role", "true_label": "role"}, constants={"source": "chat"}, date_format="%d.%m.%Y",
+        start_date="2024-01-02", end_date="2024-01-06", label_map={"user": "positive", "assistant": "neutral", "system": "negative"}, labels_available=True, header_rows=0,
+    )
+    return standardize.standardize(raw, d).select("news_id", "text", "date", "company", "source", "source_row_number", "true_label", "turn")
+
+
+@query("""WITH p AS (SELECT vec_id, abs(embedding[1]::DOUBLE) AS a, abs(embedding[2]::DOUBLE) AS b, abs(embedding[3]::DOUBLE) AS c FROM embeddings),
+    q AS (SELECT a / (a + b + c) AS n, b / (a + b + c) AS u, c / (a + b + c) AS p FROM p),
+    l AS (SELECT p - n AS s, greatest(n, u, p) AS c, CASE WHEN n >= u AND n >= p THEN 'NEGATIVE' WHEN u >= p THEN 'NEUTRAL' ELSE 'POSITIVE' END AS label FROM q)
+    SELECT count(*) AS row_count, CAST(count_if(label = 'NEGATIVE') AS BIGINT) AS negative_count, CAST(count_if(label = 'NEUTRAL') AS BIGINT) AS neutral_count, CAST(count_if(label = 'POSITIVE') AS BIGINT) AS positive_count,
+        round(avg(c), 9) AS mean_confidence, round(min(c), 9) AS min_confidence, round(max(c), 9) AS max_confidence, round(avg(s), 9) AS mean_sentiment, round(min(s), 9) AS min_sentiment, round(max(s), 9) AS max_sentiment FROM l""")
+def prediction_statistics(spark, sf_dir):
+    raw = [F.abs(F.get("embedding", F.lit(i)).cast("double")) for i in range(3)]
+    total = raw[0] + raw[1] + raw[2]
+    rows = V.table(spark, sf_dir, "embeddings").select("vec_id", *((r / total).alias(f"prob_{x}") for r, x in zip(raw, ("negative", "neutral", "positive"), strict=True)))
+    return rounded(classification.statistics(predictions.standard_scores(rows)))
+
+
+@query(f"""{V.with_("pred")} SELECT 'company_day' AS aggregation_level, count(*) AS input_rows, 0::BIGINT AS dropped_rows, count(DISTINCT (date, company)) AS output_rows, 'success' AS status FROM pred
+    UNION ALL SELECT 'sector_day', count(*), 0, count(DISTINCT (date, sector)), 'success' FROM pred UNION ALL SELECT 'market_day', count(*), 0, count(DISTINCT date), 'success' FROM pred""")
+def aggregate_summary(spark, sf_dir):
+    p = V.predictions(spark, sf_dir)
+    return aggregates.level_summary(p, aggregates.aggregate_levels(p)).select("aggregation_level", "input_rows", "dropped_rows", "output_rows", "status")
+
+
+@query(f"""{V.with_("pred", "impact", "daily", "index")}, t AS (SELECT DISTINCT CAST(ts AS DATE) AS day, 'C' || CAST(user_id % 10 AS VARCHAR) AS ticker FROM events WHERE isodow(CAST(ts AS DATE)) <= 5)
+    SELECT i.date, i.company, i.sector, min(t.day) AS trading_day FROM iti i LEFT JOIN t ON t.ticker = i.company AND t.day >= i.date GROUP BY i.date, i.company, i.sector""")
+def next_trading_day(spark, sf_dir):
+    """Index rows of weekends on their ticker's next trading day."""
+    p = V.prices(spark, sf_dir).where(F.weekday("date") < 5).select("ticker", "date")
+    index = _index(spark, sf_dir, "C").withColumn("ticker", F.col("company"))
+    return alignment.as_of_next_trading_day(index, p).select("date", "company", "sector", "trading_day")
+
+
+@query(f"{_INDEX_VIEWS} SELECT date, company, sector, news_count, {_ROUND_INDEX} FROM iti")
+def index_stream(spark, sf_dir):
+    """The daily index by the stateful streaming operator; equal to the batch one."""
+    from uuid import uuid4
+
+    from ..session import shared_dir
+    from ..streaming import index as stream
+
+    root = f"{shared_dir(spark)}/stream-{uuid4().hex}"
+    daily = impact.daily_impact(_impact(spark, sf_dir, "U")).select("date", "company", "sector", "impacto_dia", "risco_dia", "news_count", "mean_horizon")
+    daily.write.parquet(f"{root}/in")
+    out = stream.index_stream(spark.readStream.schema(daily.schema).parquet(f"{root}/in"))
+    q = out.writeStream.format("parquet").option("path", f"{root}/out").option("checkpointLocation", f"{root}/state").outputMode("append").trigger(availableNow=True).start()
+    q.awaitTermination()
+    made = spark.read.schema(stream.OUTPUT).parquet(f"{root}/out").where("not late").drop("late")
+    return rounded(made)

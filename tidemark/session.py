@@ -38,3 +38,9 @@ def ship(spark: SparkSession) -> SparkSession:
     if REPO not in paths:
         env["PYTHONPATH"] = os.pathsep.join([REPO, *paths])
     return spark
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """A folder of this application that driver and executors share: under ``spark.checkpoint.dir``, or local where that is unset."""
+    root = (spark.conf.get("spark.checkpoint.dir", None) or "/tmp/checkpoints").rstrip("/")
+    return f"{root}/{spark.sparkContext.applicationId}"
