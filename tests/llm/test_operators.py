@@ -202,7 +202,7 @@ def test_op6(spark, sf):
 
 
 def test_media_of_hard_payloads(spark):
-    df = docs(spark, HARD).select("doc_id", F.encode("text", "UTF-8").alias("payload"), "shard", F.lit(1).alias("width2"))
+    df = docs(spark, HARD).select("doc_id", F.encode("text", "UTF-8").alias("payload"), "shard", F.lit(1).alias("width"), F.lit("x").alias("media"))
     out = media.media_features(media.encode_media(df))
     rows = {r.doc_id: r for r in out.collect()}
     for i, t in enumerate(HARD):
@@ -340,7 +340,7 @@ def test_op9_holds_out_and_is_accurate(spark):
 def test_quality_of_hard_texts(spark):
     df = docs(spark, HARD)
     labels = spark.createDataFrame([(i, i % 2) for i in range(12)] + [(None, 1), (2, None), (3, 5), (77, 1)], "doc_id long, quality int")
-    out = quality.score(df.drop("score"), quality.train(df, labels))
+    out = quality.score(df, quality.train(df, labels))
     assert out.count() == len(HARD) and out.where("score is null or score < 0 or score > 1").count() == 0
     none = quality.score(df.drop("score"), quality.train(df, labels.limit(0)))
     assert {r.score for r in none.collect()} == {0.5}

@@ -8,6 +8,7 @@ from collections.abc import Callable, Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 #: Used only where the session names no shared folder (tests on one machine).
 LOCAL_SCRATCH = "/tmp/checkpoints"
@@ -47,7 +48,14 @@ def sized(ids: DataFrame) -> DataFrame:
     return F.broadcast(ids) if ids.count() <= BROADCAST_ROWS else ids.hint("merge")
 
 
-def map_arrow(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+def with_fields(df: DataFrame, added: str) -> tuple[list[str], StructType]:
+    """The columns of ``df`` that stay beside the added ones (which replace columns of their names), and the schema of both."""
+    new = StructType.fromDDL(added)
+    kept = [f for f in df.schema.fields if f.name not in new.names]
+    return [f.name for f in kept], StructType([*kept, *new.fields])
+
+
+def map_arrow(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str | StructType) -> DataFrame:
     """``mapInArrow`` with batches bounded in bytes, so that a run of very long rows does not fill a worker."""
     conf = df.sparkSession.conf
     conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")

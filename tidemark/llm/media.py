@@ -10,7 +10,8 @@ subsampled chroma included; those are skipped over, since the thumbnail needs lu
 
 Defined results: a null or empty payload becomes 64 zero bytes; other payloads are padded with zero bytes to a
 multiple of 64; a payload beyond the size of one image goes on in further images, one after the other. Bytes that are
-no baseline JPEG give null dimensions, samples and hash. Extra columns pass through; an empty table gives no rows.
+no baseline JPEG give null dimensions, samples and hash. Extra columns pass through, but for those of the added names; an empty table
+gives no rows.
 """
 
 from __future__ import annotations
@@ -23,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_arrow
+from .common import map_arrow, with_fields
 
 #: Blocks in a row of the images written: the bytes of a restart interval.
 ROW = 64
@@ -394,29 +395,30 @@ def read_images(media: list[bytes | None]) -> list[tuple]:
 
 def encode_media(df: DataFrame, payload_column: str = "payload", media_column: str = "media") -> DataFrame:
     """Adds the JPEG of a binary column; the payload itself goes."""
-    keep = [c for c in df.columns if c != payload_column]
+    keep, schema = with_fields(df.drop(payload_column), f"`{media_column}` binary")
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             media = pa.array([encode_jpeg(x.as_py() or b"") for x in b.column(payload_column)], pa.binary())
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in keep), media], [*keep, media_column])
 
-    fields = ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in keep)
-    return map_arrow(df, encode, f"{fields}, `{media_column}` binary" if keep else f"`{media_column}` binary")
+    return map_arrow(df, encode, schema)
+
+
+_FEATURES = {"width": pa.int32(), "height": pa.int32(), "samples": pa.binary(), "thumb_hash": pa.string()}
 
 
 def media_features(df: DataFrame, media_column: str = "media") -> DataFrame:
     """Reads the stored images: width, height, samples of the thumbnail and its hash beside the other columns."""
-    keep = list(df.columns)
+    keep, schema = with_fields(df, "width int, height int, samples binary, thumb_hash string")
 
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            out = zip(*read_images(b.column(media_column).to_pylist()), strict=True) if b.num_rows else [()] * 4
-            types = (pa.int32(), pa.int32(), pa.binary(), pa.string())
-            yield pa.RecordBatch.from_arrays([*b.columns, *(pa.array(v, t) for v, t in zip(out, types, strict=True))], [*keep, "width", "height", "samples", "thumb_hash"])
+            out = zip(*read_images(b.column(media_column).to_pylist()), strict=True) if b.num_rows else [()] * len(_FEATURES)
+            made = [pa.array(v, t) for v, t in zip(out, _FEATURES.values(), strict=True)]
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in keep), *made], [*keep, *_FEATURES])
 
-    fields = ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in keep)
-    return map_arrow(df, decode, f"{fields}, width int, height int, samples binary, thumb_hash string")
+    return map_arrow(df, decode, schema)
 
 
 def op6_media_columns(spark, sf_dir: str) -> DataFrame:

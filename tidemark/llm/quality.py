@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_arrow
+from .common import map_arrow, with_fields
 
 #: Labelled rows to fit on, at most.
 FIT_ROWS = 20_000
@@ -164,18 +164,17 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> Forest:
 
 
 def score(docs: DataFrame, forest: Forest, text_column: str = "text", column: str = "score") -> DataFrame:
-    """Adds the score of the whole text; all columns stay."""
+    """Adds the score of the whole text; all columns stay, but for one of the score's name."""
     model = docs.sparkSession.sparkContext.broadcast(forest)  # a fixed number of small trees
-    names = list(docs.columns)
+    keep, schema = with_fields(docs, f"`{column}` double")
     tmp = "__quality_text"
 
     def rate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             x = np.array([statistics(t.as_py()) for t in b.column(tmp)]).reshape(-1, len(FEATURES))
-            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(model.value.scores(x), pa.float64())], [*names, column])
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in keep), pa.array(model.value.scores(x), pa.float64())], [*keep, column])
 
-    fields = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in names)
-    return map_arrow(docs.withColumn(tmp, F.col(text_column).cast("string")), rate, f"{fields}, `{column}` double")
+    return map_arrow(docs.withColumn(tmp, F.col(text_column).cast("string")), rate, schema)
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = 0.5) -> DataFrame:
