@@ -62,7 +62,7 @@ class _WordHash(dict):
     def __missing__(self, word: bytes) -> int:
         import xxhash
 
-        if len(self) >= 300_000:
+        if len(self) >= 100_000:
             self.clear()
         self[word] = out = xxhash.xxh3_64_intdigest(word)
         return out

@@ -58,10 +58,12 @@ def encoder(path: str):
     """
     import re
 
-    slow = _tokenizer(path)
+    def slow(text: str) -> list[int]:
+        return _tokenizer(path).encode(text, add_special_tokens=False).ids  # loaded when it is first needed
+
     ranks_path = path.removesuffix(".json") + ".tiktoken"
     if not os.path.exists(ranks_path):
-        return lambda text: slow.encode(text, add_special_tokens=False).ids
+        return slow
     import base64
 
     import tiktoken
@@ -71,7 +73,7 @@ def encoder(path: str):
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
     fast = tiktoken.Encoding("ranks", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
     common = re.compile(_COMMON).fullmatch
-    return lambda text: fast.encode_ordinary(text) if common(text) else slow.encode(text, add_special_tokens=False).ids
+    return lambda text: fast.encode_ordinary(text) if common(text) else slow(text)
 
 
 def default_tokenizer_path() -> str:
