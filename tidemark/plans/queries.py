@@ -512,13 +512,13 @@ def dedupe_keys(spark, sf_dir):
     return p.select("page_id", key.alias("dedupe_key"))
 
 
-@query("""SELECT event_id, CASE WHEN event_id % 4 = 3 THEN NULL ELSE CAST(ts AS DATE) END AS day FROM events""")
+@query("""SELECT event_id, CASE WHEN event_id % 4 <> 3 THEN CAST(CAST(ts AS DATE) AS VARCHAR) END AS day FROM events""")
 def parsed_days(spark, sf_dir):
     """Days out of three text formats; what is no day is null."""
     e = V.table(spark, sf_dir, "events")
     n = F.col("event_id") % 4
     raw = F.when(n == 0, F.date_format("ts", "yyyy-MM-dd")).when(n == 1, F.date_format("ts", "dd/MM/yyyy")).when(n == 2, F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss")).otherwise("soon")
-    return e.select("event_id", T.parse_day(raw).alias("day"))
+    return e.select("event_id", F.date_format(T.parse_day(raw), "yyyy-MM-dd").alias("day"))
 
 
 _STANDARD = """WITH r AS (SELECT *, row_number() OVER (ORDER BY conv_id, turn) AS rn FROM conversations),
