@@ -6,6 +6,7 @@ import json
 import os
 import zlib
 from collections import Counter, defaultdict
+from math import comb
 
 import numpy as np
 import pytest
@@ -275,6 +276,24 @@ def test_components_against_brute_force(spark, groups, copies, words, seed):
     assert got == brute_components(rows, 4)
 
 
+@pytest.mark.parametrize(("words", "apart"), [("w1346 w2696 w1000 w2928 w2159", 33), ("w809 w2313 w577 w2889 w1327", 31), ("w2641 w1392 w220 w1865 w2762", 31)])
+def test_dedup_keeps_links_that_are_estimated_low(spark, words, apart):
+    """Four of five words are shared, so the pair is at the threshold; its packed bits differ more than usual."""
+    texts = [words.rsplit(" ", 1)[0], words]
+    x = np.bitwise_xor(*(dedup.packed(dedup.minima(dedup.sets_of(t, 1))) for t in texts)).view(np.uint64)
+    assert sum(bin(int(v | (v >> np.uint64(1))) & 0x5555555555555555).count("1") for v in x) == apart
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert {r.component_id for r in dedup.near_duplicates(df, 1).collect()} == {0}
+
+
+def test_odds_of_losing_a_link_at_the_threshold():
+    fields = dedup.BANDS * dedup.ROWS
+    differ = (1 - dedup.PERCENT / 100) * (1 - 0.5**dedup.BITS)
+    lost = sum(comb(fields, d) * differ**d * (1 - differ) ** (fields - d) for d in range(fields + 1) if ((1 - d / fields) - 0.25) / 0.75 < dedup.LEAST_ESTIMATE)
+    assert lost == pytest.approx(1.6e-8, rel=0.01)
+    assert (1 - (dedup.PERCENT / 100) ** dedup.ROWS) ** dedup.BANDS == pytest.approx(3.2e-6, rel=0.01)
+
+
 def test_dedup_of_hard_texts(spark):
     df = docs(spark, [*HARD, *HARD], [*range(11), None, *range(100, 110), 3, 104])
     got = sorted(rows_of(dedup.near_duplicates(df, 4), "doc_id", "n_shingles", "component_id", "kept"), key=str)

@@ -2,8 +2,8 @@
 
 Each document's set of word shingles gives 96 minima. Bands of 4 whole minima make candidates; of each minimum the low
 2 bits are kept and packed, and the similarity of a candidate pair is estimated from the bits that differ, corrected
-for chance agreement. Pairs whose estimate is far too low (by six standard deviations and more) go; the others are
-confirmed on the full sets.
+for chance agreement. Pairs whose estimate is far too low (under ``LEAST_ESTIMATE``) go; the others are confirmed on
+the full sets.
 
 No group is ever paired with itself:
 
@@ -20,7 +20,8 @@ No group is ever paired with itself:
 Defined results: words and shingles as in ``sets_of``; a text without words has an empty set and is linked with
 nothing; a null doc_id takes no part (its component is null and it stays); of rows that share a doc_id each is judged
 by its own text, and ``keep_one`` leaves one of them if any stays; an empty table gives no rows; extra columns are
-ignored, or pass through ``keep_one``. A pair at the threshold shares no band with a chance of 3 in a million.
+ignored, or pass through ``keep_one``. A pair at the threshold shares no band with a chance of 3.2e-6, and is
+estimated too low with one of 1.6e-8 (binomial: 37 or more of 96 fields differ, each with a chance of 0.15).
 """
 
 from __future__ import annotations
@@ -36,9 +37,9 @@ from .common import map_arrow, sized, written
 
 BANDS, ROWS, BITS = 24, 4, 2
 WORDS, PERCENT = 5, 80
-#: Estimated similarity below which a pair is not confirmed on the full sets: 4.5 standard deviations under the threshold,
-#: as unlikely for a pair at the threshold as to share no band.
-LEAST_ESTIMATE = 0.58
+#: Estimated similarity below which a pair is not confirmed on the full sets. A pair at the threshold is lost by it with a
+#: chance of 1.6e-8, a two-hundredth of that to share no band; 0.58 would lose 1.7e-5.
+LEAST_ESTIMATE = 0.50
 #: A shingle that at most so many of the documents looked at have is rare; the rare ones are paired through it.
 RARE = 32
 
