@@ -51,6 +51,18 @@ def test_tokenizers_agree_on_any_text(text):
     assert packing.encoder(path)(text) == packing._tokenizer(path).encode(text, add_special_tokens=False).ids
 
 
+@pytest.mark.parametrize("text", ["a <|endoftext|> b", "<|endoftext|>", "x\n<|endoftext|><|endoftext|>", "é 日本 <|endoftext|>", "<|endoftext| > it", "plain"])
+def test_ids_are_those_of_the_unaltered_file(text):
+    from tokenizers import Tokenizer
+
+    path = packing.default_tokenizer_path()
+    assert packing.encoder(path)(text) == Tokenizer.from_file(path).encode(text, add_special_tokens=False).ids
+
+
+def test_added_tokens_are_found_in_texts():
+    assert packing.encoder(packing.default_tokenizer_path())("a <|endoftext|> b") == [64, 220, 50256, 275]
+
+
 # ---- media ----
 
 

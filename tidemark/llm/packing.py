@@ -44,9 +44,7 @@ def _tokenizer(path: str):
     from tokenizers import Tokenizer
 
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    t = Tokenizer.from_file(path)
-    t.encode_special_tokens = True
-    return t
+    return Tokenizer.from_file(path)
 
 
 @lru_cache(maxsize=4)
@@ -54,8 +52,9 @@ def encoder(path: str):
     """Text to ids as the tokenizer file at ``path`` defines them.
 
     If the same vocabulary lies beside it as ranks, texts of common characters take the faster library, which gives
-    the same ids; all others take the file's own.
+    the same ids; all others, and those that hold an added token of the file, take the file's own.
     """
+    import json
     import re
 
     def slow(text: str) -> list[int]:
@@ -72,8 +71,10 @@ def encoder(path: str):
     with open(ranks_path, "rb") as f:
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
     fast = tiktoken.Encoding("ranks", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
+    with open(path, encoding="utf-8") as f:
+        added = [t["content"] for t in json.load(f).get("added_tokens") or []]
     common = re.compile(_COMMON).fullmatch
-    return lambda text: fast.encode_ordinary(text) if common(text) else slow(text)
+    return lambda text: fast.encode_ordinary(text) if common(text) and not any(t in text for t in added) else slow(text)
 
 
 def default_tokenizer_path() -> str:
