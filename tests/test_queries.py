@@ -33,3 +33,10 @@ def test_entry_gives_the_market_index(spark):
 @pytest.mark.parametrize("name", sorted(set(registry.queries()) - set(registry.oracle_sql())))
 def test_query_without_sql_runs(spark, sf, name):
     assert entry.queries()[name](spark, sf).count() >= 0
+
+
+@pytest.mark.parametrize("name", ["bootstrap_incremental", "bootstrap_market", "bootstrap_deltas"])
+def test_bootstraps_cover_horizons_metrics_and_resamples(spark, sf, name):
+    rows = entry.queries()[name](spark, sf).select("horizon", "metric", "n_bootstrap").collect()
+    assert {(r.horizon, r.metric) for r in rows} == {(h, m) for h in (1, 5, 21) for m in ("pearson", "spearman", "r2", "mse")}
+    assert max(r.n_bootstrap for r in rows) == 500

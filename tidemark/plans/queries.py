@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions import dimensions, scores
 from ..functions import text as T
-from ..operators import aggregates, alignment, bootstrap, classification, corpus, impact, levels, market, metrics, predictions, recurrence, uncertainty, validation
+from ..operators import aggregates, alignment, classification, corpus, impact, levels, market, metrics, predictions, recurrence, uncertainty, validation
 from ..sources import pages as P
 from . import views as V
 
@@ -265,26 +265,23 @@ def metric_deltas(spark, sf_dir):
     return own.join(base, ["horizon", "metric", "target_mode"]).select("horizon", "iti_predictor", "baseline", "metric", F.round(F.col("v") - F.col("w"), 5).alias("delta"))
 
 
-_BOOT = bootstrap.Inference(n_bootstrap=100)
-
-
 @query()
 def bootstrap_incremental(spark, sf_dir):
     """Values, p-values and intervals; checked against numpy in the tests."""
-    panel = _panel(spark, sf_dir, (1,)).withColumns({"model_key": F.lit("m"), "dataset_key": F.lit("d")})
-    return validation.incremental(panel, validation.Validation(horizons=(1,), inference=_BOOT))
+    panel = _panel(spark, sf_dir).withColumns({"model_key": F.lit("m"), "dataset_key": F.lit("d")})
+    return validation.incremental(panel, validation.Validation())
 
 
 @query()
 def bootstrap_market(spark, sf_dir):
-    panel = _panel(spark, sf_dir, (1,)).withColumns({"model_key": F.lit("m"), "dataset_key": F.lit("d")})
-    return validation.market(panel, validation.Validation(horizons=(1,), metrics=("pearson", "mse"), inference=_BOOT))
+    panel = _panel(spark, sf_dir).withColumns({"model_key": F.lit("m"), "dataset_key": F.lit("d")})
+    return validation.market(panel, validation.Validation())
 
 
 @query()
 def bootstrap_deltas(spark, sf_dir):
-    v = validation.Validation(horizons=(1,), metrics=("pearson", "mse"), inference=_BOOT)
-    panel = _panel(spark, sf_dir, (1,)).withColumns({"model_key": F.lit("m"), "dataset_key": F.lit("d")})
+    v = validation.Validation()
+    panel = _panel(spark, sf_dir).withColumns({"model_key": F.lit("m"), "dataset_key": F.lit("d")})
     return validation.deltas(panel, validation.incremental(panel, v), v)
 
 
