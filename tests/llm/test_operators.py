@@ -110,8 +110,9 @@ def test_chat_parts(spark):
 
 def check_packing(rows, texts, capacity):
     """Pieces tile their documents, sequences hold them without gaps or overlaps."""
-    path = packing.default_tokenizer_path()
-    encode = packing._tokenizer(path)
+    from tokenizers import Tokenizer
+
+    encode = Tokenizer.from_file(packing.default_tokenizer_path())
     want = Counter()
     for doc, t in texts:
         ids = np.array([*encode.encode(t or "", add_special_tokens=False).ids, 2], "<u4")
@@ -132,13 +133,16 @@ def check_packing(rows, texts, capacity):
     return len(sequences)
 
 
-def test_packing_of_hard_texts(spark):
+def test_packing_of_hard_texts(spark, monkeypatch):
     texts = [*HARD, "same text here " * 40] * 3
     df = docs(spark, texts, [None if i == 4 else i // 2 for i in range(len(texts))])
+    monkeypatch.setattr(packing, "PART_ROWS", 3)
     rows = packing.pack_documents(df, capacity=64).collect()
     n = check_packing(rows, [(None if i == 4 else i // 2, t) for i, t in enumerate(texts)], 64)
     assert n <= -(-sum(r.length for r in rows) // 64) + 3
     assert packing.pack_documents(df.limit(0)).count() == 0
+    clash = packing.pieces(df.limit(4)).withColumns({c: F.lit(-5) for c in ("salt", "k", "before", "rank", "place", "sequence_id", "parts")})
+    assert {(r.salt, r.k, r.before, r["rank"], r.place, r.parts) for r in packing.pack(clash).collect()} == {(-5,) * 6}
     kept = packing.pieces(df.limit(4), keep_ids=True).collect()
     assert all(len(r.ids) == r.length and r.ids[-1] == 2 for r in kept)
 

@@ -1,6 +1,7 @@
 """The parts that work within a task, against brute force, without Spark."""
 
 import hashlib
+import itertools
 import os
 import random
 import zlib
@@ -38,29 +39,53 @@ def test_plan_finds_exact_complements():
     assert packing.plan({}, 1024) == []
 
 
-@pytest.mark.parametrize("text", ["", "a", "Hello world!! it's   fine\n\n\tx", "naïve café — “quotes” €5", "日本語 text ﷺ 🙂🙂", "x" * 3000, "<|endoftext|> it", "\x00\x1c\x85 a", "ǅ ǆ ŉ ͅ", " \n  \n"])
-def test_both_tokenizers_agree(text):
-    path = packing.default_tokenizer_path()
-    assert packing.encoder(path)(text) == packing._tokenizer(path).encode(text, add_special_tokens=False).ids
+def file_ids(text):
+    """Ids by the library and the unaltered file."""
+    from tokenizers import Tokenizer
 
+    return Tokenizer.from_file(packing.default_tokenizer_path()).encode(text, add_special_tokens=False).ids
 
-@settings(max_examples=150, deadline=None)
-@given(st.text(max_size=80))
-def test_tokenizers_agree_on_any_text(text):
-    path = packing.default_tokenizer_path()
-    assert packing.encoder(path)(text) == packing._tokenizer(path).encode(text, add_special_tokens=False).ids
+
+def own_ids(*texts):
+    return list(packing.encoder(packing.default_tokenizer_path())(list(texts)))
+
+
+TEXTS = ["", "a", "Hello world!! it's   fine\n\n\tx", "naïve café — “quotes” €5", "日本語 text ﷺ 🙂🙂", "x" * 3000, "<|endoftext|> it", "\x00\x1c\x85 a", "ǅ ǆ ŉ ͅ", " \n  \n", "don't 'LL 'll 12ab_3 __ \t\n x"]
+TEXTS += ["a <|endoftext|> b", "<|endoftext|>", "x\n<|endoftext|><|endoftext|>", "é 日本 <|endoftext|>", "<|endoftext| > it", "plain"]
 
 
-@pytest.mark.parametrize("text", ["a <|endoftext|> b", "<|endoftext|>", "x\n<|endoftext|><|endoftext|>", "é 日本 <|endoftext|>", "<|endoftext| > it", "plain"])
+@pytest.mark.parametrize("text", TEXTS)
 def test_ids_are_those_of_the_unaltered_file(text):
-    from tokenizers import Tokenizer
+    assert own_ids(text) == [file_ids(text)]
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.one_of(st.text(max_size=80), st.text(alphabet="ab'slt 1_\n\té\u00a0", max_size=80)), max_size=3))
+def test_ids_of_any_texts(texts):
+    assert own_ids(*texts) == [file_ids(t) for t in texts]
+
 
-    path = packing.default_tokenizer_path()
-    assert packing.encoder(path)(text) == Tokenizer.from_file(path).encode(text, add_special_tokens=False).ids
+def test_ids_when_words_are_forgotten(monkeypatch):
+    monkeypatch.setattr(packing, "REMEMBERED", 5)
+    monkeypatch.setattr(packing, "GROUP_CHARS", 10)
+    texts = [f"word{i} and word{i % 3} again" for i in range(40)] + TEXTS
+    encode = packing.Encoder(packing.default_tokenizer_path())
+    assert list(encode(texts)) == [file_ids(t) for t in texts]
 
 
 def test_added_tokens_are_found_in_texts():
-    assert packing.encoder(packing.default_tokenizer_path())("a <|endoftext|> b") == [64, 220, 50256, 275]
+    assert own_ids("a <|endoftext|> b") == [[64, 220, 50256, 275]]
+
+
+@settings(max_examples=80, deadline=None)
+@given(st.dictionaries(st.integers(1, 14), st.integers(1, 2), max_size=8), st.integers(2, 30), st.integers(1, 14))
+def test_sums_against_brute_force(counts, total, own):
+    """A pair or triple is found if, and only if, the counts allow one beside a piece of length ``own``."""
+    bag = sorted(x for x, n in counts.items() for _ in range(n - (x == own)))
+    for size, find in ((2, "pairs_of"), (3, "triples_of")):
+        want = {c for c in itertools.combinations(bag, size) if sum(c) == total}
+        got = getattr(packing.SumIndex(dict(counts)), find)(total, own)
+        assert (got is None and not want) or tuple(sorted(got)) in want
 
 
 # ---- media ----

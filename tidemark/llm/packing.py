@@ -3,25 +3,28 @@
 Documents become token pieces of at most ``capacity``; only the number of pieces of each length matters for a
 packing, so it is planned on the histogram of lengths (at most ``capacity`` entries, whatever the corpus size):
 
-1. For each length, longest first, the gap it leaves is looked up among single lengths, then pair sums, then triple
-   sums. A combination that fills the gap exactly is consumed as often as the availability counts allow.
+1. For each length, longest first, the gap it leaves is looked up among single lengths, then in a hash of pair sums,
+   then in one of triple sums (``SumIndex``). A combination that fills the gap exactly is consumed as often as the
+   availability counts allow.
 2. What is left goes best-fit decreasing, again by counts: the fullest kind of open sequence that a length still fits.
 
 The plan is a list of patterns (lengths, times). Pieces are numbered within their length and look up their place.
-A length that a third of all rows share is numbered in salted parts, so no task holds it whole.
+A length that many pieces have is numbered in parts by a hash, so no task holds it whole.
 
 Defined results: a null or empty text is its end token alone; a null doc_id is kept; repeated rows are pieces of their
-own; an empty table gives no rows; extra columns are ignored.
+own; an empty table gives no rows; extra columns are ignored by ``pieces`` and pass through ``pack`` (sequence_id and offset are replaced).
 """
 
 from __future__ import annotations
 
 import os
+import re
 import zlib
 from bisect import bisect_left
 from collections import defaultdict
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -32,10 +35,16 @@ from .common import map_arrow, written
 
 TOKENIZER = "byte_bpe_50k.json"
 CAPACITY = 1024
-#: Parts into which the numbering of one length is split.
-SALTS = 64
+#: The numbering of pieces is split into about so many parts, and a part holds at least ``PART_ROWS`` pieces of one length.
+PARTS, PART_ROWS = 65_536, 256
+_W = "__pack_"  # working columns
+_SALT, _BEFORE, _RANK, _PLACE = f"{_W}salt", f"{_W}before", f"{_W}rank", f"{_W}place"
 
-#: Texts of these characters alone are split alike by both tokenizer libraries, whatever their Unicode version.
+#: Words whose ids a worker remembers, at most; texts are looked at in groups of about so many characters.
+REMEMBERED, GROUP_CHARS = 400_000, 4 << 20
+
+#: The file's rule for words (its byte-level step), for ASCII and for characters that every Unicode version classes alike.
+_WORDS = r"'s|'t|'re|'ve|'m|'ll|'d| ?[A-Za-z]+| ?[0-9]+| ?[^\sA-Za-z0-9]+|\s+(?!\S)|\s+"
 _COMMON = "[\\t\\n\\r -~\\u00a0-\\u024f\\u2010-\\u2027\\u2030-\\u205e\\u20ac]*"
 
 
@@ -47,34 +56,61 @@ def _tokenizer(path: str):
     return Tokenizer.from_file(path)
 
 
-@lru_cache(maxsize=4)
-def encoder(path: str):
-    """Text to ids as the tokenizer file at ``path`` defines them.
+class Encoder:
+    """Texts to ids as ``tokenizers`` gives them for the file at ``path``, without special tokens of its own.
 
-    If the same vocabulary lies beside it as ranks, texts of common characters take the faster library, which gives
-    the same ids; all others, and those that hold an added token of the file, take the file's own.
+    That library's merges never cross words, so it is asked for each distinct word once and the ids are remembered.
+    Texts with other than common characters, or that hold an added token of the file, are given to it whole, and so is
+    every text if the file's steps are not a plain byte-level split.
     """
-    import json
-    import re
-
-    def slow(text: str) -> list[int]:
-        return _tokenizer(path).encode(text, add_special_tokens=False).ids  # loaded when it is first needed
 
-    ranks_path = path.removesuffix(".json") + ".tiktoken"
-    if not os.path.exists(ranks_path):
-        return slow
-    import base64
+    def __init__(self, path: str):
+        import json
+
+        import regex
+        from public_tokenizers import PATTERN
+
+        with open(path, encoding="utf-8") as f:
+            steps = json.load(f)
+        step = steps.get("pre_tokenizer") or {}
+        self.by_word = (step.get("type"), step.get("add_prefix_space"), step.get("use_regex")) == ("ByteLevel", False, True) and not steps.get("normalizer")
+        self.tokenizer, self.known = _tokenizer(path), {}
+        self.added = [t["content"] for t in steps.get("added_tokens") or []]
+        self.ascii, self.any, self.common = re.compile(_WORDS, re.ASCII).findall, regex.compile(PATTERN).findall, re.compile(_COMMON).fullmatch
+
+    def _ids(self, texts: list[str]) -> list[list[int]]:
+        return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def __call__(self, texts: list[str]) -> Iterator[list[int]]:
+        group, chars = [], 0
+        for text in texts:
+            group.append(text)
+            chars += len(text)
+            if chars >= GROUP_CHARS:
+                yield from self._group(group)
+                group, chars = [], 0
+        yield from self._group(group)
+
+    def _group(self, texts: list[str]) -> Iterator[list[int]]:
+        words = [self._words(t) for t in texts]
+        distinct = set(chain.from_iterable(w for w in words if w))
+        new = [w for w in distinct if w not in self.known]
+        if len(self.known) + len(new) > REMEMBERED:
+            self.known = {w: self.known[w] for w in distinct if w in self.known}
+        self.known.update(zip(new, self._ids(new), strict=True))
+        ids = self.known.__getitem__
+        for text, own in zip(texts, words, strict=True):
+            yield self._ids([text])[0] if own is None else list(chain.from_iterable(map(ids, own)))
+
+    def _words(self, text: str) -> list[str] | None:
+        if not self.by_word or any(t in text for t in self.added) or not self.common(text):
+            return None
+        return self.ascii(text) if text.isascii() else self.any(text)
 
-    import tiktoken
-    from public_tokenizers import PATTERN
 
-    with open(ranks_path, "rb") as f:
-        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-    fast = tiktoken.Encoding("ranks", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
-    with open(path, encoding="utf-8") as f:
-        added = [t["content"] for t in json.load(f).get("added_tokens") or []]
-    common = re.compile(_COMMON).fullmatch
-    return lambda text: fast.encode_ordinary(text) if common(text) and not any(t in text for t in added) else slow(text)
+@lru_cache(maxsize=4)
+def encoder(path: str) -> Encoder:
+    return Encoder(path)
 
 
 def default_tokenizer_path() -> str:
@@ -94,8 +130,8 @@ def pieces(docs: DataFrame, tokenizer_path: str | None = None, capacity: int = C
         encode = encoder(path)
         for b in batches:
             out: dict[str, list] = {k: [] for k in ("doc_id", "piece", "start", "length", "ids_crc32", "ids")}
-            for doc, text in zip(b.column(0).to_pylist(), b.column(1), strict=True):
-                ids = np.array([*encode(text.as_py() or ""), end_id], dtype="<u4")
+            for doc, own in zip(b.column(0).to_pylist(), encode([t or "" for t in b.column(1).to_pylist()]), strict=True):
+                ids = np.array([*own, end_id], dtype="<u4")
                 first = len(ids) % capacity or capacity
                 edges = [0, *range(first, len(ids) + 1, capacity)]
                 for k, (lo, hi) in enumerate(zip(edges, edges[1:], strict=False)):
@@ -111,6 +147,48 @@ def pieces(docs: DataFrame, tokenizer_path: str | None = None, capacity: int = C
     return map_arrow(rows, cut, "doc_id long, piece int, start long, length long, ids_crc32 long" + (", ids array<int>" if keep_ids else ""))
 
 
+class SumIndex:
+    """Which lengths still there add up to a sum: two by a hash of pair sums, three by a hash that points to pair sums.
+
+    Counts only go down, so an entry that can't be filled any more is dropped for good; a search costs what it drops.
+    """
+
+    def __init__(self, left: dict[int, int]):
+        self.left = left
+        self.pairs: dict[int, list[tuple[int, int]]] = {}
+        self.triples: dict[int, list[tuple[int, int]]] = {}
+        self.lengths = sorted(k for k, n in left.items() if n)
+
+    def _enough(self, own: int, *lengths: int) -> bool:
+        """Whether the counts allow all of ``lengths`` beside one of ``own``."""
+        return all(self.left[x] >= lengths.count(x) + (x == own) for x in lengths)
+
+    def _live_pairs(self, total: int) -> list[tuple[int, int]]:
+        if total not in self.pairs:
+            present = set(self.lengths)
+            self.pairs[total] = [(total - c, c) for c in self.lengths if 2 * c <= total and total - c in present][::-1]
+        entries = self.pairs[total]
+        while entries and not self._enough(0, *entries[-1]):
+            entries.pop()
+        return entries
+
+    def pairs_of(self, total: int, own: int) -> tuple[int, int] | None:
+        """The pair with the longest member."""
+        return next((p for p in reversed(self._live_pairs(total)) if self._enough(own, *p)), None)
+
+    def triples_of(self, total: int, own: int) -> tuple[int, int, int] | None:
+        if total not in self.triples:
+            self.triples[total] = [(b, total - b) for b in self.lengths if 3 * b >= total and b < total]
+        entries = self.triples[total]
+        while entries and (not self.left[entries[-1][0]] or not self._live_pairs(entries[-1][1])):
+            entries.pop()
+        for b, rest in reversed(entries):
+            for c, d in reversed(self._live_pairs(rest)):
+                if self._enough(own, b, c, d):
+                    return b, c, d
+        return None
+
+
 def plan(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple[tuple[int, ...], int]]:
     """Patterns (lengths in their order, times) that use up ``counts`` of each length."""
     left = defaultdict(int, {k: n for k, n in counts.items() if n > 0})
@@ -127,37 +205,15 @@ def plan(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple[tuple[i
             out.append((pattern, times))
         return times
 
+    index = SumIndex(left)
     take(capacity)
     for a in range(capacity - 1, 0, -1):
-        if not left[a]:
-            continue
         gap = capacity - a
-        take(a, gap)
-        if not left[a]:
-            continue
-        live = [x for x in range(1, gap) if left[x]]
-        for b in reversed(live):  # pairs b + c = gap
-            c = gap - b
-            if c <= b and left[c]:
-                take(a, b, c)
-                if not left[a]:
-                    break
-        if not left[a]:
-            continue
-        # Triples b + c + d = gap, by the index of pair sums over the lengths still there.
-        live = [x for x in range(1, gap) if left[x]]
-        have = np.zeros(gap + 1, bool)
-        have[live] = True
-        for b in reversed(live):
-            rest = gap - b
-            cs = np.arange((rest + 1) // 2, min(b, rest - 1) + 1)
-            for c in cs[have[cs] & have[rest - cs]].tolist() if len(cs) else ():
-                if left[b] and left[c] and left[rest - c]:
-                    take(a, b, c, rest - c)
-                if not left[a] or not left[b]:
-                    break
-            if not left[a]:
-                break
+        if left[a]:
+            take(a, gap)
+        for fill in (index.pairs_of, index.triples_of):
+            while left[a] and (found := fill(gap, a)):
+                take(a, *found)
 
     # Best fit, longest first: open kinds by gap; a kind is a pattern so far with how many sequences have it.
     gaps: list[int] = []
@@ -197,13 +253,17 @@ def plan(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple[tuple[i
 
 def pack(pieces_df: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     """``pieces_df`` (doc_id, piece, length, ...) with sequence_id and offset."""
-    salted = pieces_df.withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(SALTS)).cast("int"))
-    cells = salted.groupBy("length", "salt").agg(F.count(F.lit(1)).alias("n")).toPandas().sort_values(["length", "salt"])  # at most capacity * SALTS rows
-    spark = pieces_df.sparkSession
-    if cells.empty:
+    spark, n = pieces_df.sparkSession, F.count(F.lit(1)).alias("n")
+    counts = {int(r.length): int(r.n) for r in pieces_df.groupBy("length").agg(n).collect()}  # at most capacity rows
+    if not counts:
         return pieces_df.withColumns({"sequence_id": F.lit(0).cast("long"), "offset": F.lit(0).cast("long")}).limit(0)
-    cells["before"] = cells.groupby("length").n.cumsum() - cells.n
-    counts = {int(k): int(v) for k, v in cells.groupby("length").n.sum().items()}
+    # A length that many pieces have is numbered in parts; there are at most PARTS + capacity of them.
+    per_part = max(PART_ROWS, -(-sum(counts.values()) // PARTS))
+    split = F.broadcast(spark.createDataFrame([(k, -(-c // per_part)) for k, c in counts.items()], f"{_W}length long, {_W}parts long"))
+    salt = F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32", "start"), F.col(f"{_W}parts")).cast("int")
+    salted = pieces_df.join(split, F.col("length") == F.col(f"{_W}length")).withColumn(_SALT, salt)
+    cells = salted.groupBy("length", _SALT).agg(n).toPandas().sort_values(["length", _SALT])
+    cells[_BEFORE] = cells.groupby("length").n.cumsum() - cells.n
 
     # Where the ranks of each length go: runs (length, first rank, how many, first sequence, place in it).
     runs, next_rank, next_sequence = [], defaultdict(int), 0
@@ -222,9 +282,9 @@ def pack(pieces_df: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     by_length = {x: tuple(np.array(c, np.int64) for c in zip(*sorted(v), strict=True)) for x, v in starts.items()}
     lookup = spark.sparkContext.broadcast(by_length)
 
-    numbered = salted.withColumn("k", F.row_number().over(Window.partitionBy("length", "salt").orderBy("doc_id", "piece", "ids_crc32", "start")))
-    offsets = F.broadcast(spark.createDataFrame(cells[["length", "salt", "before"]], "length long, salt int, before long"))
-    ranked = numbered.join(offsets, ["length", "salt"]).withColumn("rank", F.col("before") + F.col("k") - 1)
+    place_in_cell = F.row_number().over(Window.partitionBy("length", _SALT).orderBy("doc_id", "piece", "ids_crc32", "start"))
+    offsets = F.broadcast(spark.createDataFrame(cells[["length", _SALT, _BEFORE]], f"length long, {_SALT} int, {_BEFORE} long"))
+    ranked = salted.withColumn(_RANK, place_in_cell).join(offsets, ["length", _SALT]).withColumn(_RANK, F.col(_BEFORE) + F.col(_RANK) - 1)
 
     @F.pandas_udf("sequence_id long, offset long")
     def place(length, rank):
@@ -239,8 +299,9 @@ def pack(pieces_df: DataFrame, capacity: int = CAPACITY) -> DataFrame:
             sequence[own], offset[own] = seq[i] + ranks[own] - first[i], off[i]
         return pd.DataFrame({"sequence_id": sequence, "offset": offset})
 
-    placed = ranked.withColumn("place", place("length", "rank"))
-    return placed.select(*pieces_df.columns, "place.sequence_id", "place.offset")
+    placed = ranked.withColumn(_PLACE, place("length", _RANK))
+    own = [c for c in pieces_df.columns if c not in ("sequence_id", "offset")]
+    return placed.select(*own, f"{_PLACE}.sequence_id", f"{_PLACE}.offset")
 
 
 def pack_documents(docs: DataFrame, tokenizer_path: str | None = None, capacity: int = CAPACITY, end_id: int = 2) -> DataFrame:
