@@ -298,24 +298,76 @@ def test_odds_of_losing_a_link_at_the_threshold():
     assert (1 - (dedup.PERCENT / 100) ** dedup.ROWS) ** dedup.BANDS == pytest.approx(3.2e-6, rel=0.01)
 
 
+def brute_rows(rows, k, percent=80):
+    """Per row its component's smallest doc_id, by comparing the sets of all rows; rows without words or id stand alone."""
+    sets = []
+    for _, t in rows:
+        words = (t or "").encode().lower().split()
+        sets.append(frozenset() if not words else frozenset([tuple(words)]) if len(words) < k else frozenset(tuple(words[i : i + k]) for i in range(len(words) - k + 1)))
+    group = list(range(len(rows)))
+    able = [i for i, (d, _) in enumerate(rows) if sets[i] and d is not None]
+    for i, j in itertools.combinations(able, 2):
+        if 100 * len(sets[i] & sets[j]) >= percent * len(sets[i] | sets[j]) and group[i] != group[j]:
+            old, new = group[i], group[j]
+            group = [new if g == old else g for g in group]
+    smallest = {}
+    for g, (d, _) in zip(group, rows, strict=True):
+        smallest[g] = d if d is None else min(d, smallest.get(g, d))
+    return [(len(s), smallest[g]) for s, g in zip(sets, group, strict=True)], group, sets
+
+
+def check_one_of_each(rows, out, k):
+    """Of every component one row stays, with its smallest id; rows without words stay once an id, those without id always."""
+    told, group, sets = brute_rows(rows, k)
+    want, places = Counter(), defaultdict(set)
+    for (d, t), (_, c), g, s in zip(rows, told, group, sets, strict=True):
+        places[(d, t)].add((d, frozenset()) if d is not None and not s else (c, g))
+        if d is None:
+            want[(None, t)] += 1
+    got = Counter(out)
+    assert Counter({r: n for r, n in got.items() if r[0] is None}) == want
+    met = Counter()
+    for (d, t), n in got.items():
+        if d is not None:
+            [(c, g)] = places[(d, t)]
+            assert c == d
+            met[(c, g)] += n
+    assert met == Counter({p for (d, _), ps in places.items() if d is not None for p in ps})
+
+
 def test_dedup_of_hard_texts(spark):
-    df = docs(spark, [*HARD, *HARD], [*range(11), None, *range(100, 110), 3, 104])
-    got = sorted(rows_of(dedup.near_duplicates(df, 4), "doc_id", "n_shingles", "component_id", "kept"), key=str)
     ids = [*range(11), None, *range(100, 110), 3, 104]
-    assert len(got) == len(ids)
-    by = defaultdict(set)
-    for r in got:
-        by[r[0]].add(r[1:])
-    assert by[0] == {(0, 0, True)} and by[100] == {(0, 100, True)} and by[2] == {(0, 2, True)}
-    assert by[4] == {(1, 3, False)} and by[None] == {(2, None, True)}
-    assert by[7] == by[8] == {(3, 6, False)} and by[109] == {(1, 9, False)}
+    df = docs(spark, [*HARD, *HARD], ids)
+    rows = list(zip(ids, [*HARD, *HARD], strict=True))
+    got = Counter(rows_of(dedup.near_duplicates(df, 4), "doc_id", "n_shingles", "component_id", "kept"))
+    assert got == Counter((d, n, c, d == c) for (d, _), (n, c) in zip(rows, brute_rows(rows, 4)[0], strict=True))
     out = dedup.keep_one(df)
     assert out.columns == df.columns
-    kept = Counter(r.doc_id for r in out.collect())
-    assert kept == Counter(set(r[0] for r in got if r[3]))
+    check_one_of_each(rows, [tuple(r)[:2] for r in out.collect()], 5)
     assert dedup.near_duplicates(df.limit(0)).count() == 0 and dedup.keep_one(df.limit(0)).count() == 0
 
 
+def test_dedup_of_ids_with_several_texts(spark):
+    long = " ".join(f"w{i}" for i in range(40))
+    other = " ".join(f"u{i}" for i in range(40))
+    rows = [(1, long), (5, f"{long} tail"), (5, other), (5, other), (7, None), (7, ""), (7, long), (2, other.upper()), (None, long), (9, f"{other} x"), (1, "alone here"), (3, "alone here")]
+    rows += [(20 + i % 3, text) for i, text in enumerate(near_copies(3, 8, 40, 5))]
+    df = spark.createDataFrame([(*r, "x", 1) for r in rows], "doc_id long, text string, node string, k0 int")
+    got = Counter(rows_of(dedup.near_duplicates(df, 5), "doc_id", "n_shingles", "component_id", "kept"))
+    assert got == Counter((d, n, c, d == c) for (d, _), (n, c) in zip(rows, brute_rows(rows, 5)[0], strict=True))
+    out = dedup.keep_one(df)
+    assert out.columns == df.columns
+    check_one_of_each(rows, [tuple(r)[:2] for r in out.collect()], 5)
+    hidden = spark.createDataFrame([(4, None), (4, None), (4, " ")], "doc_id long, text string")
+    assert [r.doc_id for r in dedup.keep_one(hidden).collect()] == [4]
+
+
+def test_dedup_of_one_row_a_thousand_times(spark):
+    rows = [(1, "one and the same text of some words")] * 3000 + [(2, "one and the same text of some words"), (3, "another text of some seven words here")]
+    out = dedup.keep_one(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert sorted(r.doc_id for r in out.collect()) == [1, 3]
+
+
 def test_op7(spark, sf):
     table = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]
     got = {x.doc_id: (x.n_shingles, x.component_id) for x in dedup.op7_minhash_dedup(spark, sf).collect()}

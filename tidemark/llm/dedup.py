@@ -17,11 +17,16 @@ No group is ever paired with itself:
    the estimate admit. All pairs left are confirmed. So every candidate pair is either confirmed, ruled out by a bound
    or an estimate, or already connected; nothing is capped.
 
+Classes, not documents, are compared: a class has a number of its own, so rows that share a doc_id but not their text
+never meet by it.
+
 Defined results: words and shingles as in ``sets_of``; a text without words has an empty set and is linked with
 nothing; a null doc_id takes no part (its component is null and it stays); of rows that share a doc_id each is judged
-by its own text, and ``keep_one`` leaves one of them if any stays; an empty table gives no rows; extra columns are
-ignored, or pass through ``keep_one``. A pair at the threshold shares no band with a chance of 3.2e-6, and is
-estimated too low with one of 1.6e-8 (binomial: 37 or more of 96 fields differ, each with a chance of 0.15).
+by its own text, and has the smallest doc_id that its own text reaches; an empty table gives no rows; extra columns
+are ignored, or pass through ``keep_one``. That leaves of each component one class, and of that one row: the one with
+the smallest doc_id (of rows that repeat doc_id and set, any). A pair at the threshold shares no band with a chance of
+3.2e-6, and is estimated too low with one of 1.6e-8 (binomial: 37 or more of 96 fields differ, each with a chance of
+0.15).
 """
 
 from __future__ import annotations
@@ -32,6 +37,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from .common import map_arrow, sized, written
 
@@ -110,18 +116,23 @@ def packed(best: np.ndarray) -> np.ndarray:
     return (low << (np.arange(32, dtype=np.uint64) * np.uint64(BITS))).sum(axis=1, dtype=np.uint64).view(np.int64)
 
 
+def _set_key(shingles: np.ndarray) -> np.ndarray:
+    """128-bit hash of a set, as two numbers."""
+    import xxhash
+
+    return np.frombuffer(xxhash.xxh3_128_digest(shingles.tobytes()), np.int64)
+
+
 def signatures(docs: DataFrame, words: int = WORDS) -> DataFrame:
     """doc_id, n (set size), k0 and k1 (128-bit hash of the set), s0 to s2 (packed bits), bands."""
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import xxhash
-
         for b in batches:
             sizes, keys, bits, bands = [], [], [], []
             for x in b.column(1):
                 own = sets_of(x.as_py(), words)
                 sizes.append(len(own))
-                keys.append(np.frombuffer(xxhash.xxh3_128_digest(own.tobytes()), np.int64))
+                keys.append(_set_key(own))
                 best = minima(own)
                 bits.append(packed(best))
                 bands.append(band_keys(best))
@@ -135,16 +146,25 @@ def signatures(docs: DataFrame, words: int = WORDS) -> DataFrame:
 
 
 def shingle_sets(docs: DataFrame, words: int = WORDS) -> DataFrame:
-    """node (the doc_id) and its full set."""
+    """doc_id, k0 and k1 (hash of the set) and the full set; repeats next to each other are left out."""
 
     def collect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
+            met: set = set()
             for i in range(0, b.num_rows, 256):
-                part = b.slice(i, 256)
-                own = [sets_of(x.as_py(), words).view(np.int64) for x in part.column(1)]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(own, pa.list_(pa.int64()))], ["node", "shingles"])
+                ids, keys, sets = [], [], []
+                for doc, text in zip(b.column(0)[i : i + 256].to_pylist(), b.column(1)[i : i + 256], strict=True):
+                    own = sets_of(text.as_py(), words)
+                    key = _set_key(own)
+                    if (doc, *key.tolist()) not in met:
+                        met.add((doc, *key.tolist()))
+                        ids.append(doc)
+                        keys.append(key)
+                        sets.append(own.view(np.int64))
+                k = np.array(keys, np.int64).reshape(len(ids), 2)
+                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), *(pa.array(np.ascontiguousarray(c)) for c in k.T), pa.array(sets, pa.list_(pa.int64()))], ["doc_id", "k0", "k1", "shingles"])
 
-    return map_arrow(docs, collect, "node long, shingles array<bigint>")
+    return map_arrow(docs, collect, "doc_id long, k0 long, k1 long, shingles array<bigint>")
 
 
 def estimate(a: str, b: str) -> Column:
@@ -162,27 +182,31 @@ def _estimate(words: list[tuple[Column, Column]]) -> Column:
     return ((1 - apart / F.lit(float(_K))) - chance) / (1 - chance)
 
 
-def _texts_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """doc_id and text of the documents in ``ids`` (written down, one column, no repeats)."""
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return rows.join(sized(ids.toDF("doc_id")), "doc_id", "left_semi")
-
+def _texts(docs: DataFrame) -> DataFrame:
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
 
-def _sets_for(docs: DataFrame, ids: DataFrame, words: int) -> DataFrame:
-    return written(shingle_sets(_texts_of(docs, written(ids.distinct(), "dedup-ids")), words), "dedup-sets")
 
-
-def _ends(pairs: DataFrame) -> DataFrame:
-    return pairs.select("a").union(pairs.select("b"))
+def _sets_for(docs: DataFrame, classes: DataFrame, nodes: DataFrame, words: int) -> DataFrame:
+    """node and shingles of the classes in ``nodes`` (one column), each once."""
+    wanted = written(classes.select("node", "doc_id", "k0", "k1").join(nodes.toDF("node").distinct(), "node", "left_semi"), "dedup-wanted")
+    texts = _texts(docs).join(sized(wanted.select("doc_id").distinct()), "doc_id", "left_semi")
+    sets = written(shingle_sets(texts, words).join(sized(wanted), ["doc_id", "k0", "k1"]).select("node", "shingles"), "dedup-sets")
+    if sets.count() > wanted.count():  # rows that repeat doc_id and set
+        sets = written(sets.groupBy("node").agg(F.any_value("shingles").alias("shingles")), "dedup-sets")
+    return sets
 
 
 def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) whose full sets are similar enough."""
+    """The pairs (a, b), each given once, whose full sets are similar enough.
+
+    A class in very many pairs is no hot task: nothing after the joins needs the pairs together again, so Spark splits
+    a partition that is too large.
+    """
     left = pairs.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("sa")), "a")
     both = left.join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("sb")), "b")
     shared = F.size(F.array_intersect("sa", "sb")).cast("long")
     alike = both.select("a", "b", shared.alias("i"), (F.size("sa") + F.size("sb")).cast("long").alias("sizes"))
-    return alike.where(F.col("i") * 100 >= (F.col("sizes") - F.col("i")) * percent).select("a", "b").distinct()
+    return alike.where(F.col("i") * 100 >= (F.col("sizes") - F.col("i")) * percent).select("a", "b")
 
 
 def _rest(open_: DataFrame, sets: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
@@ -192,7 +216,8 @@ def _rest(open_: DataFrame, sets: DataFrame, classes: DataFrame, percent: int) -
     """
     nodes = written(open_.select("node", "component", "s0", "s1", "s2").dropDuplicates(["node"]), "dedup-open-nodes")
     rows = sets.select("node", F.explode("shingles").alias("shingle"))
-    often = rows.groupBy("shingle").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
+    # Written down, so that the join with a shingle that very many have can be split.
+    often = written(rows.groupBy("shingle").agg(F.count(F.lit(1)).alias("df")).where("df > 1"), "dedup-often")
     counted = written(rows.join(often, "shingle"), "dedup-shingles")
     frequent = counted.groupBy("node").agg(F.count_if(F.col("df") > RARE).alias("frequent"))
 
@@ -241,12 +266,18 @@ def components(edges: DataFrame) -> DataFrame:
         state = written(small, "dedup-stars")
 
 
-def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept; one row per row of ``docs``."""
-    signed = written(signatures(docs, words), "dedup-signatures")
-    usable = signed.where("n > 0 and doc_id is not null")
-    reps = usable.groupBy("k0", "k1").agg(F.min("doc_id").alias("doc_id"))
-    classes = written(usable.join(reps, ["k0", "k1", "doc_id"]).select(F.col("doc_id").alias("node"), "s0", "s1", "s2", "bands"), "dedup-classes")
+def _classes(usable: DataFrame) -> DataFrame:
+    """One row per set: node (its number), the smallest doc_id, hash, packed bits and bands (all the same within a class)."""
+    singles = usable.select("doc_id", "k0", "k1", "s0", "s1", "s2", *(F.col("bands")[i].alias(f"b{i}") for i in range(BANDS)))
+    same = [c for c in singles.columns if c not in ("doc_id", "k0", "k1")]
+    one = singles.groupBy("k0", "k1").agg(F.min("doc_id").alias("doc_id"), *(F.min(c).alias(c) for c in same))
+    bands = F.array(*(F.col(f"b{i}") for i in range(BANDS))).alias("bands")
+    # The numbers are fixed by the one writing, whichever attempts of its tasks commit.
+    return written(one.select(F.monotonically_increasing_id().alias("node"), "doc_id", "k0", "k1", "s0", "s1", "s2", bands), "dedup-classes")
+
+
+def _linked(docs: DataFrame, classes: DataFrame, words: int, percent: int) -> DataFrame:
+    """(node, component) of all classes that are linked with another."""
     bits = lambda side: classes.select(F.col("node").alias(side), *(F.col(f"s{k}").alias(f"{side}{k}") for k in range(3)))
 
     banded = classes.select("node", F.explode("bands").alias("key"))
@@ -257,7 +288,8 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT)
     stars = members.where("node <> leader").select(F.col("node").alias("a"), F.col("leader").alias("b")).distinct()
     likely = stars.join(bits("a"), "a").join(bits("b"), "b").where(estimate("a", "b") >= LEAST_ESTIMATE).select("a", "b")
     likely = written(likely, "dedup-pairs")
-    edges = written(_confirmed(likely, _sets_for(docs, _ends(likely), words), percent), "dedup-links")
+    ends = likely.select("a").union(likely.select("b"))
+    edges = written(_confirmed(likely, _sets_for(docs, classes, ends, words), percent), "dedup-links")
     labels = components(edges)
 
     # Buckets that still hold several components.
@@ -266,30 +298,65 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT)
     mixed = counts.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.max_by("component", F.struct("n", "component")).alias("main")).where("low < high").select("key", "main")
     mixed = written(mixed, "dedup-mixed")
     open_ = written(labelled.join(mixed, "key").join(classes.select("node", "s0", "s1", "s2"), "node"), "dedup-open")
-    open_sets = _sets_for(docs, open_.select("node"), words)
+    open_sets = _sets_for(docs, classes, open_.select("node"), words)
     rest = written(_rest(open_, open_sets, classes, percent).join(likely, ["a", "b"], "left_anti"), "dedup-rest")
     if not rest.isEmpty():
         labels = components(edges.union(_confirmed(rest, open_sets, percent)))
+    return labels.union(labels.select("component", "component").distinct())
+
+
+def _judged(docs: DataFrame, words: int, percent: int) -> DataFrame:
+    """Per row: doc_id, n, k0, k1, component_id, and whether its class is the one of its component that stays."""
+    signed = written(signatures(docs, words), "dedup-signatures")
+    usable = signed.where("n > 0 and doc_id is not null")
+    classes = _classes(usable)
+    linked = written(_linked(docs, classes, words, percent), "dedup-linked")
+    named = linked.join(classes.select("node", "doc_id"), "node")
+    first = named.groupBy("component").agg(F.min(F.struct("doc_id", "node")).alias("first"))
+    grouped = written(linked.join(first, "component").select("node", "first"), "dedup-grouped")
+    own = F.struct("doc_id", "node")
+    found = classes.select("node", "doc_id", "k0", "k1").join(grouped, "node", "left").select("k0", "k1", F.coalesce("first", own).alias("first"), F.coalesce(F.col("first.node") == F.col("node"), F.lit(True)).alias("stays"))
+    found = written(found.select("k0", "k1", F.col("first.doc_id").alias("component_id"), "stays"), "dedup-found")
+    told = usable.select("doc_id", "n", "k0", "k1").join(found, ["k0", "k1"]).select("doc_id", "n", "k0", "k1", "component_id", "stays")
+    alone = signed.where("n = 0 or doc_id is null").select("doc_id", "n", "k0", "k1", F.col("doc_id").alias("component_id"), F.lit(True).alias("stays"))
+    return told.union(alone)
+
 
-    found = reps.join(labels.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("k0", "k1", F.coalesce("component", "doc_id").alias("component_id"))
-    found = written(found, "dedup-found")
-    linked = usable.select("doc_id", "n", "k0", "k1").join(found, ["k0", "k1"]).select("doc_id", "n", "component_id")
-    alone = signed.where("n = 0 or doc_id is null").select("doc_id", "n", F.col("doc_id").alias("component_id"))
-    return linked.union(alone).select("doc_id", F.col("n").alias("n_shingles"), "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
+def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
+    """doc_id, n_shingles, component_id, kept; one row per row of ``docs``."""
+    kept = F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept")
+    return _judged(docs, words, percent).select("doc_id", F.col("n").alias("n_shingles"), "component_id", kept)
 
 
 def keep_one(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
-    """The documents that stay: of each group the one with the smallest doc_id, with all columns."""
-    found = near_duplicates(docs, words, percent).select(F.col("doc_id").alias("__dedup_id"), "kept").where("__dedup_id is not null")
-    ids = written(found.groupBy("__dedup_id").agg(F.max("kept").alias("stays"), F.count(F.lit(1)).alias("n")), "dedup-result")
-    gone = written(ids.where("not stays").select("__dedup_id"), "dedup-gone")
-    twice = ids.where("stays and n > 1").select("__dedup_id")
+    """Of each group of near-duplicates one document, with all columns."""
+    judged = _judged(docs, words, percent).where("doc_id is not null").select(F.col("doc_id").alias("__dedup_id"), "k0", "k1", (F.col("stays") & (F.col("doc_id") == F.col("component_id"))).alias("stays"))
+    judged = written(judged, "dedup-result")
+    ids = written(judged.groupBy("__dedup_id").agg(F.max("stays").alias("any"), F.count(F.lit(1)).alias("n")), "dedup-ids")
     key = docs["doc_id"].cast("long") == F.col("__dedup_id")
+    # Ids of one row go or stay as they are; of those with several, each row is looked up by its own set.
+    twice = written(ids.where("any and n > 1").select("__dedup_id"), "dedup-twice")
+    gone = written(ids.where("not any").select("__dedup_id").union(twice), "dedup-gone")
     stay = docs.join(sized(gone), key, "left_anti")
     if twice.isEmpty():
         return stay
-    repeated = docs.join(twice, key, "left_semi").groupBy("doc_id").agg(F.min_by(F.struct(*docs.columns), "text").alias("r")).select("r.*")
-    return stay.join(twice, docs["doc_id"].cast("long") == F.col("__dedup_id"), "left_anti").unionByName(repeated)
+    repeated = _with_set_key(docs.join(sized(twice), key, "left_semi"), words)
+    right = written(judged.where("stays").join(sized(twice), "__dedup_id", "left_semi").select("__dedup_id", "k0", "k1").distinct(), "dedup-right")
+    once = repeated.join(right, ["__dedup_id", "k0", "k1"], "left_semi").groupBy("__dedup_id", "k0", "k1").agg(F.any_value("__dedup_row").alias("r"))
+    return stay.unionByName(once.select("r.*"))
+
+
+def _with_set_key(docs: DataFrame, words: int) -> DataFrame:
+    """__dedup_id, the whole row, and the hash of its set."""
+
+    def key(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            k = np.array([_set_key(sets_of(x.as_py(), words)) for x in b.column(1)], np.int64).reshape(b.num_rows, 2)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), *(pa.array(np.ascontiguousarray(c)) for c in k.T)], ["__dedup_id", "__dedup_row", "k0", "k1"])
+
+    row = F.struct(*(docs[c] for c in docs.columns)).alias("__dedup_row")
+    rows = docs.select(F.col("doc_id").cast("long").alias("__dedup_id"), F.col("text").cast("string").alias("__dedup_text"), row)
+    return map_arrow(rows, key, StructType([*(f for f in rows.schema.fields if f.name != "__dedup_text"), *StructType.fromDDL("k0 long, k1 long").fields]))
 
 
 def op7_minhash_dedup(spark, sf_dir: str) -> DataFrame:
