@@ -200,22 +200,124 @@ def test_matching_statistics_against_brute_force():
         assert sum(a.length[v] - a.length[a.link[v]] for v in range(1, len(a.next))) == len(factors)
         for f in factors:
             state = a.walk(list(f))
-            where = {k for k, s in enumerate(seqs) if any(tuple(s[i : i + len(f)]) == f for i in range(len(s)))}
-            assert set(a.ends[state]) == where
+            where = {k: [i + len(f) - 1 for i in range(len(s)) if tuple(s[i : i + len(f)]) == f] for k, s in enumerate(seqs)}
+            assert a.ends[state] == {k: v for k, v in where.items() if v}
+
+
+def plain(notice):
+    return notice.replace("{", "").replace("}", "")
 
 
 def test_notices_are_found_whole_and_broken():
-    scanner = licenses.Scanner()
+    scanner = licenses.Scanner(phrases={"no such phrase here": "none"})
     for label, texts in licenses.NOTICES.items():
         for text in texts:
-            assert label in scanner.scan(f"code here\n{text}\nmore")["labels"]
-    words = licenses.NOTICES["bsd-3-clause"][0].split()
+            assert scanner.scan(f"code here\n{plain(text)}\nmore")["labels"] == [label]
+    words = plain(licenses.NOTICES["bsd-3-clause"][0]).split()
     words[30:30] = ["changed", "words"]
     got = scanner.scan(" ".join(words))
     assert got["labels"] == ["bsd-3-clause"] and 0.8 < got["score"] < 1.01 and len(got["spans"]) == 1
     assert scanner.scan("the of and software in any way")["labels"] == [] and scanner.scan(None)["n_words"] == 0
 
 
+GNU = "This program is free software; you can redistribute it and/or modify it under the terms of the GNU {}General Public License as published by the Free Software Foundation; either version {} of the License, or (at your option) any later version."
+
+
+@pytest.mark.parametrize(("text", "labels"), [
+    (GNU.format("", 2), ["gpl-2"]), (GNU.format("", 3), ["gpl-3"]), (GNU.format("", 4), []), (GNU.format("Lesser ", 3), ["lgpl-3"]), (GNU.format("Lesser ", "2.1"), ["lgpl-2.1"]),
+    (GNU.format("Affero ", 3), ["agpl-3"]), (GNU.format("Other ", 3), []), ("Licensed under the Apache License, Version 1.1", ["apache-1.1"]), ("Licensed under the Apache License, Version 2.0", ["apache-2"]),
+    ("This work is licensed under a Creative Commons Attribution-NoDerivatives 4.0 International License", ["cc-by-nd"]), ("Licensed under CC BY-ND 4.0", ["cc-by-nd"]), ("Licensed under CC BY 4.0", ["cc-by"]),
+    ("SPDX-License-Identifier: GPL-3.0-or-later", ["gpl-3"]), (plain(licenses.NOTICES["bsd-2-clause"][0]), ["bsd-2-clause"]), (plain(licenses.NOTICES["bsd-3-clause"][0]), ["bsd-3-clause"]),
+    (GNU.format("", 2) + " Elsewhere: " + GNU.format("Affero ", 3), ["agpl-3", "gpl-2"]), (plain(licenses.NOTICES["isc"][0]) + plain(licenses.NOTICES["mit"][0]), ["isc", "mit"]),
+])
+def test_licences_that_resemble_each_other(text, labels):
+    assert licenses.Scanner().scan(f"some words {text} and others")["labels"] == labels
+
+
+def brute_findings(scanner, text):
+    """Labels and best coverage by comparing word lists at every place, and chains by looking at all links before."""
+    words, least = licenses.words_of(text), licenses.MIN_MATCH
+    notices = [(label, *licenses.marked(t)) for label, ts in licenses.NOTICES.items() for t in ts] + [(None, licenses.words_of(p), []) for p in licenses.PHRASES]
+    grams = {tuple(ws[i : i + least]) for _, ws, _ in notices for i in range(len(ws) - least + 1)}
+
+    def places(piece):
+        return {k: found for k, (_, ws, _) in enumerate(notices) if (found := [i for i in range(len(ws) - len(piece) + 1) if ws[i : i + len(piece)] == piece])}
+
+    matches, longest = [], [0] * (len(words) + 1)
+    for end in range(1, len(words) + 1):
+        size = longest[end - 1] + 1
+        if size >= least and tuple(words[end - least : end]) not in grams:
+            size = least - 1
+        while size and not places(words[end - size : end]):
+            size -= 1
+        longest[end] = size
+    for end in range(1, len(words) + 1):
+        if longest[end] >= least and (end == len(words) or longest[end + 1] <= longest[end]):
+            matches.append((end - longest[end], longest[end]))
+    spans = []
+
+    def chain(number, group):
+        label, ws, passages = notices[number]
+        links, text_end = [], -1
+        for first, size in group:
+            skip = max(0, text_end - first)
+            if skip >= size:
+                continue
+            text_end, made = first + size, []
+            for at in places(words[first : first + size])[number]:
+                at += skip
+                before = max((x for x in links if x[2] + x[3] <= at), key=lambda x: x[0], default=None)
+                made.append((size - skip + (before[0] if before else 0), first + skip, at, size - skip, before))
+            links += made
+        if not links:
+            return
+        top = max(links, key=lambda x: x[0])
+        whole, k = [], top
+        while k:
+            whole.append(k)
+            k = k[4]
+        span = {"label": label, "start": whole[-1][1], "end": whole[0][1] + whole[0][3], "words": top[0], "coverage": min(1.0, top[0] / len(ws))}
+        span["marked"] = all(any(x[2] <= lo and hi <= x[2] + x[3] for x in whole) for lo, hi in passages)
+        spans.append(span)
+        if span["coverage"] >= licenses.MIN_COVER:
+            for rest in ([m for m in group if m[0] + m[1] <= span["start"]], [m for m in group if m[0] >= span["end"]]):
+                if rest:
+                    chain(number, rest)
+
+    for number in range(len(notices) - len(licenses.PHRASES)):
+        group = []
+        for m in matches:
+            if number in places(words[m[0] : m[0] + m[1]]):
+                if group and m[0] - sum(group[-1]) > licenses.MAX_GAP:
+                    chain(number, group)
+                    group = []
+                group.append(m)
+        if group:
+            chain(number, group)
+    won = []
+    for f in sorted((s for s in spans if s["coverage"] >= licenses.MIN_COVER and s["marked"]), key=lambda s: (-s["words"], -s["coverage"], s["start"], s["label"])):
+        if all(f["end"] <= o["start"] or o["end"] <= f["start"] for o in won):
+            won.append(f)
+    return {f["label"] for f in won}, max((s["coverage"] for s in spans), default=0.0)
+
+
+def test_findings_against_brute_force():
+    scanner, rnd = licenses.Scanner(), random.Random(9)
+    texts = [plain(t) for ts in licenses.NOTICES.values() for t in ts]
+    for _ in range(150):
+        words = []
+        for _ in range(rnd.randint(1, 3)):
+            own = rnd.choice(texts).split()
+            for _ in range(rnd.randint(0, 3)):
+                at = rnd.randrange(len(own) + 1)
+                own[at : at + rnd.randint(0, 3)] = rnd.choice([[], ["zzz"], ["the", "software"], own[:6]])
+            words += own + ["filler"] * rnd.choice([0, 1, 60])
+        text = " ".join(words)
+        got, (labels, coverage) = scanner.scan(text), brute_findings(scanner, text)
+        assert set(got["labels"]) == labels | set(got["base_labels"])
+        assert got["score"] == (1.0 if got["base_labels"] else pytest.approx(coverage))
+
+
 # ---- WARC ----
 
 

@@ -2,13 +2,20 @@
 
 The automaton is built once per worker over the word sequences of licence notices and phrases. A text's words are
 streamed through it; at each word it gives the longest run ending there that occurs in some notice (matching
-statistics) and the notices that hold it. Long matches of one notice that lie in order and near each other, in the text
-and in the notice, are chained into spans; a span that covers enough of its notice is a finding.
+statistics) and the places in notices that end with it. Long matches of one notice that lie in order and near each
+other, in the text and in the notice, are chained into spans.
 
-Phrases (``PHRASES``) are part of the automaton: a phrase stands at a word if the state there has it as a suffix.
+A span is a finding of its notice's licence if it covers enough of the notice and all its marked passages (in braces in
+``NOTICES``: name, version, variant), each within one match. Findings that overlap in the text compete: the one that
+covers more words wins, so a notice that another one contains, or resembles, gives way to it.
+
+Phrases (``PHRASES``) are part of the automaton: a phrase stands at a word if the state there has it as a suffix. Their
+labels stay whatever the findings are.
 
 Defined results: a null or empty text has no words and no findings, score 0; a null doc_id is kept; repeated rows give
-repeated results; an empty table gives no rows; extra columns are ignored.
+repeated results; of findings that cover as many words the one of greater coverage wins, then the earlier, then the
+first by label; an empty table gives no rows; extra columns are ignored. The score is 1 if a phrase stands in the text,
+else the best coverage of any span, finding or not.
 """
 
 from __future__ import annotations
@@ -34,32 +41,61 @@ PHRASES = {
     "cc by nc": "cc-by-nc",
 }
 
-# Notices as their licences publish them, by label.
+_GPL = "This program is free software: you can redistribute it and/or modify it under the terms of the {GNU%s General Public License as published by the Free Software Foundation, either version %s} of the License, or (at your option) any later version."
+_GPL_SHORT = "licensed under the {GNU%s General Public License, version %s}"
+_BSD = "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials {provided with the distribution}."
+_AS_IS = " THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED."
+
+
+def _gnu(kind: str, version: str) -> list[str]:
+    return [_GPL % (kind, version), _GPL_SHORT % (kind, version)]
+
+
+def _creative(name: str, short: str) -> list[str]:
+    return [f"This work is licensed under a {{Creative Commons {name} {v}}} International License" for v in ("4.0", "3.0")] + [f"Licensed under {{{short} {v}}}" for v in ("4.0", "3.0")]
+
+
+def _spdx(*names: str) -> list[str]:
+    return [f"{{SPDX-License-Identifier: {n}}}" for n in names]
+
+
+# Notices as their licences publish them, by label; in braces what tells a licence from those like it.
 NOTICES = {
     "mit": [
-        "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.",
-        "Released under the MIT License",
+        "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), {to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge}, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.",
+        "Released under the {MIT License}",
+        *_spdx("MIT"),
     ],
+    "apache-1.1": ["Licensed under the {Apache License, Version 1.1}", "The {Apache Software License, Version 1.1}", *_spdx("Apache-1.1")],
     "apache-2": [
-        "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an \"AS IS\" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License.",
-        "Licensed under the Apache License, Version 2.0",
-    ],
-    "gpl-3": [
-        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
-        "licensed under the GNU General Public License, version 3",
+        "Licensed under the {Apache License, Version 2}.0 (the \"License\"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an \"AS IS\" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License.",
+        "Licensed under the {Apache License, Version 2}.0",
+        *_spdx("Apache-2.0"),
     ],
+    "gpl-2": [*_gnu("", "2"), *_spdx("GPL-2.0")],
+    "gpl-3": [*_gnu("", "3"), *_spdx("GPL-3.0")],
+    "lgpl-2.1": [*_gnu(" Lesser", "2.1"), *_spdx("LGPL-2.1")],
+    "lgpl-3": [*_gnu(" Lesser", "3"), *_spdx("LGPL-3.0")],
+    "agpl-3": [*_gnu(" Affero", "3"), *_spdx("AGPL-3.0")],
+    "bsd-2-clause": [f"{_BSD}{_AS_IS}", *_spdx("BSD-2-Clause")],
     "bsd-3-clause": [
-        "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.",
+        f"{_BSD} {{Neither the name of}} the copyright holder nor the names of its contributors {{may be used to endorse or promote products}} derived from this software without specific prior written permission.{_AS_IS}",
+        *_spdx("BSD-3-Clause"),
     ],
     "isc": [
-        "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.",
+        "Permission to use, copy, modify, and/or distribute this software {for any purpose with or without fee} is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.",
+        *_spdx("ISC"),
     ],
     "mpl-2": [
-        "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/",
+        "This Source Code Form is subject to the terms of the {Mozilla Public License, v. 2.0}. If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/",
+        *_spdx("MPL-2.0"),
     ],
-    "cc-by": ["This work is licensed under a Creative Commons Attribution 4.0 International License", "Licensed under CC BY 4.0"],
-    "cc-by-sa": ["This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License", "Licensed under CC BY-SA 4.0"],
-    "cc-by-nc": ["This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License", "Licensed under CC BY-NC 4.0"],
+    "cc-by": _creative("Attribution", "CC BY") + _spdx("CC-BY-4.0", "CC-BY-3.0"),
+    "cc-by-sa": _creative("Attribution-ShareAlike", "CC BY-SA") + _spdx("CC-BY-SA-4.0", "CC-BY-SA-3.0"),
+    "cc-by-nd": _creative("Attribution-NoDerivatives", "CC BY-ND") + _spdx("CC-BY-ND-4.0", "CC-BY-ND-3.0"),
+    "cc-by-nc": _creative("Attribution-NonCommercial", "CC BY-NC") + _spdx("CC-BY-NC-4.0", "CC-BY-NC-3.0"),
+    "cc-by-nc-sa": _creative("Attribution-NonCommercial-ShareAlike", "CC BY-NC-SA") + _spdx("CC-BY-NC-SA-4.0", "CC-BY-NC-SA-3.0"),
+    "cc-by-nc-nd": _creative("Attribution-NonCommercial-NoDerivatives", "CC BY-NC-ND") + _spdx("CC-BY-NC-ND-4.0", "CC-BY-NC-ND-3.0"),
 }
 
 #: Words of a match that is chained; words between two matches of a span at most; part of a notice that a finding covers.
@@ -70,22 +106,36 @@ def words_of(text: str | None) -> list[bytes]:
     return _WORDS.findall((text or "").encode("utf-8", "surrogatepass").lower())
 
 
+def marked(notice: str) -> tuple[list[bytes], list[tuple[int, int]]]:
+    """A notice's words, and first word and end of each passage in braces."""
+    words: list[bytes] = []
+    passages, start = [], 0
+    for piece in re.split(r"([{}])", notice):
+        if piece == "{":
+            start = len(words)
+        elif piece == "}":
+            passages.append((start, len(words)))
+        else:
+            words += words_of(piece)
+    return words, passages
+
+
 class SuffixAutomaton:
     """Generalised suffix automaton of word sequences, with the places of each state's strings."""
 
     def __init__(self, sequences: list[list[int]]):
         self.next: list[dict[int, int]] = [{}]
         self.link, self.length = [-1], [0]
-        self.ends: list[dict[int, int]] = [{}]  # sequence to the first position where the state's strings end
+        self.ends: list[dict[int, list[int]]] = [{}]  # sequence to all positions where the state's strings end, in order
         for number, sequence in enumerate(sequences):
             last = 0
             for position, word in enumerate(sequence):
                 last = self._extend(last, word)
-                self.ends[last].setdefault(number, position)
+                self.ends[last].setdefault(number, []).append(position)
         for v in sorted(range(1, len(self.next)), key=self.length.__getitem__, reverse=True):
             up = self.ends[self.link[v]]
-            for number, position in self.ends[v].items():
-                up[number] = min(up.get(number, position), position)
+            for number, positions in self.ends[v].items():
+                up[number] = sorted({*up.get(number, ()), *positions}) if self.link[v] else []
         self.ends[0] = {}
 
     def _state(self, length: int, nexts: dict[int, int], link: int) -> int:
@@ -125,11 +175,12 @@ class SuffixAutomaton:
 
 class Scanner:
     def __init__(self, phrases: dict[str, str] = PHRASES, notices: dict[str, list[str]] = NOTICES):
-        texts = [(label, words_of(t)) for label, ts in notices.items() for t in ts]
+        marks = [(label, *marked(t)) for label, ts in notices.items() for t in ts]
+        texts = [(label, ws) for label, ws, _ in marks]
         spoken = [(label, words_of(t)) for t, label in phrases.items()]
         self.vocabulary = {w: i for i, w in enumerate(dict.fromkeys(w for _, ws in texts + spoken for w in ws))}
         ids = [[self.vocabulary[w] for w in ws] for _, ws in texts + spoken]
-        self.notices = [(label, len(ws)) for label, ws in texts]
+        self.notices = [(label, len(ws), passages) for label, ws, passages in marks]
         self.automaton = a = SuffixAutomaton(ids)
         own: dict[int, list[tuple[int, str]]] = {}
         for (label, ws), seq in zip(spoken, ids[len(texts) :], strict=True):
@@ -152,8 +203,9 @@ class Scanner:
         for lo, hi in zip(starts[long].tolist(), ends[long].tolist(), strict=True):
             self._stream(ids[lo:hi].tolist(), lo, places, matches)
         spans = self._chain(matches) if matches else []
+        findings = self._winners([s for s in spans if s["coverage"] >= MIN_COVER and s["marked"]])
         base = sorted({label for _, label in places})
-        found = {s["label"] for s in spans if s["coverage"] >= MIN_COVER}
+        found = {s["label"] for s in findings}
         at = [p for p, _ in places]
         return {
             "n_words": len(words),
@@ -163,7 +215,7 @@ class Scanner:
             "base_labels": base,
             "labels": sorted(found.union(base)),
             "score": 1.0 if base else max((s["coverage"] for s in spans), default=0.0),
-            "spans": [s for s in spans if s["coverage"] >= MIN_COVER],
+            "spans": [{k: s[k] for k in ("label", "start", "end", "coverage")} for s in findings],
         }
 
     def _stream(self, run: list[int], offset: int, places: list, matches: list) -> None:
@@ -187,47 +239,81 @@ class Scanner:
         if size >= MIN_MATCH:
             matches.append((offset + len(run) - size, size, state))
 
+    @staticmethod
+    def _winners(findings: list[dict]) -> list[dict]:
+        """Findings that do not overlap with one that covers more words; copies of one licence's notices count once."""
+        out: list[dict] = []
+        for f in sorted(findings, key=lambda s: (-s["words"], -s["coverage"], s["start"], s["label"])):
+            if all(f["end"] <= o["start"] or o["end"] <= f["start"] for o in out):
+                out.append(f)
+        return sorted(out, key=lambda s: (s["start"], s["label"]))
+
     def _chain(self, matches: list[tuple[int, int, int]]) -> list[dict]:
-        """Spans: for each notice the best-covering chain of matches in order, in text and notice alike."""
-        by_notice: dict[int, list[tuple[int, int, int]]] = {}
+        """Spans: for each notice the best-covering chains of matches in order, in text and notice alike."""
+        by_notice: dict[int, list[tuple[int, int, list[int]]]] = {}
         for first, size, state in matches:
-            for number, end in self.automaton.ends[state].items():
+            for number, ends in self.automaton.ends[state].items():
                 if number < len(self.notices):
-                    by_notice.setdefault(number, []).append((first, size, end - size + 1))
+                    by_notice.setdefault(number, []).append((first, size, ends))
         spans = []
         for number, own in by_notice.items():
-            label, total = self.notices[number]
-            group: list[tuple[int, int, int]] = []
+            group: list[tuple[int, int, list[int]]] = []
             for m in own:
-                # Another long gap, or the notice begins again: what came before is a span of its own.
+                # A long gap: what came before is a span of its own.
                 if group and m[0] - (group[-1][0] + group[-1][1]) > MAX_GAP:
-                    spans.append(self._span(label, total, group))
+                    spans += self._spans(number, group)
                     group = []
                 group.append(m)
-            spans.append(self._span(label, total, group))
-        return sorted(spans, key=lambda s: (s["start"], s["label"]))
-
-    @staticmethod
-    def _span(label: str, total: int, group: list[tuple[int, int, int]]) -> dict:
-        best = [0] * (total + 1)  # Fenwick tree: best cover by notice positions before this one
-        top, text_end = 0, -1
-        for first, size, at in group:
+            spans += self._spans(number, group)
+        return spans
+
+    def _spans(self, number: int, group: list[tuple[int, int, list[int]]]) -> list[dict]:
+        """The best chain of a group of matches, then the best of what lies before and after it, and so on."""
+        out, todo = [], [group]
+        while todo:
+            part = todo.pop()
+            if span := self._span(number, part):
+                out.append(span)
+                if span["coverage"] >= MIN_COVER:
+                    todo += [rest for rest in ([m for m in part if m[0] + m[1] <= span["start"]], [m for m in part if m[0] >= span["end"]]) if rest]
+        return out
+
+    def _span(self, number: int, group: list[tuple[int, int, list[int]]]) -> dict | None:
+        label, total, passages = self.notices[number]
+        # Fenwick tree over notice positions: the chain of most words that ends before a position, as an index into links.
+        best = [-1] * (total + 1)
+        links: list[tuple[int, int, int, int, int]] = []  # words so far, first word, place in notice, words, link before
+        text_end, top = -1, -1
+        for first, size, ends in group:
             skip = max(0, text_end - first)
-            first, size, at = first + skip, size - skip, at + skip
-            if size <= 0:
+            if skip >= size:
                 continue
-            text_end = first + size
-            reach, i = 0, at
-            while i > 0:
-                reach = max(reach, best[i])
-                i -= i & -i
-            reach += size
-            i = at + size
-            while i <= total:
-                best[i] = max(best[i], reach)
-                i += i & -i
-            top = max(top, reach)
-        return {"label": label, "start": group[0][0], "end": group[-1][0] + group[-1][1], "coverage": min(1.0, top / total)}
+            text_end, made = first + size, []
+            for end in ends:
+                at, before, i = end - size + 1 + skip, -1, end - size + 1 + skip
+                while i > 0:
+                    if best[i] >= 0 and (before < 0 or links[best[i]][0] > links[before][0]):
+                        before = best[i]
+                    i -= i & -i
+                made.append((size - skip + (links[before][0] if before >= 0 else 0), first + skip, at, size - skip, before))
+            for link in made:
+                links.append(link)
+                k, i = len(links) - 1, link[2] + link[3]
+                while i <= total:
+                    if best[i] < 0 or links[best[i]][0] < link[0]:
+                        best[i] = k
+                    i += i & -i
+                if top < 0 or links[top][0] < link[0]:
+                    top = k
+        if top < 0:
+            return None
+        chain, k = [], top
+        while k >= 0:
+            chain.append(links[k])
+            k = links[k][4]
+        whole = all(any(at <= lo and hi <= at + size for _, _, at, size, _ in chain) for lo, hi in passages)
+        words = links[top][0]
+        return {"label": label, "start": chain[-1][1], "end": chain[0][1] + chain[0][3], "coverage": min(1.0, words / total), "words": words, "marked": whole}
 
 
 @lru_cache(maxsize=1)
