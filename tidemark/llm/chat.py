@@ -2,16 +2,17 @@
 
 A turn's content is an ordered list of parts (kind, text, ref, units). A visitor turns each part into a segment: text
 as it is, escaped; image, audio and document as an ordered placeholder, with an attachment record (its number in the
-conversation, kind, reference) and its expanded token count. The template marks turns; its control strings all begin
-with ``<|`` or end with ``|>``, and inside texts both are broken up by a backslash (backslashes are doubled), so
-formatting is undone without loss. A loss mask covers the assistant's contents.
+conversation, kind, reference) and its expanded token count. The template marks turns. Every control string holds
+a bar; in texts and roles bars are written ``\\!`` and backslashes ``\\-``, so no text, nor any texts side by side, can
+form a control string, and formatting is undone without loss. A loss mask covers the assistant's contents.
 
     <|turn:ROLE|>
     CONTENT<|end|>
 
 Defined results: a null role or text is empty; a null kind is text, an unknown kind an error; turns that tie in number
 are ordered by role and text; repeated rows are turns of their own; a null conv_id is a conversation like any other;
-an empty table gives no rows; extra columns are ignored. A conversation is one value of the result (and is hashed as
+an empty table gives no rows; extra columns are ignored. Read back, text parts side by side are one part, empty ones are
+left out, and a medium's number leads to its attachment. A conversation is one value of the result (and is hashed as
 one), so its turns meet in one row.
 """
 
@@ -28,12 +29,12 @@ PART = "struct<kind:string,text:string,ref:string,units:bigint>"
 
 
 def escaped(text: Column) -> Column:
-    """Breaks up control strings; ``unescaped`` is its inverse."""
-    return F.replace(F.replace(F.replace(text, F.lit("\\"), F.lit("\\\\")), F.lit("<|"), F.lit("<\\|")), F.lit("|>"), F.lit("|\\>"))
+    """Backslashes to ``\\-``, bars to ``\\!``; ``unescaped`` is its inverse."""
+    return F.replace(F.replace(text, F.lit("\\"), F.lit("\\-")), F.lit("|"), F.lit("\\!"))
 
 
 def unescaped(text: Column) -> Column:
-    return F.regexp_replace(text, r"(?s)\\(.)", "$1")
+    return F.replace(F.replace(text, F.lit("\\!"), F.lit("|")), F.lit("\\-"), F.lit("\\"))
 
 
 def text_part(text: Column) -> Column:
@@ -119,14 +120,29 @@ def format_conversations(turns: DataFrame, parts_column: str = "parts") -> DataF
     )
 
 
-def read_back(formatted: Column) -> Column:
-    """The turns (role, text) of a formatted conversation; placeholders stay in the text as they are."""
+#: A placeholder; texts hold no bar, so none of theirs is one.
+_PLACEHOLDER = r"<\|(?:" + "|".join(EXPANSION) + r"):\d{1,10}\|>"
+
+
+def read_back(formatted: Column, parts: bool = False) -> Column:
+    """The turns (role, text) of a formatted conversation; placeholders stay in ``text`` as they are.
+
+    With ``parts``, also the typed parts (kind, text, number) of each: texts as they were, media by their number.
+    """
     ended = F.split(formatted, r"<\|end\|>\n")
-    turns = F.slice(ended, 1, F.size(ended) - 1)
-    return F.transform(turns, lambda t: F.struct(
-        unescaped(F.substring_index(F.substring(t, len(OPEN) + 1, 2**31 - 1), CLOSE, 1)).alias("role"),
-        unescaped(F.regexp_replace(t, r"(?s)\A<\|turn:.*?\|>\n", "")).alias("text"),
-    ))
+    raw = lambda t: F.substring_index(F.substring(t, len(OPEN) + 1, 2**31 - 1), CLOSE, 1)
+
+    def part(piece: Column) -> Column:
+        medium = piece.startswith("<|")
+        kind, number = (F.regexp_extract(piece, p, 1) for p in (r"<\|(\w+)", r":(\d+)"))
+        return F.struct(F.when(medium, kind).otherwise("text").alias("kind"), F.when(~medium, unescaped(piece)).alias("text"), F.when(medium, number.try_cast("long")).alias("number"))
+
+    def turn(t: Column) -> Column:
+        body = F.substr(t, F.length(raw(t)) + F.lit(len(OPEN) + len(CLOSE) + 1))
+        pieces = F.filter(F.split(body, f"(?={_PLACEHOLDER})|(?<={_PLACEHOLDER})"), lambda p: p != "")
+        return F.struct(unescaped(raw(t)).alias("role"), unescaped(body).alias("text"), *([F.transform(pieces, part).alias("parts")] if parts else []))
+
+    return F.transform(F.slice(ended, 1, F.size(ended) - 1), turn)
 
 
 def op3_chat_formatting(spark, sf_dir: str) -> DataFrame:
@@ -157,8 +173,8 @@ ORACLE_SQL = {
             UNION ALL SELECT -7, 0, 'user', '\### Assistant: </turn> ok'
             UNION ALL SELECT -7, 1, 'assistant', '\### Assistant: </turn> ok'),
         sized AS (
-            SELECT *, length(replace(replace(replace(text, '\', '\\'), '<|', '<\|'), '|>', '|\>'))
-                    + length(replace(replace(replace(role, '\', '\\'), '<|', '<\|'), '|>', '|\>')) + 18 AS chars
+            SELECT *, length(replace(replace(text, '\', '\-'), '|', '\!'))
+                    + length(replace(replace(role, '\', '\-'), '|', '\!')) + 18 AS chars
             FROM rows)
         SELECT conv_id, count(*) AS n_turns,
                sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
