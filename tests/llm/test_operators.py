@@ -190,27 +190,60 @@ def test_op4(spark, sf):
 # ---- 5 ----
 
 
-def numpy_raking(cells, dims, sweeps):
-    n = np.array([c[-1] for c in cells], float)
+def numpy_raking(cells, sweeps, keep, targets=None):
+    """Weights and targets, one dimension and level after the other."""
+    n, dims = np.array([c[-1] for c in cells], float), list(mixing.TEMPERATURE)
+    goal = []
+    for k, d in enumerate(dims):
+        levels = sorted({c[k] for c in cells})
+        own = {x: n[[c[k] == x for c in cells]].sum() for x in levels}
+        share = {x: own[x] ** mixing.TEMPERATURE[d] if d not in (targets or {}) else targets[d].get(x, 0.0) for x in levels}
+        held = set()
+        while True:
+            free = sum(share[x] for x in levels if x not in held)
+            scale = (n.sum() - sum(own[x] / keep for x in held)) / free if free else 0.0
+            more = {x for x in levels if x not in held and share[x] * scale >= own[x] / keep}
+            if not more:
+                break
+            held |= more
+        goal.append({x: own[x] / keep if x in held else share[x] * scale for x in levels})
     w = n.copy()
-    index = [np.unique([c[k] for c in cells], return_inverse=True)[1] for k in range(len(dims))]
-    targets = [np.bincount(ix, weights=n) ** mixing.TEMPERATURE[d] for ix, d in zip(index, dims, strict=True)]
     for _ in range(sweeps):
-        for ix, t in zip(index, targets, strict=True):
-            w *= (t / np.bincount(ix, weights=w))[ix]
-    return w
+        for k in range(len(dims)):
+            for x, t in goal[k].items():
+                mine = np.array([c[k] == x for c in cells])
+                w[mine] = np.minimum(n[mine] / keep, w[mine] * (t / w[mine].sum())) if w[mine].sum() else 0.0
+    return w, goal
 
 
-def test_raking_meets_its_marginals(spark):
+CELLS = "__mix_source string, __mix_lang string, __mix_topic string, n long"
+
+
+@pytest.mark.parametrize("targets", [None, {"lang": {"l0": 0.5, "l1": 0.5}}])
+def test_raking_against_numpy(spark, targets):
     r = np.random.default_rng(1)
     cells = [(f"s{a}", f"l{b}", f"t{c}", int(r.integers(1, 5000))) for a in range(6) for b in range(3) for c in range(4) if r.random() < 0.8]
-    df = spark.createDataFrame(cells, "__mix_source string, __mix_lang string, __mix_topic string, n long")
-    got = {tuple(x)[:3]: x.w for x in mixing.raked(df).collect()}
-    want = numpy_raking(cells, list(mixing.TEMPERATURE), mixing.SWEEPS)
+    got = {tuple(x)[:3]: x.w for x in mixing.raked(spark.createDataFrame(cells, CELLS), targets).collect()}
+    want, _ = numpy_raking(cells, mixing.SWEEPS, mixing.KEEP, targets)
     assert [got[c[:3]] for c in cells] == pytest.approx(list(want), rel=1e-9)
-    given = mixing.raked(df, {"lang": {"l0": 0.5, "l1": 0.5}}, {"lang": 1.0})
-    sums = {x[0]: x[1] for x in given.groupBy("__mix_lang").agg(F.sum("w")).collect()}
-    assert sums["l0"] == pytest.approx(sums["l1"]) and sums.get("l2", 0) == 0
+
+
+def test_sample_has_the_target_marginals_where_small_sources_abound(spark):
+    """One source of a third of all tokens, many of 4 %, many of 0.1 %: what the sample is expected to have is what is asked for."""
+    r = np.random.default_rng(2)
+    shares = [34.0] + [4.0] * 16 + [0.1] * 20
+    rows = [(None, "w " * int(r.integers(40, 900)) + "|" * int(r.choice([0, 0, 200])), "abc"[int(r.integers(0, 3))], f"s{i}") for i, share in enumerate(shares) for _ in range(int(share * 30))]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    got = mixing.marginals(df).collect()
+    total = sum(x.tokens for x in got if x.dimension == "lang")
+    for d in mixing.TEMPERATURE:
+        own = [x for x in got if x.dimension == d]
+        assert sum(x.target for x in own) == pytest.approx(mixing.KEEP * total) and all(x.target <= x.tokens * (1 + 1e-9) for x in own)
+        assert all(abs(x.expected - x.target) <= 0.03 * x.target for x in own)
+    drawn = mixing.calibrated(df).agg(F.max("__mix_probability"), F.sum(F.col("__mix_probability") * F.col("__mix_tokens"))).first()
+    assert drawn[0] <= 1 and drawn[1] == pytest.approx(mixing.KEEP * total, rel=0.01)
+    small = [x for x in got if x.level == "s30"]
+    assert small[0].expected > 0.8 * small[0].target
 
 
 def test_mixing_of_hard_texts(spark):

@@ -1,18 +1,21 @@
 """Mixing sources to target weights by iterative proportional fitting, in DataFrame functions only.
 
 Token weights of the cells (source, language, topic) are raked to target marginals: in turn, the cells of each source,
-each language and each topic are scaled to that level's target, and the round is repeated. Documents are then sampled
-by the calibrated probability of their cell.
+each language and each topic are scaled to that level's target, and the round is repeated. No weight may ask for more
+tokens than its cell has: it is held there in every step, and later steps give the rest to the other cells of the level.
+Documents are then sampled by the calibrated probability of their cell, which is therefore never above 1.
 
 Targets: by default a level's target is its tokens to a power below 1 (``TEMPERATURE``), so large levels give way to
-small ones; explicit shares can be given instead. ``KEEP`` is the part of all tokens that is to be kept; a cell whose
-probability would exceed 1 is kept whole.
+small ones; explicit shares can be given instead. ``KEEP`` is the part of all tokens that is to be kept. A level whose
+target is more than all its tokens gets all of them, and the others share the rest in proportion to their targets
+(``reachable``). ``marginals`` tells each level's target and what the sample is expected to have.
 
 A topic is a form of text by rules over the whole of it: table, lines, or prose by length.
 
 Defined results: a null source or language is a level of its own; a null text is empty, counts one token and is short
-prose; a null doc_id is drawn like the empty string, rows with equal doc_id are kept or dropped together; an empty table
-gives no rows; extra columns pass through ``sample``, and those that clash with the working names keep their values.
+prose; a null doc_id is drawn like the empty string, rows with equal doc_id are kept or dropped together; levels beyond
+explicit targets are dropped; an empty table gives no rows; extra columns pass through ``sample``, and those that clash
+with the working names keep their values.
 """
 
 from __future__ import annotations
@@ -24,7 +27,7 @@ from .common import written
 
 TEMPERATURE = {"source": 0.7, "lang": 0.8, "topic": 0.9}
 KEEP = 0.7
-SWEEPS = 6
+SWEEPS = 8
 SEED = "mix-0"
 _W = "__mix_"  # working columns
 
@@ -48,37 +51,72 @@ def described(docs: DataFrame) -> DataFrame:
     return docs.withColumns({f"{_W}source": level("source"), f"{_W}lang": level("lang"), f"{_W}topic": topic(F.col("text")), f"{_W}tokens": tokens(F.col("text"))})
 
 
-def raked(cells: DataFrame, targets: dict[str, dict[str, float]] | None = None, temperature: dict[str, float] = TEMPERATURE, sweeps: int = SWEEPS) -> DataFrame:
-    """cells (levels, tokens n) with ``w``, the tokens scaled to all marginals. Levels beyond explicit targets get 0."""
-    dims = list(temperature)
-    of = {d: Window.partitionBy(f"{_W}{d}") for d in dims}
-    out = cells
-    for d in dims:
-        given = (targets or {}).get(d)
-        if given:
-            share = F.create_map(*[F.lit(x) for kv in given.items() for x in kv])
-            out = out.withColumn(f"{_W}t_{d}", F.coalesce(F.try_element_at(share, F.col(f"{_W}{d}")), F.lit(0.0)))
-        else:
-            out = out.withColumn(f"{_W}t_{d}", F.pow(F.sum("n").over(of[d]).cast("double"), F.lit(temperature[d])))
+def _share(dim: str, level: Column, n: Column, targets: dict[str, dict[str, float]] | None) -> Column:
+    """A level's target, in any unit."""
+    given = (targets or {}).get(dim)
+    if not given:
+        return F.pow(n.cast("double"), F.lit(TEMPERATURE[dim]))
+    return F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for kv in given.items() for x in kv]), level), F.lit(0.0)).cast("double")
+
+
+def reachable(cells: DataFrame, targets: dict[str, dict[str, float]] | None = None, keep: float = KEEP) -> dict[str, float]:
+    """For each dimension the factor from shares to tokens with which, levels held at what they have, all tokens come out.
+
+    ``cells`` is a written table. Weights add up to all tokens and are then kept in part ``keep``, so a level has n / keep.
+    """
+    one = lambda d: cells.groupBy(F.lit(d).alias("dim"), F.col(f"{_W}{d}").alias("level")).agg(F.sum("n").alias("n")).withColumn("t", _share(d, F.col("level"), F.col("n"), targets))
+    parts = [one(d) for d in TEMPERATURE]
+    levels = written(parts[0].union(parts[1]).union(parts[2]), "mix-levels")
+    factor, before = dict.fromkeys(TEMPERATURE, 0.0), None
+    while factor != before:  # the levels that are held only become more
+        before = dict(factor)
+        now = F.element_at(F.create_map(*[F.lit(x) for kv in factor.items() for x in kv]), F.col("dim")) * F.col("t")
+        most = F.col("n") / F.lit(float(keep))
+        held = now >= most
+        sums = levels.groupBy("dim").agg(F.sum("n").alias("all"), F.coalesce(F.sum(F.when(held, most)), F.lit(0.0)).alias("held"), F.coalesce(F.sum(F.when(~held, F.col("t"))), F.lit(0.0)).alias("free"))
+        for r in sums.collect():  # one row a dimension
+            if r.free > 0:
+                factor[r.dim] = max(factor[r.dim], (float(r["all"]) - r.held) / r.free)
+    return factor
+
+
+def raked(cells: DataFrame, targets: dict[str, dict[str, float]] | None = None, sweeps: int = SWEEPS, keep: float = KEEP) -> DataFrame:
+    """cells (levels, tokens n; a written table) with ``w``, the tokens scaled to all marginals, and each level's target."""
+    of = {d: Window.partitionBy(f"{_W}{d}") for d in TEMPERATURE}
+    factor, out = reachable(cells, targets, keep), cells
+    for d in TEMPERATURE:
+        n = F.sum("n").over(of[d])
+        out = out.withColumn(f"{_W}t_{d}", F.least(_share(d, F.col(f"{_W}{d}"), n, targets) * F.lit(factor[d]), n / F.lit(float(keep))))
+    most = F.col("n") / F.lit(float(keep))
     out = out.withColumn("w", F.col("n").cast("double"))
     for _ in range(sweeps):
-        for d in dims:
-            # The scale of a target set cancels out in the next step, so only its proportions matter.
+        for d in TEMPERATURE:
             total = F.sum("w").over(of[d])
-            out = out.withColumn("w", F.when(total > 0, F.col("w") * F.col(f"{_W}t_{d}") / total).otherwise(0.0))
-    return out.select(*(f"{_W}{d}" for d in dims), "n", "w")
+            out = out.withColumn("w", F.when(total > 0, F.least(most, F.col("w") * F.col(f"{_W}t_{d}") / total)).otherwise(0.0))
+    return out
+
+
+def described_cells(rows: DataFrame) -> DataFrame:
+    """The cells of described documents, written down."""
+    return written(rows.groupBy(*(f"{_W}{d}" for d in TEMPERATURE)).agg(F.sum(f"{_W}tokens").alias("n")), "mix-cells")
+
+
+def marginals(docs: DataFrame, targets: dict[str, dict[str, float]] | None = None, keep: float = KEEP) -> DataFrame:
+    """Per dimension and level: its tokens, its target, and the tokens that the sample is expected to have of it."""
+    cells = written(raked(described_cells(described(docs)), targets, SWEEPS, keep), "mix-raked")
+    one = lambda d: cells.groupBy(F.lit(d).alias("dimension"), F.col(f"{_W}{d}").alias("level")).agg(F.sum("n").alias("tokens"), (F.first(f"{_W}t_{d}") * keep).alias("target"), (F.sum("w") * keep).alias("expected"))
+    parts = [one(d) for d in TEMPERATURE]
+    return parts[0].union(parts[1]).union(parts[2])
 
 
 def calibrated(docs: DataFrame, targets: dict[str, dict[str, float]] | None = None, keep: float = KEEP) -> DataFrame:
     """docs with working columns: levels, tokens, weight (times its natural share), probability, kept."""
     rows = described(docs)
     dims = [f"{_W}{d}" for d in TEMPERATURE]
-    cells = written(raked(rows.groupBy(*dims).agg(F.sum(f"{_W}tokens").alias("n")), targets), "mix-cells")
-    sums = cells.agg(F.sum("n").cast("double").alias("all_n"), F.sum("w").alias("all_w"))  # one row
-    weights = cells.join(F.broadcast(sums)).select(*dims, F.try_divide(F.col("w") * F.col("all_n"), F.col("n") * F.col("all_w")).alias(f"{_W}weight"))
+    weights = raked(described_cells(rows), targets, SWEEPS, keep).select(*dims, F.try_divide(F.col("w"), F.col("n")).alias(f"{_W}weight"))
     draw = F.conv(F.substring(F.md5(F.concat(F.lit(f"{SEED}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).cast("binary")), 1, 8), 16, 10).cast("double") / F.lit(4294967296.0)
     joined = rows.join(weights, dims, "left")
-    out = joined.withColumn(f"{_W}probability", F.least(F.lit(1.0), F.coalesce(F.col(f"{_W}weight"), F.lit(0.0)) * F.lit(keep)))
+    out = joined.withColumn(f"{_W}probability", F.least(F.lit(1.0), F.coalesce(F.col(f"{_W}weight"), F.lit(0.0)) * F.lit(float(keep))))
     return out.withColumn(f"{_W}kept", draw < F.col(f"{_W}probability"))
 
 
@@ -94,23 +132,40 @@ def op5_source_mixing(spark, sf_dir: str) -> DataFrame:
     return out.select("doc_id", c["source"].alias("source"), c["lang"].alias("lang"), c["topic"].alias("topic"), c["tokens"].alias("tokens"), F.round(c["weight"], 6).alias("weight"), F.round(c["probability"], 6).alias("probability"), c["kept"].alias("kept"))
 
 
-def _oracle(sweeps: int = SWEEPS) -> str:
-    steps, last = [], "w0"
-    for k in range(sweeps):
-        for d in TEMPERATURE:
-            name = f"w{len(steps) + 1}"
-            steps.append(f"{name} AS (SELECT * REPLACE (w * t_{d} / sum(w) OVER (PARTITION BY {d}) AS w) FROM {last})")
-            last = name
-    start = ", ".join(f"pow(CAST(sum(n) OVER (PARTITION BY {d}) AS DOUBLE), {t}::DOUBLE) AS t_{d}" for d, t in TEMPERATURE.items())
+def _oracle(sweeps: int = SWEEPS, rounds: int = 8) -> str:
+    """Rounds of ``reachable`` beyond the one in which nothing changes leave all as it is."""
+    steps, last = [], "f0"
+
+    def step(body: str) -> None:
+        nonlocal last
+        name = f"f{len(steps) + 1}"
+        steps.append(f"{name} AS (SELECT * REPLACE ({body}) FROM {last})")
+        last = name
+
+    most = {d: f"(n_{d} / {KEEP}::DOUBLE)" for d in TEMPERATURE}
+    for _ in range(rounds):
+        # Sums over levels: each cell carries its part of its level.
+        parts = [
+            f"greatest(c_{d}, (sum(CAST(n AS DOUBLE)) OVER () - coalesce(sum(CASE WHEN c_{d} * s_{d} >= {m} THEN {m} * n / n_{d} END) OVER (), 0))"
+            f" / sum(CASE WHEN c_{d} * s_{d} < {m} THEN s_{d} * n / n_{d} END) OVER ()) AS c_{d}"
+            for d, m in most.items()
+        ]
+        step(", ".join(parts))
+    for _ in range(sweeps):
+        for d, m in most.items():
+            step(f"least(n / {KEEP}::DOUBLE, w * least(c_{d} * s_{d}, {m}) / sum(w) OVER (PARTITION BY {d})) AS w")
+    sums = ", ".join(f"CAST(sum(n) OVER (PARTITION BY {d}) AS DOUBLE) AS n_{d}" for d in TEMPERATURE)
+    shares = ", ".join(f"pow(n_{d}, {t}::DOUBLE) AS s_{d}, 0::DOUBLE AS c_{d}" for d, t in TEMPERATURE.items())
     return f"""
         WITH raw AS (SELECT doc_id, coalesce(lang, '(none)') AS lang, coalesce(source, '(none)') AS source, coalesce(text, '') AS text FROM documents),
         sized AS (SELECT *, length(text) AS chars, length(text) - length(replace(text, '|', '')) AS bars, length(text) - length(replace(text, chr(10), '')) AS breaks FROM raw),
         rows AS (SELECT doc_id, lang, source, CAST(ceil((strlen(text) + 1) / 4.0::DOUBLE) AS BIGINT) AS tokens,
             CASE WHEN bars * 40 > chars THEN 'table' WHEN breaks * 120 > chars THEN 'lines' WHEN chars < 1000 THEN 'short' WHEN chars < 4000 THEN 'medium' ELSE 'long' END AS topic FROM sized),
         cells AS (SELECT source, lang, topic, CAST(sum(tokens) AS BIGINT) AS n FROM rows GROUP BY ALL),
-        w0 AS (SELECT *, {start}, CAST(n AS DOUBLE) AS w FROM cells),
+        summed AS (SELECT *, {sums} FROM cells),
+        f0 AS (SELECT *, {shares}, CAST(n AS DOUBLE) AS w FROM summed),
         {", ".join(steps)},
-        weighed AS (SELECT source, lang, topic, w * CAST(sum(n) OVER () AS DOUBLE) / (n * sum(w) OVER ()) AS weight FROM {last}),
+        weighed AS (SELECT source, lang, topic, w / n AS weight FROM {last}),
         drawn AS (SELECT *, least(1.0::DOUBLE, weight * {KEEP}::DOUBLE) AS p,
             CAST(('0x' || substr(md5('{SEED}:' || coalesce(CAST(doc_id AS VARCHAR), '')), 1, 8))::BIGINT AS DOUBLE) / 4294967296.0::DOUBLE AS u
             FROM rows JOIN weighed USING (source, lang, topic))
