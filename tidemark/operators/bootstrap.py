@@ -1,8 +1,9 @@
-"""Block bootstrap of metrics as a join: drawn positions against points.
+"""Block bootstrap of metrics.
 
-Which positions a resample draws depends only on the seed, the number of points, the block and the number of
-resamples, so series of equal length share them. A resample is kept as positions with how often they were drawn, and all
-metrics are weighted sums over it.
+A series (the points of one predictor against one target) becomes one row of arrays, since every resample draws from all
+of it; its resamples are dealt out in parts of ``PART`` to tasks of their own, and a task works on bounded slices of
+resamples x points. Which positions a resample draws depends only on the seed, the number of points, the block and the
+resample's number, so any task can draw any part.
 """
 
 from __future__ import annotations
@@ -12,11 +13,15 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from . import metrics as M
 
+#: Resamples of one series in one task; resamples x points that are held at a time.
+PART, CELLS = 100, 1 << 20
+
 
 @dataclass(frozen=True)
 class Inference:
@@ -27,40 +32,93 @@ class Inference:
     random_seed: int = 42
 
 
-def block_draws(n: int, inference: Inference, seed: int) -> Iterator[np.ndarray]:
-    """For each resample the positions drawn: whole blocks from random starts, cut to n."""
-    rng = np.random.default_rng(seed)
-    size = min(inference.block_size, n)
-    blocks = -(-n // size)
-    for _ in range(inference.n_bootstrap):
-        starts = rng.integers(0, max(n - inference.block_size + 1, 1), size=blocks)
-        yield (starts[:, None] + np.arange(size)[None, :]).ravel()[:n]
-
-
-def draws(lengths: DataFrame, inference: Inference, seed: int) -> DataFrame:
-    """(n, rep, pos, c) for each distinct n in ``lengths``."""
-
-    def make(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _ranks(codes: np.ndarray, drawn: np.ndarray) -> np.ndarray:
+    """Average ranks within each row of ``drawn`` positions; ``codes`` number the distinct values in their order."""
+    picked, many = codes[drawn], int(codes.max()) + 1
+    at = np.arange(len(drawn))[:, None] * many + picked
+    counts = np.bincount(at.ravel(), minlength=len(drawn) * many).reshape(len(drawn), many)
+    return np.take_along_axis(counts.cumsum(axis=1) - (counts - 1) / 2.0, picked, axis=1)
+
+
+def _correlations(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    varied = (a.min(axis=1) < a.max(axis=1)) & (b.min(axis=1) < b.max(axis=1))
+    a, b = (m - m.mean(axis=1, keepdims=True) for m in (a, b))
+    va, vb = (a * a).sum(axis=1), (b * b).sum(axis=1)
+    varied &= (va > 0) & (vb > 0)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        return np.where(varied, np.clip((a * b).sum(axis=1) / np.sqrt(va * vb), -1.0, 1.0), np.nan)
+
+
+def values_of(x: np.ndarray, y: np.ndarray, drawn: np.ndarray, metrics: tuple[str, ...]) -> dict[str, np.ndarray]:
+    """Each metric for every row of drawn positions; nan where it is not defined."""
+    if drawn.shape[1] < 2:
+        return {m: np.full(len(drawn), np.nan) for m in metrics}
+    xs, ys = x[drawn], y[drawn]
+    error = ((ys - xs) ** 2).sum(axis=1)
+    out = {}
+    for m in metrics:
+        if m == "pearson":
+            out[m] = _correlations(xs, ys)
+        elif m == "spearman":
+            out[m] = _correlations(*(_ranks(np.unique(v, return_inverse=True)[1].reshape(-1), drawn) for v in (x, y)))
+        elif m == "r2":
+            total = ((ys - ys.mean(axis=1, keepdims=True)) ** 2).sum(axis=1)
+            flat = (ys.min(axis=1) == ys.max(axis=1)) | (total <= 0)
+            with np.errstate(divide="ignore", invalid="ignore"):
+                fit = np.where(flat, np.where(error == 0, 1.0, 0.0), 1 - error / total)
+            out[m] = np.where(xs.min(axis=1) < xs.max(axis=1), fit, np.nan)
+        else:
+            out[m] = error / drawn.shape[1]
+    return out
+
+
+def resampled(points: DataFrame, keys: list[str], order: list[str], inference: Inference, seed: int, metrics: tuple[str, ...], base: str | None = None) -> DataFrame:
+    """(keys, n, rep, metric, value), and with ``base`` the same metric of that predictor; rep -1 is the series itself.
+
+    Points with a missing or infinite value take no part.
+    """
+    columns = ["x", "y", *([base] if base else [])]
+    good = points.withColumns({c: M.finite(F.col(c)) for c in columns}).where(" and ".join(f"{c} is not null" for c in columns))
+    lists = good.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct(*order, *columns))).alias("p"))
+    series = lists.select(*keys, *(F.col(f"p.{c}").alias(c) for c in columns))
+    parts = max(1, -(-inference.n_bootstrap // PART)) if inference.enabled else 1
+    dealt = series.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))).repartition(*keys, "part")
+    names = [*keys, "n", "rep", "metric", "value", *(["base"] if base else [])]
+
+    def slices(n: int, part: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        if part == 0:
+            yield np.array([-1]), np.arange(n)[None, :]
+        if not inference.enabled:
+            return
+        size = min(inference.block_size, n)
+        blocks, lo, hi = -(-n // size), part * PART, min(inference.n_bootstrap, (part + 1) * PART)
+        rng, step = np.random.default_rng(seed), max(1, CELLS // n)
+        high = max(n - inference.block_size + 1, 1)
+        for _ in range(lo):
+            rng.integers(0, high, size=blocks)
+        for first in range(lo, hi, step):
+            reps = np.arange(first, min(first + step, hi))
+            starts = np.stack([rng.integers(0, high, size=blocks) for _ in reps])
+            yield reps, (starts[:, :, None] + np.arange(size)[None, None, :]).reshape(len(reps), -1)[:, :n]
+
+    def draw(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            for n in frame["n"]:
-                for rep, picked in enumerate(block_draws(int(n), inference, seed)):
-                    pos, c = np.unique(picked, return_counts=True)
-                    yield pd.DataFrame({"n": int(n), "rep": rep, "pos": pos, "c": c})
-
-    return lengths.select(F.col("n").cast("long").alias("n")).where("n > 0").distinct().mapInPandas(make, "n long, rep int, pos long, c long")
-
-
-def numbered(points: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
-    """Clean points with their position and number in the series."""
-    over = Window.partitionBy(*keys)
-    return M.clean(points).withColumns({"pos": F.row_number().over(over.orderBy(*order)).cast("long") - 1, "n": F.count(F.lit(1)).over(over)})
-
-
-def resampled(points: DataFrame, keys: list[str], inference: Inference, seed: int, metrics: tuple[str, ...]) -> DataFrame:
-    """Metric values of each resample of each series; ``points`` come from ``numbered``."""
-    rows = M.centred(points, keys)
-    drawn = draws(rows.select("n"), inference, seed)
-    return M.metric_values(rows.join(drawn, ["n", "pos"]), [*keys, "rep"], metrics)
+            for row in frame.itertuples(index=False):
+                x, y, *other = (np.asarray(getattr(row, c), float) for c in columns)
+                for reps, drawn in slices(len(x), int(row.part)):
+                    own = values_of(x, y, drawn, metrics)
+                    against = values_of(other[0], y, drawn, metrics) if base else {}
+                    for m in metrics:
+                        out = pd.DataFrame({"rep": reps, "value": own[m]})
+                        if base:
+                            out["base"] = against[m]
+                        for k in keys:
+                            out[k] = getattr(row, k)
+                        out["n"], out["metric"] = len(x), m
+                        yield out.dropna(subset=["value", *(["base"] if base else [])])[names]
+
+    schema = StructType([*(f for f in series.schema.fields if f.name in keys), *StructType.fromDDL("n long, rep int, metric string, value double" + (", base double" if base else "")).fields])
+    return dealt.mapInPandas(draw, schema)
 
 
 def percentile_ci(column: str, level: float):
@@ -73,21 +131,15 @@ def metric_inference(points: DataFrame, keys: list[str], order: list[str], infer
 
     The p-value is that of the t test for correlations, else twice the share of resamples on the other side of 0.
     """
-    rows = numbered(points, keys, order)
-    observed = M.melted(M.metric_values(rows, keys, metrics), keys, metrics)
-    parametric = F.when(F.col("metric").isin("pearson", "spearman") & (F.col("n") >= 3), M.correlation_p(F.when(F.col("metric").isin("pearson", "spearman"), F.col("value")), F.col("n").cast("double")))
-    if not inference.enabled:
-        none = F.lit(None).cast("double")
-        return observed.withColumns({"p_value": parametric, "ci_low": none, "ci_high": none, "n_bootstrap": F.lit(0).cast("long")})
-    reps = M.melted(resampled(rows, keys, inference, inference.random_seed, metrics), [*keys, "rep"], metrics).drop("n").withColumnRenamed("value", "sample")
-    both = observed.join(reps, [*keys, "metric"], "left")
-    grouped = both.groupBy(*keys, "metric", "n", "value").agg(
-        F.count("sample").alias("n_bootstrap"), percentile_ci("sample", inference.ci_level).alias("ci"), F.count_if(F.col("sample") <= 0).alias("below"), F.count_if(F.col("sample") >= 0).alias("above")
-    )
+    rows = resampled(points, keys, order, inference, inference.random_seed, metrics)
+    own, sample = F.col("rep") < 0, F.when(F.col("rep") >= 0, F.col("value"))
+    value = F.max(F.when(own, F.col("value")))
+    grouped = rows.groupBy(*keys, "metric", "n").agg(value.alias("value"), F.count(sample).alias("n_bootstrap"), percentile_ci(sample, inference.ci_level).alias("ci"), F.count_if(sample <= 0).alias("below"), F.count_if(sample >= 0).alias("above")).where("value is not null")
+    correlation = F.when(F.col("metric").isin("pearson", "spearman") & (F.col("n") >= 3), F.col("value"))
+    parametric = F.when(correlation.isNotNull(), M.correlation_p(correlation, F.col("n").cast("double")))
     share = F.try_divide(2.0 * F.when(F.col("value") >= 0, F.col("below")).otherwise(F.col("above")), F.col("n_bootstrap"))
-    return grouped.select(
-        *keys, "metric", "value", F.coalesce(parametric, F.least(F.lit(1.0), share)).alias("p_value"), F.get("ci", F.lit(0)).alias("ci_low"), F.get("ci", F.lit(1)).alias("ci_high"), "n", "n_bootstrap"
-    )
+    p_value = F.coalesce(parametric, F.least(F.lit(1.0), share))
+    return grouped.select(*keys, "metric", "value", p_value.alias("p_value"), F.get("ci", F.lit(0)).alias("ci_low"), F.get("ci", F.lit(1)).alias("ci_high"), "n", "n_bootstrap")
 
 
 def delta_inference(pairs: DataFrame, keys: list[str], order: list[str], inference: Inference = Inference(), metrics: tuple[str, ...] = M.METRICS) -> DataFrame:
@@ -95,23 +147,12 @@ def delta_inference(pairs: DataFrame, keys: list[str], order: list[str], inferen
 
     The p-value is the share of resamples without advantage. For mse a smaller error is the advantage.
     """
-    full = pairs.withColumns({k: M.finite(F.col(k)) for k in ("x", "x_base", "y")}).where("x is not null and x_base is not null and y is not null")
-    rows = numbered(full, keys, order)
-    sides = {"own": rows, "base": rows.withColumn("x", F.col("x_base"))}
-    own, base = (M.melted(M.metric_values(r, keys, metrics), keys, metrics).withColumnRenamed("value", name) for name, r in sides.items())
-    observed = own.join(base.drop("n"), [*keys, "metric"])
-    gain = F.when(F.col("metric") == "mse", F.col("base") - F.col("own")).otherwise(F.col("own") - F.col("base"))
-    observed = observed.withColumn("delta", gain)
-    if not inference.enabled:
-        none = F.lit(None).cast("double")
-        return observed.select(*keys, "metric", "delta", none.alias("p_value"), none.alias("ci_low"), none.alias("ci_high"), "n", F.lit(0).cast("long").alias("n_bootstrap"))
-    seed = inference.random_seed + 17
-    own, base = (M.melted(resampled(r, keys, inference, seed, metrics), [*keys, "rep"], metrics).drop("n").withColumnRenamed("value", name) for name, r in sides.items())
-    reps = own.join(base, [*keys, "rep", "metric"]).select(*keys, "metric", gain.alias("sample"))
-    both = observed.join(reps, [*keys, "metric"], "left")
-    grouped = both.groupBy(*keys, "metric", "n", "delta").agg(
-        F.count("sample").alias("n_bootstrap"), percentile_ci("sample", inference.ci_level).alias("ci"), F.try_divide(F.count_if(F.col("sample") <= 0).cast("double"), F.count("sample")).alias("p_value")
-    )
+    rows = resampled(pairs, keys, order, inference, inference.random_seed + 17, metrics, base="x_base")
+    gain = F.when(F.col("metric") == "mse", F.col("base") - F.col("value")).otherwise(F.col("value") - F.col("base"))
+    own, sample = F.max(F.when(F.col("rep") < 0, gain)), F.when(F.col("rep") >= 0, gain)
+    grouped = rows.groupBy(*keys, "metric", "n").agg(
+        own.alias("delta"), F.count(sample).alias("n_bootstrap"), percentile_ci(sample, inference.ci_level).alias("ci"), F.try_divide(F.count_if(sample <= 0).cast("double"), F.count(sample)).alias("p_value")
+    ).where("delta is not null")
     return grouped.select(*keys, "metric", "delta", "p_value", F.get("ci", F.lit(0)).alias("ci_low"), F.get("ci", F.lit(1)).alias("ci_high"), "n", "n_bootstrap")
 
 

@@ -6,6 +6,7 @@ Floats that depend on the order of additions are rounded, on both sides alike.
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import replace
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -282,7 +283,8 @@ def bootstrap_market(spark, sf_dir):
 def bootstrap_deltas(spark, sf_dir):
     v = validation.Validation()
     panel = _panel(spark, sf_dir).withColumns({"model_key": F.lit("m"), "dataset_key": F.lit("d")})
-    return validation.deltas(panel, validation.incremental(panel, v), v)
+    values = validation.incremental(panel, replace(v, inference=replace(v.inference, enabled=False)))  # of these only the values are used
+    return validation.deltas(panel, values, v)
 
 
 # ---- classification ----
