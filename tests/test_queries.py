@@ -40,3 +40,11 @@ def test_bootstraps_cover_horizons_metrics_and_resamples(spark, sf, name):
     rows = entry.queries()[name](spark, sf).select("horizon", "metric", "n_bootstrap").collect()
     assert {(r.horizon, r.metric) for r in rows} == {(h, m) for h in (1, 5, 21) for m in ("pearson", "spearman", "r2", "mse")}
     assert max(r.n_bootstrap for r in rows) == 500
+
+
+def test_entity_articles_name_their_entities(spark, sf):
+    from tidemark.plans.queries import PAGE_ENTITIES
+
+    rows = entry.queries()["entity_articles"](spark, sf).collect()
+    names = {e[0]: e for e in PAGE_ENTITIES}
+    assert rows and all(any(w.lower() in f"{r.titulo} {r.noticia}".lower() for w in (names[r.empresa][0], names[r.empresa][2])) for r in rows)

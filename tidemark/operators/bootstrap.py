@@ -79,7 +79,7 @@ def resampled(points: DataFrame, keys: list[str], order: list[str], inference: I
     """
     columns = ["x", "y", *([base] if base else [])]
     good = points.withColumns({c: M.finite(F.col(c)) for c in columns}).where(" and ".join(f"{c} is not null" for c in columns))
-    lists = good.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct(*order, *columns))).alias("p"))
+    lists = good.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct(*dict.fromkeys([*order, *columns])))).alias("p"))
     series = lists.select(*keys, *(F.col(f"p.{c}").alias(c) for c in columns))
     parts = max(1, -(-inference.n_bootstrap // PART)) if inference.enabled else 1
     dealt = series.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))).repartition(*keys, "part")

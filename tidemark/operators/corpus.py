@@ -55,15 +55,15 @@ def append(existing: DataFrame, new: DataFrame) -> tuple[DataFrame, int, int]:
     return merged.drop("row_id"), total, added
 
 
-def accept_articles(articles: DataFrame, since: str, until: str, seen: DataFrame | None = None, min_chars: int = 40, site: str = "site", source: str = "site") -> DataFrame:
-    """Articles (position, url, title, body, day) to records: unseen, long enough, about an entity, within the window."""
+def accept_articles(articles: DataFrame, since: str, until: str, seen: DataFrame | None = None, min_chars: int = 40, site: str = "site", source: str = "site", entities: tuple = T.ENTITIES) -> DataFrame:
+    """Articles (position, url, title, body, day) to records: unseen, long enough, about one of ``entities``, within the window."""
     rows = articles.withColumns({"norm_url": T.normalize_url(F.col("url")), "title": T.or_empty(F.col("title")), "body": T.or_empty(F.col("body"))}).where("norm_url <> ''")
-    rows = rows.withColumn("first", F.row_number().over(Window.partitionBy("norm_url").orderBy("position")) == 1).where("first").drop("first")
+    rows = rows.groupBy("norm_url").agg(F.min_by(F.struct(*(c for c in rows.columns if c != "norm_url")), "position").alias("r")).select("norm_url", "r.*")
     if seen is not None:
         known = seen.select(T.normalize_url(F.col("url")).alias("norm_url")).distinct()
         rows = rows.join(known, "norm_url", "left_anti")
     both = T.strip(F.concat_ws(" ", "title", "body"))
-    rows = rows.withColumns({"both": both, "entity": T.match_entity(both), "day": F.col("day").cast("date")})
+    rows = rows.withColumns({"both": both, "entity": T.match_entity(both, entities), "day": F.col("day").cast("date")})
     good = (F.length("both") >= min_chars) & F.col("entity").isNotNull() & F.col("day").between(F.lit(since).cast("date"), F.lit(until).cast("date"))
     return rows.where(good).select(
         "position",

