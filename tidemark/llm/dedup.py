@@ -10,12 +10,15 @@ No group is ever paired with itself:
 1. Documents with the same set form a class; one represents it.
 2. In every band bucket all members are paired with the smallest member only. Confirmed pairs are linked, and linked
    classes form components.
-3. Only buckets that still hold several components are looked at again. How often each shingle of their members occurs
-   among them is counted. Documents of different components that share a rare shingle are paired through it, which is
-   linear. Two that share none have at most their frequent shingles in common; most members outside a bucket's main
-   component have too few of those to be similar to anything, and the rest meet only members that the same bound and
-   the estimate admit. All pairs left are confirmed. So every candidate pair is either confirmed, ruled out by a bound
-   or an estimate, or already connected; nothing is capped.
+3. Only buckets that still hold several components are looked at again. First every member outside a bucket's main
+   component meets up to ``PIVOTS`` members of that, which is linear and links most of those that belong to it.
+4. In the buckets that are still open, how often each shingle of their members occurs among them is counted. Documents
+   of different components that share a rare shingle are paired through it, which is linear. Two that share none have
+   at most their frequent shingles in common; most members outside a bucket's main component have too few of those to
+   be similar to anything, and the rest meet only members that this bound, the estimate and a second bound admit: the
+   bits in which two sets' parities differ (``PARITY`` bits a set) are no more than the shingles that only one of them
+   has. All pairs left are confirmed. So every candidate pair is either confirmed, ruled out by a bound or an estimate,
+   or already connected; nothing is capped.
 
 Classes, not documents, are compared: a class has a number of its own, so rows that share a doc_id but not their text
 never meet by it.
@@ -48,6 +51,8 @@ WORDS, PERCENT = 5, 80
 LEAST_ESTIMATE = 0.50
 #: A shingle that at most so many of the documents looked at have is rare; the rare ones are paired through it.
 RARE = 32
+#: Members of a bucket's main component that every other member meets, at most; bits of a set's parity.
+PIVOTS, PARITY = 16, 2048
 
 _K = BANDS * ROWS
 _random = np.random.default_rng(20240601)
@@ -145,14 +150,20 @@ def signatures(docs: DataFrame, words: int = WORDS) -> DataFrame:
     return map_arrow(rows, sign, "doc_id long, n long, k0 long, k1 long, s0 long, s1 long, s2 long, bands array<bigint>")
 
 
+def parity(shingles: np.ndarray) -> np.ndarray:
+    """For each of PARITY classes of hashes, whether the set has an odd number of it, packed."""
+    odd = np.bincount((shingles >> np.uint64(40)).astype(np.int64) % PARITY, minlength=PARITY) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
 def shingle_sets(docs: DataFrame, words: int = WORDS) -> DataFrame:
-    """doc_id, k0 and k1 (hash of the set) and the full set; repeats next to each other are left out."""
+    """doc_id, k0 and k1 (hash of the set), the full set and its parity; repeats next to each other are left out."""
 
     def collect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             met: set = set()
             for i in range(0, b.num_rows, 256):
-                ids, keys, sets = [], [], []
+                ids, keys, sets, odd = [], [], [], []
                 for doc, text in zip(b.column(0)[i : i + 256].to_pylist(), b.column(1)[i : i + 256], strict=True):
                     own = sets_of(text.as_py(), words)
                     key = _set_key(own)
@@ -161,10 +172,11 @@ def shingle_sets(docs: DataFrame, words: int = WORDS) -> DataFrame:
                         ids.append(doc)
                         keys.append(key)
                         sets.append(own.view(np.int64))
+                        odd.append(parity(own))
                 k = np.array(keys, np.int64).reshape(len(ids), 2)
-                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), *(pa.array(np.ascontiguousarray(c)) for c in k.T), pa.array(sets, pa.list_(pa.int64()))], ["doc_id", "k0", "k1", "shingles"])
+                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), *(pa.array(np.ascontiguousarray(c)) for c in k.T), *(pa.array(x, pa.list_(pa.int64())) for x in (sets, odd))], ["doc_id", "k0", "k1", "shingles", "odd"])
 
-    return map_arrow(docs, collect, "doc_id long, k0 long, k1 long, shingles array<bigint>")
+    return map_arrow(docs, collect, "doc_id long, k0 long, k1 long, shingles array<bigint>, odd array<bigint>")
 
 
 def estimate(a: str, b: str) -> Column:
@@ -187,12 +199,12 @@ def _texts(docs: DataFrame) -> DataFrame:
 
 
 def _sets_for(docs: DataFrame, classes: DataFrame, nodes: DataFrame, words: int) -> DataFrame:
-    """node and shingles of the classes in ``nodes`` (one column), each once."""
+    """node, shingles and odd (their parity) of the classes in ``nodes`` (one column), each once."""
     wanted = written(classes.select("node", "doc_id", "k0", "k1").join(nodes.toDF("node").distinct(), "node", "left_semi"), "dedup-wanted")
     texts = _texts(docs).join(sized(wanted.select("doc_id").distinct()), "doc_id", "left_semi")
-    sets = written(shingle_sets(texts, words).join(sized(wanted), ["doc_id", "k0", "k1"]).select("node", "shingles"), "dedup-sets")
+    sets = written(shingle_sets(texts, words).join(sized(wanted), ["doc_id", "k0", "k1"]).select("node", "shingles", "odd"), "dedup-sets")
     if sets.count() > wanted.count():  # rows that repeat doc_id and set
-        sets = written(sets.groupBy("node").agg(F.any_value("shingles").alias("shingles")), "dedup-sets")
+        sets = written(sets.groupBy("node").agg(F.any_value("shingles").alias("shingles"), F.any_value("odd").alias("odd")), "dedup-sets")
     return sets
 
 
@@ -209,17 +221,47 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return alike.where(F.col("i") * 100 >= (F.col("sizes") - F.col("i")) * percent).select("a", "b")
 
 
-def _rest(open_: DataFrame, sets: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
-    """Pairs of different components that may still be similar.
+def _bound(a: str, b: str, percent: int) -> Column:
+    """False only where the parities differ in so many bits that the sets can't be similar enough."""
+    differ = F.aggregate(F.zip_with(f"{a}odd", f"{b}odd", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda n, x: n + x)
+    sizes = F.col(f"{a}n") + F.col(f"{b}n")
+    return (sizes - differ) * (100 + percent) >= sizes * (2 * percent)
 
-    ``open_`` has key, node, component, main and the packed bits: the members of buckets with several components.
-    """
+
+def _side(rows: DataFrame, s: str, *more: str) -> DataFrame:
+    """``rows`` with node as ``s`` and the other columns under its prefix."""
+    return rows.select(F.col("node").alias(s), *(F.col(c).alias(f"{s}{c}") for c in ("key", "component", "main", "n", "odd", *more)), *(F.col(f"s{k}").alias(f"{s}{k}") for k in range(3)))
+
+
+def _ordered(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+
+
+def _open(members: DataFrame, labels: DataFrame) -> DataFrame:
+    """The members (key, node, ...) of buckets that hold several components, with their own and the bucket's main one."""
+    labelled = members.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    counts = labelled.groupBy("key", "component").agg(F.count(F.lit(1)).alias("n"))
+    mixed = counts.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.max_by("component", F.struct("n", "component")).alias("main")).where("low < high").select("key", "main")
+    return labelled.join(written(mixed, "dedup-mixed"), "key")
+
+
+def _by_pivots(open_: DataFrame, percent: int) -> DataFrame:
+    """Members outside the main component with at most PIVOTS of it."""
+    slot = F.pmod(F.xxhash64("node"), F.lit(PIVOTS))
+    chosen = open_.where("component = main").groupBy("key", slot.alias("slot")).agg(F.min("node").alias("node")).select("key", "node")
+    pivots = written(open_.join(chosen, ["key", "node"], "left_semi"), "dedup-pivots")
+    meet = (F.col("akey") == F.col("bkey")) & (estimate("a", "b") >= LEAST_ESTIMATE) & _bound("a", "b", percent)
+    return _ordered(_side(open_.where("component <> main"), "a").join(_side(pivots, "b"), meet))
+
+
+def _rest(open_: DataFrame, sets: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """Pairs of different components that may still be similar, of the members of open buckets."""
     nodes = written(open_.select("node", "component", "s0", "s1", "s2").dropDuplicates(["node"]), "dedup-open-nodes")
-    rows = sets.select("node", F.explode("shingles").alias("shingle"))
+    rows = sets.join(nodes, "node", "left_semi").select("node", F.explode("shingles").alias("shingle"))
     # Written down, so that the join with a shingle that very many have can be split.
     often = written(rows.groupBy("shingle").agg(F.count(F.lit(1)).alias("df")).where("df > 1"), "dedup-often")
     counted = written(rows.join(often, "shingle"), "dedup-shingles")
-    frequent = counted.groupBy("node").agg(F.count_if(F.col("df") > RARE).alias("frequent"))
+    frequent = counted.groupBy("node").agg(F.count_if(F.col("df") > RARE).cast("int").alias("f"))
 
     # By rare shingles: a list of at most RARE nodes each.
     own = F.struct("node", "component", "s0", "s1", "s2")
@@ -229,20 +271,17 @@ def _rest(open_: DataFrame, sets: DataFrame, classes: DataFrame, percent: int) -
     paired = F.flatten(F.transform("l", lambda x: F.transform(apart(x), lambda y: F.struct(*named(x, "a"), *named(y, "b")))))
     by_rare = lists.select(F.explode(F.filter(paired, lambda p: _estimate([(p[f"a{k}"], p[f"b{k}"]) for k in range(3)]) >= LEAST_ESTIMATE)).alias("p")).select("p.a", "p.b")
 
-    # By frequent shingles alone: members outside the main component, if they have enough of them at all.
-    measured = sets.select("node", F.size("shingles").alias("n")).join(frequent, "node", "left").select("node", "n", F.coalesce("frequent", F.lit(0)).cast("int").alias("f"))
-    able = written(open_.join(measured.where(F.col("f") * 100 >= F.col("n") * percent), "node").join(classes.select("node", "bands"), "node"), "dedup-able")
-    side = lambda s: able.select(F.col("key").alias(f"{s}key"), F.col("node").alias(s), F.col("component").alias(f"{s}c"), F.col("main").alias(f"{s}m"), F.col("n").alias(f"{s}n"), F.col("f").alias(f"{s}f"), *(F.col(f"s{k}").alias(f"{s}{k}") for k in range(3)), F.col("bands").alias(f"{s}bands"))
+    # By frequent shingles alone: members that have enough of them at all.
+    able = written(open_.join(frequent, "node").where(F.col("f") * 100 >= F.col("n") * percent).join(classes.select("node", "bands"), "node"), "dedup-able")
     most = F.least("af", "bf")
     # Two outsiders meet once, an outsider meets all of the main component.
-    meet = (F.col("akey") == F.col("bkey")) & (F.col("ac") != F.col("bc")) & ((F.col("bc") == F.col("bm")) | (F.col("a") > F.col("b")))
+    meet = (F.col("akey") == F.col("bkey")) & (F.col("acomponent") != F.col("bcomponent")) & ((F.col("bcomponent") == F.col("bmain")) | (F.col("a") > F.col("b")))
     meet = meet & (most * 100 >= (F.col("an") + F.col("bn") - most) * percent) & (estimate("a", "b") >= LEAST_ESTIMATE)
     # Of the buckets that two share, only the first pairs them (any bucket with both has several components).
     first = F.array_position(F.zip_with("abands", "bbands", lambda x, y: x == y), True).cast("int")
-    meet = meet & (F.element_at("abands", first) == F.col("akey"))
-    by_frequent = side("a").where("ac <> am").join(side("b"), meet).select("a", "b")
-    both = by_rare.union(by_frequent)
-    return both.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+    meet = meet & (F.element_at("abands", first) == F.col("akey")) & _bound("a", "b", percent)
+    by_frequent = _side(able, "a", "f", "bands").where("acomponent <> amain").join(_side(able, "b", "f", "bands"), meet)
+    return _ordered(by_rare.union(by_frequent.select("a", "b")))
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -292,16 +331,20 @@ def _linked(docs: DataFrame, classes: DataFrame, words: int, percent: int) -> Da
     edges = written(_confirmed(likely, _sets_for(docs, classes, ends, words), percent), "dedup-links")
     labels = components(edges)
 
-    # Buckets that still hold several components.
-    labelled = members.join(labels, "node", "left").select("key", "node", F.coalesce("component", "node").alias("component"))
-    counts = labelled.groupBy("key", "component").agg(F.count(F.lit(1)).alias("n"))
-    mixed = counts.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.max_by("component", F.struct("n", "component")).alias("main")).where("low < high").select("key", "main")
-    mixed = written(mixed, "dedup-mixed")
-    open_ = written(labelled.join(mixed, "key").join(classes.select("node", "s0", "s1", "s2"), "node"), "dedup-open")
-    open_sets = _sets_for(docs, classes, open_.select("node"), words)
-    rest = written(_rest(open_, open_sets, classes, percent).join(likely, ["a", "b"], "left_anti"), "dedup-rest")
+    open_ = written(_open(members.select("key", "node"), labels).join(classes.select("node", "s0", "s1", "s2"), "node"), "dedup-open")
+    sets = _sets_for(docs, classes, open_.select("node"), words)
+    known = written(open_.join(sets.select("node", F.size("shingles").alias("n"), "odd"), "node"), "dedup-known")
+    near = written(_by_pivots(known, percent).join(likely, ["a", "b"], "left_anti"), "dedup-near")
+    if near.isEmpty():
+        still = known
+    else:
+        edges = written(edges.union(_confirmed(near, sets, percent)), "dedup-links")
+        labels = components(edges)
+        still = written(_open(known.drop("component", "main"), labels), "dedup-open")
+    met = likely.union(near)
+    rest = written(_rest(still, sets, classes, percent).join(met, ["a", "b"], "left_anti"), "dedup-rest")
     if not rest.isEmpty():
-        labels = components(edges.union(_confirmed(rest, open_sets, percent)))
+        labels = components(edges.union(_confirmed(rest, sets, percent)))
     return labels.union(labels.select("component", "component").distinct())
 
 
