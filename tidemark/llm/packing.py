@@ -40,14 +40,25 @@ PARTS, PART_ROWS = 65_536, 256
 _W = "__pack_"  # working columns
 _SALT, _BEFORE, _RANK, _PLACE = f"{_W}salt", f"{_W}before", f"{_W}rank", f"{_W}place"
 
-#: Words whose ids a worker remembers, at most; texts are looked at in groups of about so many characters.
-REMEMBERED, GROUP_CHARS = 400_000, 4 << 20
+#: Words whose ids a worker remembers, at most twice so many; texts are looked at in groups of about so many characters.
+REMEMBERED, GROUP_CHARS = 300_000, 1 << 20
 
-#: The file's rule for words (its byte-level step), for ASCII and for characters that every Unicode version classes alike.
-_WORDS = r"'s|'t|'re|'ve|'m|'ll|'d| ?[A-Za-z]+| ?[0-9]+| ?[^\sA-Za-z0-9]+|\s+(?!\S)|\s+"
+#: Characters that every Unicode version classes alike: ASCII, Latin, general punctuation, euro.
 _COMMON = "[\\t\\n\\r -~\\u00a0-\\u024f\\u2010-\\u2027\\u2030-\\u205e\\u20ac]*"
 
 
+def _words() -> str:
+    """The file's rule for words (its byte-level step) for common characters: letters and numbers by their category."""
+    import unicodedata
+
+    kinds: dict[str, str] = {"L": "", "N": ""}
+    for c in map(chr, range(0x21, 0x250)):
+        if (kind := unicodedata.category(c)[0]) in kinds:
+            kinds[kind] += c
+    letters, numbers = kinds["L"], kinds["N"]
+    return rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{letters}]+| ?[{numbers}]+| ?[^\s{letters}{numbers}]+|\s+(?!\S)|\s+"
+
+
 @lru_cache(maxsize=4)
 def _tokenizer(path: str):
     from tokenizers import Tokenizer
@@ -56,6 +67,20 @@ def _tokenizer(path: str):
     return Tokenizer.from_file(path)
 
 
+class _Known(dict):
+    """Ids by word. A word not met before gets an empty list, to be filled in, unless the words known before have it."""
+
+    def __init__(self, before: dict[str, list[int]]):
+        self.before, self.new = before, {}
+
+    def __missing__(self, word: str) -> list[int]:
+        own = self.before.get(word)
+        if own is None:
+            own = self.new[word] = []
+        self[word] = own
+        return own
+
+
 class Encoder:
     """Texts to ids as ``tokenizers`` gives them for the file at ``path``, without special tokens of its own.
 
@@ -67,16 +92,14 @@ class Encoder:
     def __init__(self, path: str):
         import json
 
-        import regex
-        from public_tokenizers import PATTERN
-
         with open(path, encoding="utf-8") as f:
             steps = json.load(f)
         step = steps.get("pre_tokenizer") or {}
         self.by_word = (step.get("type"), step.get("add_prefix_space"), step.get("use_regex")) == ("ByteLevel", False, True) and not steps.get("normalizer")
-        self.tokenizer, self.known = _tokenizer(path), {}
+        self.tokenizer, self.known = _tokenizer(path), _Known({})
+        self.line = self._ids(["\n"])[0]
         self.added = [t["content"] for t in steps.get("added_tokens") or []]
-        self.ascii, self.any, self.common = re.compile(_WORDS, re.ASCII).findall, regex.compile(PATTERN).findall, re.compile(_COMMON).fullmatch
+        self.split, self.common = re.compile(_words()).findall, re.compile(_COMMON).fullmatch
 
     def _ids(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
@@ -92,20 +115,29 @@ class Encoder:
         yield from self._group(group)
 
     def _group(self, texts: list[str]) -> Iterator[list[int]]:
-        words = [self._words(t) for t in texts]
-        distinct = set(chain.from_iterable(w for w in words if w))
-        new = [w for w in distinct if w not in self.known]
-        if len(self.known) + len(new) > REMEMBERED:
-            self.known = {w: self.known[w] for w in distinct if w in self.known}
-        self.known.update(zip(new, self._ids(new), strict=True))
-        ids = self.known.__getitem__
-        for text, own in zip(texts, words, strict=True):
-            yield self._ids([text])[0] if own is None else list(chain.from_iterable(map(ids, own)))
+        known = self.known
+        if len(known) > REMEMBERED:
+            self.known = known = _Known(dict(known))
+        rows = [None if (words := self._words(t)) is None else list(map(known.__getitem__, words)) for t in texts]
+        self._learn(known)
+        for text, row in zip(texts, rows, strict=True):
+            yield self._ids([text])[0] if row is None else list(chain.from_iterable(row))
+
+    def _learn(self, known: _Known) -> None:
+        """Fills in the words not met before. Those that are not white space are given to the library as lines of one text."""
+        new = known.new
+        lines = [w for w in new if not w.isspace()] if len(self.line) == 1 else []
+        ids, start = self._ids(["".join(f"{w}\n" for w in lines)])[0], 0
+        for word in lines:
+            end = ids.index(self.line[0], start)
+            new.pop(word).extend(ids[start:end])
+            start = end + 1
+        for own, word_ids in zip(new.values(), self._ids(list(new)), strict=True):
+            own.extend(word_ids)
+        new.clear()
 
     def _words(self, text: str) -> list[str] | None:
-        if not self.by_word or any(t in text for t in self.added) or not self.common(text):
-            return None
-        return self.ascii(text) if text.isascii() else self.any(text)
+        return self.split(text) if self.by_word and self.common(text) and not any(t in text for t in self.added) else None
 
 
 @lru_cache(maxsize=4)
