@@ -390,6 +390,16 @@ def test_shingles_against_brute_force(text, k):
     assert len(dedup.sets_of(text, k)) == len(brute_set(text, k))
 
 
+def test_parities_differ_in_no_more_bits_than_shingles():
+    r = np.random.default_rng(4)
+    for n in (0, 1, 50, 3000):
+        for share in (0.0, 0.5, 0.95, 1.0):
+            base, cut = r.integers(0, 2**63, 2 * n, np.uint64), int(n * share)
+            a, b = np.unique(base[:n]), np.unique(np.concatenate([base[:cut], base[n : 2 * n - cut]]))
+            bits = sum(int(x).bit_count() for x in (dedup.parity(a) ^ dedup.parity(b)).view(np.uint64))
+            assert len(dedup.parity(a)) * 64 == dedup.PARITY and bits <= len(np.setxor1d(a, b)) and (n > 50 or bits >= 0.8 * len(np.setxor1d(a, b)))
+
+
 def test_estimate_follows_similarity():
     r = np.random.default_rng(3)
     for share in (0.9, 0.8, 0.5, 0.1):
