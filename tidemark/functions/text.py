@@ -163,14 +163,15 @@ def compose(template: str, fields: dict[str, str], skip_if_all_empty: bool = Tru
 _STRPTIME = {"%Y": "yyyy", "%m": "M", "%d": "d", "%H": "H", "%M": "m", "%S": "s", "%y": "yy", "%f": "SSSSSS", "%b": "MMM", "%B": "MMMM", "%z": "XX", "%p": "a", "%I": "h", "%%": "%"}
 
 
-def date_pattern(strptime: str) -> str:
-    """A strptime format as a Spark pattern."""
+def date_pattern(strptime: str, padded: bool = False) -> str:
+    """A strptime format as a Spark pattern; ``padded`` writes numbers with two digits, as strftime does."""
 
     def one(m: re.Match) -> str:
         if m[0][0] == "%":
             if m[0] not in _STRPTIME:
                 raise ValueError(f"date directive {m[0]} is not supported")
-            return _STRPTIME[m[0]]
+            found = _STRPTIME[m[0]]
+            return found * 2 if padded and len(found) == 1 and found.isalpha() and found != "a" else found
         return f"'{m[0]}'"
 
     return re.sub(r"%.|[A-Za-z]+", one, strptime)

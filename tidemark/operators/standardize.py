@@ -30,6 +30,7 @@ class Dataset:
     max_rows: int | None = None
     start_date: str | None = None
     end_date: str | None = None
+    dates_available: bool = True  # without, the date column is null
     date_format: str | None = None
     dayfirst: bool = False
     date_errors: str = "null"  # or "raise"
@@ -82,7 +83,11 @@ def number_duplicates(df: DataFrame, order: str, column: str = "news_id") -> Dat
 
 
 def standardize(raw: DataFrame, dataset: Dataset, row_order: str = "row_id") -> DataFrame:
-    """``raw`` is all text with a ``row_order`` that follows the file: limit, date filter, mapping, cleaning, labels, extras."""
+    """``raw`` is all text with a ``row_order`` that follows the file: limit, date filter, mapping, cleaning, labels, extras.
+
+    With ``date_errors="raise"`` a date that is missing or can't be read stops the job. Labels or dates that the dataset
+    declares unavailable are null, whatever their column holds.
+    """
     df = strip_headers(raw)
     check_columns(df, dataset)
     if dataset.compose_template:
@@ -125,10 +130,10 @@ def standardize(raw: DataFrame, dataset: Dataset, row_order: str = "row_id") ->
     parsed = T.parse_date(F.col("date"), dataset.date_format, dataset.dayfirst)
     text = F.date_format(parsed, dataset.output_date)
     if dataset.date_errors == "raise":
-        text = F.when(F.col("date").isNotNull() & parsed.isNull(), F.raise_error(F.concat(F.lit("invalid date: "), F.col("date")))).otherwise(text)
-    out = out.withColumn("date", text)
+        text = F.coalesce(text, F.raise_error(F.concat(F.lit("invalid date: "), F.coalesce("date", F.lit("null")))))
+    out = out.withColumn("date", text if dataset.dates_available else F.lit(None).cast("string"))
     if mapped.get("true_label"):
-        out = out.withColumn("true_label", map_label(F.col("true_label"), dataset.label_map, dataset.labels_available))
+        out = out.withColumn("true_label", map_label(F.col("true_label"), dataset.label_map, True) if dataset.labels_available else F.lit(None).cast("string"))
     return out.select(*COLUMNS, *extras.values())
 
 

@@ -3,10 +3,13 @@
 from __future__ import annotations
 
 import os
+from dataclasses import dataclass
 from datetime import datetime, timezone
 
 import yaml
 
+from ..functions import dimensions
+from ..functions import text as T
 from ..operators import bootstrap, standardize, validation
 from ..sources import files
 from . import experiment, research
@@ -24,13 +27,13 @@ class UniqueKeys(yaml.SafeLoader):
         return super().construct_mapping(node, deep)
 
 
-def load(path: str) -> dict:
+def load(path: str, version: str = VERSION) -> dict:
     with open(path, encoding="utf-8") as f:
         value = yaml.load(f, UniqueKeys)  # noqa: S506  a safe loader
     if not isinstance(value, dict):
         raise ValueError(f"{path}: an object is expected")
-    if str(value.get("schema_version")) != VERSION:
-        raise ValueError(f"{path}: schema_version {VERSION!r} is expected")
+    if str(value.get("schema_version")) != version:
+        raise ValueError(f"{path}: schema_version {version!r} is expected")
     return value
 
 
@@ -65,39 +68,119 @@ def row_limit(value) -> int | None:
     return int(value)
 
 
+# The settings of a dataset, by section. Others are refused, so that none is passed over without a word.
+SECTIONS = {
+    "reader": ("encoding", "delimiter", "quotechar", "header", "low_memory", "skip_blank_lines", "on_bad_lines", "multiline"),
+    "validation": ("strip_text", "drop_empty_texts", "fail_on_duplicate_ids", "preserve_extra_columns"),
+    "labels": ("available", "normalize_case", "strip_whitespace", "mapping"),
+    "dates": ("available", "format", "dayfirst", "fail_on_invalid", "output_format"),
+    "limits": ("max_rows", "date_from", "date_to"),
+    "text_compose": ("template", "fields", "skip_if_all_empty"),
+}
+DATASET_KEYS = ("enabled", "order", "dataset_name", "display_name", "language", "path", "format", "source", "columns", "constants", "required_fields", "metadata", *SECTIONS)
+# Settings that only have one value here: texts and labels are always stripped, labels read in any case, blank lines skipped.
+ONLY = {
+    ("reader", "header"): 0,
+    ("reader", "skip_blank_lines"): True,
+    ("validation", "strip_text"): True,
+    ("labels", "normalize_case"): True,
+    ("labels", "strip_whitespace"): True,
+}
+
+
+def known_only(raw: dict, known, where: str) -> dict:
+    if bad := sorted(set(raw) - set(known)):
+        raise ValueError(f"{where}: unknown settings {bad}; there are {sorted(known)}")
+    return raw
+
+
 def datasets(config: dict, root: str = ".") -> list[tuple[standardize.Dataset, files.Reader]]:
-    out = []
-    for key, raw in ordered(config.get("datasets", {})):
-        raw = merged(config.get("defaults", {}), raw)
-        reader, dates, labels, limits, compose = (raw.get(k) or {} for k in ("reader", "dates", "labels", "limits", "text_compose"))
-        path = raw["path"] if "://" in raw["path"] or os.path.isabs(raw["path"]) else os.path.join(root, raw["path"])
-        dataset = standardize.Dataset(
-            key,
-            raw.get("name", key),
-            dict(raw.get("columns", {})),
-            {k: str(v) for k, v in (raw.get("constants") or {}).items()},
-            language=raw.get("language", "pt"),
-            drop_empty_text=raw.get("drop_empty_text", True),
-            compose_template=compose.get("template"),
-            compose_fields=dict(compose.get("fields", {})),
-            skip_if_all_empty=compose.get("skip_if_all_empty", True),
-            max_rows=row_limit(limits.get("max_rows")),
-            start_date=limits.get("start_date"),
-            end_date=limits.get("end_date"),
-            date_format=dates.get("format"),
-            dayfirst=dates.get("dayfirst", False),
-            date_errors="raise" if dates.get("errors") == "raise" else "null",
-            label_map={str(k): str(v) for k, v in (labels.get("map") or {}).items()},
-            labels_available=labels.get("available", False),
-            fail_on_duplicate_ids=raw.get("fail_on_duplicate_ids", False),
-            header_rows=1 if raw.get("format", "csv") == "csv" else 0,
-        )
-        out.append((dataset, files.Reader(path, raw.get("format", "csv"), reader.get("encoding", "UTF-8"), reader.get("separator", ","), reader.get("quotechar", '"'), reader.get("on_bad_lines", "error"))))
-    return out
+    return [_dataset(key, merged(config.get("defaults", {}), raw), root) for key, raw in ordered(config.get("datasets", {}))]
+
+
+def _dataset(key: str, raw: dict, root: str) -> tuple[standardize.Dataset, files.Reader]:
+    known_only(raw, DATASET_KEYS, f"dataset {key}")
+    part = {name: known_only(raw.get(name) or {}, keys, f"dataset {key}, {name}") for name, keys in SECTIONS.items()}
+    for (section, name), value in ONLY.items():
+        if part[section].get(name, value) != value:
+            raise ValueError(f"dataset {key}, {section}: {name} can only be {value}")
+    reader, checks, labels, dates, limits, compose = part.values()
+    columns = {k: v for k, v in (raw.get("columns") or {}).items()}
+    unmapped = [f for f in raw.get("required_fields") or () if not columns.get(f) and not (f == "text" and compose)]
+    if unmapped:
+        raise ValueError(f"dataset {key}: required fields without a column: {unmapped}")
+    if dates.get("format") and not dates.get("available", False):
+        raise ValueError(f"dataset {key}, dates: a format needs available dates")
+    path = raw["path"] if "://" in raw["path"] or os.path.isabs(raw["path"]) else os.path.join(root, raw["path"])
+    fmt = raw.get("format", "csv")
+    dataset = standardize.Dataset(
+        key,
+        raw.get("dataset_name", key),
+        columns,
+        {k: str(v) for k, v in (raw.get("constants") or {}).items()},
+        language=raw.get("language", "pt"),
+        drop_empty_text=checks.get("drop_empty_texts", True),
+        compose_template=compose.get("template"),
+        compose_fields=dict(compose.get("fields", {})),
+        skip_if_all_empty=compose.get("skip_if_all_empty", True),
+        max_rows=row_limit(limits.get("max_rows")),
+        start_date=limits.get("date_from"),
+        end_date=limits.get("date_to"),
+        dates_available=dates.get("available", False),
+        date_format=dates.get("format"),
+        dayfirst=dates.get("dayfirst", False),
+        date_errors="raise" if dates.get("fail_on_invalid", True) else "null",
+        output_date=T.date_pattern(dates.get("output_format", "%Y-%m-%d"), padded=True),
+        label_map={str(k): str(v) for k, v in (labels.get("mapping") or {}).items()},
+        labels_available=labels.get("available", False),
+        fail_on_duplicate_ids=checks.get("fail_on_duplicate_ids", True),
+        header_rows=1 if fmt == "csv" else 0,
+        keep_extra_columns=checks.get("preserve_extra_columns", True),
+    )
+    return dataset, files.Reader(path, fmt, reader.get("encoding", "UTF-8"), reader.get("delimiter", ","), reader.get("quotechar", '"'), reader.get("on_bad_lines", "error"), multiline=reader.get("multiline", True))
 
 
 def models(config: dict) -> list[experiment.Model]:
-    return [experiment.Model(k, v.get("language", "pt"), v.get("scorer", "lexicon"), v.get("name", k)) for k, v in ordered(config.get("models", {}))]
+    """A model's scorer is the one registered under ``scorer``, or under the model's own key; ``preflight`` and the run name those that are not."""
+    entries = [(k, merged(config.get("defaults", {}), v)) for k, v in ordered(config.get("models", {}))]
+    return [experiment.Model(k, v.get("language", "pt"), v.get("scorer", k), v.get("model_name", k)) for k, v in entries]
+
+
+@dataclass(frozen=True)
+class Market:
+    enabled: bool
+    path: str
+    reader: files.Reader
+    columns: dict[str, str]
+    returns: tuple[str, ...] = ("simple_return", "log_return")
+    provider: str | None = None
+    tickers: tuple[str, ...] = ()
+    start: str | None = None
+    end: str | None = None
+
+
+# Where quotes may come from, the returns there are, and the columns that prices need.
+PROVIDERS, RETURNS, PRICES = ("local", "yfinance"), ("simple_return", "log_return"), ("date", "ticker", "close")
+
+
+def market(config: dict, root: str = ".") -> Market:
+    raw = merged(config.get("defaults") or {}, config["market"])
+    if raw.get("format", "csv") != "csv":
+        raise ValueError("market: format can only be csv")
+    path = raw["local_path"] if "://" in raw["local_path"] or os.path.isabs(raw["local_path"]) else os.path.join(root, raw["local_path"])
+    columns = {k: str(v) for k, v in raw["columns"].items()}
+    if lacking := [c for c in PRICES if c not in columns]:
+        raise ValueError(f"market, columns: {lacking} are not mapped")
+    returns = tuple(raw.get("returns", {}).get("compute", RETURNS))
+    if bad := [r for r in returns if r not in RETURNS]:
+        raise ValueError(f"market, returns: {bad} are none of {RETURNS}")
+    source = raw.get("source") or {}
+    if source and source.get("provider") not in PROVIDERS:
+        raise ValueError(f"market, source: provider {source.get('provider')!r} is none of {PROVIDERS}")
+    if source and not source.get("tickers"):
+        raise ValueError("market, source: tickers are needed")
+    reader = raw.get("reader") or {}
+    return Market(bool(raw.get("enabled", True)), path, files.Reader(path, "csv", reader.get("encoding", "UTF-8"), reader.get("delimiter", ",")), columns, returns, source.get("provider"), tuple(map(str, source.get("tickers", ()))), source.get("start"), source.get("end"))
 
 
 def run_id(configured: str | None = None) -> str:
@@ -108,13 +191,16 @@ def experiment_plan(config: dict, model_config: dict, dataset_config: dict, root
     ms, ds = models(model_config), datasets(dataset_config, root)
     chosen_m, chosen_d = selected(model_keys, [m.key for m in ms]), selected(dataset_keys, [d.key for d, _ in ds])
     index, execution = config.get("temporal_index", {}), config.get("execution", {})
+    size = index.get("dimensions", {})
+    rules = size.get("heuristics", {})
     settings = experiment.IndexSettings(
         enabled=index.get("enabled", True),
         alpha=float(index.get("alpha", 0.85)),
         initial_value=float(index.get("initial_value", 0.0)),
         horizon_mode=index.get("horizon", {}).get("mode", "ewma_alpha"),
         defaults={k: float(v) for k, v in index.get("defaults", {}).items()},
-        providers=tuple(index.get("dimensions", {}).get("provider_order", experiment.IndexSettings.providers)),
+        providers=tuple(p for p in size.get("provider_order", dimensions.PROVIDERS) if p != "heuristics" or rules.get("enabled", True)),
+        event_keywords={k: tuple(v) for k, v in (rules.get("event_keywords") or dimensions.EVENT_KEYWORDS).items()},
         frequencies=tuple(index.get("resample", {}).get("frequencies", ())) if index.get("resample", {}).get("enabled", True) else (),
         baselines=index.get("baselines", {}).get("enabled", True),
         min_models=int(index.get("uncertainty", {}).get("min_models", 2)),

@@ -1,4 +1,4 @@
-"""A run from datasets and scorers to indices: the combinations are rows of one plan, not turns of a loop."""
+"""A run from datasets and scorers to indices. A combination is scored and written on its own; its index is one plan."""
 
 from __future__ import annotations
 
@@ -7,6 +7,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import dimensions
 from ..operators import aggregates, classification, impact, levels, predictions, recurrence, standardize, uncertainty
 from ..sources import files, sinks
 
@@ -27,7 +28,8 @@ class IndexSettings:
     initial_value: float = 0.0
     horizon_mode: str = "ewma_alpha"
     defaults: dict[str, float] = field(default_factory=dict)
-    providers: tuple[str, ...] = ("dataset_columns", "prediction_metadata", "heuristics", "defaults")
+    providers: tuple[str, ...] = dimensions.PROVIDERS
+    event_keywords: dict[str, tuple[str, ...]] = field(default_factory=lambda: dict(dimensions.EVENT_KEYWORDS))
     frequencies: tuple[str, ...] = ("weekly", "monthly", "quarterly")
     baselines: bool = True
     min_models: int = 2
@@ -35,7 +37,7 @@ class IndexSettings:
 
 def build_index(preds: DataFrame, settings: IndexSettings = IndexSettings(), row_order: str = "source_row_number", by: tuple[str, ...] = ("model_key", "dataset_key")) -> dict[str, DataFrame]:
     """All tables of the index for all combinations at once; ``by`` tells them apart."""
-    news = impact.news_impact(preds, settings.defaults, keep=by, providers=settings.providers, row_order=row_order, partition=by)
+    news = impact.news_impact(preds, settings.defaults, keep=by, providers=settings.providers, row_order=row_order, partition=by, event_keywords=settings.event_keywords)
     daily = impact.daily_impact(news, by)
     index = recurrence.index_daily(daily, settings.alpha, settings.initial_value, settings.horizon_mode, by)
     out = {"news_impact": news, "daily_company_impact": daily, "iti_daily": index}
@@ -82,6 +84,21 @@ def preflight(spark: SparkSession, plan: Experiment, registry: predictions.Regis
     return errors
 
 
+def check_datasets(spark: SparkSession, datasets: list[tuple[standardize.Dataset, files.Reader]]) -> dict[str, dict]:
+    """The counters of each dataset, read and standardized in whole, or the error that this ends with."""
+    out: dict[str, dict] = {}
+    for d, reader in datasets:
+        try:
+            files.validate_file(spark, reader)
+            raw = files.read(spark, reader)
+            read = raw.count()
+            counted = standardize.load_statistics(standardize.standardize(raw, d)).first().asDict()
+            out[d.key] = {"rows_read": read, "rows_dropped": read - counted["rows"], **counted}
+        except Exception as e:  # noqa: BLE001  a dataset's failure is its report
+            out[d.key] = {"error": f"{type(e).__name__}: {str(e)[:300]}"}
+    return out
+
+
 def run(spark: SparkSession, plan: Experiment, registry: predictions.Registry | None = None) -> dict:
     """Loads, scores, measures, aggregates, indexes and writes each compatible combination; returns the summary."""
     registry = registry or predictions.Registry()

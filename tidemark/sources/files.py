@@ -12,7 +12,7 @@ from pyspark.sql.types import StringType, StructField, StructType
 
 from ..functions import text as T
 
-#: Bad lines: an error, left out with a count in the log, or left out.
+#: Bad lines: an error, or left out.
 MODES = {"error": "FAILFAST", "warn": "DROPMALFORMED", "skip": "DROPMALFORMED"}
 FORMATS = ("csv", "jsonl", "parquet", "huggingface")
 
@@ -26,6 +26,7 @@ class Reader:
     quote: str = '"'
     on_bad_lines: str = "error"
     max_rows: int | None = None
+    multiline: bool = True  # quoted fields may hold line breaks; without, Spark splits large files into tasks
     options: dict[str, str] = field(default_factory=dict)
 
 
@@ -45,7 +46,7 @@ def with_row_id(df: DataFrame, column: str = "row_id") -> DataFrame:
 def read_csv(spark: SparkSession, r: Reader) -> DataFrame:
     if r.on_bad_lines not in MODES:
         raise ValueError(f"on_bad_lines is one of {sorted(MODES)}")
-    base = {"header": "true", "sep": r.separator, "quote": r.quote, "escape": r.quote, "encoding": r.encoding, "multiLine": "true", "maxCharsPerColumn": "10000000", **r.options}
+    base = {"header": "true", "sep": r.separator, "quote": r.quote, "escape": r.quote, "encoding": r.encoding, "multiLine": str(r.multiline).lower(), "maxCharsPerColumn": "10000000", **r.options}
     names = [c.strip() for c in spark.read.options(**base).csv(r.path).columns]
     if twice := sorted({n for n in names if names.count(n) > 1}):
         raise ValueError(f"columns appear more than once: {twice}")
@@ -106,11 +107,11 @@ def missing(spark: SparkSession, paths: dict[str, str]) -> list[str]:
     return sorted(k for k, p in paths.items() if not exists(spark, p))
 
 
-def read_prices(spark: SparkSession, path: str, columns: dict[str, str] | None = None) -> DataFrame:
+def read_prices(spark: SparkSession, path: str, columns: dict[str, str] | None = None, reader: Reader | None = None) -> DataFrame:
     """Price files, cleaned, with returns."""
     from ..operators import market
 
-    raw = read_csv(spark, Reader(path))
+    raw = read_csv(spark, reader or Reader(path))
     named = market.rename_prices(raw, columns) if columns else raw
     if lacking := [c for c in ("date", "ticker", "close") if c not in named.columns]:
         raise ValueError(f"price columns are missing: {lacking}")

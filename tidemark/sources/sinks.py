@@ -53,10 +53,10 @@ def write_table(df: DataFrame, path: str, partition: tuple[str, ...] = ("model_k
     return path
 
 
-def write_corpus(df: DataFrame, path: str) -> str:
+def write_corpus(df: DataFrame, path: str, mode: str = "overwrite") -> str:
     from ..operators import corpus
 
-    corpus.as_records(df).drop("row_id").write.mode("overwrite").options(header="true", quote='"', escape='"', emptyValue="").csv(path)
+    corpus.as_records(df).drop("row_id").write.mode(mode).options(header="true", quote='"', escape='"', emptyValue="").csv(path)
     return path
 
 
