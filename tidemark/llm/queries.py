@@ -16,6 +16,7 @@ _MODULES = {
     "op8_license_scans": "licenses",
     "op9_quality_classifier": "quality",
     "op10_sharding": "sharding",
+    "op11_html_extraction": "extract",
 }
 
 
