@@ -17,6 +17,8 @@ _MODULES = {
     "op9_quality_classifier": "quality",
     "op10_sharding": "sharding",
     "op11_html_extraction": "extract",
+    "op12_conversation_trie": "trie",
+    "op13_vector_codes": "codes",
 }
 
 
