@@ -1,27 +1,36 @@
 """Block bootstrap of metrics.
 
-A series (the points of one predictor against one target) becomes one row of arrays, since every resample draws from all
-of it; its resamples are dealt out in parts of ``PART`` to tasks of their own, and a task works on bounded slices of
-resamples x points. Which positions a resample draws depends only on the seed, the number of points, the block and the
-resample's number, so any task can draw any part.
+A resample of a series of n points is a list of block starts: numbers 0 to n - block that the generator of the seed draws
+one after the other, 32 bits each, so any part of the draws can be made anywhere by moving the generator on.
+
+A series of up to ``metrics.SERIES_POINTS`` points becomes one row of arrays, and its resamples are dealt out in parts of
+``PART`` to tasks that work on bounded slices of resamples x points. A longer series stays a table. Its draws are made in
+slices of the generator's stream; its Pearson, R2 and MSE come from sums over the blocks drawn, which are formed once for
+every start; and Spearman from its points' counts in each resample, ranked by ranges of values.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from ..session import written
 from . import metrics as M
+from . import ranges as R
 
 #: Resamples of one series in one task; resamples x points that are held at a time.
 PART, CELLS = 100, 1 << 20
 
+#: Numbers of the generator's stream in a slice; points of a long series in a chunk that block sums are formed in.
+SLICE, CHUNK = 1 << 20, 1 << 14
+
 
 @dataclass(frozen=True)
 class Inference:
@@ -72,6 +81,98 @@ def values_of(x: np.ndarray, y: np.ndarray, drawn: np.ndarray, metrics: tuple[st
     return out
 
 
+def starts(seed: int, n: int, block_size: int, first: int, count: int) -> np.ndarray:
+    """Draws ``first`` to ``first + count`` of block starts for a series of n points."""
+    rng, high = np.random.default_rng(seed), max(n - block_size + 1, 1)
+    for skipped in range(0, first, CELLS):
+        rng.integers(0, high, size=min(CELLS, first - skipped))
+    return rng.integers(0, high, size=count)
+
+
+def stream_starts(seed: int, n: int, block_size: int, word: int, words: int) -> np.ndarray:
+    """The block starts that these 32-bit words of the generator's stream give; fewer than words, for some give none.
+
+    A 64-bit output is two words, the lower half first. A word w stands for floor(w * high / 2**32), unless the remainder
+    lies below 2**32 mod high.
+    """
+    high = max(n - block_size + 1, 1)
+    bits = np.random.PCG64(seed)
+    bits.advance(word // 2)
+    raw = bits.random_raw((word + words + 1) // 2 - word // 2).astype(np.uint64)
+    halves = np.stack([raw & np.uint64(0xFFFFFFFF), raw >> np.uint64(32)], axis=1).ravel()[word % 2 :][:words]
+    scaled = halves * np.uint64(high)
+    kept = (scaled & np.uint64(0xFFFFFFFF)) >= np.uint64((1 << 32) % high)
+    return (scaled[kept] >> np.uint64(32)).astype(np.int64)
+
+
+def draws(lengths: DataFrame, inference: Inference, seed: int) -> DataFrame:
+    """(n_points, rep, start, length) for each distinct ``n_points``: the blocks of every resample, the last one cut to n_points."""
+    size, n = inference.block_size, F.col("n_points")
+    total, lost = (F.ceil(n / size) * inference.n_bootstrap).cast("double"), n / float(1 << 32)
+    enough = F.ceil(total / (1 - lost) + 12 * F.sqrt(total * lost + 1) + 64).cast("long")  # but for odds of less than one in 10**20
+    ns = lengths.select("n_points").distinct().withColumn("n_points", F.when(n < (1 << 31), n).otherwise(F.raise_error(F.lit("a series of 2**31 points or more"))))
+    slices = ns.withColumn("words", enough).select("n_points", "words", F.explode(F.sequence(F.lit(0).cast("long"), F.col("words") - 1, F.lit(SLICE).cast("long"))).alias("word")).repartition("n_points", "word")
+
+    def words_of(row) -> np.ndarray:
+        return stream_starts(seed, row.n_points, size, row.word, min(SLICE, row.words - row.word))
+
+    def counted(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            yield f.assign(accepted=[len(words_of(r)) for r in f.itertuples()])
+
+    def drawn(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            for r in f.itertuples():
+                blocks = -(-r.n_points // size)
+                got = words_of(r)[: max(0, blocks * inference.n_bootstrap - r.first)]
+                at = r.first + np.arange(len(got))
+                yield pd.DataFrame({"n_points": r.n_points, "rep": (at // blocks).astype("int32"), "start": got, "length": np.minimum(size, r.n_points - at % blocks * size)})
+
+    counts = written(slices.mapInPandas(counted, "n_points long, words long, word long, accepted long"), "draws-counts")
+    before = F.sum("accepted").over(Window.partitionBy("n_points").orderBy("word").rowsBetween(Window.unboundedPreceding, -1))
+    placed = counts.withColumn("first", F.coalesce(before, F.lit(0))).repartition("n_points", "word")
+    return placed.mapInPandas(drawn, "n_points long, rep int, start long, length long")
+
+
+def _block_sums(placed: DataFrame, blocks: DataFrame, series: list[str], size: int) -> DataFrame:
+    """(series, rep, columns of ``metrics.ADDED``) from sums over the block of every start."""
+    chunk = F.floor(F.col("place") / CHUNK)
+    shared = (F.col("place") % CHUNK < size - 1) & (chunk > 0)  # the last blocks of the chunk before reach here
+    near = placed.withColumn("chunk", F.explode(F.when(shared, F.array(chunk, chunk - 1)).otherwise(F.array(chunk))))
+    each = near.select(*series, "chunk", "place", *(e.alias(c) for c, e in M.terms("xc", "yc", F.lit(1).cast("long")).items()))
+    ahead = Window.partitionBy(*series, "chunk").orderBy("place").rowsBetween(0, size - 1)
+    sums = each.select(*series, "chunk", F.col("place").alias("start"), *(how(c).over(ahead).alias(c) for c, how in M.ADDED.items()))
+    sums = sums.where((F.floor(F.col("start") / CHUNK) == F.col("chunk")) & (F.col("start") <= F.col("n_points") - size))
+    times = blocks.where(F.col("length") == size).groupBy("n_points", "rep", "start").agg(F.count(F.lit(1)).alias("times"))
+    whole = sums.join(times, ["n_points", "start"]).select(*series, "rep", *((F.col(c) if c[:3] in ("min", "max") else F.col(c) * F.col("times")).alias(c) for c in M.ADDED))
+    cut = _places(blocks.where(F.col("length") < size)).join(placed, ["n_points", "place"])
+    rest = cut.select(*series, "rep", *(e.alias(c) for c, e in M.terms("xc", "yc", F.lit(1).cast("long")).items()))
+    return whole.unionByName(rest).groupBy(*series, "rep").agg(*(how(c).alias(c) for c, how in M.ADDED.items()))
+
+
+def _places(blocks: DataFrame) -> DataFrame:
+    return blocks.select("n_points", "rep", F.explode(F.sequence(F.col("start"), F.col("start") + F.col("length") - 1)).alias("place"))
+
+
+def _long_values(points: DataFrame, keys: list[str], order: list[str], inference: Inference, seed: int, metrics: tuple[str, ...]) -> DataFrame:
+    """(keys, n, rep, metric, value) of series too long for a row: of the series itself, and of each resample."""
+    placed = written(R.numbered(M.centred(points, keys), keys, [*dict.fromkeys([*order, "x", "y"])], "place"), "places")
+    lengths = R.small(written(placed.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_points")), "series"))
+    placed = placed.alias("a").join(lengths.alias("b"), R.same(keys)).select(*(f"a.{c}" for c in (*keys, "x", "y", "xc", "yc", "place")), "b.n_points")
+    names, series = [*keys, "n", "rep", "metric", "value"], [*keys, "n_points"]
+    found = [M.melted(M.metric_values(points, keys, metrics), keys, metrics).withColumn("rep", F.lit(-1)).select(*names)]
+    if inference.enabled:
+        placed, blocks, sampled = written(placed, "placed"), written(draws(lengths, inference, seed), "draws"), [*keys, "rep"]
+        if sums := tuple(m for m in metrics if m != "spearman"):
+            of = _block_sums(placed, blocks, series, inference.block_size)
+            found.append(M.melted(of.select(*sampled, "n", *(M.of_sums(m).alias(m) for m in sums)), sampled, sums).select(*names))
+        if "spearman" in metrics:
+            counts = _places(blocks).groupBy("n_points", "rep", "place").agg(F.count(F.lit(1)).alias("c"))
+            drawn = written(placed.join(counts, ["n_points", "place"]).select(*sampled, "c", "x", "y", "xc", "yc"), "drawn")
+            found.append(M.melted(M.metric_values(drawn, sampled, ("spearman",), by_ranges=True), sampled, ("spearman",)).select(*names))
+    return reduce(DataFrame.unionByName, found)
+
+
 def resampled(points: DataFrame, keys: list[str], order: list[str], inference: Inference, seed: int, metrics: tuple[str, ...], base: str | None = None) -> DataFrame:
     """(keys, n, rep, metric, value), and with ``base`` the same metric of that predictor; rep -1 is the series itself.
 
@@ -79,6 +180,25 @@ def resampled(points: DataFrame, keys: list[str], order: list[str], inference: I
     """
     columns = ["x", "y", *([base] if base else [])]
     good = points.withColumns({c: M.finite(F.col(c)) for c in columns}).where(" and ".join(f"{c} is not null" for c in columns))
+    good = written(good.select(*dict.fromkeys([*keys, *order, *columns])), "points")
+    lengths = written(good.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_points")), "lengths")
+    is_long = F.col("n_points") > max(M.SERIES_POINTS, inference.block_size)
+    if lengths.where(is_long).isEmpty():
+        return _row_values(good, keys, order, columns, inference, seed, metrics, base)
+    part = lambda which: good.alias("a").join(R.small(lengths.where(which)).alias("b"), R.same(keys)).select("a.*")
+    ours = _row_values(part(~is_long), keys, order, columns, inference, seed, metrics, base)
+    many = written(part(is_long), "long")
+    values = lambda x: _long_values(many.select(*keys, *(c for c in order if c not in (*keys, *columns)), F.col(x).alias("x"), "y"), keys, [c for c in order if c not in columns], inference, seed, metrics)
+    long_ones = values("x")
+    if base:
+        against = values(base).withColumnRenamed("value", "base")
+        on = [*keys, "n", "rep", "metric"]
+        long_ones = long_ones.alias("a").join(against.alias("b"), R.same(on)).select("a.*", "b.base")
+    return ours.unionByName(long_ones.withColumn("rep", F.col("rep").cast("int")))
+
+
+def _row_values(good: DataFrame, keys: list[str], order: list[str], columns: list[str], inference: Inference, seed: int, metrics: tuple[str, ...], base: str | None) -> DataFrame:
+    """``resampled`` for series that fit a row."""
     lists = good.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct(*dict.fromkeys([*order, *columns])))).alias("p"))
     series = lists.select(*keys, *(F.col(f"p.{c}").alias(c) for c in columns))
     parts = max(1, -(-inference.n_bootstrap // PART)) if inference.enabled else 1
@@ -92,14 +212,10 @@ def resampled(points: DataFrame, keys: list[str], order: list[str], inference: I
             return
         size = min(inference.block_size, n)
         blocks, lo, hi = -(-n // size), part * PART, min(inference.n_bootstrap, (part + 1) * PART)
-        rng, step = np.random.default_rng(seed), max(1, CELLS // n)
-        high = max(n - inference.block_size + 1, 1)
-        for _ in range(lo):
-            rng.integers(0, high, size=blocks)
+        drawn, step = starts(seed, n, inference.block_size, lo * blocks, (hi - lo) * blocks).reshape(hi - lo, blocks), max(1, CELLS // n)
         for first in range(lo, hi, step):
             reps = np.arange(first, min(first + step, hi))
-            starts = np.stack([rng.integers(0, high, size=blocks) for _ in reps])
-            yield reps, (starts[:, :, None] + np.arange(size)[None, None, :]).reshape(len(reps), -1)[:, :n]
+            yield reps, (drawn[reps - lo][:, :, None] + np.arange(size)[None, None, :]).reshape(len(reps), -1)[:, :n]
 
     def draw(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:

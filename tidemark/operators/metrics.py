@@ -7,6 +7,7 @@ drawn). Points with a missing or infinite value take no part.
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -15,6 +16,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
 from ..functions.scores import finite
+from ..session import written
+from . import ranges
 
 METRICS = ("pearson", "spearman", "r2", "mse")
 
@@ -24,50 +27,83 @@ def clean(points: DataFrame) -> DataFrame:
     return out.where("x is not null and y is not null")
 
 
-def average_ranks(points: DataFrame, keys: list[str], column: str, out: str) -> DataFrame:
-    """Ranks by ``column`` within the series, ties averaged; a point counts ``c`` times."""
+def _one_pass_ranks(points: DataFrame, keys: list[str], column: str, out: str) -> DataFrame:
+    """Ranks by ``column`` within series that fit a task, ties averaged; a point counts ``c`` times."""
     upto = Window.partitionBy(*keys).orderBy(column)  # the default frame takes all peers in
     same = Window.partitionBy(*keys, column)
     return points.withColumn(out, F.sum("c").over(upto) - (F.sum("c").over(same) - 1) / 2.0)
 
 
-def _correlation(x: str, y: str) -> Column:
-    """Weighted Pearson; null for constants (``corr`` would raise)."""
-    w = F.sum("c")
-    mean = lambda e: F.sum(F.col("c") * e) / w
-    mx, my = mean(F.col(x)), mean(F.col(y))
-    covariance = mean(F.col(x) * F.col(y)) - mx * my
-    vx, vy = mean(F.col(x) * F.col(x)) - mx * mx, mean(F.col(y) * F.col(y)) - my * my
-    varied = (F.min(x) < F.max(x)) & (F.min(y) < F.max(y)) & (vx > 0) & (vy > 0)
+#: What the metrics need of a series' points; each column's sum, least or greatest value over parts gives the whole's.
+ADDED = {**dict.fromkeys(("n", "sx", "sy", "sxx", "syy", "sxy", "error"), F.sum), "min_x": F.min, "max_x": F.max, "min_y": F.min, "max_y": F.max}
+
+
+def terms(x: str, y: str, times: Column) -> dict[str, Column]:
+    """A point's share in each column of ``ADDED``, if it counts ``times``."""
+    off = F.col("y") - F.col("x")
+    sums = {"n": times, "sx": times * F.col(x), "sy": times * F.col(y), "sxx": times * F.col(x) ** 2, "syy": times * F.col(y) ** 2, "sxy": times * F.col(x) * F.col(y), "error": times * off * off}
+    return sums | {"min_x": F.col("x"), "max_x": F.col("x"), "min_y": F.col("y"), "max_y": F.col("y")}
+
+
+def sums_of(x: str, y: str) -> list[Column]:
+    return [ADDED[name](e).alias(name) for name, e in terms(x, y, F.col("c")).items()]
+
+
+def _correlation() -> Column:
+    """Pearson from sums; null for constants (``corr`` would raise)."""
+    n, mx, my = F.col("n"), F.col("sx") / F.col("n"), F.col("sy") / F.col("n")
+    covariance = F.col("sxy") / n - mx * my
+    vx, vy = F.col("sxx") / n - mx * mx, F.col("syy") / n - my * my
+    varied = (F.col("min_x") < F.col("max_x")) & (F.col("min_y") < F.col("max_y")) & (vx > 0) & (vy > 0)
     return F.when(varied, F.greatest(F.lit(-1.0), F.least(F.lit(1.0), F.try_divide(covariance, F.sqrt(F.greatest(vx, F.lit(0.0)) * F.greatest(vy, F.lit(0.0)))))))
 
 
-def metric_values(points: DataFrame, keys: list[str], metrics: tuple[str, ...] = METRICS) -> DataFrame:
+def of_sums(metric: str) -> Column:
+    """A metric from the columns of ``sums_of``; null where it is not defined."""
+    n, error = F.col("n"), F.col("error")
+    if metric in ("pearson", "spearman"):
+        value = _correlation()
+    elif metric == "r2":
+        total = F.col("syy") - F.col("sy") ** 2 / n
+        flat = (F.col("min_y") == F.col("max_y")) | (total <= 0)
+        value = F.when(F.col("min_x") < F.col("max_x"), F.when(flat, F.when(error == 0, 1.0).otherwise(0.0)).otherwise(1 - F.try_divide(error, total)))
+    else:
+        value = F.try_divide(error, n)
+    return F.when(n >= 2, value)
+
+
+#: A series of more points than this is ranked by ranges of values, and resampled by sums over its blocks.
+SERIES_POINTS = 1 << 17
+
+
+def metric_values(points: DataFrame, keys: list[str], metrics: tuple[str, ...] = METRICS, by_ranges: bool | None = None) -> DataFrame:
     """Per series: n and a column for each metric; null where it is not defined.
 
-    Values are first centred on the series' means, so sums of squares keep their digits.
+    Values are first centred on the series' means, so sums of squares keep their digits. Ranks come from one sorted pass a
+    series, or by ranges of values (``by_ranges``) once a series has more than ``SERIES_POINTS`` points.
     """
     rows = points if "c" in points.columns else points.withColumn("c", F.lit(1).cast("long"))
+    ranked = [m for m in metrics if m == "spearman"]
+    if ranked and by_ranges is None:
+        rows = written(rows, "points")
+        by_ranges = (rows.groupBy(*keys).count().agg(F.max("count")).first()[0] or 0) > SERIES_POINTS
     if "xc" not in rows.columns:
         rows = centred(rows, keys)
-    if "spearman" in metrics:
-        rows = average_ranks(average_ranks(rows, keys, "x", "rx"), keys, "y", "ry")
-    n, error = F.sum("c"), F.sum(F.col("c") * (F.col("y") - F.col("x")) ** 2)
-    total = F.sum(F.col("c") * F.col("yc") ** 2) - F.sum(F.col("c") * F.col("yc")) ** 2 / n
-    flat = F.min("y") == F.max("y")
-    made = {
-        "pearson": _correlation("xc", "yc"),
-        "spearman": _correlation("rx", "ry") if "spearman" in metrics else None,
-        "r2": F.when(F.min("x") < F.max("x"), F.when(flat | (total <= 0), F.when(error == 0, 1.0).otherwise(0.0)).otherwise(1 - F.try_divide(error, total))),
-        "mse": F.try_divide(error, n),
-    }
-    out = rows.groupBy(*keys).agg(n.alias("n"), *(made[m].alias(m) for m in metrics))
-    return out.select(*keys, "n", *(F.when(F.col("n") >= 2, F.col(m)).alias(m) for m in metrics))
+    out = rows.groupBy(*keys).agg(*sums_of("xc", "yc")).select(*keys, "n", *(of_sums(m).alias(m) for m in metrics if m != "spearman"))
+    if not ranked:
+        return out.select(*keys, "n", *metrics)
+    rank = ranges.average_ranks if by_ranges else _one_pass_ranks
+    both = rank(rank(rows.select(*keys, "c", "x", "y"), keys, "x", "rx"), keys, "y", "ry")
+    spearman = both.groupBy(*keys).agg(*sums_of("rx", "ry")).select(*(F.col(k).alias(f"__{k}") for k in keys), of_sums("spearman").alias("spearman"))
+    same = reduce(lambda a, k: a & F.col(k).eqNullSafe(F.col(f"__{k}")), keys, F.lit(True))
+    return out.join(spearman, same).select(*keys, "n", *metrics)
 
 
 def centred(points: DataFrame, keys: list[str]) -> DataFrame:
-    over = Window.partitionBy(*keys)
-    return points.withColumns({"xc": F.col("x") - F.avg("x").over(over), "yc": F.col("y") - F.avg("y").over(over)})
+    """Adds ``xc`` and ``yc``, less their means in the series, which are looked up from a table of a row a series."""
+    means = points.groupBy(*(F.col(k).alias(f"__{k}") for k in keys)).agg(F.avg("x").alias("__mx"), F.avg("y").alias("__my"))
+    same = reduce(lambda a, k: a & F.col(k).eqNullSafe(F.col(f"__{k}")), keys, F.lit(True))
+    return points.join(means, same).withColumns({"xc": F.col("x") - F.col("__mx"), "yc": F.col("y") - F.col("__my")}).drop("__mx", "__my", *(f"__{k}" for k in keys))
 
 
 def melted(values: DataFrame, keys: list[str], metrics: tuple[str, ...] = METRICS) -> DataFrame:

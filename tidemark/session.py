@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import os
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 REPO = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
 
@@ -41,6 +42,20 @@ def ship(spark: SparkSession) -> SparkSession:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """A folder of this application that driver and executors share: under ``spark.checkpoint.dir``, or local where that is unset."""
-    root = (spark.conf.get("spark.checkpoint.dir", None) or "/tmp/checkpoints").rstrip("/")
-    return f"{root}/{spark.sparkContext.applicationId}"
+    """A folder of this application that driver and executors share, under ``spark.checkpoint.dir``.
+
+    Where that is unset, a local folder serves a local master; on a cluster it is an error, for executors would not see each other's files.
+    """
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        root = "/tmp/checkpoints"
+    return f"{root.rstrip('/')}/{spark.sparkContext.applicationId}"
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """Write ``df`` to the shared folder and read it back: its lineage ends there, and a lost executor loses nothing."""
+    path = f"{shared_dir(df.sparkSession)}/tables/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
