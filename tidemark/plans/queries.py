@@ -16,6 +16,7 @@ from ..functions import dimensions, scores
 from ..functions import text as T
 from ..operators import aggregates, alignment, classification, corpus, impact, levels, market, metrics, predictions, recurrence, uncertainty, validation
 from ..sources import pages as P
+from . import resample_sql
 from . import views as V
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -233,11 +234,12 @@ def _points(spark, sf_dir):
 
 
 _LONG = f"""{_PANEL}, long AS (
-    SELECT h AS horizon, p AS predictor, CASE WHEN p = 'iti_risco' THEN 'abs' ELSE 'signed' END AS target_mode,
+    SELECT h AS horizon, p AS predictor, CASE WHEN p = 'iti_risco' THEN 'abs' ELSE 'signed' END AS target_mode, ticker, date, company, sector,
         CASE p WHEN 'b0' THEN b0_news_count::DOUBLE WHEN 'b1' THEN b1_mean_sentiment WHEN 'b2' THEN b2_confidence_weighted_sentiment WHEN 'b3' THEN b3_daily_impact_no_memory WHEN 'iti_liquido' THEN iti_liquido ELSE iti_risco END AS x,
         CASE h WHEN 1 THEN future_log_return_1 WHEN 5 THEN future_log_return_5 ELSE future_log_return_21 END AS raw_y, coalesce(news_count, 0) AS news
     FROM ahead CROSS JOIN (SELECT unnest([1, 5, 21]) AS h) CROSS JOIN (SELECT unnest(['b0', 'b1', 'b2', 'b3', 'iti_liquido', 'iti_risco']) AS p)),
-    good AS (SELECT horizon, predictor, target_mode, x, CASE WHEN target_mode = 'abs' THEN abs(raw_y) ELSE raw_y END AS y FROM long WHERE (predictor NOT IN ('b0', 'b1', 'b2') OR news > 0) AND x IS NOT NULL AND raw_y IS NOT NULL),
+    full_points AS (SELECT horizon, predictor, target_mode, ticker, date, company, sector, news, x, CASE WHEN target_mode = 'abs' THEN abs(raw_y) ELSE raw_y END AS y FROM long WHERE x IS NOT NULL AND raw_y IS NOT NULL),
+    good AS (SELECT * FROM full_points WHERE predictor NOT IN ('b0', 'b1', 'b2') OR news > 0),
     ranked AS (SELECT *, rank() OVER (PARTITION BY horizon, predictor ORDER BY x) + (count(*) OVER (PARTITION BY horizon, predictor, x) - 1) / 2.0::DOUBLE AS rx,
         rank() OVER (PARTITION BY horizon, predictor ORDER BY y) + (count(*) OVER (PARTITION BY horizon, predictor, y) - 1) / 2.0::DOUBLE AS ry, avg(y) OVER (PARTITION BY horizon, predictor) AS my FROM good)"""
 
@@ -266,25 +268,98 @@ def metric_deltas(spark, sf_dir):
     return own.join(base, ["horizon", "metric", "target_mode"]).select("horizon", "iti_predictor", "baseline", "metric", F.round(F.col("v") - F.col("w"), 5).alias("delta"))
 
 
-@query()
+_SERIES = "horizon, predictor, target_mode"
+_COLUMN = "CASE predictor WHEN 'b0' THEN 'b0_news_count' WHEN 'b1' THEN 'b1_mean_sentiment' WHEN 'b2' THEN 'b2_confidence_weighted_sentiment' WHEN 'b3' THEN 'b3_daily_impact_no_memory' ELSE predictor END"
+_ROUND = "round({0}, CASE WHEN metric = 'r2' THEN 3 ELSE 6 END) AS {0}"
+_INTERVAL = "quantile_cont({0}, 0.025) AS ci_low, quantile_cont({0}, 0.975) AS ci_high"
+
+
+def _resampled_sql(points: str) -> str:
+    """CTEs up to ``inferred``: value, p_value, interval, n and n_bootstrap of every series of ``points`` and metric."""
+    return f"""placed AS (SELECT *, row_number() OVER (PARTITION BY {_SERIES} ORDER BY ticker, date, company, sector, x, y) - 1 AS place, count(*) OVER (PARTITION BY {_SERIES}) AS n FROM {points}),
+    {resample_sql.draws(42, "placed")},
+    resampled AS (SELECT {_SERIES}, rep, x, y FROM placed JOIN drawn USING (n, place)),
+    own AS ({resample_sql.scores("placed", _SERIES)}),
+    other AS ({resample_sql.scores("resampled", f"{_SERIES}, rep")}),
+    sizes AS (SELECT {_SERIES}, count(*) AS n FROM {points} GROUP BY ALL),
+    gathered AS (
+        SELECT {_SERIES}, metric, any_value(o.value) AS value, any_value(n) AS n, count(r.value) AS n_bootstrap, {_INTERVAL.format("r.value")}, count_if(r.value <= 0) AS below, count_if(r.value >= 0) AS above
+        FROM own o JOIN sizes USING ({_SERIES}) LEFT JOIN other r USING ({_SERIES}, metric) WHERE o.value IS NOT NULL GROUP BY {_SERIES}, metric),
+    inferred AS (
+        SELECT {_SERIES}, metric, value, ci_low, ci_high, n, n_bootstrap,
+               CASE WHEN metric IN ('pearson', 'spearman') AND n >= 3 THEN {resample_sql.CORRELATION_P.format(r="value", n="n")}
+                    ELSE least(1.0, 2.0 * CASE WHEN value >= 0 THEN below ELSE above END / nullif(n_bootstrap, 0)) END AS p_value
+        FROM gathered)"""
+
+
+_INFERRED = ", ".join(_ROUND.format(c) for c in ("value", "p_value", "ci_low", "ci_high")) + ", n, n_bootstrap"
+
+
+def _scores_rounded(df: DataFrame) -> DataFrame:
+    """Values of unbounded size, as those of R2, to fewer places."""
+    places = lambda c: F.when(F.col("metric") == "r2", F.round(c, 3)).otherwise(F.round(c, 6))
+    return df.select(*(places(c).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes))
+
+
+def _keyed_panel(spark, sf_dir) -> DataFrame:
+    return _panel(spark, sf_dir).withColumns({"model_key": F.lit("m"), "dataset_key": F.lit("d")})
+
+
+@query(f"""{_LONG}, {_resampled_sql("good")}, rows AS (SELECT {_SERIES}, count(*) AS held FROM long WHERE predictor NOT IN ('b0', 'b1', 'b2') OR news > 0 GROUP BY ALL)
+    SELECT 'm' AS model_key, 'd' AS dataset_key, {_SERIES}, {_COLUMN} AS predictor_column, metric, {_INFERRED}
+    FROM inferred JOIN rows USING ({_SERIES}) WHERE metric <> 'r2' OR held >= 30""")
 def bootstrap_incremental(spark, sf_dir):
-    """Values, p-values and intervals; checked against numpy in the tests."""
-    panel = _panel(spark, sf_dir).withColumns({"model_key": F.lit("m"), "dataset_key": F.lit("d")})
-    return validation.incremental(panel, validation.Validation())
+    """Every predictor's values, p-values and intervals from 500 resamples."""
+    return _scores_rounded(validation.incremental(_keyed_panel(spark, sf_dir), validation.Validation()))
 
 
-@query()
+@query(f"""{_LONG}, {_resampled_sql("full_points")}
+    SELECT 'm' AS model_key, 'd' AS dataset_key, horizon, predictor AS series, {_COLUMN} AS series_column, 'future_log_return_' || horizon AS target_column, target_mode, metric, {_INFERRED} FROM inferred""")
 def bootstrap_market(spark, sf_dir):
-    panel = _panel(spark, sf_dir).withColumns({"model_key": F.lit("m"), "dataset_key": F.lit("d")})
-    return validation.market(panel, validation.Validation())
+    """The same over the whole panel, without news-only days or a least number of rows."""
+    return _scores_rounded(validation.market(_keyed_panel(spark, sf_dir), validation.Validation()))
+
+
+_PAIR = "horizon, baseline"
+_GAINS = f"""{_LONG}, pairs AS (
+        SELECT h AS horizon, b AS baseline, ticker, date, company, sector, iti_liquido AS x,
+               CASE b WHEN 'b0' THEN b0_news_count::DOUBLE WHEN 'b1' THEN b1_mean_sentiment WHEN 'b2' THEN b2_confidence_weighted_sentiment ELSE b3_daily_impact_no_memory END AS xb,
+               CASE h WHEN 1 THEN future_log_return_1 WHEN 5 THEN future_log_return_5 ELSE future_log_return_21 END AS y, coalesce(news_count, 0) AS news
+        FROM ahead CROSS JOIN (SELECT unnest([1, 5, 21]) AS h) CROSS JOIN (SELECT unnest(['b0', 'b1', 'b2', 'b3']) AS b)),
+    kept AS (
+        SELECT *, row_number() OVER (PARTITION BY {_PAIR} ORDER BY ticker, date, company, sector, x, y, xb) - 1 AS place, count(*) OVER (PARTITION BY {_PAIR}) AS n
+        FROM pairs WHERE (baseline = 'b3' OR news > 0) AND x IS NOT NULL AND xb IS NOT NULL AND y IS NOT NULL),
+    {resample_sql.draws(42 + 17, "kept")},
+    resampled AS (SELECT {_PAIR}, rep, x, xb, y FROM kept JOIN drawn USING (n, place) UNION ALL SELECT {_PAIR}, -1, x, xb, y FROM kept),
+    gains AS (
+        SELECT {_PAIR}, metric, rep, CASE WHEN metric = 'mse' THEN b.value - a.value ELSE a.value - b.value END AS gain
+        FROM ({resample_sql.scores("resampled", f"{_PAIR}, rep")}) a JOIN ({resample_sql.scores("resampled", f"{_PAIR}, rep", "xb")}) b USING ({_PAIR}, rep, metric)),
+    gathered AS (
+        SELECT {_PAIR}, metric, max(CASE WHEN rep < 0 THEN gain END) AS delta, count(CASE WHEN rep >= 0 THEN gain END) AS n_bootstrap, {_INTERVAL.format("CASE WHEN rep >= 0 THEN gain END")},
+               count_if(rep >= 0 AND gain <= 0) / nullif(count(CASE WHEN rep >= 0 THEN gain END), 0) AS p_value
+        FROM gains GROUP BY ALL),
+    own AS ({resample_sql.scores("good", _SERIES)}),
+    rows AS (SELECT {_SERIES}, count(*) AS held FROM long WHERE predictor NOT IN ('b0', 'b1', 'b2') OR news > 0 GROUP BY ALL),
+    scored AS (SELECT o.* FROM own o JOIN rows USING ({_SERIES}) WHERE value IS NOT NULL AND (metric <> 'r2' OR held >= 30)),
+    deltas AS (
+        SELECT horizon, 'iti_liquido' AS iti_predictor, baseline, 'signed' AS target_mode, metric, i.value AS iti_value, b.value AS baseline_value, delta, p_value, ci_low, ci_high, n, n_bootstrap,
+               delta > 0 AND (p_value < 0.05 OR NOT (ci_low <= 0 AND ci_high >= 0)) AS significant
+        FROM gathered JOIN (SELECT DISTINCT {_PAIR}, n FROM kept) USING ({_PAIR})
+        JOIN (SELECT * FROM scored WHERE predictor = 'iti_liquido') i USING (horizon, metric) JOIN scored b USING (horizon, metric)
+        WHERE b.predictor = baseline AND delta IS NOT NULL)"""
+
+
+def _deltas(spark, sf_dir) -> DataFrame:
+    v, panel = validation.Validation(), _keyed_panel(spark, sf_dir)
+    values = validation.incremental(panel, replace(v, inference=replace(v.inference, enabled=False)))  # of these only the values are used
+    return validation.deltas(panel, values, v)
 
 
-@query()
+@query(f"""{_GAINS} SELECT 'm' AS model_key, 'd' AS dataset_key, horizon, iti_predictor, baseline, target_mode, metric,
+    {", ".join(_ROUND.format(c) for c in ("iti_value", "baseline_value", "delta", "p_value", "ci_low", "ci_high"))}, n, n_bootstrap, significant FROM deltas""")
 def bootstrap_deltas(spark, sf_dir):
-    v = validation.Validation()
-    panel = _panel(spark, sf_dir).withColumns({"model_key": F.lit("m"), "dataset_key": F.lit("d")})
-    values = validation.incremental(panel, replace(v, inference=replace(v.inference, enabled=False)))  # of these only the values are used
-    return validation.deltas(panel, values, v)
+    """Advantages of the index over each baseline, with 500 resamples of the points that both have."""
+    return _scores_rounded(_deltas(spark, sf_dir))
 
 
 # ---- classification ----

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import uuid
-from dataclasses import replace
 from datetime import date
 
 from pyspark.sql import functions as F
@@ -14,7 +13,7 @@ from ..session import shared_dir
 from ..sources import assets, files, sinks
 from ..sources.state import ScrapeState
 from . import views as V
-from .queries import _LONG, _TWO, _URL, _panel, _uncertain, query, rounded
+from .queries import _GAINS, _INFERRED, _ROUND, _TWO, _URL, _deltas, _resampled_sql, _scores_rounded, _uncertain, query, rounded
 
 
 def _folder(spark) -> str:
@@ -170,42 +169,27 @@ def confusion_long(spark, sf_dir):
 
 # ---- validation ----
 
-_PAIRS = f"""{_LONG}, wide AS (SELECT *, row_number() OVER () AS k FROM ahead),
-    each AS (SELECT k, h AS horizon, i AS iti_predictor, b AS baseline, iti_liquido AS x, CASE b WHEN 'b0' THEN b0_news_count::DOUBLE WHEN 'b1' THEN b1_mean_sentiment WHEN 'b2' THEN b2_confidence_weighted_sentiment ELSE b3_daily_impact_no_memory END AS xb,
-            CASE h WHEN 1 THEN future_log_return_1 WHEN 5 THEN future_log_return_5 ELSE future_log_return_21 END AS y, coalesce(news_count, 0) AS news
-        FROM wide CROSS JOIN (SELECT unnest([1, 5, 21]) AS h) CROSS JOIN (SELECT 'iti_liquido' AS i) CROSS JOIN (SELECT unnest(['b0', 'b1', 'b2', 'b3']) AS b)),
-    kept AS (SELECT * FROM each WHERE (baseline = 'b3' OR news > 0) AND x IS NOT NULL AND xb IS NOT NULL AND y IS NOT NULL),
-    gains AS (SELECT horizon, iti_predictor, baseline, 'pearson' AS metric, corr(x, y) - corr(xb, y) AS delta, count(*) AS n FROM kept GROUP BY ALL
-        UNION ALL SELECT horizon, iti_predictor, baseline, 'mse', avg((y - xb) * (y - xb)) - avg((y - x) * (y - x)), count(*) FROM kept GROUP BY ALL)"""
-
-
-def _gains(spark, sf_dir):
-    v = validation.Validation(metrics=("pearson", "mse"))
-    v = replace(v, inference=replace(v.inference, enabled=False))
-    panel = _panel(spark, sf_dir).withColumns({"model_key": F.lit("m"), "dataset_key": F.lit("d")})
-    return validation.deltas(panel, validation.incremental(panel, v), v)
-
-
-@query(f"{_PAIRS} SELECT horizon, iti_predictor, baseline, metric, round(delta, 6) AS delta, n FROM gains WHERE delta IS NOT NULL")
+@query(f"{_GAINS} SELECT horizon, iti_predictor, baseline, metric, {_ROUND.format('delta')}, n FROM deltas")
 def validation_deltas(spark, sf_dir):
-    """Advantages of the index over each baseline on the points that both have."""
-    return _gains(spark, sf_dir).select("horizon", "iti_predictor", "baseline", "metric", F.round("delta", 6).alias("delta"), "n")
+    """Advantages of the index over each baseline on the points that both have, by all metrics."""
+    return _scores_rounded(_deltas(spark, sf_dir).select("horizon", "iti_predictor", "baseline", "metric", "delta", "n"))
 
 
-@query(f"{_PAIRS} SELECT iti_predictor, CAST(count_if(delta > 0) AS BIGINT) AS wins, 0::BIGINT AS significant_wins, count(*) AS comparisons FROM gains WHERE metric = 'pearson' AND delta IS NOT NULL GROUP BY iti_predictor")
+@query(f"""{_GAINS} SELECT iti_predictor, CAST(count_if(delta > 0) AS BIGINT) AS wins, CAST(count_if(significant) AS BIGINT) AS significant_wins, count(*) AS comparisons
+    FROM deltas WHERE metric IN ('pearson', 'spearman') GROUP BY iti_predictor""")
 def validation_wins(spark, sf_dir):
-    return validation.wins(_gains(spark, sf_dir), ("pearson",)).select("iti_predictor", "wins", "significant_wins", "comparisons")
+    """How often the index is ahead, and how often that is significant, by the metrics of the conclusion."""
+    return validation.wins(_deltas(spark, sf_dir), validation.Validation().conclusion_metrics).select("iti_predictor", "wins", "significant_wins", "comparisons")
 
 
 @query(f"""{_TWO}, dis AS (SELECT date, company, sector, avg(disagreement_var) AS x FROM news GROUP BY date, company, sector),
     p AS (SELECT CAST(ts AS DATE) AS date, 'C' || CAST(user_id % 10 AS VARCHAR) AS company, avg(value) + 1 AS close FROM events GROUP BY ALL),
     r AS (SELECT date, company, abs(ln(close / lag(close) OVER (PARTITION BY company ORDER BY date))) AS y FROM p),
-    z AS (SELECT x, y FROM dis JOIN r USING (date, company) WHERE x IS NOT NULL AND y IS NOT NULL)
-    SELECT 'pearson' AS metric, round(corr(x, y), 6) AS value, count(*) AS n FROM z UNION ALL SELECT 'mse', round(avg((y - x) * (y - x)), 6), count(*) FROM z""")
+    good AS (SELECT 1 AS horizon, 'u' AS predictor, 'abs' AS target_mode, '' AS ticker, date, company, '' AS sector, x, y FROM dis JOIN r USING (date, company) WHERE x IS NOT NULL AND y IS NOT NULL),
+    {_resampled_sql("good")}
+    SELECT metric, {_INFERRED} FROM inferred""")
 def uncertainty_validation(spark, sf_dir):
     """Model disagreement against the same day's absolute return."""
     daily = _uncertain(spark, sf_dir)[1]
     panel = market.returns(V.prices(spark, sf_dir)).withColumnRenamed("ticker", "company")
-    v = validation.Validation(metrics=("pearson", "mse"))
-    out = validation.uncertainty(daily, panel, replace(v, inference=replace(v.inference, enabled=False)), column="disagreement_mean")
-    return out.select("metric", F.round("value", 6).alias("value"), "n")
+    return _scores_rounded(validation.uncertainty(daily, panel, validation.Validation(), column="disagreement_mean"))
