@@ -4,6 +4,7 @@ import hashlib
 import itertools
 import os
 import random
+import time
 import zlib
 
 import numpy as np
@@ -445,3 +446,36 @@ def test_search_against_brute_force(kind):
     for k, i in enumerate(q):
         want = sorted((-min(limit.max, max(limit.min, int(full[j, k]))), int(ids[j])) for j in range(n) if j != i)[:5]
         assert sorted(got.get(int(ids[i]), [])) == want, kind
+
+
+# ---- 8: neighbours and many notices ----
+
+
+def _plain(notice):
+    return notice.replace("{", "").replace("}", "")
+
+
+@pytest.mark.parametrize(
+    ("text", "labels"),
+    [
+        ("SPDX-License-Identifier: MIT", ["mit"]), ("SPDX-License-Identifier: MIT-0", ["mit-0"]), ("SPDX-License-Identifier: MIT-Modern-Variant", []),
+        ("SPDX-License-Identifier: BSD-3-Clause-Clear", ["bsd-3-clause-clear"]), ("SPDX-License-Identifier: BSD-3-Clause-Attribution", []),
+        ("SPDX-License-Identifier: GPL-2.0-or-later", ["gpl-2"]), ("SPDX-License-Identifier: GPL-2.0-only", ["gpl-2"]), ("SPDX-License-Identifier: MIT\n0 items", ["mit"]),
+        *((_plain(licenses.NOTICES[k][0]), [k]) for k in licenses.NOTICES),
+    ],
+)
+def test_neighbouring_licenses_are_told_apart(text, labels):
+    assert licenses.default_scanner().scan(text)["labels"] == labels
+
+
+def test_many_notices_take_time_in_proportion():
+    scanner = licenses.default_scanner()
+    apache = _plain(licenses.NOTICES["apache-2"][0]).split()
+    for one, n in (("SPDX-License-Identifier: MIT\n", 4000), (_plain(licenses.NOTICES["mit"][0]) + " ", 400), (" ".join(apache[: len(apache) * 4 // 5]) + " x y z ", 400)):
+        began = time.perf_counter()
+        found = scanner.scan(one * n)
+        assert len(found["spans"]) == n
+        assert time.perf_counter() - began < 3
+    # Some other text between and around them changes nothing.
+    mixed = "".join(f"part {i} of it. SPDX-License-Identifier: MIT\n" + "word " * (i % 60) for i in range(300))
+    assert [s["label"] for s in scanner.scan(mixed)["spans"]] == ["mit"] * 300

@@ -7,7 +7,10 @@ other, in the text and in the notice, are chained into spans.
 
 A span is a finding of its notice's licence if it covers enough of the notice and all its marked passages (in braces in
 ``NOTICES``: name, version, variant), each within one match. Findings that overlap in the text compete: the one that
-covers more words wins, so a notice that another one contains, or resembles, gives way to it.
+covers more words wins, so a notice that another one contains, or resembles, gives way to it. An identifier that a hyphen
+and a word go on from, other than ``-only`` and ``-or-later``, is another one and no finding. A span reaches over
+``_reach`` words at most; matches are chained in windows of twice that, which overlap by half, so a text costs time in
+proportion to its matches however many notices it holds.
 
 Phrases (``PHRASES``) are part of the automaton: a phrase stands at a word if the state there has it as a suffix. Their
 labels stay whatever the findings are.
@@ -21,6 +24,7 @@ else the best coverage of any span, finding or not.
 from __future__ import annotations
 
 import re
+from bisect import bisect_left, insort
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -66,6 +70,10 @@ NOTICES = {
         "Released under the {MIT License}",
         *_spdx("MIT"),
     ],
+    "mit-0": [
+        "{Permission is hereby granted, free of charge}, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), {to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge}, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so.",
+        *_spdx("MIT-0"),
+    ],
     "apache-1.1": ["Licensed under the {Apache License, Version 1.1}", "The {Apache Software License, Version 1.1}", *_spdx("Apache-1.1")],
     "apache-2": [
         "Licensed under the {Apache License, Version 2}.0 (the \"License\"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an \"AS IS\" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License.",
@@ -82,6 +90,14 @@ NOTICES = {
         f"{_BSD} {{Neither the name of}} the copyright holder nor the names of its contributors {{may be used to endorse or promote products}} derived from this software without specific prior written permission.{_AS_IS}",
         *_spdx("BSD-3-Clause"),
     ],
+    "bsd-3-clause-clear": [
+        f"{_BSD.replace('are permitted provided', 'are permitted {(subject to the limitations in the disclaimer below)} provided')} {{Neither the name of}} the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission. {{NO EXPRESS OR IMPLIED LICENSES TO ANY PARTY'S PATENT RIGHTS}} ARE GRANTED BY THIS LICENSE.{_AS_IS}",
+        *_spdx("BSD-3-Clause-Clear"),
+    ],
+    "bsd-4-clause": [
+        f"{_BSD} {{All advertising materials mentioning features or use of this software must display}} the following acknowledgement: This product includes software developed by the copyright holder. Neither the name of the copyright holder nor the names of its contributors {{may be used to endorse or promote products}} derived from this software without specific prior written permission.{_AS_IS}",
+        *_spdx("BSD-4-Clause"),
+    ],
     "isc": [
         "Permission to use, copy, modify, and/or distribute this software {for any purpose with or without fee} is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.",
         *_spdx("ISC"),
@@ -181,6 +197,8 @@ class Scanner:
         self.vocabulary = {w: i for i, w in enumerate(dict.fromkeys(w for _, ws in texts + spoken for w in ws))}
         ids = [[self.vocabulary[w] for w in ws] for _, ws in texts + spoken]
         self.notices = [(label, len(ws), passages) for label, ws, passages in marks]
+        self.identifiers = {tuple(ws): (label, number) for number, (label, ws, _) in enumerate(marks) if ws[:3] == [b"spdx", b"license", b"identifier"]}
+        self.named = {number for _, number in self.identifiers.values()}
         self.automaton = a = SuffixAutomaton(ids)
         own: dict[int, list[tuple[int, str]]] = {}
         for (label, ws), seq in zip(spoken, ids[len(texts) :], strict=True):
@@ -203,7 +221,12 @@ class Scanner:
         for lo, hi in zip(starts[long].tolist(), ends[long].tolist(), strict=True):
             self._stream(ids[lo:hi].tolist(), lo, places, matches)
         spans = self._chain(matches) if matches else []
-        findings = self._winners([s for s in spans if s["coverage"] >= MIN_COVER and s["marked"]])
+        findings = [s for s in spans if s["coverage"] >= MIN_COVER and s["marked"]]
+        if not self.named.isdisjoint(s["notice"] for s in findings):
+            raw = text.encode("utf-8", "surrogatepass").lower()
+            at = [m.span() for m in _WORDS.finditer(raw)]
+            findings = [f for s in findings if (f := self._identified(raw, words, at, s) if s["notice"] in self.named else s)]
+        findings = self._winners(findings)
         base = sorted({label for _, label in places})
         found = {s["label"] for s in findings}
         at = [p for p, _ in places]
@@ -239,13 +262,28 @@ class Scanner:
         if size >= MIN_MATCH:
             matches.append((offset + len(run) - size, size, state))
 
+    def _identified(self, raw: bytes, words: list[bytes], at: list[tuple[int, int]], span: dict) -> dict | None:
+        """An identifier's span, if it stands in one piece and is not the beginning of a longer one; else the shorter one in it that is."""
+        gap = lambda i: raw[at[i - 1][1] : at[i][0]] if i < len(words) else b""  # noqa: E731  before word i
+        start = span["start"]
+        for end in range(span["end"], start + 3, -1):
+            known = self.identifiers.get(tuple(words[start:end]))
+            whole = all(gap(i) in (b"-", b".") for i in range(start + 4, end))
+            if known and whole and (gap(end) != b"-" or words[end] in (b"only", b"or")):
+                return span | {"label": known[0], "notice": known[1], "end": end, "words": end - start, "coverage": 1.0}
+        return None
+
     @staticmethod
     def _winners(findings: list[dict]) -> list[dict]:
         """Findings that do not overlap with one that covers more words; copies of one licence's notices count once."""
+        kept: list[tuple[int, int]] = []  # starts and ends of disjoint findings, in order
         out: list[dict] = []
         for f in sorted(findings, key=lambda s: (-s["words"], -s["coverage"], s["start"], s["label"])):
-            if all(f["end"] <= o["start"] or o["end"] <= f["start"] for o in out):
-                out.append(f)
+            i = bisect_left(kept, (f["end"], 0))  # those from here on start at its end or later
+            if i and kept[i - 1][1] > f["start"]:
+                continue
+            insort(kept, (f["start"], f["end"]))
+            out.append(f)
         return sorted(out, key=lambda s: (s["start"], s["label"]))
 
     def _chain(self, matches: list[tuple[int, int, int]]) -> list[dict]:
@@ -267,15 +305,31 @@ class Scanner:
             spans += self._spans(number, group)
         return spans
 
+    def _reach(self, number: int) -> int:
+        """Words that a span of a notice reaches over at most: the notice's own, and a gap after each match."""
+        total = self.notices[number][1]
+        return total + MAX_GAP * (total // MIN_MATCH + 1)
+
     def _spans(self, number: int, group: list[tuple[int, int, list[int]]]) -> list[dict]:
-        """The best chain of a group of matches, then the best of what lies before and after it, and so on."""
-        out, todo = [], [group]
-        while todo:
-            part = todo.pop()
-            if span := self._span(number, part):
+        """The best chain of each window of a group, then the best of what lies before it there; the next window is what comes after."""
+        out: list[dict] = []
+        reach, firsts, i = self._reach(number), [m[0] for m in group], 0
+        while i < len(group):
+            part = group[i : bisect_left(firsts, firsts[i] + 2 * reach, i)]
+            span = self._span(number, part)
+            if span:
                 out.append(span)
-                if span["coverage"] >= MIN_COVER:
-                    todo += [rest for rest in ([m for m in part if m[0] + m[1] <= span["start"]], [m for m in part if m[0] >= span["end"]]) if rest]
+            if not span or span["coverage"] < MIN_COVER:
+                i = max(i + 1, bisect_left(firsts, firsts[i] + reach, i)) if len(part) < len(group) - i else len(group)
+                continue
+            i = max(i + 1, bisect_left(firsts, span["end"], i))
+            todo = [[m for m in part if m[0] + m[1] <= span["start"]]]
+            while todo:
+                rest = todo.pop()
+                if rest and (more := self._span(number, rest)):
+                    out.append(more)
+                    if more["coverage"] >= MIN_COVER:
+                        todo += [[m for m in rest if m[0] + m[1] <= more["start"]], [m for m in rest if m[0] >= more["end"]]]
         return out
 
     def _span(self, number: int, group: list[tuple[int, int, list[int]]]) -> dict | None:
@@ -313,7 +367,7 @@ class Scanner:
             k = links[k][4]
         whole = all(any(at <= lo and hi <= at + size for _, _, at, size, _ in chain) for lo, hi in passages)
         words = links[top][0]
-        return {"label": label, "start": chain[-1][1], "end": chain[0][1] + chain[0][3], "coverage": min(1.0, words / total), "words": words, "marked": whole}
+        return {"notice": number, "label": label, "start": chain[-1][1], "end": chain[0][1] + chain[0][3], "coverage": min(1.0, words / total), "words": words, "marked": whole}
 
 
 @lru_cache(maxsize=1)
