@@ -1,12 +1,15 @@
 """Collection runs with a client of their own, market and dataset configuration by their real setting names."""
 
+import time
+import uuid
 from datetime import date
 
 import pytest
 import yaml
+from pyspark.errors import PythonException
 
 from tidemark.plans import collect, config, experiment
-from tidemark.sources import files
+from tidemark.sources import files, search
 from tidemark.sources.state import ScrapeState
 
 FEED = "<rss><channel>" + "".join(
@@ -92,6 +95,65 @@ def test_limits_and_own_scrapers(spark, tmp_path):
         collect.run(spark, few, "01/02/2024", "2024-03-02", get=client)
 
 
+def test_no_request_after_the_end_and_none_too_soon(spark, tmp_path):
+    """A client that notes its requests: hosts are asked in turn and in order, and nothing is asked once a site is done."""
+    log = tmp_path / "log"
+    feed = "<rss><channel>" + "".join(f"<item><link>https://{'ab'[i % 2]}.com/{i}</link><title>Sabesp {i}</title><pubDate>Fri, 01 Mar 2024 10:00:00 GMT</pubDate></item>" for i in range(40)) + "</channel></rss>"
+
+    def noting(good):
+        def get(url):
+            with log.open("a") as f:
+                f.write(f"{time.time()} {url}\n")
+            if url.endswith("rss"):
+                return feed
+            i = int(url.rsplit("/", 1)[1])
+            return "<article><p>Sabesp anuncia um plano bastante longo de obras.</p></article>" if i in good else "<p>nada</p>"
+
+        return get
+
+    def collected(good, **limits):
+        log.write_text("")
+        plan = collect.collection({"defaults": {"delay_seconds": 0.3, **limits, "raw_dir": str(tmp_path / uuid.uuid4().hex)}, "sites": {"s": {"enabled": True, "scraping": {"search_strategy": "rss", "rss_url": "https://a.com/rss", "search_queries": ["sabesp"]}}}}, str(tmp_path))
+        n = collect.run(spark, plan, "2024-02-01", "2024-03-02", get=noting(good))["s"]
+        asked = [(float(t), url) for t, url in (line.split() for line in log.read_text().splitlines())]
+        for host in ("a.com", "b.com"):
+            own = sorted((t, url) for t, url in asked if f"//{host}/" in url)
+            assert all(b[0] - a[0] >= 0.3 for a, b in zip(own, own[1:], strict=False)), host
+            numbers = [int(url.rsplit("/", 1)[1]) for _, url in own if not url.endswith("rss")]
+            assert numbers == sorted(numbers)
+        return n, sorted(int(url.rsplit("/", 1)[1]) for _, url in asked if not url.endswith("rss"))
+
+    # Three articles: the links up to the third one, and no other.
+    assert collected({1, 2, 6, 9}, max_articles_per_site=3, max_fetch_misses=9) == (3, list(range(7)))
+    # Four misses in a row after the article at 3.
+    assert collected({3, 8}, max_articles_per_site=9, max_fetch_misses=4) == (1, list(range(8)))
+
+
+def test_result_pages_end_with_the_first_empty_one(spark, tmp_path):
+    log = tmp_path / "log"
+
+    def get(url):
+        with log.open("a") as f:
+            f.write(url + "\n")
+        if "/posts" in url:
+            return '[{"link": "https://p.com/1", "date": "2024-02-20", "title": {"rendered": "Copasa"}}]' if "search=Copasa" in url and "&page=1&" in url else "[]"
+        return "<article><p>Copasa anuncia um plano bastante longo de obras.</p></article>"
+
+    site = {"enabled": True, "scraping": {"search_strategy": "wordpress_api", "api_url": "https://p.com/posts", "api_max_pages": 5, "search_queries": ["Copasa", "nada"]}}
+    plan = collect.collection({"defaults": {"delay_seconds": 0.0, "raw_dir": "raw"}, "sites": {"posts": site}}, str(tmp_path))
+    assert collect.run(spark, plan, "2024-02-01", "2024-03-02", get=get) == {"posts": 1}
+    asked = sorted((u.split("search=")[1].split("&")[0], int(u.split("&page=")[1].split("&")[0])) for u in log.read_text().splitlines() if "/posts" in u)
+    assert asked == [("Copasa", 1), ("Copasa", 2), ("nada", 1)]
+
+
+def test_an_error_of_the_client_is_no_miss(spark):
+    def get(url):
+        raise TypeError("a mistake in the program")
+
+    with pytest.raises(PythonException, match="a mistake in the program"):
+        search.fetch(spark.createDataFrame([("https://a",)], "url string"), get).collect()
+
+
 MARKET = {"defaults": {"format": "csv", "columns": {"date": "dia", "ticker": "ticker", "close": "fecho"}}, "market": {"local_path": "prices.csv", "reader": {"delimiter": ";"}, "source": {"provider": "yfinance", "tickers": ["A.SA"], "start": "2020-01-01"}}}
 
 

@@ -12,13 +12,14 @@ import uuid
 from collections.abc import Callable
 from dataclasses import dataclass, field
 from datetime import date
+from functools import reduce
 from urllib.parse import quote_plus
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..operators import corpus
+from ..operators import corpus, ranges
 from ..sources import files, pages, search, sinks
 from ..sources.state import ScrapeState
 from .config import known_only, ordered
@@ -116,37 +117,65 @@ def requests(site: Site, since: str, until: str) -> list[tuple[int, int, str]]:
     return [(i, 0, o["search_url"].replace("{query}", quote_plus(q))) for i, q in enumerate(site.queries)] if o.get("search_url") else []
 
 
-def find(spark: SparkSession, site: Site, since: str, until: str, get=None, timeout: float = 30.0, delay: float = 0.0) -> DataFrame:
-    """position, url, title, published of a site's links, in the order of queries, pages and places."""
-    asked = spark.createDataFrame(requests(site, since, until), "query int, page int, url string")
-    got = search.fetch(asked, get, timeout, delay)
+def find(spark: SparkSession, site: Site, since: str, until: str, work: str, get=None, timeout: float = 30.0, delay: float = 0.0) -> tuple[DataFrame, DataFrame]:
+    """position, url, title, published of a site's links, in the order of queries, pages and places; and what was asked for.
+
+    Pages of results are asked for one after the other, and those of a query end with its first page without posts.
+    """
+    asked, replies = requests(site, since, until), []
+    live = {q for q, _, _ in asked}
+    for page in sorted({page for _, page, _ in asked}):
+        rows = spark.createDataFrame([r for r in asked if r[1] == page and r[0] in live], "query int, page int, url string")
+        got = search.fetch(rows, get, timeout, delay, ("query",), replies[-1] if replies else None)
+        replies.append(spark.read.parquet(sinks.write_table(got, f"{work}/results-{page}", ())))
+        if site.strategy == "wordpress_api":
+            live &= {r["query"] for r in replies[-1].where("coalesce(try_variant_get(try_parse_json(payload), '$[0]') is not null, false)").select("query").collect()}
+        if not live:
+            break
+    got = reduce(DataFrame.unionByName, replies) if replies else spark.createDataFrame([], "query int, page int, url string, payload string, asked_at double")
     if site.strategy == "rss":
         hits = search.rss_hits(got.select(F.col("url").alias("feed"), "payload"), site.queries, site.options.get("rss_since") or since, site.options.get("rss_until") or until, **site.links)
     else:
         hits = search.discover(site.strategy, got, **site.links)
-    return hits.select("position", "url", "title", "published")
+    return hits.select("position", "url", "title", "published"), got.select("url", "asked_at")
 
 
 def scrape(spark: SparkSession, site: Site, settings: dict, since: str, until: str, work: str, seen: DataFrame | None = None, get=None) -> DataFrame:
     """Records of a site with their ``position``. ``work`` is a folder for what is fetched.
 
-    A link that was seen, can't be fetched or is no article of the window is a miss; after too many in a row, or enough
-    articles, later links don't count. All links are fetched side by side, so some of those that don't count are fetched too.
+    A link that was seen, can't be fetched or is no article of the window is a miss; enough articles, or too many misses in
+    a row, end the run. Links are taken in rounds of as many as must be looked at whatever they hold (a run can't end before
+    the articles or the misses that are left have been met), so none is asked for after the end.
     """
+    most, patience = int(settings["max_articles_per_site"]), int(settings["max_fetch_misses"])
     client = {"get": get, "timeout": float(settings["request_timeout"]), "delay": float(settings["delay_seconds"])}
-    hits = spark.read.parquet(sinks.write_table(find(spark, site, since, until, **client), f"{work}/links", ()))
-    fresh = corpus.not_seen(hits, seen).drop("norm_url") if seen is not None else hits
-    named = fresh.withColumnsRenamed({"title": "link_title", "published": "link_day"})
-    fetched = spark.read.parquet(sinks.write_table(search.fetch(named, **client), f"{work}/pages", ())).where("payload is not null")
-    parsed = pages.parse_pages(fetched, "payload", site.containers, keep=("position", "url", "link_title", "link_day"))
+    hits, asked = find(spark, site, since, until, work, **client)
+    links = ranges.numbered(hits, [], ["position"], "place").withColumn("norm_url", T.normalize_url(F.col("url")))
+    first = links.where("norm_url <> ''").groupBy("norm_url").agg(F.min("place").alias("place"))
+    fresh = corpus.not_seen(first.withColumn("url", F.col("norm_url")), seen) if seen is not None else first
+    links = links.join(fresh.select("place", F.lit(True).alias("fresh")), "place", "left").select("place", "url", F.col("title").alias("link_title"), F.col("published").alias("link_day"), F.coalesce("fresh", F.lit(False)).alias("fresh"))
+    links = spark.read.parquet(sinks.write_table(links, f"{work}/links", ()))
+    total, place, articles, misses, found = links.count(), 0, 0, 0, []
+    while place < total and articles < most and misses < patience:
+        step = min(most - articles, patience - misses)
+        part = links.where(F.col("place").between(place, place + step - 1))
+        got = spark.read.parquet(sinks.write_table(search.fetch(part.where("fresh"), order=("place",), asked=asked, **client), f"{work}/pages-{place}", ()))
+        found.append(spark.read.parquet(sinks.write_table(_records(got.where("payload is not null"), site, settings, since, until, seen), f"{work}/articles-{place}", ())))
+        met = {r["position"] for r in found[-1].select("position").collect()}  # of at most ``step`` links
+        for at in range(place, min(place + step, total)):
+            articles, misses = (articles + 1, 0) if at in met else (articles, misses + 1)
+        asked, place = asked.unionByName(got.select("url", "asked_at")), place + step
+    return reduce(DataFrame.unionByName, found) if found else _records(links.limit(0).withColumn("payload", F.lit("")), site, settings, since, until, seen)
+
+
+def _records(fetched: DataFrame, site: Site, settings: dict, since: str, until: str, seen: DataFrame | None) -> DataFrame:
+    """Pages (place, url, link_title, link_day, payload) to records, in which ``position`` is the place."""
+    parsed = pages.parse_pages(fetched.withColumnRenamed("place", "position"), "payload", site.containers, keep=("position", "url", "link_title", "link_day"))
     articles = parsed.withColumns({
         "title": F.coalesce(F.nullif("title", F.lit("")), "link_title"),
         "day": F.coalesce(T.iso_day(F.col("link_day")), T.article_day(F.col("published"), F.col("url"), F.lit(until))),
     })
-    records = corpus.accept_articles(articles, since, until, seen, int(settings["min_article_chars"]), site.key, site.name)
-    flagged = hits.select("position").join(records.select("position", F.lit(True).alias("accepted")), "position", "left").select(F.lit(site.key).alias("site"), "position", F.coalesce("accepted", F.lit(False)).alias("accepted"))
-    kept = corpus.within_budget(flagged, max_articles=int(settings["max_articles_per_site"]), max_misses=int(settings["max_fetch_misses"]))
-    return records.join(kept.select("position"), "position", "left_semi")
+    return corpus.accept_articles(articles, since, until, seen, int(settings["min_article_chars"]), site.key, site.name)
 
 
 Scraper = Callable[..., DataFrame]

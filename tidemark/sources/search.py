@@ -5,6 +5,9 @@ Fetching is an I/O stage of its own (``fetch``); the parsers work on tables of p
 
 from __future__ import annotations
 
+import http.client
+import time
+import urllib.request
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -17,31 +20,62 @@ HIT = "url string, title string, published string"
 STRATEGIES = ("wordpress_api", "rss", "playwright", "html")
 
 
-def fetch(urls: DataFrame, get: Callable[[str], str] | None = None, timeout: float = 30.0, delay: float = 0.0) -> DataFrame:
-    """(url, ...) with the payload; a failed request gives null. ``get`` replaces the HTTP client."""
-    names = urls.columns
+#: A stage hands pages on once it holds this many characters of them.
+HELD_CHARS = 1 << 22
+
+#: What a site's failure looks like; other errors of a client are errors of its program.
+MISSES = (OSError, http.client.HTTPException)
+
+
+def _http_get(url: str, timeout: float) -> str:
+    try:
+        request = urllib.request.Request(url, headers={"User-Agent": "Mozilla/5.0 (compatible; news collector)"})
+    except ValueError as e:  # not an address
+        raise OSError(str(e)) from e
+    with urllib.request.urlopen(request, timeout=timeout) as reply:  # noqa: S310
+        return reply.read().decode(reply.headers.get_content_charset() or "utf-8", "replace")
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        import time
-        import urllib.request
 
-        def default(url: str) -> str:
-            request = urllib.request.Request(url, headers={"User-Agent": "Mozilla/5.0 (compatible; news collector)"})
-            with urllib.request.urlopen(request, timeout=timeout) as reply:  # noqa: S310
-                return reply.read().decode(reply.headers.get_content_charset() or "utf-8", "replace")
+def fetch(urls: DataFrame, get: Callable[[str], str] | None = None, timeout: float = 30.0, delay: float = 0.0, order: tuple[str, ...] = (), asked: DataFrame | None = None) -> DataFrame:
+    """(url, ...) with ``payload``, null if the request failed, and ``asked_at``, when it ended (seconds). ``get`` replaces the HTTP client.
 
+    A host's links are asked for one after the other, in ``order``, with ``delay`` seconds between the end of a request and
+    the next one; hosts are dealt out to tasks. ``asked`` has what was asked for before, whose hosts are waited for as well.
+    Pages leave in batches of bounded size, so a stage does not hold a host's pages.
+    """
+    names = urls.columns
+    host = F.coalesce(F.lower(F.try_parse_url("url", F.lit("HOST"))), F.lit(""))
+    rows = urls.withColumn("__host", host)
+    if asked is not None:
+        last = asked.select(host.alias("__host"), "asked_at").groupBy("__host").agg(F.max("asked_at").alias("__last"))
+        rows = rows.join(last, "__host", "left")
+    else:
+        rows = rows.withColumn("__last", F.lit(None).cast("double"))
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        at, last, held, size = None, 0.0, [], 0
         for frame in frames:
-            payloads = []
-            for url in frame["url"]:
+            for row in frame.to_dict("records"):
+                if row["__host"] != at:
+                    at, last = row["__host"], row["__last"] if row["__last"] == row["__last"] and row["__last"] is not None else 0.0
+                time.sleep(max(0.0, last + delay - time.time()) if last else 0.0)
                 try:
-                    payloads.append((get or default)(url))
-                except Exception:  # noqa: BLE001  any failure of a site is a miss
-                    payloads.append(None)
-                time.sleep(delay)
-            yield frame.assign(payload=payloads)
-
+                    row["payload"] = get(row["url"]) if get else _http_get(row["url"], timeout)
+                except MISSES:
+                    row["payload"] = None
+                row["asked_at"] = last = time.time()
+                held.append({k: v for k, v in row.items() if k[:2] != "__"})
+                size += len(row["payload"] or "")
+                if size >= HELD_CHARS:
+                    yield pd.DataFrame(held)
+                    held, size = [], 0
+        if held:
+            yield pd.DataFrame(held)
+
+    hosts = max(1, min(rows.select("__host").distinct().count(), 10_000))
+    dealt = rows.repartition(hosts, "__host").sortWithinPartitions("__host", *order)
     fields = ", ".join(f"`{c}` {urls.schema[c].dataType.simpleString()}" for c in names)
-    return urls.mapInPandas(run, f"{fields}, payload string")
+    return dealt.mapInPandas(run, f"{fields}, payload string, asked_at double")
 
 
 def _wanted(url: Column, exclude: tuple[str, ...], pattern: str | None) -> Column:
