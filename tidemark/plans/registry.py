@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 from . import queries as _queries
-from . import table_queries as _tables  # registers its own beside them
+from . import source_queries as _sources  # these register their own beside them
+from . import table_queries as _tables
 
-assert _tables
+assert _sources and _tables
 
 
 def queries() -> dict:
