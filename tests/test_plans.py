@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 from tidemark.operators import bootstrap, recurrence, standardize, validation
 from tidemark.plans import config, experiment, research
 from tidemark.sources import files
-from tidemark.streaming import index as stream_index
 from tidemark.streaming import ingest
 
 
@@ -89,27 +88,6 @@ def test_config(tmp_path):
     assert e.run_id == "r" and e.models[0].language == "en" and len(e.datasets) == 2
 
 
-DAILY = "date date, company string, sector string, impacto_dia double, risco_dia double, news_count long, mean_horizon double"
-
-
-def test_index_stream_equals_the_batch(spark, tmp_path):
-    rows = [(date(2024, 1, 1) + timedelta(days=d), c, "S", 0.1 * d, 0.05 * d, 1, 1.0 + d % 2) for c in ("A", "B") for d in (0, 1, 4, 5, 9)]
-    first, second = [r for r in rows if r[0] < date(2024, 1, 5)], [r for r in rows if r[0] >= date(2024, 1, 5)]
-    late = (date(2024, 1, 2), "A", "S", 9.0, 9.0, 1, 1.0)
-    src = tmp_path / "in"
-    query = None
-    for part in (first, [*second, late]):
-        spark.createDataFrame(part, DAILY).coalesce(1).write.mode("append").parquet(str(src))
-        stream = stream_index.index_stream(spark.readStream.schema(DAILY).parquet(str(src)))
-        query = stream.writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "cp")).outputMode("append").trigger(availableNow=True).start()
-        query.awaitTermination(120)
-    out = spark.read.parquet(str(tmp_path / "out"))
-    assert out.where("late").count() == 1
-    got = sorted((r.company, r.date, round(r.iti_liquido, 10), round(r.iti_risco, 10)) for r in out.where("not late").collect())
-    want = sorted((r.company, r.date, round(r.iti_liquido, 10), round(r.iti_risco, 10)) for r in recurrence.index_daily(spark.createDataFrame(rows, DAILY)).collect())
-    assert got == want
-
-
 def test_upsert_stream(spark, tmp_path):
     schema = "id string, url string, noticia string"
     for k in range(2):

@@ -1,49 +1,204 @@
-"""The persistent index as a stateful operator: per series the last day and the two levels.
+"""The persistent index as a stateful operator with late days, corrections and decay of silent series.
 
-Days are applied in order; the calendar between two of them is filled with the base decay. A day that is not after the
-series' last one is late and comes out with ``late`` set, changing nothing.
+The state of a series is its last ``window`` days: what each day added and how it decayed, and the level before them. A
+batch of days, in any order, is laid into that calendar; levels are computed again from the first day that changed, by a
+closed form over blocks of days. So a late day within the window changes the levels after it as if it had come in time.
+
+Rows of the output, by ``kind``: ``day``, a day after the series' last one (or a day between two of them without news);
+``late``, a day that came after a later one, with the correction of the last level before this batch that it causes;
+``corrected``, another day whose level changed; ``too_late``, a day before the window, which changes nothing. ``version``
+counts the batches of a series: of the rows of a day the one of the highest version holds.
+
+With ``decay_silent`` a series without news goes on: a timer of its own, set to the end of the day after its last one,
+fills the calendar up to the watermark. Days are event times then, and ``window`` is the watermark's delay.
+
+The state is kept by RocksDB, which this kind of operator needs; ``index_stream`` asks the session for it.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from datetime import timedelta
+from datetime import date, timedelta
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+
+from ..operators.recurrence import HIGHEST, LOWEST
 
-OUTPUT = "date date, company string, sector string, impacto_dia double, risco_dia double, news_count bigint, iti_liquido double, iti_risco double, late boolean"
-STATE = "last_day date, net double, risk double"
+OUTPUT = (
+    "date date, company string, sector string, impacto_dia double, risco_dia double, news_count bigint, iti_liquido double, iti_risco double, "
+    "kind string, version bigint, net_correction double, risk_correction double"
+)
+_STATE = "first int, net double, risk double, trimmed boolean, version bigint, a array<double>, impact array<double>, risk_impact array<double>, news array<bigint>"
+_DAY_MS = 86_400_000
 
+#: The summed logarithms of a block's decays stay under this, so that exp() stays finite.
+LOG_ROOM = 600.0
 
-def step_alpha(alpha: float, horizon: float | None, mode: str = "ewma_alpha") -> float:
+
+def use_rocksdb(spark: SparkSession) -> None:
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+
+
+def decays(alpha: float, horizons: np.ndarray, mode: str = "ewma_alpha") -> np.ndarray:
     if mode != "ewma_alpha":
-        return alpha
-    h = 1.0 if horizon is None or horizon != horizon else horizon
-    return max(0.01, min(0.999, alpha ** (1 / max(h, 0.05))))
-
-
-def index_stream(daily: DataFrame, alpha: float = 0.85, initial: float = 0.0, mode: str = "ewma_alpha") -> DataFrame:
-    """``daily``: date, company, sector, impacto_dia, risco_dia, news_count, mean_horizon."""
-
-    def update(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        company, sector = key
-        last, net, risk = state.get if state.exists else (None, initial, initial)
-        rows = pd.concat(list(frames)).sort_values("date", kind="stable")
-        out = []
-        for r in rows.itertuples():
-            if last is not None and r.date <= last:
-                out.append((r.date, company, sector, r.impacto_dia, r.risco_dia, r.news_count, None, None, True))
-                continue
-            while last is not None and last + timedelta(days=1) < r.date:
-                last += timedelta(days=1)
-                net, risk = alpha * net, alpha * risk
-                out.append((last, company, sector, 0.0, 0.0, 0, net, risk, False))
-            a = step_alpha(alpha, r.mean_horizon, mode)
-            net, risk, last = a * net + (1 - a) * r.impacto_dia, a * risk + (1 - a) * r.risco_dia, r.date
-            out.append((last, company, sector, r.impacto_dia, r.risco_dia, r.news_count, net, risk, False))
-        state.update((last, net, risk))
-        yield pd.DataFrame(out, columns=["date", "company", "sector", "impacto_dia", "risco_dia", "news_count", "iti_liquido", "iti_risco", "late"])
-
-    return daily.groupBy("company", "sector").applyInPandasWithState(update, OUTPUT, STATE, "append", GroupStateTimeout.NoTimeout)
+        return np.full(len(horizons), alpha)
+    h = np.where(np.isnan(horizons), 1.0, horizons)
+    return np.clip(alpha ** (1 / np.maximum(h, 0.05)), LOWEST, HIGHEST)
+
+
+def levels(before: float, a: np.ndarray, added: np.ndarray) -> np.ndarray:
+    """s[t] = a[t] * s[t-1] + added[t] from s[-1] = ``before``: exp(L) * (s + sum(added * exp(-L))), block by block."""
+    out = np.empty(len(a))
+    logs = np.log(a)
+    block = np.floor(np.cumsum(-logs) / LOG_ROOM).astype(np.int64)
+    edges = [0, *(np.flatnonzero(np.diff(block)) + 1).tolist(), len(a)]
+    for lo, hi in zip(edges, edges[1:], strict=False):
+        grown = np.cumsum(logs[lo:hi])
+        out[lo:hi] = np.exp(grown) * (before + np.cumsum(added[lo:hi] * np.exp(-grown)))
+        before = out[hi - 1] if hi > lo else before
+    return out
+
+
+def _number(day: date) -> int:
+    return day.toordinal()
+
+
+class Calendar:
+    """A series' days from ``first`` on: decay, impacts and news of each; ``net`` and ``risk`` are the levels before them."""
+
+    def __init__(self, alpha: float, initial: float, state: tuple | None = None) -> None:
+        self.alpha = alpha
+        if state is None:
+            self.first, self.net, self.risk, self.trimmed, self.version = None, initial, initial, False, 0
+            self.a, self.impact, self.risk_impact, self.news = (np.empty(0) for _ in range(4))
+        else:
+            self.first, self.net, self.risk, self.trimmed, self.version = state[:5]
+            self.a, self.impact, self.risk_impact, self.news = (np.asarray(x, float) for x in state[5:])
+
+    @property
+    def last(self) -> int | None:
+        return None if self.first is None else self.first + len(self.a) - 1
+
+    def reach(self, low: int, high: int) -> None:
+        """Days without news so that the calendar goes from ``low`` at the latest to ``high`` at the earliest."""
+        if self.first is None:
+            self.first = low
+        ahead, behind = max(0, self.first - low), max(0, high - self.first + 1 - len(self.a))
+        self.first -= ahead
+        self.a = np.concatenate([np.full(ahead, self.alpha), self.a, np.full(behind, self.alpha)])
+        for name in ("impact", "risk_impact", "news"):
+            setattr(self, name, np.concatenate([np.zeros(ahead), getattr(self, name), np.zeros(behind)]))
+
+    def levels(self) -> tuple[np.ndarray, np.ndarray]:
+        gain = 1 - self.a
+        return levels(self.net, self.a, gain * self.impact), levels(self.risk, self.a, gain * self.risk_impact)
+
+    def trim(self, window: int, net: np.ndarray, risk: np.ndarray) -> None:
+        if (cut := len(self.a) - window) > 0:
+            self.net, self.risk, self.trimmed, self.first = float(net[cut - 1]), float(risk[cut - 1]), True, self.first + cut
+            self.a, self.impact, self.risk_impact, self.news = (x[cut:] for x in (self.a, self.impact, self.risk_impact, self.news))
+
+    def state(self) -> tuple:
+        return (self.first, self.net, self.risk, self.trimmed, self.version, self.a.tolist(), self.impact.tolist(), self.risk_impact.tolist(), self.news.astype(int).tolist())
+
+
+class IndexProcessor(StatefulProcessor):
+    def __init__(self, alpha: float, initial: float, mode: str, window: int, decay_silent: bool) -> None:
+        self.alpha, self.initial, self.mode, self.window, self.decay_silent = alpha, initial, mode, window, decay_silent
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle, self.kept = handle, handle.getValueState("calendar", _STATE)
+
+    def close(self) -> None:
+        pass
+
+    def _calendar(self) -> Calendar:
+        return Calendar(self.alpha, self.initial, tuple(self.kept.get()) if self.kept.exists() else None)
+
+    def _keep(self, calendar: Calendar, net: np.ndarray, risk: np.ndarray) -> None:
+        calendar.trim(self.window, net, risk)
+        self.kept.update(calendar.state())
+        if self.decay_silent:
+            for timer in list(self.handle.listTimers()):
+                self.handle.deleteTimer(timer)
+            self.handle.registerTimer((calendar.last + 2 - _number(date(1970, 1, 1))) * _DAY_MS)
+
+    def _rows(self, key: tuple, calendar: Calendar, at: np.ndarray, net: np.ndarray, risk: np.ndarray, kinds: list[str], corrections=None) -> pd.DataFrame:
+        out = pd.DataFrame({
+            "date": [date.fromordinal(int(calendar.first + i)) for i in at], "company": key[0], "sector": key[1],
+            "impacto_dia": calendar.impact[at], "risco_dia": calendar.risk_impact[at], "news_count": calendar.news[at].astype("int64"),
+            "iti_liquido": net[at], "iti_risco": risk[at], "kind": kinds, "version": calendar.version,
+        })
+        for name, values in zip(("net_correction", "risk_correction"), corrections or (None, None), strict=True):
+            out[name] = values if values is not None else np.nan
+        return out
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        came = pd.concat(list(rows))
+        calendar = self._calendar()
+        calendar.version += 1
+        days = np.array([_number(d) for d in came["date"]])
+        lost = (days < calendar.first) & calendar.trimmed if calendar.first is not None else np.zeros(len(days), bool)
+        if lost.any():
+            gone = came[lost]
+            yield pd.DataFrame({
+                "date": gone["date"], "company": key[0], "sector": key[1], "impacto_dia": gone["impacto_dia"], "risco_dia": gone["risco_dia"], "news_count": gone["news_count"],
+                "iti_liquido": np.nan, "iti_risco": np.nan, "kind": "too_late", "version": calendar.version, "net_correction": np.nan, "risk_correction": np.nan,
+            })
+        came, days = came[~lost], days[~lost]
+        if not len(days):
+            self._keep(calendar, *calendar.levels())
+            return
+        last_before = calendar.last
+        calendar.reach(int(days.min()), int(days.max()))
+        old_a, old_impact, old_risk = calendar.a.copy(), calendar.impact.copy(), calendar.risk_impact.copy()
+        at = days - calendar.first
+        calendar.a[at] = decays(self.alpha, came["mean_horizon"].to_numpy(float), self.mode)
+        calendar.impact[at], calendar.risk_impact[at], calendar.news[at] = (came[c].fillna(0).to_numpy(float) for c in ("impacto_dia", "risco_dia", "news_count"))
+        net, risk = calendar.levels()
+        changed = np.arange(at.min(), len(calendar.a))
+        end = -1 if last_before is None else last_before - calendar.first
+        new = set(at.tolist())
+        kinds = ["day" if i > end else "late" if i in new else "corrected" for i in changed]
+        # What each late day does to the last level before: its own change, decayed by all days from it to that one.
+        effects = []
+        for level, base, old, now in ((net, calendar.net, old_impact, calendar.impact), (risk, calendar.risk, old_risk, calendar.risk_impact)):
+            before = np.concatenate([[base], level[:-1]])
+            jump = level - (old_a * before + (1 - old_a) * old)
+            later = np.concatenate([np.cumsum(np.log(calendar.a[: end + 1])[::-1])[::-1][1:], [0.0]]) if end >= 0 else np.empty(0)
+            effects.append([float(jump[i] * np.exp(later[i])) if k == "late" else np.nan for i, k in zip(changed, kinds, strict=True)])
+        yield self._rows(key, calendar, changed, net, risk, kinds, effects)
+        self._keep(calendar, net, risk)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        calendar = self._calendar()
+        until = timerValues.getCurrentWatermarkInMs() // _DAY_MS + _number(date(1970, 1, 1)) - 1  # the last day that is over
+        start = len(calendar.a)
+        calendar.reach(calendar.first, until)
+        if len(calendar.a) > start:
+            calendar.version += 1
+            net, risk = calendar.levels()
+            at = np.arange(start, len(calendar.a))
+            yield self._rows(key, calendar, at, net, risk, ["day"] * len(at))
+            self._keep(calendar, net, risk)
+
+
+def index_stream(daily: DataFrame, alpha: float = 0.85, initial: float = 0.0, mode: str = "ewma_alpha", window: int = 60, decay_silent: bool = False) -> DataFrame:
+    """``daily``: date, company, sector, impacto_dia, risco_dia, news_count, mean_horizon; a day's row may come once or be replaced."""
+    if not 0 < alpha < 1:
+        raise ValueError("alpha lies between 0 and 1")
+    use_rocksdb(daily.sparkSession)
+    rows = daily.withColumn("day_at", F.col("date").cast("timestamp")).withWatermark("day_at", f"{window} days") if decay_silent else daily
+    processor = IndexProcessor(alpha, initial, mode, window, decay_silent)
+    return rows.groupBy("company", "sector").transformWithStateInPandas(processor, outputStructType=OUTPUT, outputMode="append", timeMode="EventTime" if decay_silent else "None")
+
+
+def newest(made: DataFrame) -> DataFrame:
+    """The rows that hold: each day's of the highest version."""
+    columns = ("impacto_dia", "risco_dia", "news_count", "iti_liquido", "iti_risco")
+    held = made.where("kind <> 'too_late'").groupBy("date", "company", "sector").agg(F.max_by(F.struct(*columns), "version").alias("r"))
+    return held.select("date", "company", "sector", *(f"r.{c}" for c in columns))
