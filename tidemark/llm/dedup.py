@@ -13,12 +13,12 @@ No group is ever paired with itself:
 3. Only buckets that still hold several components are looked at again. First every member outside a bucket's main
    component meets up to ``PIVOTS`` members of that, which is linear and links most of those that belong to it.
 4. In the buckets that are still open, how often each shingle of their members occurs among them is counted. Documents
-   of different components that share a rare shingle are paired through it, which is linear. Two that share none have
-   at most their frequent shingles in common; most members outside a bucket's main component have too few of those to
-   be similar to anything, and the rest meet only members that this bound, the estimate and a second bound admit: the
-   bits in which two sets' parities differ (``PARITY`` bits a set) are no more than the shingles that only one of them
-   has. All pairs left are confirmed. So every candidate pair is either confirmed, ruled out by a bound or an estimate,
-   or already connected; nothing is capped.
+   of different components that share a rare shingle are paired through it, which is linear. Two that share none can
+   only be similar if they share one of the first shingles of each, from the rarest to the most frequent, as many as a
+   similar set may lack and one more. Most members have enough rare ones that none of those is frequent; the others
+   meet by the few that are, if sizes, estimate and a second bound admit it: the bits in which two sets' parities differ
+   (``PARITY`` bits a set) are no more than the shingles that only one of them has. All pairs left are confirmed. So
+   every candidate pair is either confirmed, ruled out by a bound or an estimate, or already connected; nothing is capped.
 
 Classes, not documents, are compared: a class has a number of its own, so rows that share a doc_id but not their text
 never meet by it.
@@ -254,7 +254,7 @@ def _by_pivots(open_: DataFrame, percent: int) -> DataFrame:
     return _ordered(_side(open_.where("component <> main"), "a").join(_side(pivots, "b"), meet))
 
 
-def _rest(open_: DataFrame, sets: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+def _rest(open_: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Pairs of different components that may still be similar, of the members of open buckets."""
     nodes = written(open_.select("node", "component", "s0", "s1", "s2").dropDuplicates(["node"]), "dedup-open-nodes")
     rows = sets.join(nodes, "node", "left_semi").select("node", F.explode("shingles").alias("shingle"))
@@ -271,19 +271,31 @@ def _rest(open_: DataFrame, sets: DataFrame, classes: DataFrame, percent: int) -
     paired = F.flatten(F.transform("l", lambda x: F.transform(apart(x), lambda y: F.struct(*named(x, "a"), *named(y, "b")))))
     by_rare = lists.select(F.explode(F.filter(paired, lambda p: _estimate([(p[f"a{k}"], p[f"b{k}"]) for k in range(3)]) >= LEAST_ESTIMATE)).alias("p")).select("p.a", "p.b")
 
-    # By frequent shingles alone: members that have enough of them at all.
-    able = written(open_.join(frequent, "node").where(F.col("f") * 100 >= F.col("n") * percent).join(classes.select("node", "bands"), "node"), "dedup-able")
+    # By frequent shingles alone. Sets of n and m shingles that are similar enough share one of the first n - ceil(t n) + 1
+    # of the one and of the first m - ceil(t m) + 1 of the other, counted from the rarest. Rare ones are seen to, so only
+    # members whose first ones reach into the frequent are left, and they meet by those few.
+    first = F.floor((100 - percent) * F.col("n") / 100) + 1
+    open_nodes = open_.select("node", "n", "odd").dropDuplicates(["node"])
+    able = frequent.join(open_nodes, "node").select("node", "n", "f", "odd", (first - (F.col("n") - F.col("f"))).cast("int").alias("reach")).where("reach > 0")
+    able = written(able.join(nodes, "node"), "dedup-able")
+    ranked = counted.where(F.col("df") > RARE).join(able.select("node", "reach"), "node").groupBy("node").agg(F.array_sort(F.collect_list(F.struct("df", "shingle"))).alias("l"), F.first("reach").alias("reach"))
+    starts = ranked.select("node", F.explode(F.slice("l", F.lit(1), F.col("reach"))).alias("x")).select("node", F.col("x.shingle").alias("shingle"))
+    starts = written(starts.join(able.drop("odd", "reach"), "node"), "dedup-starts")
+    side = lambda s: starts.select("shingle", F.col("node").alias(s), *(F.col(c).alias(f"{s}{c}") for c in ("component", "n", "f")), *(F.col(f"s{k}").alias(f"{s}{k}") for k in range(3)))
     most = F.least("af", "bf")
-    # Two outsiders meet once, an outsider meets all of the main component.
-    meet = (F.col("akey") == F.col("bkey")) & (F.col("acomponent") != F.col("bcomponent")) & ((F.col("bcomponent") == F.col("bmain")) | (F.col("a") > F.col("b")))
-    meet = meet & (most * 100 >= (F.col("an") + F.col("bn") - most) * percent) & (estimate("a", "b") >= LEAST_ESTIMATE)
-    # Of the buckets that two share, only the first pairs them (any bucket with both has several components).
-    first = F.array_position(F.zip_with("abands", "bbands", lambda x, y: x == y), True).cast("int")
-    meet = meet & (F.element_at("abands", first) == F.col("akey")) & _bound("a", "b", percent)
-    by_frequent = _side(able, "a", "f", "bands").where("acomponent <> amain").join(_side(able, "b", "f", "bands"), meet)
+    alike = (F.least("an", "bn") * 100 >= F.greatest("an", "bn") * percent) & (most * 100 >= (F.col("an") + F.col("bn") - most) * percent) & (estimate("a", "b") >= LEAST_ESTIMATE)
+    meet = (F.col("x.shingle") == F.col("y.shingle")) & (F.col("a") > F.col("b")) & (F.col("acomponent") != F.col("bcomponent")) & alike
+    likely = written(side("a").alias("x").join(side("b").alias("y"), meet).select("a", "b").distinct(), "dedup-likely")
+    bits = lambda s: able.select(F.col("node").alias(s), F.col("n").alias(f"{s}n"), F.col("odd").alias(f"{s}odd"))
+    by_frequent = likely.join(bits("a"), "a").join(bits("b"), "b").where(_bound("a", "b", percent))
     return _ordered(by_rare.union(by_frequent.select("a", "b")))
 
 
+#: A graph of at most so many edges is worked on in one plan a round; a larger one's steps are written down, so that Spark can
+#: split the edges of a node with very many.
+SMALL_GRAPH = 1_000_000
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, component): the smallest node reachable, for all nodes of ``edges`` (a, b).
 
@@ -295,12 +307,12 @@ def components(edges: DataFrame) -> DataFrame:
         if now == seen or not now[0]:
             return state.select(F.col("a").alias("node"), F.col("b").alias("component"))
         seen = now
+        step = (lambda df, _: df) if now[0] <= SMALL_GRAPH else written
         both = state.union(state.select("b", "a"))
-        # Written down, so that the edges of a node with very many can be split in the join.
-        lowest = written(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m")), "dedup-lowest")
+        lowest = step(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m")), "dedup-lowest")
         large = both.join(lowest, "a").where(F.col("b") > F.col("a")).select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
-        large = written(large, "dedup-large")
-        down = written(large.groupBy("a").agg(F.min("b").alias("m")), "dedup-down")
+        large = step(large, "dedup-large")
+        down = step(large.groupBy("a").agg(F.min("b").alias("m")), "dedup-down")
         small = large.join(down, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").union(down.select("a", "m")).distinct()
         state = written(small, "dedup-stars")
 
@@ -342,7 +354,7 @@ def _linked(docs: DataFrame, classes: DataFrame, words: int, percent: int) -> Da
         labels = components(edges)
         still = written(_open(known.drop("component", "main"), labels), "dedup-open")
     met = likely.union(near)
-    rest = written(_rest(still, sets, classes, percent).join(met, ["a", "b"], "left_anti"), "dedup-rest")
+    rest = written(_rest(still, sets, percent).join(met, ["a", "b"], "left_anti"), "dedup-rest")
     if not rest.isEmpty():
         labels = components(edges.union(_confirmed(rest, sets, percent)))
     return labels.union(labels.select("component", "component").distinct())
