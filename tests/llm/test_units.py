@@ -479,3 +479,49 @@ def test_many_notices_take_time_in_proportion():
     # Some other text between and around them changes nothing.
     mixed = "".join(f"part {i} of it. SPDX-License-Identifier: MIT\n" + "word " * (i % 60) for i in range(300))
     assert [s["label"] for s in scanner.scan(mixed)["spans"]] == ["mit"] * 300
+
+
+# ---- 2: archives of others ----
+
+
+def _foreign(kind, block, compress=6, **headers):
+    import gzip
+
+    lines = [f"WARC-Type: {kind}", *(f"{k.replace('_', '-')}: {v}" for k, v in headers.items()), f"Content-Length: {len(block)}"]
+    record = b"WARC/1.0\r\n" + "\r\n".join(lines).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
+    return gzip.compress(record, compress) if compress is not None else record
+
+
+def test_archives_of_others_are_read(tmp_path):
+    import gzip
+
+    page = b"HTTP/1.1 200 OK\r\nContent-Type: text/html\r\n\r\n<p>hello</p>"
+    sha = hashlib.sha1(b"<p>hello</p>").hexdigest()
+    http = {"Content_Type": "application/http; msgtype=response"}
+    members = [
+        _foreign("warcinfo", b"x"),
+        _foreign("response", page, 9, WARC_Record_ID="<urn:uuid:1>", WARC_Target_URI="<http://a/b%20c>", WARC_Payload_Digest="sha1:AAAA", **http),
+        _foreign("response", page, 1, WARC_Record_ID="<urn:uuid:2>", WARC_Target_URI="http://a/\r\n\tlong", **http),
+        _foreign("response", page, 0, WARC_Record_ID="<urn:uuid:3>", WARC_Target_URI="u", WARC_Payload_Digest="md5:0123", **http),
+        _foreign("revisit", b"HTTP/1.1 200 OK", WARC_Record_ID="<urn:uuid:4>", WARC_Target_URI="u", WARC_Refers_To="<urn:uuid:1>", WARC_Payload_Digest=f"sha1:{sha}", **http),
+        _foreign("response", b"plain", WARC_Target_URI="u", Content_Type="text/plain"),
+        _foreign("metadata", b"y"),
+        gzip.compress(_foreign("response", page, None, WARC_Record_ID="<urn:uuid:6>", **http) + _foreign("response", b"two", None, WARC_Record_ID="<urn:uuid:7>", Content_Type="text/plain")),
+    ]
+    path = tmp_path / "foreign.warc.gz"
+    path.write_bytes(b"".join(members))
+    size = path.stat().st_size
+    for step in (size, 97, 40):
+        rows = [r for lo in range(0, size, step) for x in warc.scan_range(str(path), lo, min(size, lo + step)) if (r := warc._row(x))]
+        assert [r[:8] for r in rows] == [
+            (None, "http://a/b c", "response", 12, sha, None, "<urn:uuid:1>", None), (None, "http://a/ long", "response", 12, sha, None, "<urn:uuid:2>", None),
+            (None, "u", "response", 12, sha, None, "<urn:uuid:3>", None), (None, "u", "revisit", None, sha, None, "<urn:uuid:4>", sha),
+            (None, "u", "response", 5, hashlib.sha1(b"plain").hexdigest(), None, None, None),
+            (None, "", "response", 12, sha, None, "<urn:uuid:6>", None), (None, "", "response", 3, hashlib.sha1(b"two").hexdigest(), None, "<urn:uuid:7>", None),
+        ]
+
+
+def test_a_payload_of_ones_own_must_match_its_digest():
+    record = {"headers": {"warc-type": "response", "warc-record-id": "<urn:page:5>", "warc-payload-digest": "sha1:" + "A" * 32}, "block": b"HTTP/1.1 200 OK\r\n\r\nx"}
+    with pytest.raises(ValueError, match="digest"):
+        warc._row(record)

@@ -122,7 +122,7 @@ class _Window:
     """A file read forward in steps; keeps only what is still needed."""
 
     def __init__(self, file, start: int):
-        self.file, self.start, self.data, self.over = file, start, b"", False
+        self.file, self.start, self.data, self.over = file, start, bytearray(), False
         file.seek(start)
 
     def more(self, least: int = _READ) -> bool:
@@ -132,7 +132,8 @@ class _Window:
         return bool(got)
 
     def drop(self, n: int) -> None:
-        self.data, self.start = self.data[n:], self.start + n
+        del self.data[:n]
+        self.start += n
 
 
 def _inflate(window: _Window, at: int):
@@ -142,7 +143,7 @@ def _inflate(window: _Window, at: int):
         while not unpack.eof:
             if pos >= len(window.data) and not window.more():
                 return None
-            piece = unpack.decompress(window.data[pos : pos + _STEP])
+            piece = unpack.decompress(bytes(window.data[pos : pos + _STEP]))
             pos = min(pos + _STEP, len(window.data))
             out.append(piece)
             if len(head) < 7:
@@ -154,12 +155,16 @@ def _inflate(window: _Window, at: int):
     return (b"".join(out), pos - len(unpack.unused_data)) if head[:7] == b"WARC/1." else None
 
 
-def _parse(record: bytes) -> dict | None:
-    head, _, rest = record.partition(b"\r\n\r\n")
-    lines = head.decode("utf-8", "replace").split("\r\n")
-    headers = {k.strip().lower(): v.strip() for k, _, v in (line.partition(":") for line in lines[1:])}
-    length = int(headers.get("content-length", 0))
-    return {"headers": headers, "block": rest[:length]}
+def _parse(member: bytes) -> Iterator[dict]:
+    """The records of a member: one, or several in a row. Folded header lines are joined with a space."""
+    while member.startswith(b"WARC/1."):
+        head, _, rest = member.partition(b"\r\n\r\n")
+        lines = re.sub(r"\r\n[ \t]+", " ", head.decode("utf-8", "replace")).split("\r\n")
+        headers = {k.strip().lower(): v.strip() for k, _, v in (line.partition(":") for line in lines[1:])}
+        length = headers.get("content-length", "")
+        length = int(length) if length.isdecimal() else len(rest)
+        yield {"headers": headers, "block": rest[:length]}
+        member = rest[length:].lstrip(b"\r\n")
 
 
 def scan_range(path: str, start: int, end: int) -> Iterator[dict]:
@@ -189,38 +194,60 @@ def scan_range(path: str, start: int, end: int) -> Iterator[dict]:
             if not whole:
                 at, sure = found + 1, False
                 continue
-            yield _parse(whole[0])
+            yield from _parse(whole[0])
             at, sure = whole[1], True
             if at > _READ:
                 window.drop(at)
                 at = 0
 
 
+def _page(identifier: str) -> int | None:
+    """The page of an identifier that ``write_warc`` has given; None for others."""
+    found = re.fullmatch(r"<urn:page:(-?\d+)>", identifier)
+    return int(found[1]) if found else None
+
+
+def _declared(digest: str) -> str | None:
+    """A SHA-1 in hex, from base32 or hex after ``sha1:``; None if there is none that can be read."""
+    kind, _, value = digest.partition(":")
+    if kind.lower() != "sha1":
+        return None
+    if re.fullmatch(r"[0-9a-fA-F]{40}", value):
+        return value.lower()
+    return base64.b32decode(value.upper()).hex() if re.fullmatch(r"[A-Za-z2-7]{32}", value) else None
+
+
 def _row(record: dict) -> tuple | None:
     h = record["headers"]
     kind = h.get("warc-type")
     if kind not in ("response", "revisit"):
         return None
-    page = h["warc-record-id"].removeprefix("<urn:page:").removesuffix(">")
-    http, _, payload = record["block"].partition(b"\r\n\r\n")
-    declared = base64.b32decode(h["warc-payload-digest"].removeprefix("sha1:")).hex()
+    own = h.get("warc-record-id", "")
+    page, declared = _page(own), _declared(h.get("warc-payload-digest", ""))
+    is_http = h.get("content-type", "application/http").lower().startswith("application/http")
+    http, _, payload = record["block"].partition(b"\r\n\r\n") if is_http else (b"", b"", record["block"])
     if kind == "revisit":
-        size, payload, digest = int(re.search(rb"(?i)\r\ncontent-length: *(\d+)", http)[1]), None, declared
-        refers = int(h["warc-refers-to"].removeprefix("<urn:page:").removesuffix(">"))
+        stated = re.search(rb"(?i)\r\ncontent-length: *(\d+)", http)
+        size, payload, digest = int(stated[1]) if stated else None, None, declared
+        refers = _page(h.get("warc-refers-to", ""))
     else:
         size, digest, refers = len(payload), hashlib.sha1(payload).hexdigest(), None
-        if digest != declared:
-            raise ValueError(f"payload of {page} does not match its digest")
-    return (None if page == "null" else int(page), unquote(h["warc-target-uri"]), kind, size, digest, refers, payload)
+        if declared not in (None, digest) and own.startswith("<urn:page:"):
+            raise ValueError(f"payload of {own} does not match its digest")
+    return (page, unquote(h.get("warc-target-uri", "").strip("<>")), kind, size, digest, refers, own or None, declared, payload)
 
 
 def read_warc(spark: SparkSession, archives: DataFrame, split_bytes: int = SPLIT_BYTES, payloads: bool = True) -> DataFrame:
-    """Records of ``archives`` (path, bytes), read in byte ranges."""
+    """Records of ``archives`` (path, bytes), read in byte ranges.
+
+    Archives of others are read like the engine's own: ``page_id`` and ``refers_to`` are null where identifiers are not the
+    engine's, a response's digest is computed, and ``declared_digest`` has what its record says, null if that can't be read.
+    """
     ranges = archives.select("path", "bytes", F.explode(F.sequence(F.lit(0).cast("long"), F.greatest(F.col("bytes") - 1, F.lit(0)), F.lit(split_bytes).cast("long"))).alias("start"))
     ranges = ranges.select("path", "start", F.least(F.col("start") + split_bytes, F.col("bytes")).alias("end"))
     tasks = max(1, min(10_000, ranges.count()))
-    types = (pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.binary())
-    names = ("page_id", "url", "record_type", "payload_bytes", "payload_digest", "refers_to", "payload")
+    types = (pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.binary())
+    names = ("page_id", "url", "record_type", "payload_bytes", "payload_digest", "refers_to", "record_id", "declared_digest", "payload")
     width = len(names) - (not payloads)
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -237,7 +264,7 @@ def read_warc(spark: SparkSession, archives: DataFrame, split_bytes: int = SPLIT
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types[:width], strict=True)], names[:width])
 
-    schema = "page_id long, url string, record_type string, payload_bytes long, payload_digest string, refers_to long" + ", payload binary" * payloads
+    schema = "page_id long, url string, record_type string, payload_bytes long, payload_digest string, refers_to long, record_id string, declared_digest string" + ", payload binary" * payloads
     return map_arrow(ranges.repartition(tasks), read, schema)
 
 
