@@ -3,6 +3,7 @@
 import json
 
 import pytest
+from pyspark.sql import Observation
 from pyspark.sql import functions as F
 
 from tidemark.functions import scores as S
@@ -215,3 +216,44 @@ def test_sinks(spark, tmp_path):
     with pytest.raises(FileExistsError):
         sinks.RunStore(spark, str(tmp_path), "run")
     assert files.latest_run(spark, str(tmp_path)).endswith("/run") and files.read_summary(spark, str(tmp_path / "run"))["run_id"] == "run"
+
+
+def test_rows_of_several_files_follow_the_names_of_the_files(spark, tmp_path):
+    """Small files are packed into tasks by their sizes; their rows are still numbered by name and place."""
+    folder = tmp_path / "some files"
+    folder.mkdir()
+    (folder / "a.csv").write_text("id,x\n0,first\n")
+    (folder / "b.csv").write_text("id,x\n" + "".join(f"{i},b\n" for i in range(1, 2000)))
+    (folder / "c.csv").write_text("id,x\n" + "".join(f"{i},c\n" for i in range(2000, 2010)))
+    for multiline in (True, False):
+        r = files.Reader(str(folder), multiline=multiline)
+        assert [x.id for x in files.read(spark, r).orderBy("row_id").collect()] == [str(i) for i in range(2010)]
+        assert [x.id for x in files.read(spark, files.Reader(str(folder), multiline=multiline, max_rows=1)).collect()] == ["0"]
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "2000")  # b.csv is read in several blocks
+    try:
+        rows = files.read(spark, files.Reader(str(folder), multiline=False))
+        assert rows.select("row_id").distinct().count() == 2010
+        assert [x.id for x in rows.orderBy("row_id").collect()] == [str(i) for i in range(2010)]
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    for k, part in enumerate((range(3), range(3, 2000), range(2000, 2004))):
+        spark.range(part.start, part.stop).coalesce(1).write.parquet(str(tmp_path / f"p{k}"))
+        next((tmp_path / f"p{k}").glob("*.parquet")).rename(tmp_path / f"{k}.parquet")
+    whole = files.read(spark, files.Reader(str(tmp_path / "[0-9].parquet"), format="parquet"))
+    assert [x.id for x in whole.orderBy("row_id").collect()] == list(range(2004))
+
+
+def test_counters_by_cause(spark, tmp_path):
+    lines = ["1,2024-01-01,x", "2,2024-03-01,late", "3,,none", "4,nonsense,y", "5,2024-01-02,", "6,2024-01-03,z,too,many", "7,2024-01-04,w"]
+    (tmp_path / "n.csv").write_text("id,day,text\n" + "\n".join(lines) + "\n")
+    d = standardize.Dataset("d", "d", {"news_id": "id", "text": "text", "date": "day"}, start_date="2024-01-01", end_date="2024-02-01")
+    reader = files.Reader(str(tmp_path / "n.csv"), on_bad_lines="skip", multiline=False)
+    counters = Observation()
+    kept = standardize.standardize(files.read(spark, reader, keep_bad=True), d, counters=counters)
+    assert [(r.news_id, r.source_row_number) for r in kept.orderBy("news_id").collect()] == [("1", 2), ("7", 4)]  # after the header; the empty text has a number
+    assert counters.get == {"rows_read": 7, "rows_kept": 2, "bad_line": 1, "missing_date": 1, "unreadable_date": 1, "out_of_range": 1, "empty_text": 1}
+    (tmp_path / "n.jsonl").write_text('{"id": "1", "day": "2024-01-01", "text": "x"}\n{"id": oops\n{"id": "2", "day": "2024-01-05", "text": null}\n')
+    counters = Observation()
+    assert standardize.standardize(files.read(spark, files.Reader(str(tmp_path / "n.jsonl"), format="jsonl", on_bad_lines="skip"), keep_bad=True), d, counters=counters).count() == 1
+    assert counters.get == {"rows_read": 3, "rows_kept": 1, "bad_line": 1, "missing_date": 0, "unreadable_date": 0, "out_of_range": 0, "empty_text": 1}

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
@@ -82,9 +82,18 @@ def number_duplicates(df: DataFrame, order: str, column: str = "news_id") -> Dat
     return df.withColumn("__k", k).withColumn(column, F.when(F.col("__k") > 0, F.concat(F.col(column), F.lit("__dup"), F.col("__k"))).otherwise(F.col(column))).drop("__k")
 
 
-def standardize(raw: DataFrame, dataset: Dataset, row_order: str = "row_id") -> DataFrame:
+#: A column of lines that could not be read, where the reader keeps them.
+BAD = "__bad_line"
+#: Why rows of a file are not in the standardized table.
+CAUSES = ("bad_line", "missing_date", "unreadable_date", "out_of_range", "empty_text")
+
+
+def standardize(raw: DataFrame, dataset: Dataset, row_order: str = "row_id", counters: Observation | None = None) -> DataFrame:
     """``raw`` is all text with a ``row_order`` that follows the file: limit, date filter, mapping, cleaning, labels, extras.
 
+    ``counters`` is filled by the first action on the table: rows read, rows kept, and rows dropped by each of ``CAUSES``
+    (the first that holds; bad lines if the reader has kept them).
+
     With ``date_errors="raise"`` a date that is missing or can't be read stops the job. Labels or dates that the dataset
     declares unavailable are null, whatever their column holds.
     """
@@ -97,10 +106,14 @@ def standardize(raw: DataFrame, dataset: Dataset, row_order: str = "row_id") ->
     mapped = dict(dataset.columns)
     if dataset.compose_template:
         mapped["text"] = COMPOSED
+    # Rows that leave are marked first, and counted and dropped in one place.
+    dropped = {"bad_line": F.col(BAD).isNotNull()} if BAD in df.columns else {}
     if (dataset.start_date or dataset.end_date) and mapped.get("date"):
-        day = T.parse_date(F.col(f"`{mapped['date']}`"), dataset.date_format, dataset.dayfirst).cast("date")
-        df = df.where(day >= F.lit(dataset.start_date or "0001-01-01").cast("date")).where(day <= F.lit(dataset.end_date or "9999-12-31").cast("date"))
-    df = with_row_number(df, row_order, dataset.header_rows)
+        given = F.col(f"`{mapped['date']}`")
+        day = T.parse_date(given, dataset.date_format, dataset.dayfirst).cast("date")
+        dropped |= {"missing_date": T.blank_to_null(given.cast("string")).isNull(), "unreadable_date": day.isNull(), "out_of_range": ~day.between(F.lit(dataset.start_date or "0001-01-01").cast("date"), F.lit(dataset.end_date or "9999-12-31").cast("date"))}
+    df = df.withColumn("__cause", F.coalesce(*(F.when(c, name) for name, c in dropped.items()), F.lit(None).cast("string"))).drop(BAD)
+    df = with_row_number(df, row_order, dataset.header_rows, F.col("__cause").isNull())
 
     def of(name: str) -> Column:
         source = mapped.get(name)
@@ -108,18 +121,23 @@ def standardize(raw: DataFrame, dataset: Dataset, row_order: str = "row_id") ->
         return T.blank_to_null(value)
 
     used = {c for c in mapped.values() if c}
-    extras = extra_names([c for c in df.columns if c not in (row_order, "source_row_number")], used - {COMPOSED}) if dataset.keep_extra_columns else {}
+    extras = extra_names([c for c in df.columns if c not in (row_order, "source_row_number", "__cause")], used - {COMPOSED}) if dataset.keep_extra_columns else {}
     out = df.select(
         F.lit(dataset.key).alias("dataset_key"),
         F.lit(dataset.name).alias("dataset_name"),
         *(of(c).alias(c) for c in MAPPED),
         "source_row_number",
         F.col(row_order).alias("__order"),
+        "__cause",
         *(F.col(f"`{c}`").cast("string").alias(n) for c, n in extras.items()),
     )
     if dataset.drop_empty_text:
-        out = out.where("text is not null")
-    else:
+        out = out.withColumn("__cause", F.coalesce("__cause", F.when(F.col("text").isNull(), "empty_text")))
+    if counters:
+        counts = [F.count(F.lit(1)).alias("rows_read"), F.count_if(F.col("__cause").isNull()).alias("rows_kept")]
+        out = out.observe(counters, *counts, *(F.count_if(F.col("__cause") == c).alias(c) for c in CAUSES))
+    out = out.where("__cause is null").drop("__cause")
+    if not dataset.drop_empty_text:
         out = out.withColumn("text", F.coalesce("text", F.raise_error(F.lit("a text is empty"))))
     out = out.withColumn("news_id", F.coalesce("news_id", F.concat(F.lit(f"{dataset.key}_"), F.col("source_row_number").cast("string"))))
     if dataset.fail_on_duplicate_ids:
@@ -137,18 +155,17 @@ def standardize(raw: DataFrame, dataset: Dataset, row_order: str = "row_id") ->
     return out.select(*COLUMNS, *extras.values())
 
 
-def with_row_number(df: DataFrame, row_order: str, header_rows: int = 1) -> DataFrame:
-    """The position in the filtered file, after its header lines.
+def with_row_number(df: DataFrame, row_order: str, header_rows: int = 1, counted: Column | None = None) -> DataFrame:
+    """The position among the rows that are ``counted``, after a file's header lines.
 
     Rows are counted in ranges of ``row_order`` first, so no task holds them all: a row's number is the rows of the
     ranges before, plus its place in its own.
     """
-    width = 1 << 16
-    ranged = df.withColumn("__range", F.floor(F.col(row_order) / width))
-    counts = ranged.groupBy("__range").agg(F.count(F.lit(1)).alias("__n"))
+    ranged = df.withColumns({"__range": F.shiftright(F.col(row_order).cast("long"), 16), "__counted": (F.lit(True) if counted is None else counted).cast("long")})
+    counts = ranged.groupBy("__range").agg(F.sum("__counted").alias("__n"))
     before = counts.withColumn("__before", F.coalesce(F.sum("__n").over(Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("__n")
-    place = F.row_number().over(Window.partitionBy("__range").orderBy(row_order))
-    return ranged.withColumn("__place", place).join(before, "__range").withColumn("source_row_number", (F.col("__before") + F.col("__place") + header_rows).cast("long")).drop("__range", "__place", "__before")
+    place = F.sum("__counted").over(Window.partitionBy("__range").orderBy(row_order).rowsBetween(Window.unboundedPreceding, 0))
+    return ranged.withColumn("__place", place).join(before, "__range").withColumn("source_row_number", (F.col("__before") + F.col("__place") + header_rows).cast("long")).drop("__range", "__counted", "__place", "__before")
 
 
 def map_label(c: Column, mapping: dict[str, str], required: bool) -> Column:

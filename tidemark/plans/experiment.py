@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import dimensions
@@ -85,15 +85,15 @@ def preflight(spark: SparkSession, plan: Experiment, registry: predictions.Regis
 
 
 def check_datasets(spark: SparkSession, datasets: list[tuple[standardize.Dataset, files.Reader]]) -> dict[str, dict]:
-    """The counters of each dataset, read and standardized in whole, or the error that this ends with."""
+    """The counters of each dataset, by cause, in the pass that reads and standardizes it, or the error that this ends with."""
     out: dict[str, dict] = {}
     for d, reader in datasets:
         try:
             files.validate_file(spark, reader)
-            raw = files.read(spark, reader)
-            read = raw.count()
-            counted = standardize.load_statistics(standardize.standardize(raw, d)).first().asDict()
-            out[d.key] = {"rows_read": read, "rows_dropped": read - counted["rows"], **counted}
+            causes = Observation()
+            counted = standardize.load_statistics(standardize.standardize(files.read(spark, reader, keep_bad=True), d, counters=causes)).first().asDict()
+            met = causes.get
+            out[d.key] = {"rows_read": met["rows_read"], "rows_dropped": met["rows_read"] - met["rows_kept"], **{f"dropped_{c}": met[c] for c in standardize.CAUSES}, **counted}
         except Exception as e:  # noqa: BLE001  a dataset's failure is its report
             out[d.key] = {"error": f"{type(e).__name__}: {str(e)[:300]}"}
     return out

@@ -4,13 +4,15 @@ from __future__ import annotations
 
 import json
 import os
+import re
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
 from ..functions import text as T
+from ..operators.standardize import BAD
 
 #: Bad lines: an error, or left out.
 MODES = {"error": "FAILFAST", "warn": "DROPMALFORMED", "skip": "DROPMALFORMED"}
@@ -30,54 +32,71 @@ class Reader:
     options: dict[str, str] = field(default_factory=dict)
 
 
-def file_order() -> Column:
-    """A sortable key of a row's file (by name) and its place within it."""
-    return F.struct(F.element_at(F.split(F.col("_metadata.file_path"), "/"), -1).alias("file"), F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("row"))
+def with_row_id(df: DataFrame, column: str = "row_id", split: bool = False) -> DataFrame:
+    """A number that follows the rows of a scan by file name, and within a file from front to back.
 
-
-def with_row_id(df: DataFrame, column: str = "row_id") -> DataFrame:
-    """A number that follows the rows of a file from front to back.
-
-    Spark reads a file's blocks as its partitions in order, so the partition's number and the place in it are enough.
+    Parquet has row numbers of its own. A text file that is read whole has its rows in order in one task. Of one that is
+    ``split`` the rows of each block are counted from the block's first one, whose number a pass over the files finds; a
+    block has fewer rows than bytes, so its start and the count stay below the next block's.
     """
-    return df.withColumn(column, F.monotonically_increasing_id())
-
-
-def read_csv(spark: SparkSession, r: Reader) -> DataFrame:
+    at = F.monotonically_increasing_id()
+    plain = r"^(\w+):///"  # an address without a host is written in two ways
+    paths = sorted({re.sub(plain, r"\1:/", p) for p in df.inputFiles()}, key=lambda p: (p.rsplit("/", 1)[-1], p))
+    if not paths:
+        return df.withColumn(column, at)
+    names = df.columns
+    ranks = F.broadcast(df.sparkSession.createDataFrame([(p, i) for i, p in enumerate(paths)], "__file string, __rank long"))
+    within = F.col("_metadata.row_index") if paths[0].endswith(".parquet") else at.bitwiseAND(F.lit((1 << 33) - 1))
+    rows = df.select("*", F.regexp_replace("_metadata.file_path", plain, "$1:/").alias("__file"), F.col("_metadata.file_block_start").alias("__block"), within.alias("__at"))
+    if split and not paths[0].endswith(".parquet"):
+        # All columns are asked for, so that this pass drops the lines that the other one drops.
+        parsed = F.bit_xor(F.xxhash64(*(F.col(f"`{c}`") for c in names)))
+        firsts = rows.groupBy("__file", "__block").agg(F.min("__at").alias("__first"), parsed.alias("__parsed")).drop("__parsed")
+        rows = rows.join(F.broadcast(firsts), ["__file", "__block"]).withColumn("__at", F.col("__block") + F.col("__at") - F.col("__first"))
+    number = F.shiftleft("__rank", 43).bitwiseOR(F.col("__at"))
+    return rows.join(ranks, "__file").select(*(F.col(f"`{c}`") for c in names), number.alias(column))
+
+
+def read_csv(spark: SparkSession, r: Reader, keep_bad: bool = False) -> DataFrame:
+    """With ``keep_bad`` lines that can't be read stay, with their text in the column ``BAD``."""
     if r.on_bad_lines not in MODES:
         raise ValueError(f"on_bad_lines is one of {sorted(MODES)}")
     base = {"header": "true", "sep": r.separator, "quote": r.quote, "escape": r.quote, "encoding": r.encoding, "multiLine": str(r.multiline).lower(), "maxCharsPerColumn": "10000000", **r.options}
     names = [c.strip() for c in spark.read.options(**base).csv(r.path).columns]
     if twice := sorted({n for n in names if names.count(n) > 1}):
         raise ValueError(f"columns appear more than once: {twice}")
-    schema = StructType([StructField(n, StringType()) for n in names])
-    rows = spark.read.options(**base, mode=MODES[r.on_bad_lines], enforceSchema="true").schema(schema).csv(r.path)
-    rows = with_row_id(rows)
-    return rows.select(*(T.na_to_null(F.col(f"`{c}`")).alias(c) for c in names), "row_id")
-
-
-def read_jsonl(spark: SparkSession, r: Reader) -> DataFrame:
-    rows = spark.read.options(primitivesAsString="true", mode=MODES[r.on_bad_lines], encoding=r.encoding, **r.options).json(r.path)
-    rows = with_row_id(rows.drop("_corrupt_record"))
+    keep_bad = keep_bad and r.on_bad_lines != "error"
+    schema = StructType([StructField(n, StringType()) for n in [*names, *([BAD] if keep_bad else [])]])
+    mode = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": BAD} if keep_bad else {"mode": MODES[r.on_bad_lines]}
+    rows = with_row_id(spark.read.options(**base, **mode, enforceSchema="true").schema(schema).csv(r.path), split=not r.multiline)
+    return rows.select(*(T.na_to_null(F.col(f"`{c}`")).alias(c) for c in names), *([BAD] if keep_bad else []), "row_id")
+
+
+def read_jsonl(spark: SparkSession, r: Reader, keep_bad: bool = False) -> DataFrame:
+    keep_bad = keep_bad and r.on_bad_lines != "error"
+    options = {"primitivesAsString": "true", "encoding": r.encoding, **r.options}
+    schema = spark.read.options(**options, mode="DROPMALFORMED").json(r.path).schema
+    schema = StructType([f for f in schema.fields if f.name not in ("_corrupt_record", BAD)] + ([StructField(BAD, StringType())] if keep_bad else []))
+    mode = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": BAD} if keep_bad else {"mode": MODES[r.on_bad_lines]}
+    rows = with_row_id(spark.read.options(**options, **mode).schema(schema).json(r.path), split=True)
     return rows.select(*((F.col(f"`{f.name}`") if isinstance(f.dataType, StringType) else F.to_json(f"`{f.name}`")).alias(f.name) for f in rows.schema if f.name != "row_id"), "row_id")
 
 
-def read_parquet(spark: SparkSession, r: Reader) -> DataFrame:
-    rows = with_row_id(spark.read.options(**r.options).parquet(r.path))
-    return rows.select(*(F.col(f"`{c}`") for c in rows.columns))
+def read_parquet(spark: SparkSession, r: Reader, keep_bad: bool = False) -> DataFrame:
+    return with_row_id(spark.read.options(**r.options).parquet(r.path))
 
 
-def read_hub(spark: SparkSession, r: Reader) -> DataFrame:
-    """A hub dataset's split that lies on disk as parquet or lines of JSON; fetching it is left to ``assets``."""
+def read_hub(spark: SparkSession, r: Reader, keep_bad: bool = False) -> DataFrame:
+    """A hub dataset's split that lies on disk as parquet or lines of JSON; snapshots have a format of their own."""
     inner = "jsonl" if r.path.endswith((".json", ".jsonl")) else "parquet"
-    return read(spark, Reader(**{**r.__dict__, "format": inner}))
+    return read(spark, Reader(**{**r.__dict__, "format": inner}), keep_bad)
 
 
-def read(spark: SparkSession, r: Reader) -> DataFrame:
+def read(spark: SparkSession, r: Reader, keep_bad: bool = False) -> DataFrame:
     readers = {"csv": read_csv, "jsonl": read_jsonl, "parquet": read_parquet, "huggingface": read_hub}
     if r.format not in readers:
         raise ValueError(f"format {r.format!r} is none of {FORMATS}")
-    rows = readers[r.format](spark, r)
+    rows = readers[r.format](spark, r, keep_bad)
     return rows if r.max_rows is None else rows.orderBy("row_id").limit(r.max_rows)
 
 
@@ -85,6 +104,8 @@ def inspect_columns(spark: SparkSession, r: Reader) -> tuple[str, ...]:
     """Column names; reads no rows of parquet, the header of CSV."""
     if r.format == "csv":
         return tuple(c.strip() for c in spark.read.option("header", "true").option("sep", r.separator).csv(r.path).columns)
+    if r.format == "parquet":
+        return tuple(spark.read.options(**r.options).parquet(r.path).columns)
     return tuple(c for c in read(spark, r).columns if c != "row_id")
 
 
@@ -133,7 +154,7 @@ def read_corpus(spark: SparkSession, path: str) -> DataFrame:
         return spark.createDataFrame([], StructType([StructField(c, StringType()) for c in corpus.COLUMNS])).withColumn("row_id", F.lit(0).cast("long"))
     schema = StructType([StructField(c, StringType()) for c in corpus.COLUMNS])
     rows = spark.read.schema(schema).options(header="true", multiLine="true", quote='"', escape='"', maxCharsPerColumn="10000000").csv(path)
-    return corpus.as_records(rows.withColumn("row_id", file_order()))
+    return corpus.as_records(with_row_id(rows))
 
 
 def list_combinations(spark: SparkSession, run_dir: str, model_key: str | None = None, dataset_key: str | None = None) -> DataFrame:
