@@ -279,15 +279,17 @@ def _rest(open_: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     able = frequent.join(open_nodes, "node").select("node", "n", "f", "odd", (first - (F.col("n") - F.col("f"))).cast("int").alias("reach")).where("reach > 0")
     able = written(able.join(nodes, "node"), "dedup-able")
     ranked = counted.where(F.col("df") > RARE).join(able.select("node", "reach"), "node").groupBy("node").agg(F.array_sort(F.collect_list(F.struct("df", "shingle"))).alias("l"), F.first("reach").alias("reach"))
-    starts = ranked.select("node", F.explode(F.slice("l", F.lit(1), F.col("reach"))).alias("x")).select("node", F.col("x.shingle").alias("shingle"))
-    starts = written(starts.join(able.drop("odd", "reach"), "node"), "dedup-starts")
-    side = lambda s: starts.select("shingle", F.col("node").alias(s), *(F.col(c).alias(f"{s}{c}") for c in ("component", "n", "f")), *(F.col(f"s{k}").alias(f"{s}{k}") for k in range(3)))
+    starts = ranked.select("node", F.slice(F.transform("l", lambda x: x["shingle"]), F.lit(1), F.col("reach")).alias("starts"))
+    starts = written(starts.join(able.drop("reach", "odd"), "node").withColumn("shingle", F.explode("starts")), "dedup-starts")
+    side = lambda s: starts.select("shingle", F.col("node").alias(s), *(F.col(c).alias(f"{s}{c}") for c in ("component", "n", "f", "starts")), *(F.col(f"s{k}").alias(f"{s}{k}") for k in range(3)))
     most = F.least("af", "bf")
     alike = (F.least("an", "bn") * 100 >= F.greatest("an", "bn") * percent) & (most * 100 >= (F.col("an") + F.col("bn") - most) * percent) & (estimate("a", "b") >= LEAST_ESTIMATE)
     meet = (F.col("x.shingle") == F.col("y.shingle")) & (F.col("a") > F.col("b")) & (F.col("acomponent") != F.col("bcomponent")) & alike
-    likely = written(side("a").alias("x").join(side("b").alias("y"), meet).select("a", "b").distinct(), "dedup-likely")
+    # Of the first shingles that two share, the rarest pairs them.
+    meet = meet & (F.array_intersect("astarts", "bstarts")[0] == F.col("x.shingle"))
+    met = written(side("a").alias("x").join(side("b").alias("y"), meet).select("a", "b"), "dedup-met")
     bits = lambda s: able.select(F.col("node").alias(s), F.col("n").alias(f"{s}n"), F.col("odd").alias(f"{s}odd"))
-    by_frequent = likely.join(bits("a"), "a").join(bits("b"), "b").where(_bound("a", "b", percent))
+    by_frequent = met.join(bits("a"), "a").join(bits("b"), "b").where(_bound("a", "b", percent))
     return _ordered(by_rare.union(by_frequent.select("a", "b")))
 
 
