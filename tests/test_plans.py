@@ -9,6 +9,7 @@ from tidemark.operators import bootstrap, recurrence, standardize, validation
 from tidemark.plans import config, experiment, research
 from tidemark.sources import files
 from tidemark.streaming import ingest
+from tidemark.streaming.corpus_table import CorpusTable
 
 
 def news_file(folder, name, days=25):
@@ -90,12 +91,31 @@ def test_config(tmp_path):
 
 def test_upsert_stream(spark, tmp_path):
     schema = "id string, url string, noticia string"
-    for k in range(2):
+    for k in range(4):
         spark.createDataFrame([(f"{k}", f"https://a/{k}", f"t{k}"), ("x", "https://a/0?q", "later")], schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
-        q = ingest.upsert_corpus(spark.readStream.schema(schema).parquet(str(tmp_path / "in")), str(tmp_path / "corpus"), str(tmp_path / "cp")).start()
+        q = ingest.upsert_corpus(spark.readStream.schema(schema).parquet(str(tmp_path / "in")), str(tmp_path / "corpus"), str(tmp_path / "cp"), compact_every=3).start()
         q.awaitTermination(120)
-    got = spark.read.parquet(ingest.latest(spark, str(tmp_path / "corpus")))
-    assert sorted((r.id, r.noticia) for r in got.collect()) == [("0", "t0"), ("1", "t1")]
+    table = CorpusTable(spark, str(tmp_path / "corpus"))
+    assert [(r.id, r.noticia) for r in table.read().orderBy("row_id").collect()] == [(f"{k}", f"t{k}") for k in range(4)]
+    assert sorted(p.name for p in (tmp_path / "corpus").iterdir() if p.name[0] not in "_.") == ["base-000000000002", "delta-000000000003", "table.json"]
+
+
+def test_a_batch_writes_what_is_new_and_reads_its_buckets(spark, tmp_path):
+    table = CorpusTable(spark, str(tmp_path / "t"), buckets=8)
+    frame = lambda ids, text="t": spark.createDataFrame([(str(i), f"https://a/{i}", f"{text}{i} " * 30) for i in ids], "id string, url string, noticia string")
+    size = lambda name: sum(f.stat().st_size for f in (tmp_path / "t" / name).rglob("*.parquet"))
+    assert table.add(frame(range(3000)), 0) == 3000
+    assert table.add(frame([5, 6, 3000], "other"), 1) == 1
+    assert size("delta-000000000001") < size("delta-000000000000") / 20
+    # A repeated batch overwrites itself; one that the base holds already is left alone.
+    assert table.add(frame([5, 6, 3000], "other"), 1) == 1
+    before = sorted(r.noticia for r in table.read().collect())
+    assert len(before) == 3001 and not any(x.startswith("other5 ") for x in before)
+    table.compact()
+    assert sorted(r.noticia for r in table.read().collect()) == before
+    assert table.add(frame([7777]), 1) == 0 and table.add(frame([1, 7777]), 2) == 1
+    assert CorpusTable(spark, str(tmp_path / "t"), buckets=99).buckets == 8
+    assert CorpusTable(spark, str(tmp_path / "t")).read().count() == 3002
 
 
 def test_daily_windows_and_unseen_urls(spark, tmp_path):

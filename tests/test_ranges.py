@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tidemark.operators import bootstrap, metrics, ranges
+from tidemark.operators import aggregates, bootstrap, metrics, ranges
 
 from .conftest import same
 from .test_market import frame
@@ -80,3 +80,22 @@ def test_long_series_are_resampled_like_short_ones(spark, many_ranges, monkeypat
     monkeypatch.setattr(bootstrap, "SLICE", 100)
     same([tuple(r) for r in bootstrap.metric_inference(df, ["k"], ["i"], inference).collect()], [tuple(r) for r in want])
     same([tuple(r) for r in bootstrap.delta_inference(df, ["k"], ["i"], inference).collect()], [tuple(r) for r in gains])
+
+
+def test_medians_by_ranges_and_one_scan(spark, many_ranges, monkeypatch):
+    r = np.random.default_rng(11)
+    rows = [("2024-01-0%d" % (1 + i % 2), "A" if i % 3 else " ", f"s{i % 2}" if i % 7 else None, float(round(r.normal(), 1)) if i % 11 else None, 0.5 if i % 5 else None, "POSITIVE" if i % 4 else "NEGATIVE") for i in range(401)]
+    df = spark.createDataFrame(rows, "date string, company string, sector string, continuous_sentiment double, confidence double, predicted_label string").repartition(5)
+    plain = aggregates.aggregate_levels(df).collect()
+    for row in plain:
+        own = [x for x in rows if x[0] == row.date and (row.company is None or x[1] == row.company) and (row.sector is None or x[2] == row.sector)]
+        d = [x[3] for x in own if x[3] is not None]
+        assert (row.news_count, row.sentiment_count) == (len(own), len(d))
+        assert row.sentiment_median == pytest.approx(float(np.median(d))) and row.sentiment_mean == pytest.approx(float(np.mean(d))) and row.sentiment_sum == pytest.approx(sum(d))
+        assert row.negative_count == sum(x[5] == "NEGATIVE" for x in own)
+    assert len(plain) == 2 + 2 + 2 and {x.company for x in plain} == {None, "A"}
+    monkeypatch.setattr(aggregates, "GROUP_VALUES", 5)
+    by_ranges = aggregates.aggregate_levels(df)
+    same([tuple(x[c] for c in by_ranges.columns) for x in by_ranges.collect()], [tuple(x[c] for c in by_ranges.columns) for x in plain])
+    assert "Expand" not in aggregates.aggregate_levels(df, statistics=("mean",))._jdf.queryExecution().executedPlan().toString()
+    assert aggregates.aggregate_levels(df.limit(0)).count() == 0

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter
 
 from ..functions import text as T
-from ..operators import corpus
+from .corpus_table import CorpusTable
 
 
 def unseen(articles: DataFrame, time_column: str = "fetched_at", delay: str = "30 days") -> DataFrame:
@@ -16,36 +16,22 @@ def unseen(articles: DataFrame, time_column: str = "fetched_at", delay: str = "3
     return keyed.withWatermark(time_column, delay).dropDuplicatesWithinWatermark(["norm_url"])
 
 
-def upsert_corpus(records: DataFrame, path: str, checkpoint: str) -> DataStreamWriter:
-    """Each micro-batch is merged into the corpus table: existing records win, new ones follow in batch order.
+def upsert_corpus(records: DataFrame, path: str, checkpoint: str, compact_every: int = 50) -> DataStreamWriter:
+    """Each micro-batch is added to the corpus table at ``path``: existing records win, new ones follow in batch order.
 
-    A batch is written as ``version=N`` named after its id, so one that is repeated after a failure overwrites itself;
-    older versions but the one before are left to a cleaner.
+    A batch reads the keys of its own buckets and writes its new records; every ``compact_every`` batches the table is
+    written anew as one base.
     """
 
     def merge(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        before = latest(batch.sparkSession, path, below=batch_id)
-        new = corpus.as_records(batch.withColumn("row_id", F.monotonically_increasing_id()))
-        old = spark.read.parquet(before) if before else new.limit(0).drop("row_id")
-        merged, _, _ = corpus.append(old.withColumn("row_id", F.monotonically_increasing_id()), new)
-        merged.write.mode("overwrite").parquet(f"{path}/version={batch_id:012d}")
+        table = CorpusTable(batch.sparkSession, path)
+        table.add(batch, batch_id)
+        if (batch_id + 1) % compact_every == 0:
+            table.compact()
 
     return records.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True)
 
 
-def latest(spark, path: str, below: int | None = None) -> str | None:
-    """The newest complete version of a corpus table."""
-    jvm = spark.sparkContext._jvm
-    root = jvm.org.apache.hadoop.fs.Path(path)
-    fs = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    if not fs.exists(root):
-        return None
-    names = sorted(s.getPath().getName() for s in fs.listStatus(root) if fs.exists(jvm.org.apache.hadoop.fs.Path(s.getPath(), "_SUCCESS")))
-    names = [n for n in names if below is None or int(n.removeprefix("version=")) < below]
-    return f"{path}/{names[-1]}" if names else None
-
-
 def daily_impact(impact: DataFrame, time_column: str = "ts", delay: str = "2 days") -> DataFrame:
     """Weighted daily impact over tumbling days; days close once the watermark has passed them."""
     rows = impact.withWatermark(time_column, delay).withColumns({k: F.coalesce(F.col(k).cast("string"), F.lit("UNKNOWN")) for k in ("company", "sector")})
