@@ -35,6 +35,7 @@ the smallest doc_id (of rows that repeat doc_id and set, any). A pair at the thr
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -221,11 +222,30 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return alike.where(F.col("i") * 100 >= (F.col("sizes") - F.col("i")) * percent).select("a", "b")
 
 
+#: Words that a parity is folded to for a first look.
+FOLDED = 8
+
+
+def _folded(odd: str) -> list[Column]:
+    """The parity of coarser classes, as columns q0 and so on."""
+    return [reduce(Column.bitwiseXOR, (F.col(odd)[j] for j in range(i, PARITY // 64, FOLDED))).alias(f"q{i}") for i in range(FOLDED)]
+
+
+def _close_enough(differ: Column, a: str, b: str, percent: int) -> Column:
+    sizes = F.col(f"{a}n") + F.col(f"{b}n")
+    return (sizes - differ) * (100 + percent) >= sizes * (2 * percent)
+
+
 def _bound(a: str, b: str, percent: int) -> Column:
     """False only where the parities differ in so many bits that the sets can't be similar enough."""
     differ = F.aggregate(F.zip_with(f"{a}odd", f"{b}odd", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda n, x: n + x)
-    sizes = F.col(f"{a}n") + F.col(f"{b}n")
-    return (sizes - differ) * (100 + percent) >= sizes * (2 * percent)
+    return _close_enough(differ, a, b, percent)
+
+
+def _first_bound(a: str, b: str, percent: int) -> Column:
+    """The same by the folded parities: weaker, but of plain columns, so a join's condition stays compiled and makes no garbage."""
+    differ = reduce(lambda x, y: x + y, (F.bit_count(F.col(f"{a}q{i}").bitwiseXOR(F.col(f"{b}q{i}"))) for i in range(FOLDED)))
+    return _close_enough(differ, a, b, percent)
 
 
 def _side(rows: DataFrame, s: str, *more: str) -> DataFrame:
@@ -280,11 +300,11 @@ def _rest(open_: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     able = written(able.join(nodes, "node"), "dedup-able")
     ranked = counted.where(F.col("df") > RARE).join(able.select("node", "reach"), "node").groupBy("node").agg(F.array_sort(F.collect_list(F.struct("df", "shingle"))).alias("l"), F.first("reach").alias("reach"))
     starts = ranked.select("node", F.slice(F.transform("l", lambda x: x["shingle"]), F.lit(1), F.col("reach")).alias("starts"))
-    starts = written(starts.join(able.drop("reach", "odd"), "node").withColumn("shingle", F.explode("starts")), "dedup-starts")
-    side = lambda s: starts.select("shingle", F.col("node").alias(s), *(F.col(c).alias(f"{s}{c}") for c in ("component", "n", "f", "starts")), *(F.col(f"s{k}").alias(f"{s}{k}") for k in range(3)))
+    starts = written(starts.join(able.select("node", "component", "n", "f", "s0", "s1", "s2", *_folded("odd")), "node").withColumn("shingle", F.explode("starts")), "dedup-starts")
+    side = lambda s: starts.select("shingle", F.col("node").alias(s), *(F.col(c).alias(f"{s}{c}") for c in ("component", "n", "f", "starts")), *(F.col(f"s{k}").alias(f"{s}{k}") for k in range(3)), *(F.col(f"q{i}").alias(f"{s}q{i}") for i in range(FOLDED)))
     most = F.least("af", "bf")
     alike = (F.least("an", "bn") * 100 >= F.greatest("an", "bn") * percent) & (most * 100 >= (F.col("an") + F.col("bn") - most) * percent) & (estimate("a", "b") >= LEAST_ESTIMATE)
-    meet = (F.col("x.shingle") == F.col("y.shingle")) & (F.col("a") > F.col("b")) & (F.col("acomponent") != F.col("bcomponent")) & alike
+    meet = (F.col("x.shingle") == F.col("y.shingle")) & (F.col("a") > F.col("b")) & (F.col("acomponent") != F.col("bcomponent")) & alike & _first_bound("a", "b", percent)
     # Of the first shingles that two share, the rarest pairs them.
     meet = meet & (F.array_intersect("astarts", "bstarts")[0] == F.col("x.shingle"))
     met = written(side("a").alias("x").join(side("b").alias("y"), meet).select("a", "b"), "dedup-met")
