@@ -38,7 +38,7 @@ def test_days_in_any_order_give_the_batch_index(spark, tmp_path):
     rows = [day(d, c, horizon=1.0 + d % 3) for c in "AB" for d in range(0, 60, 2 if c == "A" else 7)]
     np.random.default_rng(4).shuffle(rows)
     rows = [(r[0], *map(str, r[1:3]), *map(float, r[3:5]), int(r[5]), float(r[6])) for r in rows]
-    out = fed(spark, tmp_path, stream_index.index_stream, DAILY, [rows[:15], rows[15:20], rows[20:]])
+    out = fed(spark, tmp_path, stream_index.index_stream, DAILY, [rows[:5], rows[5:20], rows[20:]])
     got = sorted((r.company, r.date, round(r.iti_liquido, 9), round(r.iti_risco, 9)) for r in stream_index.newest(out).collect())
     assert got == batch(spark, rows)
     assert {r.kind for r in out.select("kind").distinct().collect()} == {"day", "late", "corrected"}

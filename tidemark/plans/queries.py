@@ -645,21 +645,3 @@ def next_trading_day(spark, sf_dir):
     p = V.prices(spark, sf_dir).where(F.weekday("date") < 5).select("ticker", "date")
     index = _index(spark, sf_dir, "C").withColumn("ticker", F.col("company"))
     return alignment.as_of_next_trading_day(index, p).select("date", "company", "sector", "trading_day")
-
-
-@query(f"{_INDEX_VIEWS} SELECT date, company, sector, news_count, {_ROUND_INDEX} FROM iti")
-def index_stream(spark, sf_dir):
-    """The daily index by the stateful streaming operator; equal to the batch one."""
-    from uuid import uuid4
-
-    from ..session import shared_dir
-    from ..streaming import index as stream
-
-    root = f"{shared_dir(spark)}/stream-{uuid4().hex}"
-    daily = impact.daily_impact(_impact(spark, sf_dir, "U")).select("date", "company", "sector", "impacto_dia", "risco_dia", "news_count", "mean_horizon")
-    daily.write.parquet(f"{root}/in")
-    out = stream.index_stream(spark.readStream.schema(daily.schema).parquet(f"{root}/in"))
-    q = out.writeStream.format("parquet").option("path", f"{root}/out").option("checkpointLocation", f"{root}/state").outputMode("append").trigger(availableNow=True).start()
-    q.awaitTermination()
-    made = spark.read.schema(stream.OUTPUT).parquet(f"{root}/out").where("not late").drop("late")
-    return rounded(made)

@@ -14,10 +14,12 @@ from . import views as V
 from .queries import query
 
 
-def _renamed(df: DataFrame, folder: str, name: str, form: str, by: str | None = None, **options: str) -> str:
+def _renamed(df: DataFrame, folder: str, name: str, form: str, by: str | None = None, order: str | None = None, **options: str) -> str:
     """Writes ``df`` and names its files ``name`` with their number, or after the value of ``by`` (a file each)."""
     spark = df.sparkSession
-    parts = df.repartition(by).write.partitionBy(by) if by else df.write
+    dealt = df.repartition(by) if by else df
+    parts = (dealt.sortWithinPartitions(by, order) if by and order else dealt).write
+    parts = parts.partitionBy(by) if by else parts
     parts.mode("overwrite").options(**options).format(form).save(f"{folder}/_parts")
     jvm = spark.sparkContext._jvm
     store = jvm.org.apache.hadoop.fs.Path(folder).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())

@@ -160,8 +160,8 @@ class IndexProcessor(StatefulProcessor):
         calendar.a[at] = decays(self.alpha, came["mean_horizon"].to_numpy(float), self.mode)
         calendar.impact[at], calendar.risk_impact[at], calendar.news[at] = (came[c].fillna(0).to_numpy(float) for c in ("impacto_dia", "risco_dia", "news_count"))
         net, risk = calendar.levels()
-        changed = np.arange(at.min(), len(calendar.a))
         end = -1 if last_before is None else last_before - calendar.first
+        changed = np.arange(at.min() if end < 0 else min(at.min(), end + 1), len(calendar.a))  # with the days without news before a new one
         new = set(at.tolist())
         kinds = ["day" if i > end else "late" if i in new else "corrected" for i in changed]
         # What each late day does to the last level before: its own change, decayed by all days from it to that one.
