@@ -185,6 +185,16 @@ class Registry:
             raise ValueError(f"{dotted!r} names no factory")
         self.register(key, lambda df: score_batches(df, dotted, batch_size, parameters))
 
+    def load(self, spark, key: str, path: str) -> None:
+        """Registers the fitted scorer of a folder, after its manifest and weights are found sound."""
+        from . import ngrams
+
+        self.register(key, ngrams.load(spark, path))
+
+    def unload(self, key: str) -> None:
+        """Forgets a scorer; an unknown key is an error."""
+        del self._scorers[key]
+
     def keys(self) -> tuple[str, ...]:
         return tuple(self._scorers)
 

@@ -141,9 +141,9 @@ def _dataset(key: str, raw: dict, root: str) -> tuple[standardize.Dataset, files
 
 
 def models(config: dict) -> list[experiment.Model]:
-    """A model's scorer is the one registered under ``scorer``, or under the model's own key; ``preflight`` and the run name those that are not."""
+    """A model's scorer is the fitted one in the folder ``weights``, or the one registered under ``scorer`` or the model's own key; ``preflight`` and the run name those that are not there."""
     entries = [(k, merged(config.get("defaults", {}), v)) for k, v in ordered(config.get("models", {}))]
-    return [experiment.Model(k, v.get("language", "pt"), v.get("scorer", k), v.get("model_name", k)) for k, v in entries]
+    return [experiment.Model(k, v.get("language", "pt"), v.get("scorer", k), v.get("model_name", k), v.get("weights", "")) for k, v in entries]
 
 
 @dataclass(frozen=True)

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import dimensions
-from ..operators import aggregates, classification, impact, levels, predictions, recurrence, standardize, uncertainty
+from ..operators import aggregates, classification, impact, levels, ngrams, predictions, recurrence, standardize, uncertainty
 from ..sources import files, sinks
 
 
@@ -54,6 +54,7 @@ class Model:
     language: str
     scorer: str = "lexicon"
     name: str = ""
+    weights: str = ""  # folder of a fitted scorer, which is loaded for the model's runs
 
 
 @dataclass(frozen=True)
@@ -74,7 +75,13 @@ def preflight(spark: SparkSession, plan: Experiment, registry: predictions.Regis
     known = (registry or predictions.Registry()).keys()
     kept, _ = pairs_of(plan)
     errors = [] if kept else ["no model fits any dataset"]
-    errors += [f"model {m.key}: no scorer {m.scorer!r}" for m in plan.models if m.scorer not in known]
+    errors += [f"model {m.key}: no scorer {m.scorer!r}" for m in plan.models if not m.weights and m.scorer not in known]
+    for m in plan.models:
+        if m.weights:
+            try:
+                ngrams.read_manifest(spark, m.weights)
+            except (ValueError, FileNotFoundError) as e:
+                errors.append(f"model {m.key}: {type(e).__name__}: {e}")
     for d, reader in plan.datasets:
         try:
             files.validate_file(spark, reader)
@@ -114,18 +121,21 @@ def run(spark: SparkSession, plan: Experiment, registry: predictions.Registry |
     for i, (m, (d, reader)) in enumerate(kept):
         key = f"{m.key}/{d.key}"
         store.mark(key, "running")
+        own = f"{m.key}#weights"
         try:
+            if m.weights:
+                registry.load(spark, own, m.weights)
             files.validate_file(spark, reader)
             data = standardize.standardize(files.read(spark, reader), d)
             combo = predictions.Combination(plan.run_id, i, m.key, d.key, model_name=m.name or m.key, dataset_name=d.name)
             # The scored table is written once; everything else reads it, so no text is scored twice.
-            path = sinks.write_table(predictions.build_predictions(data, registry.score(m.scorer, data), combo), f"{store.models(m.key, d.key)}/predictions", (), plan.overwrite)
+            path = sinks.write_table(predictions.build_predictions(data, registry.score(own if m.weights else m.scorer, data), combo), f"{store.models(m.key, d.key)}/predictions", (), plan.overwrite)
             preds = spark.read.parquet(path)
             predictions.check(preds)
             frames = {
                 "classification_metrics": classification.summary(preds),
                 "per_class_metrics": classification.per_class(preds),
-                "confusion_matrix": classification.confusion(preds),
+                "confusion_matrix": sinks.confusion_table(classification.confusion(preds).toDF("true_label", "negative", "neutral", "positive")),
                 "class_distribution": classification.distribution(preds),
                 "aggregates": aggregates.sorted_aggregates(aggregates.aggregate_levels(preds)),
             }
@@ -141,6 +151,9 @@ def run(spark: SparkSession, plan: Experiment, registry: predictions.Registry |
                 for n, (e, _) in kept[i + 1 :]:
                     store.mark(f"{n.key}/{e.key}", "skipped", reason="an earlier combination failed")
                 break
+        finally:
+            if own in registry.keys():
+                registry.unload(own)
     for dataset, frames in impacts.items():
         if merged := uncertainty.merge_uncertainty(frames, plan.settings.min_models):
             for name, df in zip(("disagreement_news", "iti_uncertainty_daily"), merged, strict=True):

@@ -505,32 +505,46 @@ def label_map(spark, sf_dir):
     return V.table(spark, sf_dir, "labels").select("doc_id", standardize.map_label(F.col("quality").cast("string"), {"1": "positive", "0": "negative"}, False).alias("label"))
 
 
-_L = "WITH l AS (SELECT vec_id, embedding[1]::DOUBLE AS a, embedding[2]::DOUBLE AS b, embedding[3]::DOUBLE AS c FROM embeddings)"
+def _every_third(start: int, step: int = 3, change: str = "x::DOUBLE") -> str:
+    return f"list_sum(list_transform(embedding[{start}:-:{step}], lambda x: {change}))"
+
+
+_L = f"WITH l AS (SELECT vec_id, {_every_third(1)} AS a, {_every_third(2)} AS b, {_every_third(3)} AS c FROM embeddings)"
+
+
+def _sums(start: int = 0, step: int = 3, change=lambda x: x) -> list:
+    """Three sums that take in the whole vector: of every third component, or with step 6 of every sixth, from three places on."""
+    own = lambda k: F.filter("embedding", lambda x, i: i % step == start + k)
+    return [F.aggregate(own(k), F.lit(0.0), lambda n, x: n + change(x.cast("double"))) for k in range(3)]
 
 
 @query(f"""{_L} SELECT vec_id, round(exp(a) / (exp(a) + exp(b) + exp(c)), 9) AS p0, round(exp(b) / (exp(a) + exp(b) + exp(c)), 9) AS p1, round(exp(c) / (exp(a) + exp(b) + exp(c)), 9) AS p2 FROM l""")
 def softmax_scores(spark, sf_dir):
-    s = scores.softmax(F.slice("embedding", 1, 3).cast("array<double>"))
+    s = scores.softmax(F.array(*_sums()))
     return rounded(V.table(spark, sf_dir, "embeddings").select("vec_id", *(F.get(s, F.lit(i)).alias(f"p{i}") for i in range(3))))
 
 
 @query(f"""{_L}, s AS (SELECT vec_id, 1 / (1 + exp(-a)) AS a, 1 / (1 + exp(-b)) AS b, 1 / (1 + exp(-c)) AS c FROM l) SELECT vec_id, round(a / (a + b + c), 9) AS p0, round(b / (a + b + c), 9) AS p1, round(c / (a + b + c), 9) AS p2 FROM s""")
 def sigmoid_scores(spark, sf_dir):
-    s = scores.sigmoid_scores(F.slice("embedding", 1, 3).cast("array<double>"))
+    s = scores.sigmoid_scores(F.array(*_sums()))
     return rounded(V.table(spark, sf_dir, "embeddings").select("vec_id", *(F.get(s, F.lit(i)).alias(f"p{i}") for i in range(3))))
 
 
-@query("""WITH l AS (SELECT vec_id, (embedding[1]::DOUBLE + embedding[4]::DOUBLE) / 2 AS a, (embedding[2]::DOUBLE + embedding[5]::DOUBLE) / 2 AS b, (embedding[3]::DOUBLE + embedding[6]::DOUBLE) / 2 AS c FROM embeddings)
+@query(f"""WITH l AS (SELECT vec_id, ({_every_third(1, 6)} + {_every_third(4, 6)}) / 2 AS a, ({_every_third(2, 6)} + {_every_third(5, 6)}) / 2 AS b, ({_every_third(3, 6)} + {_every_third(6, 6)}) / 2 AS c FROM embeddings)
     SELECT vec_id, round(exp(a) / (exp(a) + exp(b) + exp(c)), 9) AS p0, round(exp(b) / (exp(a) + exp(b) + exp(c)), 9) AS p1, round(exp(c) / (exp(a) + exp(b) + exp(c)), 9) AS p2 FROM l""")
 def ensemble_scores(spark, sf_dir):
     """Mean logits of two checkpoints, then softmax."""
     e = V.table(spark, sf_dir, "embeddings")
-    parts = [e.select(F.col("vec_id").alias("news_id"), F.slice("embedding", start, 3).cast("array<double>").alias("logits")) for start in (1, 4)]
+    parts = [e.select(F.col("vec_id").alias("news_id"), F.array(*_sums(start, 6)).alias("logits")) for start in (0, 3)]
     out = predictions.ensemble_scores(reduce(DataFrame.union, parts))
     return rounded(out.select(F.col("news_id").alias("vec_id"), *(F.get("probabilities", F.lit(i)).alias(f"p{i}") for i in range(3))))
 
 
-@query("""WITH p AS (SELECT vec_id, abs(embedding[1]::DOUBLE) AS a, abs(embedding[2]::DOUBLE) AS b, abs(embedding[3]::DOUBLE) AS c FROM embeddings),
+_ABS = "abs(x::DOUBLE)"
+_P = f"WITH p AS (SELECT vec_id, {_every_third(1, 3, _ABS)} AS a, {_every_third(2, 3, _ABS)} AS b, {_every_third(3, 3, _ABS)} AS c FROM embeddings)"
+
+
+@query(f"""{_P},
     q AS (SELECT vec_id, a / (a + b + c) AS prob_negative, b / (a + b + c) AS prob_neutral, c / (a + b + c) AS prob_positive FROM p)
     SELECT vec_id, round(prob_negative, 9) AS prob_negative, round(prob_neutral, 9) AS prob_neutral, round(prob_positive, 9) AS prob_positive,
         CASE WHEN prob_negative >= prob_neutral AND prob_negative >= prob_positive THEN 'NEGATIVE' WHEN prob_neutral >= prob_positive THEN 'NEUTRAL' ELSE 'POSITIVE' END AS predicted_label,
@@ -538,7 +552,7 @@ def ensemble_scores(spark, sf_dir):
 def standard_predictions(spark, sf_dir):
     """A scorer's map of probabilities to the prediction columns."""
     e = V.table(spark, sf_dir, "embeddings")
-    raw = [F.abs(F.get("embedding", F.lit(i)).cast("double")) for i in range(3)]
+    raw = _sums(change=F.abs)
     total = raw[0] + raw[1] + raw[2]
     box = F.create_map(F.lit("negativo"), raw[0] / total, F.lit("NEUTRO"), raw[1] / total, F.lit("pos"), raw[2] / total)
     out = predictions.standard_scores(e.select("vec_id", box.alias("probabilities")))
@@ -619,13 +633,13 @@ def standard_news(spark, sf_dir):
     return standardize.standardize(raw, d).select("news_id", "text", "date", "company", "source", "source_row_number", "true_label", "turn")
 
 
-@query("""WITH p AS (SELECT vec_id, abs(embedding[1]::DOUBLE) AS a, abs(embedding[2]::DOUBLE) AS b, abs(embedding[3]::DOUBLE) AS c FROM embeddings),
+@query(f"""{_P},
     q AS (SELECT a / (a + b + c) AS n, b / (a + b + c) AS u, c / (a + b + c) AS p FROM p),
     l AS (SELECT p - n AS s, greatest(n, u, p) AS c, CASE WHEN n >= u AND n >= p THEN 'NEGATIVE' WHEN u >= p THEN 'NEUTRAL' ELSE 'POSITIVE' END AS label FROM q)
     SELECT count(*) AS row_count, CAST(count_if(label = 'NEGATIVE') AS BIGINT) AS negative_count, CAST(count_if(label = 'NEUTRAL') AS BIGINT) AS neutral_count, CAST(count_if(label = 'POSITIVE') AS BIGINT) AS positive_count,
         round(avg(c), 9) AS mean_confidence, round(min(c), 9) AS min_confidence, round(max(c), 9) AS max_confidence, round(avg(s), 9) AS mean_sentiment, round(min(s), 9) AS min_sentiment, round(max(s), 9) AS max_sentiment FROM l""")
 def prediction_statistics(spark, sf_dir):
-    raw = [F.abs(F.get("embedding", F.lit(i)).cast("double")) for i in range(3)]
+    raw = _sums(change=F.abs)
     total = raw[0] + raw[1] + raw[2]
     rows = V.table(spark, sf_dir, "embeddings").select("vec_id", *((r / total).alias(f"prob_{x}") for r, x in zip(raw, ("negative", "neutral", "positive"), strict=True)))
     return rounded(classification.statistics(predictions.standard_scores(rows)))

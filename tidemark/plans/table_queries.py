@@ -8,7 +8,7 @@ from datetime import date
 from pyspark.sql import functions as F
 
 from ..functions import dimensions
-from ..operators import aggregates, classification, corpus, impact, market, predictions, validation
+from ..operators import aggregates, classification, corpus, impact, market, ngrams, predictions, validation
 from ..session import shared_dir
 from ..sources import assets, files, sinks
 from ..sources.state import ScrapeState
@@ -193,3 +193,36 @@ def uncertainty_validation(spark, sf_dir):
     daily = _uncertain(spark, sf_dir)[1]
     panel = market.returns(V.prices(spark, sf_dir)).withColumnRenamed("ticker", "company")
     return _scores_rounded(validation.uncertainty(daily, panel, validation.Validation(), column="disagreement_mean"))
+
+
+# ---- a trained scorer ----
+
+_GRAMS = """
+    rows AS (SELECT CAST(conv_id * 1000 + turn AS VARCHAR) AS news_id, CASE role WHEN 'user' THEN 'POSITIVE' WHEN 'assistant' THEN 'NEUTRAL' ELSE 'NEGATIVE' END AS label,
+                    regexp_extract_all(lower(coalesce(text, '')), '([\\p{L}\\p{N}]+)', 1) AS w FROM conversations),
+    grams AS (SELECT news_id, label, unnest(list_concat(w, list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]))) AS gram FROM rows),
+    met AS (SELECT news_id, label, CAST('0x' || substr(md5(gram), 1, 12) AS BIGINT) % 4096 AS bucket, count(*) AS n FROM grams GROUP BY ALL)"""
+
+
+@query(f"""WITH {_GRAMS},
+    totals AS (SELECT l.label, coalesce(sum(n), 0) AS total FROM (SELECT DISTINCT label FROM rows) l LEFT JOIN met USING (label) GROUP BY l.label),
+    priors AS (SELECT label, ln(count(*) / (SELECT count(*) FROM rows)::DOUBLE) AS prior FROM rows GROUP BY label),
+    counts AS (SELECT label, bucket, sum(n) AS n FROM met GROUP BY ALL),
+    scores AS (
+        SELECT m.news_id, t.label, sum(m.n * (ln(coalesce(c.n, 0) + 1.0::DOUBLE) - ln(t.total + 4096.0::DOUBLE))) AS s
+        FROM (SELECT news_id, bucket, n FROM met) m CROSS JOIN totals t LEFT JOIN counts c ON c.label = t.label AND c.bucket = m.bucket GROUP BY ALL),
+    logits AS (SELECT r.news_id, p.label, p.prior + coalesce(s.s, 0) AS z FROM rows r CROSS JOIN priors p LEFT JOIN scores s ON s.news_id = r.news_id AND s.label = p.label),
+    top AS (SELECT news_id, max(z) AS m FROM logits GROUP BY news_id),
+    e AS (SELECT news_id, label, exp(z - m) AS e FROM logits JOIN top USING (news_id))
+    SELECT news_id, round(max(CASE label WHEN 'NEGATIVE' THEN e END) / sum(e), 6) AS prob_negative, round(max(CASE label WHEN 'NEUTRAL' THEN e END) / sum(e), 6) AS prob_neutral,
+           round(max(CASE label WHEN 'POSITIVE' THEN e END) / sum(e), 6) AS prob_positive FROM e GROUP BY news_id""")
+def ngram_scores(spark, sf_dir):
+    """A scorer fitted on the turns of all conversations by role, kept, loaded again and used on all of them."""
+    c = V.table(spark, sf_dir, "conversations")
+    label = F.when(F.col("role") == "user", "positive").when(F.col("role") == "assistant", "neutral").otherwise("negative")
+    rows = c.select((F.col("conv_id") * 1000 + F.col("turn")).cast("string").alias("news_id"), "text", label.alias("true_label"))
+    path = ngrams.save(ngrams.fit(rows, buckets=4096), f"{_folder(spark)}/scorer")
+    registry = predictions.Registry()
+    registry.load(spark, "roles", path)
+    out = registry.score("roles", rows)
+    return out.select("news_id", *(F.round(F.get("probabilities", F.lit(i)), 6).alias(f"prob_{n}") for i, n in enumerate(("negative", "neutral", "positive"))))

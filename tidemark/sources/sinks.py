@@ -132,8 +132,9 @@ class RunStore:
         return row
 
     def save_frames(self, key: str, folder: str, frames: dict[str, DataFrame | None]) -> dict[str, str]:
-        """Writes each frame that is there as CSV."""
-        files = {name: write_csv(df, f"{folder}/{name}.csv", overwrite=self.overwrite) for name, df in frames.items() if df is not None}
+        """Writes each frame that is there as CSV, daily ones in the order of their days."""
+        write = lambda name, df: write_daily if name.endswith("_daily") and "date" in df.columns else write_csv
+        files = {name: write(name, df)(df, f"{folder}/{name}.csv", overwrite=self.overwrite) for name, df in frames.items() if df is not None}
         self.combinations.setdefault(key, {"status": "pending", "files": {}})["files"] |= files
         return files
 
