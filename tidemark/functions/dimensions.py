@@ -23,6 +23,7 @@ RISK_KEYWORDS = ("multa", "risco", "investiga", "fraude", "crise", "default", "d
 SHORT_HORIZON = ("curto prazo", "imediato", "hoje", "esta semana")
 LONG_HORIZON = ("plano plurianual", "longo prazo", "próximos anos", "decênio")
 LOWEST, HIGHEST = 0.05, 2.0
+# Names of providers in configurations.
 PROVIDERS = ("dataset_columns", "prediction_metadata", "heuristics", "defaults")
 
 

@@ -22,7 +22,7 @@ ENTITIES = (
     ("Sanepar", "Saneamento", "SAPR4"),
 )
 
-#: Values that a news file means as missing.
+# What a news file writes for a missing value (a public list).
 NA_TOKENS = ("", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND", "1.#QNAN", "<NA>", "N/A", "NA", "NULL", "NaN", "None", "n/a", "nan", "null")
 
 

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from . import bootstrap as B
 from . import metrics as M
 
+# Baselines and their columns.
 BASELINES = {"b0": "b0_news_count", "b1": "b1_mean_sentiment", "b2": "b2_confidence_weighted_sentiment", "b3": "b3_daily_impact_no_memory"}
 ORDER = ("ticker", "date", "company", "sector")
 IDENTITY = ("model_key", "dataset_key")
@@ -136,12 +137,23 @@ def wins(delta_rows: DataFrame, metrics: tuple[str, ...] | None = None) -> DataF
     return rows.groupBy(*IDENTITY, "iti_predictor").agg(F.count_if(F.col("delta") > 0).alias("wins"), F.count_if("significant").alias("significant_wins"), F.count(F.lit(1)).alias("comparisons"))
 
 
+# What a conclusion says of a predictor, and what it says if there was nothing to compare.
+VERDICT = "%s (%s): %d/%d vitórias (%.1f%%), %d significativas (%.1f%%)"
+NO_VERDICT = "Nenhuma comparação ITI vs baseline disponível."
+
+
+def conclusions(win_rows: DataFrame, metrics: tuple[str, ...]) -> DataFrame:
+    """(iti_predictor, said): a sentence for each predictor over all combinations."""
+    totals = win_rows.groupBy("iti_predictor").agg(*(F.sum(c).alias(c) for c in ("wins", "significant_wins", "comparisons"))).where("comparisons > 0")
+    percent = lambda c: F.col(c) * 100.0 / F.col("comparisons")
+    said = F.format_string(VERDICT, "iti_predictor", F.lit(", ".join(metrics)), "wins", "comparisons", percent("wins"), "significant_wins", percent("significant_wins"))
+    return totals.select("iti_predictor", said.alias("said"))
+
+
 def conclusion(win_rows: DataFrame, metrics: tuple[str, ...]) -> str:
-    """One line over all combinations; a row per predictor reaches the driver."""
-    totals = win_rows.groupBy("iti_predictor").agg(*(F.sum(c).alias(c) for c in ("wins", "significant_wins", "comparisons"))).where("comparisons > 0").orderBy("iti_predictor").collect()
-    label = ", ".join(metrics)
-    parts = [f"{r.iti_predictor} ({label}): {r.wins}/{r.comparisons} vitórias ({r.wins / r.comparisons:.1%}), {r.significant_wins} significativas ({r.significant_wins / r.comparisons:.1%})" for r in totals]
-    return "; ".join(parts) or "Nenhuma comparação ITI vs baseline disponível."
+    """The sentences of all predictors in one line."""
+    line = conclusions(win_rows, metrics).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("iti_predictor", "said"))), lambda x: x["said"]), "; ")).first()[0]
+    return line or NO_VERDICT
 
 
 def union(frames: list[DataFrame]) -> DataFrame:

@@ -182,6 +182,14 @@ def validation_wins(spark, sf_dir):
     return validation.wins(_deltas(spark, sf_dir), validation.Validation().conclusion_metrics).select("iti_predictor", "wins", "significant_wins", "comparisons")
 
 
+@query(f"""{_GAINS}, t AS (SELECT iti_predictor, count_if(delta > 0) AS w, count_if(significant) AS s, count(*) AS n FROM deltas WHERE metric IN ('pearson', 'spearman') GROUP BY iti_predictor)
+    SELECT iti_predictor, printf('%s (pearson, spearman): %d/%d vitórias (%.1f%%), %d significativas (%.1f%%)', iti_predictor, w::BIGINT, n, w * 100.0::DOUBLE / n, s::BIGINT, s * 100.0::DOUBLE / n) AS said FROM t""")
+def conclusion_sentences(spark, sf_dir):
+    """What a research run says of each index."""
+    v = validation.Validation()
+    return validation.conclusions(validation.wins(_deltas(spark, sf_dir), v.conclusion_metrics), v.conclusion_metrics)
+
+
 @query(f"""{_TWO}, dis AS (SELECT date, company, sector, avg(disagreement_var) AS x FROM news GROUP BY date, company, sector),
     p AS (SELECT CAST(ts AS DATE) AS date, 'C' || CAST(user_id % 10 AS VARCHAR) AS company, avg(value) + 1 AS close FROM events GROUP BY ALL),
     r AS (SELECT date, company, abs(ln(close / lag(close) OVER (PARTITION BY company ORDER BY date))) AS y FROM p),
