@@ -477,12 +477,16 @@ _DECODED = "replace(replace(replace(regexp_replace({0}, '&amp;?', '&', 'g'), '&q
 _PIECES = "array_to_string(list_filter(list_transform(regexp_split_to_array({0}, '<[^>]*>'), lambda y: trim({1})), lambda y: y <> ''), ' ')"
 
 
-@query(f"""
-    WITH parts AS (SELECT page_id, url, regexp_extract(html, '<h1>(.*?)</h1>', 1, 's') AS h1, regexp_extract(html, '<article>(.*)</article>', 1, 's') AS body, regexp_extract_all(html, '<a href="([^"]*)"', 1) AS links FROM pages)
-    SELECT page_id, {_PIECES.format("h1", _DECODED.format("y"))} AS title,
+_ARTICLES = f"""
+    WITH parts AS (SELECT page_id, url, regexp_extract(html, '<h1>(.*?)</h1>', 1, 's') AS h1, regexp_extract(html, '<article>(.*)</article>', 1, 's') AS body, regexp_extract_all(html, '<a href="([^"]*)"', 1) AS links FROM pages),
+    articles AS (
+        SELECT page_id, url, {_PIECES.format("h1", _DECODED.format("y"))} AS title,
            trim(array_to_string(list_filter(list_transform(regexp_split_to_array(regexp_replace(body, '<h1>.*</h1>', '', 's'), '</?p>'), lambda x: {_PIECES.format("x", _DECODED.format("y"))}), lambda x: x <> ''), chr(10))) AS body,
-           len(list_distinct(list_transform(links, lambda x: x))) AS links
-    FROM parts""")
+           len(list_distinct(links)) AS links
+        FROM parts)"""
+
+
+@query(f"{_ARTICLES} SELECT page_id, title, body, links FROM articles")
 def page_articles(spark, sf_dir):
     """Title, body and number of links by the DOM parser."""
     out = P.parse_pages(V.table(spark, sf_dir, "pages"), keep=("page_id",))
@@ -492,8 +496,16 @@ def page_articles(spark, sf_dir):
 #: Entities whose names and tickers stand in the synthetic pages.
 PAGE_ENTITIES = (("the is", "EN", "therst"), ("einheit", "DE", "schen"), ("para", "ES", "ción"))
 
+_NAMED = r"'(?i)(^|[^\p{{L}}\p{{N}}\p{{M}}_])({0}|{1})($|[^\p{{L}}\p{{N}}\p{{M}}_])'"
+_WHICH = "CASE " + " ".join(f"WHEN regexp_matches(both_, {_NAMED.format(name, ticker)}) THEN {i}" for i, (name, _, ticker) in enumerate(PAGE_ENTITIES, 1)) + " END"
+
 
-@query()
+@query(f"""{_ARTICLES},
+    k AS (SELECT page_id, url, title, body, {_URL} AS u, trim(title || CASE WHEN title <> '' AND body <> '' THEN ' ' ELSE '' END || body) AS both_ FROM articles),
+    first AS (SELECT *, {_WHICH} AS e FROM k WHERE u <> '' QUALIFY row_number() OVER (PARTITION BY u ORDER BY page_id) = 1)
+    SELECT page_id AS position, 'site_' || substr(sha256(u), 1, 12) AS id, '2024-01-31' AS data, {[n for n, _, _ in PAGE_ENTITIES]}[e] AS empresa, {[n for _, n, _ in PAGE_ENTITIES]}[e] AS setor,
+           {[n for _, _, n in PAGE_ENTITIES]}[e] AS ticker, CASE WHEN title <> '' THEN title ELSE substr(both_, 1, 120) END AS titulo, CASE WHEN body <> '' THEN body ELSE both_ END AS noticia, 'site' AS fonte, url
+    FROM first WHERE length(both_) >= 40 AND e IS NOT NULL""")
 def entity_articles(spark, sf_dir):
     """Accepted articles of the pages: unseen, long enough, naming an entity (words that stand in the pages), within the window."""
     pages = V.table(spark, sf_dir, "pages")
