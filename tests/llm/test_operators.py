@@ -44,6 +44,22 @@ def test_topk_with_odd_vectors(spark):
     assert topk.top_k(df.limit(0), df.limit(0)).count() == 0
 
 
+def test_topk_goes_from_long_to_short_and_leaves_cells_out(spark):
+    """Lengths spread over three powers of ten: most queries are done after the longest classes."""
+    r = np.random.default_rng(8)
+    v = np.floor(r.normal(size=(1500, 6)) * (10.0 ** r.uniform(0, 3, 1500))[:, None]).astype(np.int64)
+    v[3] = 0
+    df = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "vec_id long, v array<bigint>").repartition(4)
+    cells = []
+    got = topk.top_k(df, df.where("vec_id % 50 = 0"), 5, part_rows=40, block_rows=16, cells=cells).collect()
+    products = v[::50] @ v.T
+    for q, row in enumerate(products):
+        want = sorted(((-int(s), i) for i, s in enumerate(row) if i != 50 * q))[:5]
+        assert [(r_.vec_id, r_.score) for r_ in sorted((x for x in got if x.query_id == 50 * q), key=lambda x: x.rank)] == [(i, -s) for s, i in want]
+    assert len(cells) > 3 and sum(c for _, c in cells) < 0.6 * sum(n for n, _ in cells), cells
+    assert cells[-1][1] < 0.1 * cells[-1][0], cells
+
+
 # ---- 2 ----
 
 

@@ -1,10 +1,12 @@
 """Exact top-k search by inner product, with norm-bucketed retrieval.
 
-Candidates are dealt into parts, queries into blocks, and each pair of part and block is one bounded task. Within it
-candidates are sorted by length (norm) and cut into buckets of similar length. A query's current k-th best product,
-divided by its own length and the bucket's largest, is its local cosine threshold for the bucket. Above 1, the bucket
-and all shorter ones are done. A high threshold prunes by coordinates: the query's largest coordinates bound where
-those of a match can lie. A low one prunes by length. What is left is verified by full products.
+All candidates are grouped by length (norm) into classes, each of which is dealt into parts; queries are dealt into
+blocks, and each pair of part and block is one bounded task. Classes are searched in waves from the longest down, each of
+about twice the rows of the one before. After a wave a query's k-th best product so far, divided by its own length and a
+class' largest, is its local cosine threshold for that class; above 1 the query is not sent to the class at all. Within a
+task candidates are cut into buckets in the same way, and start from the threshold that the query brings along: a bucket
+above 1 and all shorter ones are done, a high threshold prunes by coordinates (the query's largest coordinates bound where
+those of a match can lie), a low one by length. What is left is verified by full products.
 
 Queries and candidates are a stated query set against all rows, in blocks; only each part's best k per query are
 shuffled on.
@@ -24,6 +26,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import written
+
 #: Candidates of one part and queries of one block, about.
 PART_ROWS, BLOCK_ROWS = 8192, 32_768
 #: Queries worked on together within a task.
@@ -68,8 +72,9 @@ def _best(rows: np.ndarray, ids: np.ndarray, scores: np.ndarray, best_ids: np.nd
     best_ids[touched], best[touched] = ids[take], scores[take]
 
 
-def search(query_ids, queries, ids, vectors, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Exact best k of ``vectors`` for each query: (query id, id, score)."""
+def search(query_ids, queries, ids, vectors, k: int, bars=None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Exact best k of ``vectors`` for each query: (query id, id, score). Products under a query's bar need not be found."""
+    bars = np.full(len(queries), -np.inf) if bars is None else np.asarray(bars, np.float64) * (1 - np.sign(bars) * _SLACK)
     exact = vectors.shape[1] * max(1.0, float(np.abs(queries.astype(float)).max(initial=0)) * float(np.abs(vectors.astype(float)).max(initial=0))) < 2**53
     kind = np.float64 if exact else object  # whole numbers below 2**53 are exact as doubles
     queries, vectors = queries.astype(kind), vectors.astype(kind)
@@ -89,7 +94,7 @@ def search(query_ids, queries, ids, vectors, k: int) -> tuple[np.ndarray, np.nda
         own = slice(s, s + STEP)
         own_ids, qs, qn, qu, best_ids, best = query_ids[own], queries[own], q_norm[own], q_unit[own], all_ids[own], all_scores[own]
         for lo, hi in buckets:
-            theta = best[:, -1].astype(np.float64)
+            theta = np.maximum(best[:, -1].astype(np.float64), bars[own])
             with np.errstate(divide="ignore", invalid="ignore"):
                 local = np.where(theta > 0, theta / (qn * norm[lo]), -1.0)
             local = np.nan_to_num(local, nan=-1.0, posinf=2.0)
@@ -132,27 +137,74 @@ def search(query_ids, queries, ids, vectors, k: int) -> tuple[np.ndarray, np.nda
     return query_ids[r], all_ids[r, c], scores
 
 
-def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, part_rows: int = PART_ROWS, block_rows: int = BLOCK_ROWS) -> DataFrame:
-    """Both frames have vec_id and v (array<bigint>). Returns query_id, rank, vec_id, score."""
-    usable = [df.where("vec_id is not null and v is not null").select(F.col("vec_id").cast("long").alias("vec_id"), "v", F.size("v").alias("d")) for df in (vectors, queries)]
-    n, m = (df.count() for df in usable)
-    parts, blocks = max(1, -(-n // part_rows)), max(1, -(-m // block_rows))
-    dealt = lambda df, seed, count: F.pmod(F.xxhash64("vec_id", F.lit(seed)), F.lit(count)).cast("int")
-    every = lambda count: F.explode(F.sequence(F.lit(0), F.lit(count - 1)))
-    left = usable[0].withColumn("part", dealt(usable[0], 1, parts)).withColumn("block", every(blocks))
-    right = usable[1].withColumn("block", dealt(usable[1], 2, blocks)).withColumn("part", every(parts))
+#: The first wave has this share of all candidates.
+FIRST_WAVE = 1 / 16
+
+
+def _waves(classes: list, part_rows: int) -> list[list[tuple[int, float, int, int]]]:
+    """Classes (class, longest, rows) from the longest down in waves of (class, longest, first part, parts)."""
+    total = sum(r["rows"] for r in classes)
+    room = max(4 * part_rows, int(total * FIRST_WAVE))
+    waves, held, part = [[]], 0, 0
+    for r in classes:
+        if waves[-1] and held + r["rows"] > room:
+            waves, held, room = [*waves, []], 0, 2 * room
+        parts = max(1, -(-r["rows"] // part_rows))
+        waves[-1].append((r["class"], r["longest"], part, parts))
+        held, part = held + r["rows"], part + parts
+    return waves
+
+
+def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, part_rows: int = PART_ROWS, block_rows: int = BLOCK_ROWS, cells: list | None = None) -> DataFrame:
+    """Both frames have vec_id and v (array<bigint>). Returns query_id, rank, vec_id, score.
+
+    ``cells`` takes, for each wave, how many (query, class) cells there are and how many of them are searched.
+    """
+    spark = vectors.sparkSession
+    norm = F.sqrt(F.aggregate("v", F.lit(0.0), lambda n, x: n + x.cast("double") * x.cast("double")))
+    kind = F.when(norm > 0, F.floor(F.log(norm) / math.log(1 / BUCKET_RATIO))).otherwise(-1_000_000).cast("int")
+    usable = [df.where("vec_id is not null and v is not null").select(F.col("vec_id").cast("long").alias("vec_id"), "v", F.size("v").alias("d"), norm.alias("norm")) for df in (vectors, queries)]
+    candidates, asked = usable[0].withColumn("class", kind), usable[1]
+    classes = candidates.groupBy("class").agg(F.count(F.lit(1)).alias("rows"), F.max("norm").alias("longest")).orderBy(F.desc("class")).collect()  # few: lengths grow by a ninth
+    m = asked.count()
+    blocks = max(1, -(-m // block_rows))
+    dealt = lambda seed, count: F.pmod(F.xxhash64("vec_id", F.lit(seed)), count).cast("int")
     schema = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.int64())])
 
     def match(candidates: pa.Table, asked: pa.Table) -> pa.Table:
         if not candidates.num_rows or not asked.num_rows:
             return schema.empty_table()
-        found = search(*_matrix(asked), *_matrix(candidates), k)
-        return pa.Table.from_arrays([pa.array(x, pa.int64()) for x in found], schema=schema)
+        ids, m = _matrix(asked)
+        bar = dict(zip(asked.column("vec_id").to_pylist(), asked.column("bar").to_pylist(), strict=True))
+        bars = np.array([-np.inf if bar[i] is None else bar[i] for i in ids.tolist()])
+        return pa.Table.from_arrays([pa.array(x, pa.int64()) for x in search(ids, m, *_matrix(candidates), k, bars)], schema=schema)
 
-    keys = ("d", "part", "block")
-    found = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(match, "query_id long, vec_id long, score long")
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+    ranked = lambda df: df.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
+    waves, found = _waves(classes, part_rows), None
+    if len(waves) > 1:
+        candidates = written(candidates, "topk-candidates")
+    asked = asked.withColumn("block", dealt(2, F.lit(blocks)))
+    for number, wave in enumerate(waves):
+        told = F.broadcast(spark.createDataFrame(wave, "class int, longest double, first int, parts int"))
+        if found is None:
+            live = asked.withColumn("bar", F.lit(None).cast("double"))
+        else:
+            bars = found.where(F.col("rank") == k).select(F.col("query_id").alias("vec_id"), F.col("score").cast("double").alias("bar"))
+            live = asked.join(bars, "vec_id", "left")
+        # Rows of one query id share its best k, and so its bar.
+        sent = live.join(told, F.col("bar").isNull() | (F.col("bar") <= F.col("norm") * F.col("longest") * (1 + 1e-9) + 1e-6))
+        if cells is not None:
+            cells.append((m * len(wave), sent.count()))
+        right = sent.select("vec_id", "v", "d", "bar", "block", F.explode(F.sequence(F.col("first"), F.col("first") + F.col("parts") - 1)).alias("part"))
+        left = candidates.join(told, "class").select("vec_id", "v", "d", (F.col("first") + dealt(1, F.col("parts"))).alias("part"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"))
+        keys = ("d", "part", "block")
+        left, right = (df.toDF(*df.columns) for df in (left, right))  # columns of their own: both may come from one table
+        got = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(match, "query_id long, vec_id long, score long")
+        found = ranked(got if found is None else found.drop("rank").unionByName(got))
+        if number < len(waves) - 1:
+            found = written(found, "topk-wave")
+    return found.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 
 
 def op1_exact_topk(spark, sf_dir: str) -> DataFrame:
