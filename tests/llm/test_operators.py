@@ -604,3 +604,31 @@ def test_scratch_is_the_shared_folder(spark):
 
     assert scratch_dir(spark) == (spark.conf.get("spark.checkpoint.dir", None) or LOCAL_SCRATCH)
     assert os.path.isabs(LOCAL_SCRATCH) and json.dumps(LOCAL_SCRATCH)
+
+
+def test_sharding_places_every_row_where_a_plain_pass_does(spark, duck, sf):
+    """All rows in the order of text hash and id; borders at equal bytes, or at the edge of a small group of equal texts."""
+    import xxhash
+
+    rows = [(i, t) for i, t in duck.execute("SELECT doc_id, text FROM documents").fetchall()]
+    hashed = lambda t: -(2**63) if t is None else (h - 2**64 if (h := xxhash.xxh64_intdigest((t or "").encode(), seed=42)) >= 2**63 else h)
+    order = sorted((hashed(t), i, len((t or "").encode()) + 1) for i, t in rows)
+    total, at, starts, groups = sum(s for _, _, s in order), 0, [], {}
+    for h, i, size in order:
+        starts.append((at, h, i, size))
+        lo, hi, most = groups.get(h, (at, at, 0))
+        groups[h] = (lo, at + size, max(most, size))
+        at += size
+    borders = []
+    for x in (total * j // 16 for j in range(1, 16)):
+        h = next(h for a, h, _, size in starts if a <= x < a + size)
+        lo, hi, most = groups[h]
+        if lo < x < hi and hi - lo <= max(sharding.SNAP * total / 16, most):
+            x = lo if x - lo <= hi - x else hi
+        borders.append(x)
+    seen, want = Counter(), {}
+    for a, _, i, _size in starts:
+        shard = sum(b <= a for b in borders)
+        want[i] = (shard, seen[shard])
+        seen[shard] += 1
+    assert {r.doc_id: (r.shard, r.slot) for r in sharding.op10_sharding(spark, sf).collect()} == want

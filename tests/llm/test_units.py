@@ -525,3 +525,64 @@ def test_a_payload_of_ones_own_must_match_its_digest():
     record = {"headers": {"warc-type": "response", "warc-record-id": "<urn:page:5>", "warc-payload-digest": "sha1:" + "A" * 32}, "block": b"HTTP/1.1 200 OK\r\n\r\nx"}
     with pytest.raises(ValueError, match="digest"):
         warc._row(record)
+
+
+# ---- 9: trees by a plain grower, and row by row ----
+
+
+def _grow(x, edges, g, h, rows, depth, least, l2):
+    """A tree as nested tuples (feature, threshold, left, right), or a leaf's value before the rate."""
+    best, choice = 1e-6, None
+    if depth:
+        gt, ht = g[rows].sum(), h[rows].sum()
+        for j, own in enumerate(edges):
+            top, at = -1.0, None
+            for edge in own:
+                left = rows[x[rows, j] <= edge]
+                if least <= len(left) <= len(rows) - least:
+                    gs, hs = g[left].sum(), h[left].sum()
+                    gain = gs**2 / (hs + l2) + (gt - gs) ** 2 / (ht - hs + l2) - gt**2 / (ht + l2)
+                    if gain > top + 1e-12:
+                        top, at = gain, edge
+            if at is not None and top > best + 1e-12:
+                best, choice = top, (j, at)
+    if not choice:
+        return g[rows].sum() / (h[rows].sum() + l2)
+    j, edge = choice
+    parts = (rows[x[rows, j] <= edge], rows[x[rows, j] > edge])
+    return (j, edge, *(_grow(x, edges, g, h, part, depth - 1, least, l2) for part in parts))
+
+
+def _walk(tree, row):
+    while isinstance(tree, tuple):
+        tree = tree[2] if row[tree[0]] <= tree[1] else tree[3]
+    return tree
+
+
+def test_forest_equals_a_plain_grower():
+    r = np.random.default_rng(12)
+    x = r.normal(size=(240, len(quality.FEATURES)))
+    x[:, 3] = np.round(x[:, 3])  # few values, many ties
+    y = ((x[:, 0] + x[:, 3] > 0) ^ (r.random(240) < 0.1)).astype(float)
+    trees, depth, rate, bins, least, l2 = 3, 3, 0.15, 16, 5, 1.0
+    forest = quality.fit(x, y, trees=trees, depth=depth, rate=rate, bins=bins, least=least, l2=l2)
+    edges = [np.unique(np.quantile(x[:, j], np.linspace(0, 1, bins + 1)[1:-1])) for j in range(x.shape[1])]
+    raw = np.full(len(x), np.log(y.mean() / (1 - y.mean())))
+    more = r.normal(size=(50, x.shape[1]))
+    plain = np.full(len(more), raw[0])
+    for _ in range(trees):
+        p = 1 / (1 + np.exp(-raw))
+        tree = _grow(x, edges, y - p, p * (1 - p), np.arange(len(x)), depth, least, l2)
+        raw = raw + rate * np.array([_walk(tree, row) for row in x])
+        plain = plain + rate * np.array([_walk(tree, row) for row in more])
+    assert np.allclose(forest.scores(x), 1 / (1 + np.exp(-raw)), atol=1e-9)
+    assert np.allclose(forest.scores(more), 1 / (1 + np.exp(-plain)), atol=1e-9)
+    # The arrays, node by node.
+    for row, got in zip(more, forest.scores(more), strict=True):
+        total = forest.base
+        for t in range(trees):
+            node = 0
+            while forest.left[t][node] != node:
+                node = int(forest.right[t][node] if row[forest.feature[t][node]] > forest.threshold[t][node] else forest.left[t][node])
+            total += forest.value[t][node]
+        assert got == pytest.approx(1 / (1 + np.exp(-total)), abs=1e-12)
