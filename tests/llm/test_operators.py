@@ -600,10 +600,17 @@ def test_labels_are_the_only_thing_learned_from(spark):
 
 
 def test_scratch_is_the_shared_folder(spark):
-    from tidemark.llm.common import LOCAL_SCRATCH, scratch_dir
+    from types import SimpleNamespace
 
-    assert scratch_dir(spark) == (spark.conf.get("spark.checkpoint.dir", None) or LOCAL_SCRATCH)
-    assert os.path.isabs(LOCAL_SCRATCH) and json.dumps(LOCAL_SCRATCH)
+    from tidemark.llm.common import own_dir
+
+    root = spark.conf.get("spark.checkpoint.dir", None) or "/tmp/checkpoints"
+    assert own_dir(spark) == f"{root.rstrip('/')}/{spark.sparkContext.applicationId}"
+    named = {"spark.checkpoint.dir": "hdfs://store/shared/"}
+    cluster = lambda held: SimpleNamespace(conf=SimpleNamespace(get=lambda key, default: held.get(key, default)), sparkContext=SimpleNamespace(master="spark://x", applicationId="app"))
+    assert own_dir(cluster(named)) == "hdfs://store/shared/app"
+    with pytest.raises(ValueError, match="checkpoint"):  # executors would not see each other's files
+        own_dir(cluster({}))
 
 
 def test_sharding_places_every_row_where_a_plain_pass_does(spark, duck, sf):

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -10,8 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-#: Used only where the session names no shared folder (tests on one machine).
-LOCAL_SCRATCH = "/tmp/checkpoints"
+from ..session import shared_dir
 
 #: Rows of a few numbers that are broadcast at most.
 BROADCAST_ROWS = 1_000_000
@@ -20,14 +22,9 @@ BROADCAST_ROWS = 1_000_000
 BATCH_BYTES = 4 << 20
 
 
-def scratch_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share, from ``spark.checkpoint.dir``."""
-    return (spark.conf.get("spark.checkpoint.dir", None) or LOCAL_SCRATCH).rstrip("/")
-
-
 def own_dir(spark: SparkSession) -> str:
-    """This application's part of the shared folder."""
-    return f"{scratch_dir(spark)}/{spark.sparkContext.applicationId}"
+    """This application's part of the folder that driver and executors share; an error on a cluster that names none."""
+    return shared_dir(spark)
 
 
 def drop_scratch(spark: SparkSession) -> None:
@@ -55,9 +52,22 @@ def with_fields(df: DataFrame, added: str) -> tuple[list[str], StructType]:
     return [f.name for f in kept], StructType([*kept, *new.fields])
 
 
+def _give_back() -> None:
+    """Returns what a worker has freed to the system: it lives on for later stages, beside their memory."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # not this C library
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
 def map_arrow(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str | StructType) -> DataFrame:
     """``mapInArrow`` with batches bounded in bytes, so that a run of very long rows does not fill a worker."""
     conf = df.sparkSession.conf
     conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
     conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
-    return df.mapInArrow(fn, schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from fn(batches)
+        _give_back()
+
+    return df.mapInArrow(run, schema)

@@ -81,6 +81,19 @@ class _Known(dict):
         return own
 
 
+def _steps(path: str) -> dict:
+    """A tokenizer file without its vocabulary, which would fill memory with objects that nothing needs, if that comes last as usual."""
+    import json
+
+    with open(path, encoding="utf-8") as f:
+        text = f.read()
+    head, found, _ = text.partition('"model"')
+    try:
+        return json.loads(head.rstrip().rstrip(",") + "}") if found else json.loads(text)
+    except ValueError:
+        return json.loads(text)
+
+
 class Encoder:
     """Texts to ids as ``tokenizers`` gives them for the file at ``path``, without special tokens of its own.
 
@@ -90,10 +103,7 @@ class Encoder:
     """
 
     def __init__(self, path: str):
-        import json
-
-        with open(path, encoding="utf-8") as f:
-            steps = json.load(f)
+        steps = _steps(path)
         step = steps.get("pre_tokenizer") or {}
         self.by_word = (step.get("type"), step.get("add_prefix_space"), step.get("use_regex")) == ("ByteLevel", False, True) and not steps.get("normalizer")
         self.tokenizer, self.known = _tokenizer(path), _Known({})
