@@ -93,3 +93,13 @@ def test_periods_close_with_the_watermark(spark, tmp_path, frequency):
     cols = ["company", "period_start", "period_end", "impacto_dia_mean", "impacto_dia_sum", "iti_liquido_mean", "iti_liquido_min", "iti_liquido_max", "iti_liquido_std", "iti_risco_mean", "news_count", "frequency"]
     same([tuple(x) for x in out.where("company <> 'end'").select(*cols).collect()], [tuple(x) for x in want.select(*cols).collect()])
     assert out.select(F.count_distinct("company", "period_start"), F.count(F.lit(1))).first()[0] == out.count()
+
+
+@pytest.mark.parametrize("frequency", ["monthly", "quarterly"])
+def test_late_days_of_open_periods_count(spark, tmp_path, frequency):
+    row = lambda d, c="A": (D0 + timedelta(days=d), c, "S", 1.0 + d, 0.1, 1, 0.5 * d, 0.2)
+    rows = [row(0), row(25), row(3), row(20)]  # the watermark stands at day 23 when days 3 and 20 come
+    out = fed(spark, tmp_path, lambda s: periods.resample_stream(s, frequency), INDEX, [rows[:2], rows[2:], [row(400, "end")], [row(401, "end"), row(5)]])
+    want = levels.resample(spark.createDataFrame(rows, INDEX), frequency)  # without day 5, which comes after its period
+    got = out.where("company <> 'end'").select(*want.columns)
+    same([tuple(x) for x in got.collect()], [tuple(x) for x in want.collect()])

@@ -28,10 +28,9 @@ def period_label(day: Column, frequency: str) -> Column:
     raise ValueError(f"unknown frequency {frequency!r}")
 
 
-def resample(index: DataFrame, frequency: str, by: tuple[str, ...] = ()) -> DataFrame:
-    """Statistics by series and period; periods without rows are left out."""
-    rows = index.withColumn("period_start", period_label(F.col("date"), frequency))
-    return rows.groupBy(*by, "company", "sector", "period_start").agg(
+def statistics() -> list[Column]:
+    """What a period says of the days in it; nulls take no part."""
+    return [
         F.max("date").alias("period_end"),
         F.avg("impacto_dia").alias("impacto_dia_mean"),
         F.sum("impacto_dia").alias("impacto_dia_sum"),
@@ -41,4 +40,10 @@ def resample(index: DataFrame, frequency: str, by: tuple[str, ...] = ()) -> Data
         F.stddev_samp("iti_liquido").alias("iti_liquido_std"),
         F.avg("iti_risco").alias("iti_risco_mean"),
         F.sum("news_count").alias("news_count"),
-    ).withColumn("frequency", F.lit(frequency))
+    ]
+
+
+def resample(index: DataFrame, frequency: str, by: tuple[str, ...] = ()) -> DataFrame:
+    """Statistics by series and period; periods without rows are left out."""
+    rows = index.withColumn("period_start", period_label(F.col("date"), frequency))
+    return rows.groupBy(*by, "company", "sector", "period_start").agg(*statistics()).withColumn("frequency", F.lit(frequency))

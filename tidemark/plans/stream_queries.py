@@ -17,13 +17,12 @@ from .source_queries import _folder, _renamed
 
 
 def _streamed(parts: list[DataFrame], make, root: str) -> DataFrame:
-    """What a stream over ``parts``, each a micro-batch of one file, has written."""
+    """What a stream over ``parts`` has written, each a micro-batch of all the files that a part has."""
     spark = parts[0].sparkSession
     for part in parts:
-        part.coalesce(1).write.mode("append").parquet(f"{root}/in")
-    source = spark.readStream.schema(parts[0].schema).option("maxFilesPerTrigger", 1).parquet(f"{root}/in")
-    made = make(source)
-    made.writeStream.format("parquet").option("path", f"{root}/out").option("checkpointLocation", f"{root}/state").outputMode("append").trigger(availableNow=True).start().awaitTermination()
+        part.write.mode("append").parquet(f"{root}/in")
+        made = make(spark.readStream.schema(part.schema).parquet(f"{root}/in"))
+        made.writeStream.format("parquet").option("path", f"{root}/out").option("checkpointLocation", f"{root}/state").outputMode("append").trigger(availableNow=True).start().awaitTermination()
     return spark.read.schema(made.schema).parquet(f"{root}/out")
 
 

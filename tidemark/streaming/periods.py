@@ -1,76 +1,24 @@
-"""Weeks, months and quarters of a stream: calendar periods as keys, closed by the watermark.
+"""Weeks, months and quarters of a stream: sessions that end with their period, closed by the watermark.
 
-Event-time windows have one length, which months do not. So a series' period is a key with a state of its own: counts, sums,
-extremes and the sum of squared deviations, which parts of a period add up to. A timer at the period's end lets the row
-out once the watermark has passed it; rows of a closed period come after the watermark and are dropped by Spark.
+Windows of event time have one length, which months do not. A session's gap may be an expression, though: that of a day
+reaches to the end of its period, so the days of a series and period are one session, whose end is the period's. A session
+comes out once the watermark has passed its end; rows of a period that is closed come after the watermark and are dropped
+by Spark, while a late row of one that is still open counts.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from datetime import date
-
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
-
-from ..operators.levels import period_label
-from .index import _DAY_MS, use_rocksdb
-
-OUTPUT = (
-    "company string, sector string, period_start date, period_end date, impacto_dia_mean double, impacto_dia_sum double, iti_liquido_mean double, iti_liquido_min double, "
-    "iti_liquido_max double, iti_liquido_std double, iti_risco_mean double, news_count bigint, frequency string"
-)
-_STATE = "last date, impacts bigint, impact double, n bigint, mean double, squares double, low double, high double, risks bigint, risk double, news bigint"
-
-
-def merged(n: int, mean: float, squares: float, values: np.ndarray) -> tuple[int, float, float]:
-    """Count, mean and sum of squared deviations of a part and more values."""
-    if not len(values):
-        return n, mean, squares
-    m, other = len(values), float(values.mean())
-    total, apart = n + m, other - mean
-    return total, mean + apart * m / total, squares + float(((values - other) ** 2).sum()) + apart * apart * n * m / total
-
-
-class PeriodProcessor(StatefulProcessor):
-    def __init__(self, frequency: str) -> None:
-        self.frequency = frequency
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle, self.kept = handle, handle.getValueState("period", _STATE)
-
-    def close(self) -> None:
-        pass
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        known = self.kept.exists()
-        last, impacts, impact, n, mean, squares, low, high, risks, risk, news = self.kept.get() if known else (date.min, 0, 0.0, 0, 0.0, 0.0, np.inf, -np.inf, 0, 0.0, 0)
-        for f in rows:
-            took, at, gone = (f[c].dropna().to_numpy(float) for c in ("impacto_dia", "iti_liquido", "iti_risco"))
-            last = max(last, f["date"].max())
-            impacts, impact = impacts + len(took), impact + float(took.sum())
-            n, mean, squares = merged(n, mean, squares, at)
-            low, high = min(low, at.min(initial=np.inf)), max(high, at.max(initial=-np.inf))
-            risks, risk, news = risks + len(gone), risk + float(gone.sum()), news + int(f["news_count"].sum())
-        self.kept.update((last, impacts, impact, n, mean, squares, float(low), float(high), risks, risk, news))
-        if not known:
-            self.handle.registerTimer((key[2].toordinal() + 1 - date(1970, 1, 1).toordinal()) * _DAY_MS)
-        return iter(())
 
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        last, impacts, impact, n, mean, squares, low, high, risks, risk, news = self.kept.get()
-        self.kept.clear()
-        share = lambda total, count: total / count if count else None
-        some = lambda v: v if n else None
-        row = (*key, last, share(impact, impacts), impact if impacts else None, some(mean), some(low), some(high), float(np.sqrt(squares / (n - 1))) if n > 1 else None, share(risk, risks), news, self.frequency)
-        yield pd.DataFrame([row], columns=[c.split()[0] for c in OUTPUT.split(", ")])
+from ..operators.levels import period_label, statistics
+from .index import use_rocksdb
 
 
 def resample_stream(index: DataFrame, frequency: str, delay: str = "2 days") -> DataFrame:
     """A row for each series and period of a stream of index days (``date``), after the watermark has passed the period's end."""
     use_rocksdb(index.sparkSession)
-    rows = index.withColumn("period", period_label(F.col("date"), frequency)).withColumn("day_at", F.col("date").cast("timestamp")).withWatermark("day_at", delay)
-    return rows.groupBy("company", "sector", "period").transformWithStateInPandas(PeriodProcessor(frequency), outputStructType=OUTPUT, outputMode="append", timeMode="EventTime")
+    rows = index.withColumn("period_start", period_label(F.col("date"), frequency)).withColumn("day_at", F.col("date").cast("timestamp")).withWatermark("day_at", delay)
+    rest = F.session_window("day_at", F.make_interval(days=F.datediff("period_start", "date") + 1))
+    made = rows.groupBy("company", "sector", "period_start", rest).agg(*statistics())
+    return made.drop("session_window").withColumn("frequency", F.lit(frequency))
