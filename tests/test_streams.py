@@ -69,6 +69,14 @@ def test_silent_series_decay_to_the_watermark(spark, tmp_path):
         assert r.news_count == 0 and r.iti_liquido == pytest.approx(rows[D0 + timedelta(days=1)].iti_liquido * 0.85 ** (d - 1))
 
 
+def test_series_of_a_bucket_keep_their_own_calendars(spark, tmp_path):
+    rows = [day(d, f"C{c}", impact=float(c) - d, horizon=1.0 + c % 3) for c in range(12) for d in range(c, 30, 1 + c % 4)]
+    rows = sorted(rows, key=lambda r: (r[0].day * 7 + int(r[1][1:]) * 5) % 11)
+    out = fed(spark, tmp_path, lambda s: stream_index.index_stream(s, buckets=1), DAILY, [rows[:40], rows[40:]])
+    got = sorted((r.company, r.date, round(r.iti_liquido, 9), round(r.iti_risco, 9)) for r in stream_index.newest(out).collect())
+    assert got == batch(spark, rows)
+
+
 def test_levels_over_many_blocks():
     r = np.random.default_rng(2)
     a, b = r.uniform(0.01, 0.999, 5000), r.normal(size=5000)
