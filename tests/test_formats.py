@@ -86,3 +86,34 @@ def test_feed_as_table_and_stream(own, tmp_path):
     a.write_text(items(("a3", second), ("a4", third), ("a2", second)))  # one more of the same time, one later, one seen
     assert run() == ["a0", "a1", "a2", "a3", "a4", "b1"]
     assert run() == ["a0", "a1", "a2", "a3", "a4", "b1"]
+
+
+def test_feeds_of_a_folder_are_read_by_tasks(own, tmp_path):
+    first, second, third = (f"Fri, 0{d} Mar 2024 10:00:00 GMT" for d in (1, 2, 3))
+    (tmp_path / "feeds").mkdir()
+    put = lambda name, *rows: (tmp_path / "feeds" / name).write_text(items(*rows))
+    put("a.xml", ("a1", first), ("a2", second), ("a0", "no day"))
+
+    def run():
+        stream = own.readStream.format("feed").option("seen", str(tmp_path / "seen")).load(f"{tmp_path}/feeds/")
+        stream.writeStream.format("parquet").option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start(str(tmp_path / "out")).awaitTermination()
+        return sorted(r.url for r in own.read.parquet(str(tmp_path / "out")).collect())
+
+    assert run() == ["a0", "a1", "a2"]
+    put("a.xml", ("a3", second), ("a4", third), ("a2", second))
+    put("b.xml", ("b1", first))  # a feed that was not there
+    assert run() == ["a0", "a1", "a2", "a3", "a4", "b1"]
+    put("a.xml", ("a4", third), ("a5", third))
+    assert run() == ["a0", "a1", "a2", "a3", "a4", "a5", "b1"] == run()
+
+
+def test_a_feed_of_many_items_takes_bounded_memory(tmp_path):
+    import tracemalloc
+
+    from tidemark.sources.formats import feed_items
+
+    (tmp_path / "long.xml").write_text(items(*((f"a{k}", "Fri, 01 Mar 2024 10:00:00 GMT") for k in range(30_000))))
+    tracemalloc.start()
+    assert sum(1 for _ in feed_items(str(tmp_path / "long.xml"))) == 30_000
+    assert tracemalloc.get_traced_memory()[1] < 2_000_000
+    tracemalloc.stop()

@@ -74,21 +74,24 @@ def quote_download(spark, sf_dir):
     return out.select("date", "ticker", F.round("close", 4).alias("close"), F.round("simple_return", 7).alias("simple_return"), F.round("log_return", 7).alias("log_return"))
 
 
+#: Feeds of a kind of event: a feed is read by one task.
+FEEDS = 64
+
+
 @query("""SELECT 'https://e.org/' || event_id AS url, 'Event ' || event_type || ' & ' || user_id AS title, CAST(ts AS DATE) AS day, date_part('hour', ts) AS hour FROM events""")
 def feed_stream(spark, sf_dir):
-    """A feed for each kind of event, read as a stream: first half of its items are there, then all of them; each comes once."""
+    """Feeds by kind of event and share of the users, read as a stream: first half of their items are there, then all of them; each comes once."""
     formats.register(spark)
     e = V.table(spark, sf_dir, "events")
     published = F.concat(F.date_format("ts", "EEE, dd MMM yyyy HH:mm:ss"), F.lit(" GMT"))
     items = e.select(
-        "event_type", "ts", F.concat(F.lit("https://e.org/"), F.col("event_id").cast("string")).alias("link"),
+        F.concat_ws("-", "event_type", (F.col("user_id") % FEEDS).cast("string")).alias("feed"), "ts", F.concat(F.lit("https://e.org/"), F.col("event_id").cast("string")).alias("link"),
         F.concat(F.lit("Event "), "event_type", F.lit(" & "), F.col("user_id").cast("string")).alias("title"), published.alias("pubDate"),
     )
     root = _folder(spark)
-    feeds = " ".join(f"{root}/feeds/{r[0]}.xml" for r in e.select("event_type").distinct().orderBy("event_type").collect())
     for until in ("2024-01-15", "2100-01-01"):
-        _renamed(items.where(F.col("ts") < F.lit(until).cast("timestamp")).drop("ts"), f"{root}/feeds", "", "xml", by="event_type", rowTag="item", rootTag="channel")
-        stream = spark.readStream.format("feed").load(feeds).writeStream.format("parquet").option("checkpointLocation", f"{root}/state")
+        _renamed(items.where(F.col("ts") < F.lit(until).cast("timestamp")).drop("ts"), f"{root}/feeds", "", "xml", by="feed", rowTag="item", rootTag="channel")
+        stream = spark.readStream.format("feed").option("seen", f"{root}/seen").load(f"{root}/feeds/").writeStream.format("parquet").option("checkpointLocation", f"{root}/state")
         stream.trigger(availableNow=True).start(f"{root}/items").awaitTermination()
     got = spark.read.parquet(f"{root}/items")
     return got.select("url", "title", F.to_date("published").alias("day"), F.hour("published").cast("long").alias("hour"))

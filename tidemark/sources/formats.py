@@ -9,17 +9,23 @@ options because this version of Spark keeps what a relation's ``pushFilters`` to
 ``quotes`` reads daily closes, a partition a ticker (``tickers``, separated by commas), from tables of CSV at an address with ``{ticker}``, ``{start}`` and
 ``{end}`` in it. A ticker without rows is an error, like a failed request.
 
-``feed`` reads the items of RSS feeds (files or addresses, separated by blanks). As a stream, a batch holds what was
-published after the items of the batch before; its offset is each feed's last time and the links that have it. Feeds are
-short documents that only show their latest items, so the driver reads them, as that kind of stream does.
+``feed`` reads the items of RSS feeds (files, addresses or folders that end with a slash, separated by blanks), item by item. As a
+stream, a batch holds what was published after the items of the batch before. With the option ``seen``, a folder that driver and
+executors share, a task reads each feed that has changed: the offset is each feed's version (time and size, or tag), and the task
+keeps there the last time of that version and the links that have it, which the next batch starts from. Without, the offset is
+those themselves and the driver reads the feeds, which will do for short ones.
 
 ``register`` makes them known to a session.
 """
 
 from __future__ import annotations
 
+import hashlib
+import io
 import json
+import time
 import urllib.request
+import uuid
 from collections.abc import Iterator
 from datetime import UTC
 from email.utils import parsedate_to_datetime
@@ -210,27 +216,61 @@ class Feed(D.DataSource):
         return "feed string, url string, title string, description string, published timestamp"
 
     def reader(self, schema) -> FeedReader:
-        return FeedReader(self.options["path"].split())
+        return FeedReader(feed_addresses(self.options["path"]))
+
+    def streamReader(self, schema) -> FeedTasks:
+        return FeedTasks(self.options["path"], self.options["seen"]) if self.options.get("seen") else super().streamReader(schema)
 
     def simpleStreamReader(self, schema) -> FeedStream:
-        return FeedStream(self.options["path"].split())
+        return FeedStream(self.options["path"])
 
 
-def feed_items(address: str) -> list[tuple]:
-    """(feed, url, title, description, published) of each item; a time that can't be read is null."""
-    root = ElementTree.fromstring(read_bytes(address))  # noqa: S314  expat bounds the expansion of entities
+def feed_addresses(path: str) -> list[str]:
+    """The feeds that ``path`` names; of a folder all its files."""
     out = []
-    for item in root.iter("item"):
-        text = {k: (item.findtext(k) or "").strip() for k in ("link", "title", "description", "pubDate")}
-        try:
-            published = parsedate_to_datetime(text["pubDate"])
-            published = (published if published.tzinfo else published.replace(tzinfo=UTC)).astimezone(UTC)
-        except (ValueError, TypeError):
-            published = None
-        out.append((address, text["link"], text["title"], text["description"], published))
+    for address in path.split():
+        if address.endswith("/"):
+            store, root = _store(address)
+            infos = store.get_file_info(pyarrow.fs.FileSelector(root.rstrip("/"), allow_not_found=True))
+            out += sorted(address + i.base_name for i in infos if i.type == pyarrow.fs.FileType.File and i.base_name[0] not in "._")
+        else:
+            out.append(address)
     return out
 
 
+def _opened(address: str):
+    if address.startswith(("http://", "https://")):
+        return io.BytesIO(read_bytes(address))
+    store, path = _store(address)
+    return store.open_input_stream(path)
+
+
+def feed_items(address: str) -> Iterator[tuple]:
+    """(feed, url, title, description, published) of each item; a time that can't be read is null. Items are let go as they are read."""
+    with _opened(address) as f:
+        above = []
+        for event, element in ElementTree.iterparse(f, ("start", "end")):  # noqa: S314  expat bounds the expansion of entities
+            if event == "start":
+                above.append(element)
+                continue
+            above.pop()
+            if element.tag != "item":
+                continue
+            text = {k: (element.findtext(k) or "").strip() for k in ("link", "title", "description", "pubDate")}
+            if above:
+                above[-1].remove(element)
+            try:
+                published = parsedate_to_datetime(text["pubDate"])
+                published = (published if published.tzinfo else published.replace(tzinfo=UTC)).astimezone(UTC)
+            except (ValueError, TypeError):
+                published = None
+            yield (address, text["link"], text["title"], text["description"], published)
+
+
+def _place(item: tuple) -> str:
+    return item[4].isoformat() if item[4] else ""
+
+
 class FeedReader(D.DataSourceReader):
     def __init__(self, feeds: list[str]) -> None:
         self.feeds = feeds
@@ -245,33 +285,85 @@ class FeedReader(D.DataSourceReader):
 class FeedStream(D.SimpleDataSourceStreamReader):
     """New items by feed. An item without a readable time counts as the oldest, so it comes with a feed's first batch."""
 
-    def __init__(self, feeds: list[str]) -> None:
-        self.feeds = feeds
+    def __init__(self, path: str) -> None:
+        self.path = path
 
     def initialOffset(self) -> dict:
         return {}
 
-    @staticmethod
-    def _place(item: tuple) -> str:
-        return item[4].isoformat() if item[4] else ""
-
     def _after(self, feed: str, start: dict) -> list[tuple]:
         last, links = json.loads(start[feed]) if feed in start else ["", []]
-        return [i for i in feed_items(feed) if self._place(i) > last or (self._place(i) == last and i[1] not in links)]
+        return [i for i in feed_items(feed) if _place(i) > last or (_place(i) == last and i[1] not in links)]
 
     def read(self, start: dict) -> tuple[Iterator[tuple], dict]:
         rows, end = [], dict(start)
-        for feed in self.feeds:
+        for feed in feed_addresses(self.path):
             if fresh := self._after(feed, start):
-                last = max(map(self._place, fresh))
+                last = max(map(_place, fresh))
                 before, links = json.loads(start[feed]) if feed in start else ["", []]
-                end[feed] = json.dumps([last, sorted({*(links if last == before else []), *(i[1] for i in fresh if self._place(i) == last)})])
+                end[feed] = json.dumps([last, sorted({*(links if last == before else []), *(i[1] for i in fresh if _place(i) == last)})])
                 rows += fresh
         return iter(rows), end
 
     def readBetweenOffsets(self, start: dict, end: dict) -> Iterator[tuple]:
         """The same batch again after a failure, as far as the feeds still show its items."""
-        for feed in self.feeds:
+        for feed in feed_addresses(self.path):
             if feed in end:
                 last, links = json.loads(end[feed])
-                yield from (i for i in self._after(feed, start) if self._place(i) < last or (self._place(i) == last and i[1] in links))
+                yield from (i for i in self._after(feed, start) if _place(i) < last or (_place(i) == last and i[1] in links))
+
+
+class FeedPart(D.InputPartition):
+    def __init__(self, feed: str, before: str | None, version: str) -> None:
+        super().__init__(None)
+        self.feed, self.before, self.version = feed, before, version
+
+
+def feed_version(address: str, timeout: float = 30.0) -> str:
+    """What changes with a feed; of an address without a tag or a date it is the time, so it is read each time."""
+    if address.startswith(("http://", "https://")):
+        with urllib.request.urlopen(urllib.request.Request(address, method="HEAD"), timeout=timeout) as reply:  # noqa: S310
+            return reply.headers.get("ETag") or reply.headers.get("Last-Modified") or str(time.time_ns())
+    store, path = _store(address)
+    info = store.get_file_info(path)
+    if info.type != pyarrow.fs.FileType.File:
+        raise FileNotFoundError(address)
+    return f"{info.mtime_ns}-{info.size}"
+
+
+class FeedTasks(D.DataSourceStreamReader):
+    """New items by feed, each feed read by a task. A batch that is run again reads what the feeds show then."""
+
+    def __init__(self, path: str, seen: str) -> None:
+        self.path, self.seen = path, seen.rstrip("/")
+
+    def initialOffset(self) -> dict:
+        return {}
+
+    def latestOffset(self) -> dict:
+        return {feed: feed_version(feed) for feed in feed_addresses(self.path)}
+
+    def partitions(self, start: dict, end: dict) -> list[FeedPart]:
+        return [FeedPart(feed, start.get(feed), version) for feed, version in end.items() if start.get(feed) != version]
+
+    def _mark(self, feed: str, version: str) -> str:
+        return f"{self.seen}/{hashlib.sha256(f'{feed} {version}'.encode()).hexdigest()}"
+
+    def read(self, partition: FeedPart) -> Iterator[tuple]:
+        last, links = json.loads(read_bytes(self._mark(partition.feed, partition.before))) if partition.before else ["", []]
+        before, known = last, {*links}
+        links = {*links}
+        for item in feed_items(partition.feed):
+            at = _place(item)
+            if at < before or (at == before and item[1] in known):
+                continue
+            if at > last:
+                last, links = at, set()
+            if at == last:
+                links.add(item[1])
+            yield item
+        store, path = _store(self._mark(partition.feed, partition.version))
+        store.create_dir(path.rsplit("/", 1)[0])
+        with store.open_output_stream(made := f"{path}.{uuid.uuid4().hex}") as f:
+            f.write(json.dumps([last, sorted(links)]).encode())
+        store.move(made, path)
