@@ -123,6 +123,15 @@ FEED = """<?xml version="1.0"?><rss version="2.0" xmlns:content="http://purl.org
 </channel></rss>"""
 
 
+def test_rss_in_pages(spark):
+    item = "<item><link>{}</link><title>Sabesp</title><pubDate>{}</pubDate></item>"
+    page = lambda *rows: "<rss><channel>" + "".join(item.format(*r) for r in rows) + "</channel></rss>"
+    new, old = "Fri, 01 Mar 2024 10:00:00 GMT", "Mon, 01 Jan 2024 10:00:00 GMT"
+    rows = [("f", 1, page(("d", new), ("e", old), ("x", new))), ("f", 0, page(("a", new), ("b", new))), ("f", 2, page(("y", new), ("z", old))), ("g", 5, page(("a", new))), ("g", 7, page())]
+    got = search.rss_hits(spark.createDataFrame(rows, "feed string, page int, payload string"), since="2024-02-01")
+    assert sorted((r.feed, r.url) for r in got.collect()) == [("f", "a"), ("f", "b"), ("f", "d"), ("g", "a")]
+
+
 def test_rss(spark):
     df = spark.createDataFrame([("f", FEED)], "feed string, payload string")
     got = search.rss_hits(df, ("Sabesp",), since="2024-02-01").collect()

@@ -128,14 +128,15 @@ def wordpress_search(spark, sf_dir):
     ended AS (SELECT *, max(CASE WHEN day < DATE '2024-01-10' THEN 1 ELSE 0 END) OVER (PARTITION BY feed ORDER BY place) AS over FROM items WHERE user_id % 10 = 7)
     SELECT feed, 'https://r.org/' || event_id AS url, 'News of 7' AS title, strftime(day, '%Y-%m-%d') AS published FROM ended WHERE over = 0 AND day <= DATE '2024-01-20'""")
 def rss_search(spark, sf_dir):
-    """Items of feeds made of the events: those that name the query, until the first one before the window."""
+    """Items of feeds made of the events, a page an hour, newest first: those that name the query, until the first one before the window."""
     e = V.table(spark, sf_dir, "events")
     item = F.concat(
         F.lit("<item><link>https://r.org/"), F.col("event_id").cast("string"), F.lit("</link><title>News of "), (F.col("user_id") % 10).cast("string"),
         F.lit("</title><pubDate>"), F.date_format("ts", "EEE, dd MMM yyyy HH:mm:ss"), F.lit(" GMT</pubDate></item>"),
     )
     newest = F.array_sort(F.collect_list(F.struct((-F.unix_micros(F.col("ts").cast("timestamp"))).alias("age"), "event_id", item.alias("item"))))
-    feeds = e.groupBy(F.col("event_type").alias("feed")).agg(F.concat(F.lit("<rss><channel>"), F.array_join(F.transform(newest, lambda x: x["item"]), ""), F.lit("</channel></rss>")).alias("payload"))
+    page = -F.floor(F.unix_seconds(F.col("ts").cast("timestamp")) / 3600)
+    feeds = e.groupBy(F.col("event_type").alias("feed"), page.alias("page")).agg(F.concat(F.lit("<rss><channel>"), F.array_join(F.transform(newest, lambda x: x["item"]), ""), F.lit("</channel></rss>")).alias("payload"))
     return search.rss_hits(feeds, ("of 7",), "2024-01-10", "2024-01-20").select("feed", "url", "title", "published")
 
 

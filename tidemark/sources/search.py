@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..session import written
 
 HIT = "url string, title string, published string"
 STRATEGIES = ("wordpress_api", "rss", "playwright", "html")
@@ -100,11 +101,13 @@ def wordpress_hits(payloads: DataFrame, exclude: tuple[str, ...] = (), pattern:
 
 
 def rss_hits(payloads: DataFrame, queries: tuple[str, ...] = (), since: str | None = None, until: str | None = None, exclude: tuple[str, ...] = (), pattern: str | None = None) -> DataFrame:
-    """Payloads (feed, payload). Items are in feed order; one older than ``since`` ends the feed, one after ``until`` is passed over."""
+    """Payloads (feed, payload), or (feed, page, payload) of feeds in pages. Items are in feed order; one older than ``since`` ends the feed, one after ``until`` is passed over."""
     item = "struct<link:string,title:string,description:string,encoded:string,pubDate:string>"
     flat = F.regexp_replace("payload", r"<(/?)content:encoded", "<$1encoded")
     channel = F.from_xml(flat, f"struct<channel:struct<item:array<{item}>>>")
-    rows = payloads.select("feed", F.posexplode(F.coalesce(channel["channel"]["item"], F.array().cast(f"array<{item}>"))).alias("position", "i"))
+    paged = "page" in payloads.columns
+    rows = payloads.select("feed", *(["page"] if paged else []), F.posexplode(F.coalesce(channel["channel"]["item"], F.array().cast(f"array<{item}>"))).alias("position", "i"))
+    rows = rows.withColumn("position", F.struct("page", "position")) if paged else rows
     rows = rows.select("feed", "position", T.or_empty(F.trim("i.link")).alias("url"), *(T.strip_html(F.col(f"i.{c}")).alias(c) for c in ("title", "description", "encoded")), T.feed_day(F.col("i.pubDate")).alias("published"))
     terms = [q.strip().lower() for q in queries if q.strip()]
     text = F.lower(F.concat_ws(" ", "title", "description", "encoded"))
@@ -113,8 +116,10 @@ def rss_hits(payloads: DataFrame, queries: tuple[str, ...] = (), since: str | No
         rows = rows.where(T.contains_any(text, terms))
     day = F.try_to_date("published")
     if since:
-        old = F.max(F.coalesce(day < F.lit(since).cast("date"), F.lit(False)).cast("int")).over(Window.partitionBy("feed").orderBy("position").rowsBetween(Window.unboundedPreceding, 0))
-        rows = rows.withColumn("over", old).where("over = 0").drop("over")
+        # A feed's end is its first old item, so no task needs all items of a feed in order.
+        rows = written(rows, "feed-items")
+        ends = rows.where(day < F.lit(since).cast("date")).groupBy("feed").agg(F.min("position").alias("end"))
+        rows = rows.alias("a").join(ends.alias("b"), F.col("a.feed").eqNullSafe(F.col("b.feed")), "left").where("b.end is null or a.position < b.end").select("a.*")
     if until:
         rows = rows.where(F.coalesce(day <= F.lit(until).cast("date"), F.lit(True)))
     return _first_seen(rows, ("feed",))
