@@ -48,3 +48,14 @@ def test_entity_articles_name_their_entities(spark, sf):
     rows = entry.queries()["entity_articles"](spark, sf).collect()
     names = {e[0]: e for e in PAGE_ENTITIES}
     assert rows and all(any(w.lower() in f"{r.titulo} {r.noticia}".lower() for w in (names[r.empresa][0], names[r.empresa][2])) for r in rows)
+
+
+def test_load_counters_whatever_line_comes_first(spark, tmp_path, sf, duck):
+    """A file whose first line is a bad one, and causes that no row has."""
+    for name, where in (("bad", "event_id >= 5"), ("few", "event_id in (2, 4)")):
+        path = str(tmp_path / name / "events.parquet")
+        (tmp_path / name).mkdir()
+        duck.execute(f"COPY (SELECT * FROM read_parquet('{sf}/events.parquet') WHERE {where} ORDER BY event_id) TO '{path}' (FORMAT parquet)")
+        want = duck.execute(f"WITH events AS (SELECT * FROM read_parquet('{path}')) SELECT * FROM ({entry.oracle_sql()['load_counters']})").fetchall()
+        got = entry.queries()["load_counters"](spark, str(tmp_path / name)).collect()
+        assert sorted((r.cause, r.rows) for r in got) == sorted(want)

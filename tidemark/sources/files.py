@@ -30,6 +30,7 @@ class Reader:
     max_rows: int | None = None
     multiline: bool = True  # quoted fields may hold line breaks; without, Spark splits large files into tasks
     options: dict[str, str] = field(default_factory=dict)
+    names: tuple[str, ...] = ()  # of the columns of CSV without a header; else the first line of one of the files numbers them
 
 
 def with_row_id(df: DataFrame, column: str = "row_id", split: bool = False) -> DataFrame:
@@ -62,7 +63,9 @@ def read_csv(spark: SparkSession, r: Reader, keep_bad: bool = False) -> DataFram
     if r.on_bad_lines not in MODES:
         raise ValueError(f"on_bad_lines is one of {sorted(MODES)}")
     base = {"header": "true", "sep": r.separator, "quote": r.quote, "escape": r.quote, "encoding": r.encoding, "multiLine": str(r.multiline).lower(), "maxCharsPerColumn": "10000000", **r.options}
-    names = [c.strip() for c in spark.read.options(**base).csv(r.path).columns]
+    if r.names and str(base["header"]).lower() == "true":
+        raise ValueError("columns are named by the header or by names, not both")
+    names = list(r.names) or [c.strip() for c in spark.read.options(**base).csv(r.path).columns]
     if twice := sorted({n for n in names if names.count(n) > 1}):
         raise ValueError(f"columns appear more than once: {twice}")
     keep_bad = keep_bad and r.on_bad_lines != "error"
