@@ -145,3 +145,10 @@ def test_last_provider_wins(spark):
     both = df.withColumn("continuous_sentiment", F.lit(0.0)).withColumn("confidence", F.lit(0.0))
     assert dimensions.resolve(both, providers=("dataset_columns", "prediction_metadata")).first().dim_relevance == 1.7
     assert dimensions.resolve(both, providers=("prediction_metadata", "dataset_columns")).first().dim_relevance == 0.4
+
+
+def test_filled_days_are_sorted_once(spark):
+    """One sort of the days that came and one of the filled ones, whatever windows go over them."""
+    made = recurrence.index_daily(spark.range(3).selectExpr("date_add(date'2024-01-01', cast(id as int)) AS date", "'A' AS company", "'S' AS sector", "1.0D AS impacto_dia", "0.0D AS risco_dia", "1L AS news_count", "1.0D AS mean_horizon"))
+    plan = made._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Sort [") == 2, plan

@@ -46,7 +46,8 @@ def index_daily(daily: DataFrame, alpha: float = 0.85, initial: float = 0.0, mod
     if not 0 < alpha < 1:
         raise ValueError("alpha lies between 0 and 1")
     keys = (*by, *SERIES)
-    filled = fill_calendar(daily, keys)
+    start = F.min("date").over(Window.partitionBy(*keys).orderBy("date"))  # the window that the gaps are filled by
+    filled = fill_calendar(daily.withColumn("__first", start), keys)
     a = F.when(F.col("has_news"), effective_alpha(alpha, F.col("mean_horizon"), mode)).otherwise(F.lit(float(alpha)))
     rows = filled.withColumn("a", a).withColumns({
         "la": F.ln("a"),
@@ -54,15 +55,15 @@ def index_daily(daily: DataFrame, alpha: float = 0.85, initial: float = 0.0, mod
         "br": F.when(F.col("has_news"), (1 - F.col("a")) * F.coalesce("risco_dia", F.lit(0.0))).otherwise(0.0),
     })
     block = max(1, math.floor(_LOG_ROOM / abs(math.log(min(alpha, LOWEST)))))
-    first = F.min("date").over(Window.partitionBy(*keys))
-    rows = rows.withColumn("g", F.floor(F.datediff("date", first) / block).cast("int"))
+    rows = rows.withColumn("g", F.floor(F.datediff("date", "__first") / block).cast("int"))
     within = Window.partitionBy(*keys, "g").orderBy("date").rowsBetween(Window.unboundedPreceding, 0)
     rows = rows.withColumn("L", F.sum("la").over(within))
     for x in ("i", "r"):
         rows = rows.withColumn(f"y{x}", F.exp("L") * F.sum(F.col(f"b{x}") * F.exp(-F.col("L"))).over(within))
     # The last values of the blocks before a row's own: one entry per 130 days, so most lists are empty. Every window has
-    # the series as its partition, so the whole recurrence needs one shuffle.
-    order = Window.partitionBy(*keys).orderBy("date")
+    # the series as its partition, so the whole recurrence needs one shuffle; blocks follow the days, so ordering by both
+    # keeps the order within blocks and the filled rows are sorted once.
+    order = Window.partitionBy(*keys).orderBy("g", "date")
     rows = rows.withColumn("ends", F.coalesce(F.lead("g").over(order) != F.col("g"), F.lit(True)))
     entry = F.when(F.col("ends"), F.struct(F.col("L").alias("l"), "yi", "yr"))
     rows = rows.withColumn("before", F.collect_list(entry).over(order.rowsBetween(Window.unboundedPreceding, -1)))
