@@ -74,6 +74,32 @@ def test_ids_when_words_are_forgotten(monkeypatch):
     assert list(encode(texts)) == [file_ids(t) for t in texts]
 
 
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.text(alphabet="'stremvld 1!\n\t\u00a0\u00e9\u00b2\u2013\u20acA", max_size=40), max_size=6))
+def test_ids_of_texts_looked_at_together(texts):
+    assert own_ids(*texts) == [file_ids(t) for t in texts]
+
+
+def test_a_word_is_looked_up_once_for_many_places():
+    encode, looked_up = packing.Encoder(packing.default_tokenizer_path()), []
+
+    class Counted(type(encode.known)):
+        def __getitem__(self, word):
+            looked_up.append(word)
+            return super().__getitem__(word)
+
+    encode.known.__class__ = Counted
+    texts = [" ".join(f"word{i % 5}" for i in range(3000)), "it's word1, it's word2 " * 500]
+    assert list(encode(texts)) == [file_ids(t) for t in texts]
+    assert 0 < len(looked_up) < 40
+
+
+def test_long_words_are_not_kept():
+    encode = packing.Encoder(packing.default_tokenizer_path())
+    assert list(encode(["x" * 3000 + " short"])) == [file_ids("x" * 3000 + " short")]
+    assert list(encode.known) == [" short"]
+
+
 def test_added_tokens_are_found_in_texts():
     assert own_ids("a <|endoftext|> b") == [[64, 220, 50256, 275]]
 

@@ -19,12 +19,12 @@ from __future__ import annotations
 
 import os
 import re
+import struct
 import zlib
 from bisect import bisect_left
 from collections import defaultdict
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator
 from functools import lru_cache
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -40,23 +40,46 @@ PARTS, PART_ROWS = 65_536, 256
 _W = "__pack_"  # working columns
 _SALT, _BEFORE, _RANK, _PLACE = f"{_W}salt", f"{_W}before", f"{_W}rank", f"{_W}place"
 
-#: Words whose ids a worker remembers, at most twice so many; texts are looked at in groups of about so many characters.
-REMEMBERED, GROUP_CHARS = 300_000, 1 << 20
+#: Words whose ids a worker remembers, at most twice so many and none longer; texts are looked at in groups of about so many characters.
+REMEMBERED, LONGEST, GROUP_CHARS = 300_000, 64, 1 << 20
 
 #: Characters that every Unicode version classes alike: ASCII, Latin, general punctuation, euro.
 _COMMON = "[\\t\\n\\r -~\\u00a0-\\u024f\\u2010-\\u2027\\u2030-\\u205e\\u20ac]*"
 
+#: What a common character is to the file's rule for words; the end of a text stands between texts that are looked at together.
+_END, _BLANK, _WHITE, _LETTER, _NUMBER, _OTHER = range(6)
+_ENDINGS = ("s", "t", "re", "ve", "m", "ll", "d")  # fixed values: what the rule takes for a word after an apostrophe
 
-def _words() -> str:
-    """The file's rule for words (its byte-level step) for common characters: letters and numbers by their category."""
+
+@lru_cache(maxsize=1)
+def _kinds() -> np.ndarray:
     import unicodedata
 
-    kinds: dict[str, str] = {"L": "", "N": ""}
-    for c in map(chr, range(0x21, 0x250)):
-        if (kind := unicodedata.category(c)[0]) in kinds:
-            kinds[kind] += c
-    letters, numbers = kinds["L"], kinds["N"]
-    return rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{letters}]+| ?[{numbers}]+| ?[^\s{letters}{numbers}]+|\s+(?!\S)|\s+"
+    kinds = np.full(0x20AD, _OTHER, np.uint8)
+    for code in range(0x250):
+        kinds[code] = {"L": _LETTER, "N": _NUMBER}.get(unicodedata.category(chr(code))[0], _OTHER)
+    kinds[[ord(c) for c in "\t\n\r\u00a0"]], kinds[ord(" ")], kinds[0] = _WHITE, _BLANK, _END
+    return kinds
+
+
+def _word_starts(codes: np.ndarray) -> np.ndarray:
+    """Where words begin in common characters between ends of texts (code 0), of which the first is one and the last two are.
+
+    The file's rule, by what stands beside a character: a word is a run of letters, of numbers or of others with the blank before
+    it, or a known ending after an apostrophe; of white space before a word, the last character stands apart.
+    """
+    kind = _kinds()[codes]
+    white = (kind == _BLANK) | (kind == _WHITE)
+    starts = np.ones(len(codes), bool)
+    before, own, after = kind[:-2], kind[1:-1], kind[2:]
+    starts[1:-1] = np.where(white[1:-1], ~white[:-2] | (after >= _LETTER), ((own != before) & (before != _BLANK)) | (own == _END))
+    marks = np.flatnonzero(starts[:-2] & (codes[:-2] == ord("'")))
+    for ending in _ENDINGS:
+        found = marks[codes[marks + 1] == ord(ending[0])]
+        if len(ending) > 1:
+            found = found[codes[found + 2] == ord(ending[1])]
+        starts[found + 1], starts[found + 1 + len(ending)] = False, True
+    return starts
 
 
 @lru_cache(maxsize=4)
@@ -67,17 +90,34 @@ def _tokenizer(path: str):
     return Tokenizer.from_file(path)
 
 
-class _Known(dict):
-    """Ids by word. A word not met before gets an empty list, to be filled in, unless the words known before have it."""
+class _Remembered(dict):
+    """Results of ``find`` by text. Once there are ``REMEMBERED`` of them, those that are not met again until the next so many are dropped."""
 
-    def __init__(self, before: dict[str, list[int]]):
-        self.before, self.new = before, {}
+    def __init__(self, find: Callable[[str], bytes]):
+        self.find, self.before = find, {}
 
-    def __missing__(self, word: str) -> list[int]:
-        own = self.before.get(word)
+    def __missing__(self, text: str) -> bytes:
+        own = self.before.get(text)
         if own is None:
-            own = self.new[word] = []
-        self[word] = own
+            own = self.find(text)
+        if len(text) <= LONGEST:
+            if len(self) >= REMEMBERED:
+                self.before = dict(self)
+                self.clear()
+            self[text] = own
+        return own
+
+
+class _ByteLevel(dict):
+    """What the library's byte-level step makes of a character, by code, as ``str.translate`` asks for it."""
+
+    def __init__(self):
+        from tokenizers import pre_tokenizers
+
+        self.step = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+
+    def __missing__(self, code: int) -> str:
+        own = self[code] = self.step.pre_tokenize_str(chr(code))[0][0]
         return own
 
 
@@ -97,24 +137,26 @@ def _steps(path: str) -> dict:
 class Encoder:
     """Texts to ids as ``tokenizers`` gives them for the file at ``path``, without special tokens of its own.
 
-    That library's merges never cross words, so it is asked for each distinct word once and the ids are remembered.
-    Texts with other than common characters, or that hold an added token of the file, are given to it whole, and so is
-    every text if the file's steps are not a plain byte-level split.
+    That library's merges never cross words, so its model is asked for each distinct word once and the ids are remembered. Words
+    are found and numbered as columns, for many texts at a time. Texts with other than common characters, or that hold an added
+    token of the file, are given to the library whole, and so is every text if the file's steps are not a plain byte-level split.
     """
 
     def __init__(self, path: str):
         steps = _steps(path)
         step = steps.get("pre_tokenizer") or {}
-        self.by_word = (step.get("type"), step.get("add_prefix_space"), step.get("use_regex")) == ("ByteLevel", False, True) and not steps.get("normalizer")
-        self.tokenizer, self.known = _tokenizer(path), _Known({})
-        self.line = self._ids(["\n"])[0]
+        plain = (step.get("type"), step.get("add_prefix_space"), step.get("use_regex")) == ("ByteLevel", False, True)
+        self.by_word = plain and not any(steps.get(k) for k in ("normalizer", "truncation", "padding"))
+        self.tokenizer, self.characters, self.known = _tokenizer(path), _ByteLevel(), _Remembered(self._word)
+        self.model, self.blank = self.tokenizer.model, self.characters[ord(" ")]
         self.added = [t["content"] for t in steps.get("added_tokens") or []]
-        self.split, self.common = re.compile(_words()).findall, re.compile(_COMMON).fullmatch
+        self.common = re.compile(_COMMON).fullmatch
 
-    def _ids(self, texts: list[str]) -> list[list[int]]:
-        return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+    def __call__(self, texts: Iterable[str]) -> Iterator[list[int]]:
+        return (np.frombuffer(ids, "<u4").tolist() for ids in self.packed(texts))
 
-    def __call__(self, texts: list[str]) -> Iterator[list[int]]:
+    def packed(self, texts: Iterable[str]) -> Iterator[bytes]:
+        """The ids of each text as unsigned 32-bit numbers, little-endian."""
         group, chars = [], 0
         for text in texts:
             group.append(text)
@@ -124,30 +166,39 @@ class Encoder:
                 group, chars = [], 0
         yield from self._group(group)
 
-    def _group(self, texts: list[str]) -> Iterator[list[int]]:
-        known = self.known
-        if len(known) > REMEMBERED:
-            self.known = known = _Known(dict(known))
-        rows = [None if (words := self._words(t)) is None else list(map(known.__getitem__, words)) for t in texts]
-        self._learn(known)
-        for text, row in zip(texts, rows, strict=True):
-            yield self._ids([text])[0] if row is None else list(chain.from_iterable(row))
-
-    def _learn(self, known: _Known) -> None:
-        """Fills in the words not met before. Those that are not white space are given to the library as lines of one text."""
-        new = known.new
-        lines = [w for w in new if not w.isspace()] if len(self.line) == 1 else []
-        ids, start = self._ids(["".join(f"{w}\n" for w in lines)])[0], 0
-        for word in lines:
-            end = ids.index(self.line[0], start)
-            new.pop(word).extend(ids[start:end])
-            start = end + 1
-        for own, word_ids in zip(new.values(), self._ids(list(new)), strict=True):
-            own.extend(word_ids)
-        new.clear()
-
-    def _words(self, text: str) -> list[str] | None:
-        return self.split(text) if self.by_word and self.common(text) and not any(t in text for t in self.added) else None
+    def _group(self, texts: list[str]) -> Iterator[bytes]:
+        plain = [self.by_word and self.common(t) is not None and not any(a in t for a in self.added) for t in texts]
+        own = self._plain([t for t, p in zip(texts, plain, strict=True) if p])
+        for text, p in zip(texts, plain, strict=True):
+            yield next(own) if p else np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+
+    def _plain(self, texts: list[str]) -> Iterator[bytes]:
+        if not texts:
+            return
+        joined = "\0".join(["", *texts, "", ""])
+        codes = np.frombuffer(joined.encode("utf-32-le"), "<u4")
+        starts = np.flatnonzero(_word_starts(codes))
+        ends = codes[starts] == 0
+        places = starts if joined.isascii() else np.concatenate([[0], np.cumsum(1 + (codes >= 0x80) + (codes >= 0x800))])[starts]
+        data = joined.encode()
+        offsets = np.append(places, len(data)).astype(np.int64)
+        words = pa.LargeStringArray.from_buffers(len(starts), pa.py_buffer(offsets), pa.py_buffer(data)).dictionary_encode()
+        found = [b"" if w == "\0" else self.known[w] for w in words.dictionary.to_numpy(zero_copy_only=False)]
+        sizes = np.fromiter(map(len, found), np.int64, len(found)) // 4
+        number = words.indices.to_numpy()
+        # A word's ids are a slice of those of all distinct words: each id's place there is its place here, moved by word.
+        first, upto = np.cumsum(sizes) - sizes, np.cumsum(sizes[number])
+        moved = first[number] - upto + sizes[number]
+        ids = np.frombuffer(b"".join(found), "<u4")[np.repeat(moved, sizes[number]) + np.arange(upto[-1])]
+        edges = upto[ends]
+        for lo, hi in zip(edges[: len(texts)], edges[1:], strict=False):
+            yield ids[lo:hi].tobytes()
+
+    def _word(self, word: str) -> bytes:
+        # The byte-level step leaves printable ASCII as it is, but for blanks.
+        mapped = word.replace(" ", self.blank) if word.isascii() and word.isprintable() else word.translate(self.characters)
+        found = [t.id for t in self.model.tokenize(mapped)]
+        return struct.pack(f"<{len(found)}I", *found)
 
 
 @lru_cache(maxsize=4)
@@ -168,17 +219,19 @@ def pieces(docs: DataFrame, tokenizer_path: str | None = None, capacity: int = C
     """
     path = tokenizer_path or default_tokenizer_path()
 
+    end = np.array([end_id], "<u4").tobytes()
+
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(path)
+        encode = encoder(path).packed
         for b in batches:
             out: dict[str, list] = {k: [] for k in ("doc_id", "piece", "start", "length", "ids_crc32", "ids")}
             for doc, own in zip(b.column(0).to_pylist(), encode([t or "" for t in b.column(1).to_pylist()]), strict=True):
-                ids = np.array([*own, end_id], dtype="<u4")
-                first = len(ids) % capacity or capacity
-                edges = [0, *range(first, len(ids) + 1, capacity)]
+                ids = memoryview(own + end)
+                n = len(ids) // 4
+                edges = [0, *range(n % capacity or capacity, n + 1, capacity)]
                 for k, (lo, hi) in enumerate(zip(edges, edges[1:], strict=False)):
-                    part = ids[lo:hi]
-                    for name, value in zip(out, (doc, k, lo, hi - lo, zlib.crc32(part.tobytes()), part.astype(np.int32) if keep_ids else None), strict=True):
+                    part = ids[4 * lo : 4 * hi]
+                    for name, value in zip(out, (doc, k, lo, hi - lo, zlib.crc32(part), np.frombuffer(part, "<u4").astype(np.int32) if keep_ids else None), strict=True):
                         out[name].append(value)
             yield pa.RecordBatch.from_arrays(
                 [pa.array(out["doc_id"], pa.int64()), pa.array(out["piece"], pa.int32()), *(pa.array(out[k], pa.int64()) for k in ("start", "length", "ids_crc32")), *([pa.array(out["ids"], pa.list_(pa.int32()))] if keep_ids else [])],
