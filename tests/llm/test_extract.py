@@ -62,6 +62,18 @@ def test_time_grows_with_the_page():
         assert time.perf_counter() - began < 4
 
 
+def test_a_form_is_no_article_however_short_the_article_is():
+    form = "<form><p>Your mail</p><input></form>"
+    assert main_text(f"<body><article><p>alpha</p>{form}</article></body>") == "alpha"
+    assert main_text(f"<body>{form}<article><p>alpha</p></article></body>") == "alpha"
+    assert main_text("<article><p>alpha</p><form><p>Please give us your mail.</p></form></article>") == "alpha"
+    body = "<p>One sentence, and more of it.</p><p>Two of them, as well.</p>"
+    whole = "One sentence, and more of it.\n\nTwo of them, as well."
+    assert main_text(f"<body><form>{body}</form></body>") == whole
+    assert main_text(f"<body><form><article>{body}</article></form></body>") == whole
+    assert main_text(f"<body><article><form>{body}</form></article></body>") == whole
+
+
 WORD = st.sampled_from(["alpha", "beta,", "gamma", "delta.", "&amp;", "<i>eps</i>", "日本"])
 PARAGRAPH = st.lists(WORD, min_size=1, max_size=40).map(" ".join)
 NOISE = st.sampled_from(["<nav><ul><li><a href=a>Go</a></li></ul></nav>", '<div class="ad">Buy this, now, please.</div>', "<script>var x='<p>no</p>';</script>", '<aside><p>Other, things, here.</p></aside>', "<style>p{}</style>", "<!-- <p>gone</p> -->", '<div class="cookie-notice">We set cookies, many.</div>', "<form><p>Your mail</p><input></form>"])

@@ -9,7 +9,8 @@ time and memory in proportion to its length.
 
 Left out wherever they stand: scripts, styles, forms and their controls, ``nav``, ``footer``, ``aside``, ``header`` outside
 of the article, hidden elements, elements whose role, class or id names menus, notices, adverts, sharing or comments, and
-lists of nothing but short links. A form around most of a page's points is a wrapper, not a form.
+lists of nothing but short links. A form is a wrapper, not a form, if it has half of a page's points, or nine tenths of those of
+the article it stands in, and holds a sentence or a mark of an article.
 
 Defined results: a null or empty page, and one without text outside of what is left out, has an empty text; a page without
 markup is a text of one block; an end tag without its start is ignored, and paragraphs, list items and cells end where the
@@ -247,6 +248,12 @@ class Page:
             if self.noise[i] != "noise":
                 holds[up] |= holds[i]
                 strong[up] |= strong[i]
+        prose = [False] * n
+        if "form" in self.noise:
+            for at, text in zip(self.at, self.texts, strict=True):
+                prose[at] = prose[at] or _SENTENCE.search(text) is not None
+            for i in range(n - 1, 0, -1):
+                prose[parents[i]] |= prose[i]
         out = [False] * n
         article = [-1] * n
         for i in range(1, n):
@@ -258,7 +265,7 @@ class Page:
                 or why == "always"
                 or (why == "noise" and not strong[i])
                 or (why == "layout" and not holds[i])
-                or (why == "form" and whole[i] < 0.5 * whole[0])
+                or (why == "form" and (whole[i] < (0.9 * whole[article[up]] if article[up] >= 0 else 0.5 * whole[0]) or not (prose[i] or holds[i])))
                 or (why == "header" and article[up] < 0)
                 or menu
             )
